@@ -195,6 +195,31 @@ def window_chunks(text_col: str, size: int, overlap: int):
     return F.struct(chunks.alias("chunked_text"), F.lit(SUCCESS).alias("chunker_status"))
 
 
+def window_rows(
+    docs: DataFrame,
+    text_col: str = "text",
+    size: int = DEFAULT_CHUNK_SIZE,
+    overlap: int = DEFAULT_CHUNK_OVERLAP,
+    path_col: str = "path",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Window chunks straight to rows ``(path, *keep, chunk_index, chunked_text,
+    chunk_id)``: the window starts are exploded first and each row cuts its
+    own substring, so no array of chunk texts is built (and none is evaluated
+    twice by the filter Catalyst infers for ``explode``)."""
+    check_chunk_params(size, overlap)
+    text = F.col(text_col)
+    n = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(n - F.lit(overlap), F.lit(1)), F.lit(size - overlap))
+    cols = [F.col(path_col)] + [F.col(c) for c in keep]
+    return (
+        docs.filter(n > 0)
+        .select(*cols, text.alias("_text"), F.posexplode(starts).alias("chunk_index", "_start"))
+        .select(*cols, "chunk_index", F.col("_text").substr(F.col("_start"), F.lit(size)).alias("chunked_text"))
+        .withColumn("chunk_id", chunk_key("chunked_text"))
+    )
+
+
 def chunk_errors(chunked: DataFrame) -> DataFrame:
     """Documents whose chunker failed (A4 companion)."""
     return chunked.filter(F.col("chunked.chunker_status") != SUCCESS)

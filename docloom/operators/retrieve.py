@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from docloom.functions.templates import fill_template
 from docloom.functions.text import tokens
-from docloom.operators.common import maybe_broadcast, row_count_at_most, top_k_per_group
+from docloom.operators.common import row_count_at_most, top_k_per_group
+from docloom.session import cut_lineage
 
 # Fixed values --------------------------------------------------------------
 DEFAULT_K = 8
@@ -60,15 +61,6 @@ def attach_chunks(top: DataFrame, chunks: DataFrame, key: str, cols: Sequence[st
 # Keyword top-k (BM25)
 
 
-def corpus_stats(doc_tokens: DataFrame, tokens_col: str = "_toks") -> tuple[int, float]:
-    """Number of documents and mean length in tokens: one aggregate row."""
-    row = doc_tokens.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size(tokens_col)).alias("total")
-    ).first()
-    n, total = int(row["n"]), float(row["total"] or 0)
-    return n, (total / n if n else 0.0)
-
-
 def topk_keyword(
     questions: DataFrame,
     chunks: DataFrame,
@@ -86,34 +78,43 @@ def topk_keyword(
     ``chunks`` must hold one row per ``key`` (see ``dedup_chunks``).  Idf is
     ``ln(1 + (N - df + 0.5) / (df + 0.5))``; each distinct question term
     counts once.
-    """
-    doc_tokens = chunks.select(F.col(key).alias("_key"), tokens(text).alias("_toks"))
-    n_docs, avgdl = corpus_stats(doc_tokens)
-    avgdl = avgdl or 1.0
 
+    Chunks are tokenized once: the postings of the question vocabulary, plus
+    one marker row per chunk carrying its length, are aggregated and
+    checkpointed to the shared checkpoint folder; corpus statistics, document
+    frequencies and scores all read that table.
+    """
+    spark = questions.sparkSession
     qterms = questions.select(
         F.col(qid).alias("_q"), F.explode(F.array_distinct(tokens(qtext))).alias("term")
     )
     small = row_count_at_most(questions, MAX_BROADCAST_QUESTIONS) and row_count_at_most(
         qterms, MAX_BROADCAST_QUESTION_TERMS
     )
-    qterms_side = F.broadcast(qterms) if small else qterms
-    vocab = qterms.select("term").distinct()
-    vocab_side = F.broadcast(vocab) if small else vocab
-
-    postings = (
-        doc_tokens.select("_key", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
-        .join(vocab_side, "term", "left_semi")
-        .groupBy("term", "_key", "dl")
+    # "" never occurs as a token; it marks the one length row per chunk
+    marker = spark.range(1).select(F.lit("").alias("term"))
+    vocab = qterms.select("term").distinct().unionByName(marker)
+    postings = cut_lineage(
+        chunks.select(F.col(key).alias("_key"), tokens(text).alias("_toks"))
+        .select("_key", F.size("_toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_toks")).alias("term"))
+        .join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+        .groupBy("_key", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = postings.filter(F.col("term") == "").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")
+    ).first()
+    n_docs = int(stats["n"])
+    avgdl = (float(stats["total"] or 0) / n_docs if n_docs else 0.0) or 1.0
+
+    terms = postings.filter(F.col("term") != "")
+    doc_freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
     weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
     scored = (
-        postings.join(F.broadcast(doc_freq) if small else doc_freq, "term")
-        .join(qterms_side, "term")
+        terms.join(F.broadcast(doc_freq) if small else doc_freq, "term")
+        .join(F.broadcast(qterms) if small else qterms, "term")
         .groupBy("_q", "_key")
         .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
     )

@@ -34,8 +34,8 @@ def register(fn):
 
 def window_chunk_rows(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
     docs = fixtures.parsed_docs(spark, sf_dir)
-    chunked = chunk.chunk_documents(docs, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP, method="windows")
-    return chunk.chunk_rows(chunked, with_ordinal=with_ordinal)
+    rows = chunk.window_rows(docs, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP)
+    return rows if with_ordinal else rows.drop("chunk_index")
 
 
 def chunk_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.schemas import TRACE_SCHEMA_DDL  # noqa: F401  (documented trace format)
+from docloom.sources.tables import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -25,8 +25,14 @@ TRACE_URIS = 20  # distinct document uris in traces
 # -----------------------------------------------------------------------------
 
 
+# Text-heavy tables: per-row work (chunking, tokenizing, parsing) dominates, so
+# a scan with fewer partitions than task slots is spread before that work.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def doc_path(source="source", doc_id="doc_id"):
