@@ -81,3 +81,138 @@ def q_build_context(spark, sf_dir):
 def q_source_list(spark, sf_dir):
     src = retrieve.source_list(keyword_hits(spark, sf_dir))
     return src.select("item_id", F.array_join("sources", "|").alias("sources"))
+
+
+# ---------------------------------------------------------------------------
+# step 1: feedback -> evaluation set
+
+from docloom.operators import feedback  # noqa: E402
+
+TIE = ("event_id",)
+
+
+def _alog(spark, sf_dir):
+    return fixtures.assessment_log(spark, sf_dir)
+
+
+def _deduped(spark, sf_dir):
+    return feedback.dedup_assessments(_alog(spark, sf_dir), TIE)
+
+
+def _ratings_text(col):
+    """'position:value|...' of a rating list, for value comparison."""
+    return F.array_join(
+        F.transform(col, lambda r: F.concat(r["position"].cast("string"), F.lit(":"), r["ratings"]["answer_correct"]["value"])),
+        "|",
+    )
+
+
+def _uris_text(col):
+    return F.array_join(F.transform(col, lambda c: c["doc_uri"]), "|")
+
+
+@register
+def q_dedup_latest(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    latest = feedback.dedup_latest(ev, ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    return latest.select("user_id", "event_id", "event_type", "ts")
+
+
+@register
+def q_dedup_text(spark, sf_dir):
+    d = feedback.dedup_text(_alog(spark, sf_dir), TIE)
+    return d.select(
+        "request_id",
+        F.col("source.id").alias("source_id"),
+        "step_id",
+        "timestamp",
+        F.col("text_assessment.ratings")["answer_correct"]["value"].alias("is_correct"),
+        F.col("text_assessment.suggested_output").alias("suggested_output"),
+        "event_id",
+    )
+
+
+@register
+def q_dedup_retrieval(spark, sf_dir):
+    d = feedback.dedup_retrieval(_alog(spark, sf_dir), TIE)
+    return d.select(
+        "request_id",
+        F.col("source.id").alias("source_id"),
+        F.col("retrieval_assessment.step_id").alias("step_id"),
+        F.col("retrieval_assessment.position").cast("long").alias("position"),
+        F.col("retrieval_assessment.ratings")["answer_correct"]["value"].alias("rating"),
+        "event_id",
+    )
+
+
+@register
+def q_nest_retrieval(spark, sf_dir):
+    n = feedback.nest_retrieval(feedback.dedup_retrieval(_alog(spark, sf_dir), TIE), TIE)
+    return n.select(
+        "request_id",
+        F.col("source.id").alias("source_id"),
+        "step_id",
+        "timestamp",
+        _ratings_text("retrieval_assessments").alias("ratings"),
+    )
+
+
+@register
+def q_merge_assessments(spark, sf_dir):
+    m = _deduped(spark, sf_dir)
+    return m.select(
+        "request_id",
+        "step_id",
+        "timestamp",
+        F.col("source.id").alias("source_id"),
+        F.col("text_assessment.ratings")["answer_correct"]["value"].alias("is_correct"),
+        F.col("text_assessment.suggested_output").alias("suggested_output"),
+        _ratings_text("retrieval_assessment").alias("ratings"),
+    )
+
+
+@register
+def q_attach_feedback(spark, sf_dir):
+    a = feedback.attach_feedback(fixtures.request_log(spark, sf_dir), _deduped(spark, sf_dir))
+    return a.select(
+        "request_id", "request", "response", "is_correct", "suggested_output", "source_user",
+        _ratings_text("retrieval_assessment").alias("ratings"),
+    )
+
+
+@register
+def q_feedback_class(spark, sf_dir):
+    a = feedback.attach_feedback(fixtures.request_log(spark, sf_dir), _deduped(spark, sf_dir))
+    c = feedback.feedback_class(a)
+    return c.select("request_id", "source_user", "is_correct", "expected_response", "source_tag")
+
+
+@register
+def q_chunk_ratings(spark, sf_dir):
+    a = feedback.attach_feedback(fixtures.request_log(spark, sf_dir), _deduped(spark, sf_dir))
+    r = feedback.chunk_ratings(a)
+    return r.select("request_id", "source_user", F.array_join("chunk_at_i_relevance", "|").alias("chunk_at_i_relevance"))
+
+
+@register
+def q_trace_chunks(spark, sf_dir):
+    t = feedback.trace_chunks(fixtures.request_log(spark, sf_dir))
+    return t.select("request_id", _uris_text("retrieved_chunks").alias("doc_uris"),
+                    F.size("retrieved_chunks").cast("long").alias("n_chunks"))
+
+
+@register
+def q_expected_context(spark, sf_dir):
+    a = feedback.attach_feedback(fixtures.request_log(spark, sf_dir), _deduped(spark, sf_dir))
+    e = feedback.expected_context(feedback.trace_chunks(a))
+    return e.select("request_id", "source_user", _uris_text("expected_retrieved_context").alias("expected_uris"))
+
+
+@register
+def q_eval_set(spark, sf_dir):
+    e = feedback.eval_set(fixtures.request_log(spark, sf_dir), _alog(spark, sf_dir), TIE)
+    return e.select(
+        "request", "request_id", "expected_response",
+        _uris_text("expected_retrieved_context").alias("expected_retrieved_context"),
+        "source_user", "source_tag",
+    )

@@ -77,3 +77,98 @@ SQL["source_list"] = _with(PARSED, WINDOWS, BM25) + """
 SELECT item_id, string_agg(path, '|' ORDER BY best_rank, path) AS sources
 FROM (SELECT item_id, path, min(rank) AS best_rank FROM keyword_hits GROUP BY item_id, path)
 GROUP BY item_id"""
+
+
+# ---------------------------------------------------------------------------
+# feedback -> evaluation set
+
+ALOG = """
+alog AS (
+  SELECT 'r' || CAST(event_id % 1000 AS VARCHAR) AS request_id, ts AS timestamp,
+         'u' || CAST(user_id % 3 AS VARCHAR) AS source_id, 's' || CAST(event_id % 2 AS VARCHAR) AS step_id,
+         CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative' WHEN 'view' THEN 'unknown' END AS answer,
+         CASE WHEN value > 35 THEN 'edit ' || CAST(event_id AS VARCHAR) ELSE '' END AS suggested_output,
+         CASE event_type WHEN 'click' THEN 'true' WHEN 'signup' THEN 'false' END AS chunk_rating,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 AS position,
+         event_id
+  FROM events WHERE (event_id % 1000) % 3 <> 0),
+dedup_text AS (
+  SELECT * FROM alog WHERE answer IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY request_id, source_id ORDER BY timestamp DESC, event_id DESC) = 1),
+dedup_ret AS (
+  SELECT * FROM alog WHERE chunk_rating IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY request_id, source_id, position, step_id ORDER BY timestamp DESC, event_id DESC) = 1),
+nested AS (
+  SELECT request_id, source_id, step_id, max(timestamp) AS timestamp,
+         list({'position': position, 'value': chunk_rating} ORDER BY position) AS ratings
+  FROM dedup_ret GROUP BY request_id, source_id, step_id),
+merged AS (
+  SELECT coalesce(a.request_id, b.request_id) AS request_id, coalesce(a.step_id, b.step_id) AS step_id,
+         coalesce(a.timestamp, b.timestamp) AS timestamp, coalesce(a.source_id, b.source_id) AS source_id,
+         a.answer AS is_correct, a.suggested_output, b.ratings
+  FROM dedup_text a FULL OUTER JOIN nested b ON a.request_id = b.request_id AND a.source_id = b.source_id)"""
+
+REQLOG = """
+reqlog AS (
+  SELECT 'r' || CAST(c.conv_id * 10 + c.turn AS VARCHAR) AS request_id, c.text AS request, n.text AS response, c.conv_id
+  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
+  WHERE c.role = 'user'),
+attached AS (
+  SELECT r.request_id, r.request, r.response, r.conv_id, m.is_correct,
+         CASE WHEN m.suggested_output = '' THEN NULL ELSE m.suggested_output END AS suggested_output,
+         m.source_id AS source_user, m.ratings
+  FROM reqlog r LEFT JOIN merged m ON r.request_id = m.request_id),
+classified AS (
+  SELECT *,
+         CASE WHEN is_correct = 'positive' THEN coalesce(suggested_output, response)
+              WHEN is_correct = 'negative' THEN suggested_output END AS expected_response,
+         CASE WHEN is_correct = 'positive' THEN 'thumbs_up' WHEN is_correct = 'negative' THEN 'thumbs_down_edited'
+              ELSE 'no_feedback_provided' END AS source_tag,
+         CASE WHEN ratings IS NULL THEN NULL ELSE nullif(array_to_string(list_transform(
+             list_filter(generate_series(0, 7), lambda i: list_contains(
+                 list_transform(list_filter(ratings, lambda r: r.value = 'true'), lambda r: r.position), i)),
+             lambda i: 'd' || CAST((conv_id + i) % 20 AS VARCHAR)), '|'), '') END AS expected_uris
+  FROM attached)"""
+
+RATINGS_TEXT = "array_to_string(list_transform({col}, lambda r: CAST(r.position AS VARCHAR) || ':' || r.value), '|')"
+
+SQL["dedup_latest"] = """
+SELECT user_id, event_id, event_type, ts FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+SQL["dedup_text"] = _with(ALOG) + """
+SELECT request_id, source_id, step_id, timestamp, answer AS is_correct, suggested_output, event_id FROM dedup_text"""
+
+SQL["dedup_retrieval"] = _with(ALOG) + """
+SELECT request_id, source_id, step_id, CAST(position AS BIGINT) AS position, chunk_rating AS rating, event_id
+FROM dedup_ret"""
+
+SQL["nest_retrieval"] = _with(ALOG) + f"""
+SELECT request_id, source_id, step_id, timestamp, {RATINGS_TEXT.format(col='ratings')} AS ratings FROM nested"""
+
+SQL["merge_assessments"] = _with(ALOG) + f"""
+SELECT request_id, step_id, timestamp, source_id, is_correct, suggested_output,
+       {RATINGS_TEXT.format(col='ratings')} AS ratings FROM merged"""
+
+SQL["attach_feedback"] = _with(ALOG, REQLOG) + f"""
+SELECT request_id, request, response, is_correct, suggested_output, source_user,
+       {RATINGS_TEXT.format(col='ratings')} AS ratings FROM attached"""
+
+SQL["feedback_class"] = _with(ALOG, REQLOG) + """
+SELECT request_id, source_user, is_correct, expected_response, source_tag FROM classified"""
+
+SQL["chunk_ratings"] = _with(ALOG, REQLOG) + """
+SELECT request_id, source_user, array_to_string(list_transform(ratings, lambda r: r.value), '|') AS chunk_at_i_relevance
+FROM attached"""
+
+SQL["trace_chunks"] = _with(ALOG, REQLOG) + """
+SELECT request_id, array_to_string(list_transform(generate_series(0, 7), lambda i: 'd' || CAST((conv_id + i) % 20 AS VARCHAR)), '|') AS doc_uris,
+       CAST(8 AS BIGINT) AS n_chunks
+FROM reqlog"""
+
+SQL["expected_context"] = _with(ALOG, REQLOG) + """
+SELECT request_id, source_user, expected_uris FROM classified"""
+
+SQL["eval_set"] = _with(ALOG, REQLOG) + """
+SELECT request, request_id, expected_response, expected_uris AS expected_retrieved_context, source_user, source_tag
+FROM classified"""
