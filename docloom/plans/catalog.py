@@ -216,3 +216,70 @@ def q_eval_set(spark, sf_dir):
         _uris_text("expected_retrieved_context").alias("expected_retrieved_context"),
         "source_user", "source_tag",
     )
+
+
+# ---------------------------------------------------------------------------
+# step 2: conversations -> question, history, search text, prompt
+
+from docloom.operators import conversation  # noqa: E402
+
+
+def _conv(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "conversations")
+
+
+def _messages_text(col):
+    return F.array_join(F.transform(col, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n---\n")
+
+
+def conversation_prompts(spark, sf_dir):
+    view = conversation.search_text(conversation.conversation_view(_conv(spark, sf_dir)))
+    asks = view.filter(F.col("search_text").isNotNull()).select("conv_id", "search_text")
+    hits = retrieve.topk_keyword(asks, chunk_index_table(spark, sf_dir), k=K, qid="conv_id", qtext="search_text")
+    contexts = retrieve.build_context(hits, qid="conv_id")
+    return conversation.build_prompt(view, contexts)
+
+
+@register
+def q_current_question(spark, sf_dir):
+    conv = _conv(spark, sf_dir)
+    last_user = conversation.current_question(conv, "last_user")
+    last_any = conversation.current_question(conv, "last").withColumnRenamed("question", "last_message")
+    return last_user.join(last_any, "conv_id")
+
+
+@register
+def q_history_rows(spark, sf_dir):
+    return conversation.history_rows(_conv(spark, sf_dir)).select("conv_id", "turn", "role", "text")
+
+
+@register
+def q_format_history(spark, sf_dir):
+    conv = _conv(spark, sf_dir)
+    a = conversation.format_history(conv)
+    b = conversation.format_history(conv, labels="user_assistant_only").withColumnRenamed("history_text", "history_chat_roles")
+    return a.join(b, "conv_id")
+
+
+@register
+def q_history_messages(spark, sf_dir):
+    h = conversation.history_messages(_conv(spark, sf_dir))
+    return h.select("conv_id", _messages_text("history_messages").alias("history_messages"),
+                    F.size("history_messages").cast("long").alias("n_messages"))
+
+
+@register
+def q_search_text(spark, sf_dir):
+    v = conversation.search_text(conversation.conversation_view(_conv(spark, sf_dir)))
+    return v.select("conv_id", "question", "search_text")
+
+
+@register
+def q_build_prompt(spark, sf_dir):
+    p = conversation_prompts(spark, sf_dir)
+    return p.select("conv_id", _messages_text("prompt").alias("prompt"), F.size("prompt").cast("long").alias("n_messages"))
+
+
+@register
+def q_batch_answer(spark, sf_dir):
+    return conversation.answer(conversation_prompts(spark, sf_dir), conversation.extractive_model)

@@ -33,7 +33,7 @@ BM25 = f"""
 doc_tokens AS (SELECT chunk_id, regexp_extract_all(lower(chunked_text), {TOKEN}) AS toks FROM chunk_index),
 stats AS (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM doc_tokens),
 qterms AS (SELECT DISTINCT q, term FROM (
-  SELECT item_id AS q, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM benchmark)),
+  SELECT q, unnest(regexp_extract_all(lower(qtext), {TOKEN})) AS term FROM qsrc)),
 postings AS (
   SELECT term, chunk_id, dl, count(*) AS tf
   FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM doc_tokens)
@@ -57,6 +57,8 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
 
 
+BENCH_QUESTIONS = "\nqsrc AS (SELECT item_id AS q, text AS qtext FROM benchmark)"
+
 SQL: dict[str, str] = {}
 
 SQL["chunk_windows"] = _with(PARSED, WINDOWS) + """
@@ -66,14 +68,14 @@ SQL["chunk_rows"] = _with(PARSED, WINDOWS) + "SELECT path, chunked_text, chunk_i
 
 SQL["dedup_chunks"] = _with(PARSED, WINDOWS) + "SELECT chunk_id, path, chunked_text FROM chunk_index"
 
-SQL["topk_keyword"] = _with(PARSED, WINDOWS, BM25) + """
+SQL["topk_keyword"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25) + """
 SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id, path FROM keyword_hits"""
 
-SQL["build_context"] = _with(PARSED, WINDOWS, BM25) + """
+SQL["build_context"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25) + """
 SELECT item_id, string_agg('Passage: ' || chunked_text || chr(10), '' ORDER BY rank) AS context
 FROM keyword_hits GROUP BY item_id"""
 
-SQL["source_list"] = _with(PARSED, WINDOWS, BM25) + """
+SQL["source_list"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25) + """
 SELECT item_id, string_agg(path, '|' ORDER BY best_rank, path) AS sources
 FROM (SELECT item_id, path, min(rank) AS best_rank FROM keyword_hits GROUP BY item_id, path)
 GROUP BY item_id"""
@@ -172,3 +174,63 @@ SELECT request_id, source_user, expected_uris FROM classified"""
 SQL["eval_set"] = _with(ALOG, REQLOG) + """
 SELECT request, request_id, expected_response, expected_uris AS expected_retrieved_context, source_user, source_tag
 FROM classified"""
+
+
+# ---------------------------------------------------------------------------
+# conversations
+
+CONV = """
+msgs AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'content': text} ORDER BY turn) AS messages
+  FROM conversations GROUP BY conv_id),
+view AS (
+  SELECT conv_id,
+         list_filter(messages, lambda m: m.role = 'user')[-1].content AS question,
+         messages[1:len(messages) - 1] AS hist
+  FROM msgs),
+view2 AS (
+  SELECT conv_id, question, hist,
+         array_to_string(list_transform(hist, lambda m: CASE WHEN m.role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || m.content), chr(10)) AS history_text,
+         list_filter(hist, lambda m: m.role IN ('user', 'assistant')) AS history_messages,
+         len(hist) AS history_size
+  FROM view),
+searches AS (
+  SELECT *, CASE WHEN question IS NULL THEN NULL WHEN history_size > 0 THEN 'Rewrite the last question as a standalone search query, using the conversation for context. Reply with the query only.' || chr(10) || '' || chr(10) || 'Conversation:' || chr(10) || '' || history_text || '' || chr(10) || '' || chr(10) || 'Question: ' || question ELSE question END AS search_text
+  FROM view2)"""
+
+MESSAGES_TEXT = "array_to_string(list_transform({col}, lambda m: m.role || ': ' || m.content), chr(10) || '---' || chr(10))"
+
+CONV_QUESTIONS = "\nqsrc AS (SELECT conv_id AS q, search_text AS qtext FROM searches WHERE search_text IS NOT NULL)"
+
+SQL["current_question"] = """
+SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS question, arg_max(text, turn) AS last_message
+FROM conversations GROUP BY conv_id"""
+
+SQL["history_rows"] = """
+SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c
+JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) l USING (conv_id)
+WHERE c.turn < l.last"""
+
+SQL["format_history"] = _with(CONV) + """
+SELECT conv_id, history_text,
+       array_to_string(list_transform(list_filter(hist, lambda m: m.role IN ('user', 'assistant')),
+           lambda m: CASE WHEN m.role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || m.content), chr(10)) AS history_chat_roles
+FROM view2"""
+
+SQL["history_messages"] = _with(CONV) + f"""
+SELECT conv_id, {MESSAGES_TEXT.format(col='history_messages')} AS history_messages, CAST(len(history_messages) AS BIGINT) AS n_messages
+FROM view2"""
+
+SQL["search_text"] = _with(CONV) + "SELECT conv_id, question, search_text FROM searches"
+
+SQL["build_prompt"] = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25) + f"""
+, contexts AS (
+  SELECT item_id AS conv_id, string_agg('Passage: ' || chunked_text || chr(10), '' ORDER BY rank) AS context
+  FROM keyword_hits GROUP BY item_id),
+prompts AS (
+  SELECT s.conv_id,
+         list_concat([{{'role': 'system', 'content': 'Answer the question using only the passages below. If they do not contain the answer, say so.' || chr(10) || '' || chr(10) || 'Context: ' || coalesce(context, '')}}],
+                     list_transform(s.history_messages, lambda m: {{'role': m.role, 'content': m.content}}),
+                     [{{'role': 'user', 'content': s.question}}]) AS prompt
+  FROM searches s LEFT JOIN contexts c USING (conv_id) WHERE s.question IS NOT NULL)
+SELECT conv_id, {MESSAGES_TEXT.format(col='prompt')} AS prompt, CAST(len(prompt) AS BIGINT) AS n_messages FROM prompts"""
