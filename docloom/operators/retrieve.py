@@ -21,9 +21,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.templates import fill_template
 from docloom.functions.text import tokens
@@ -164,7 +165,7 @@ def _top_order(scores: np.ndarray, keys: list, k: int) -> list[int]:
     return sorted(cand, key=lambda j: (-scores[j], keys[j]))[:k]
 
 
-def _partition_topk(qids: list, qmat: np.ndarray, key: str, vec: str, k: int, key_type: pa.DataType):
+def _partition_topk(qids: list, qmat: np.ndarray, key: str, vec: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
     """mapInArrow body: top-k per question over the whole partition; only
     those candidates leave the task."""
 
@@ -192,7 +193,7 @@ def _partition_topk(qids: list, qmat: np.ndarray, key: str, vec: str, k: int, ke
                 out_s.append(float(s[j]))
         if out_q:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q), pa.array(out_k, type=key_type), pa.array(out_s, type=pa.float64())],
+                [pa.array(out_q, type=q_type), pa.array(out_k, type=key_type), pa.array(out_s, type=pa.float64())],
                 names=["_q", key, "score"],
             )
 
@@ -238,11 +239,11 @@ def topk_semantic(
         return empty.withColumn("rank", F.lit(1)).select(F.col("_q").alias(qid), "rank", key, "score")
     qmat = _unit_rows(np.asarray([r[1] for r in qrows], dtype=np.float64))
     bq = spark.sparkContext.broadcast((qids, qmat))
-    arrow_key_type = pa.string() if isinstance(key_type, T.StringType) else pa.int64()
+    arrow_key_type, arrow_q_type = to_arrow_type(key_type), to_arrow_type(qid_type)
 
     def run(batches):
         ids, mat = bq.value
-        yield from _partition_topk(ids, mat, key, "_vec", k, arrow_key_type)(batches)
+        yield from _partition_topk(ids, mat, key, "_vec", k, arrow_key_type, arrow_q_type)(batches)
 
     cand = items.select(key, F.col(vec).cast("array<double>").alias("_vec")).mapInArrow(run, out_schema)
     top = _ranked(cand, "_q", key, k).select(F.col("_q").alias(qid), "rank", key, "score")
@@ -252,6 +253,81 @@ def topk_semantic(
     return attach_chunks(top, items, key, cols, True).select(qid, "rank", key, "score", *cols)
 
 
+# ----------------------------------------------------------------------------
+# Approximate top-k (inverted file over k-means cells)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def unit(vec: Column) -> Column:
+    """Vector divided by its L2 norm (a zero vector stays zero)."""
+    norm = F.sqrt(_dot(vec, vec))
+    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+
+def build_ivf(
+    items: DataFrame,
+    key: str = "chunk_id",
+    vec: str = "vector",
+    cells: int = 16,
+    seed: int = 7,
+    max_iter: int = 20,
+):
+    """Train ``cells`` k-means centres on unit vectors (pyspark.ml, distributed)
+    and assign each item to its nearest centre.  Returns ``(assigned items
+    (key, _unit, cell), centres (cell, centroid))``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit_items = items.select(key, unit(F.col(vec).cast("array<double>")).alias("_unit")).withColumn(
+        "_features", array_to_vector("_unit")
+    )
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(unit_items)
+    assigned = model.transform(unit_items).select(key, "_unit", F.col("cell").cast("int").alias("cell"))
+    spark = items.sparkSession
+    centres = spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+        "cell int, centroid array<double>",
+    )
+    return assigned, centres
+
+
+def topk_ann(
+    questions: DataFrame,
+    items: DataFrame,
+    k: int = DEFAULT_K,
+    qid: str = "item_id",
+    qvec: str = "vector",
+    key: str = "chunk_id",
+    vec: str = "vector",
+    cells: int = 16,
+    n_probe: int = 4,
+    index=None,
+) -> DataFrame:
+    """Approximate cosine top-k: each question probes its ``n_probe`` nearest
+    cells and is scored exactly against the items of those cells only.
+
+    The (question, cell) probe list is at most questions x n_probe rows and is
+    broadcast; the items are scanned in place and joined map-side, so no
+    question x item product and no item x item pair is ever formed.
+    ``index`` may be a prebuilt ``build_ivf`` result.
+    """
+    assigned, centres = index if index is not None else build_ivf(items, key, vec, cells)
+    if not row_count_at_most(questions, MAX_BROADCAST_QUESTIONS):
+        raise ValueError(f"more than {MAX_BROADCAST_QUESTIONS} questions: split the question table into batches")
+    probes = topk_semantic(questions, centres, k=n_probe, qid=qid, qvec=qvec, key="cell", vec="centroid")
+    q_unit = questions.select(F.col(qid).alias("_q"), unit(F.col(qvec).cast("array<double>")).alias("_qv"))
+    pairs = F.broadcast(
+        probes.select(F.col(qid).alias("_q"), "cell").join(q_unit, "_q")
+    )
+    scored = assigned.join(pairs, "cell").select(
+        "_q", key, F.round(_dot(F.col("_qv"), F.col("_unit")), SCORE_DIGITS).alias("score")
+    )
+    return _ranked(scored, "_q", key, k).select(F.col("_q").alias(qid), "rank", key, "score")
+
+
 # ----------------------------------------------------------------------------
 # Hybrid top-k by reciprocal rank fusion
 

@@ -283,3 +283,62 @@ def q_build_prompt(spark, sf_dir):
 @register
 def q_batch_answer(spark, sf_dir):
     return conversation.answer(conversation_prompts(spark, sf_dir), conversation.extractive_model)
+
+
+# ---------------------------------------------------------------------------
+# step 3: vectors, exact / approximate / hybrid top-k
+
+from docloom.operators import embed  # noqa: E402
+
+
+def _label_centroids(spark, sf_dir):
+    emb = fixtures.table(spark, sf_dir, "embeddings")
+    return emb, embed.centroids(emb, "label", "embedding")
+
+
+def chunk_vectors(spark, sf_dir):
+    return embed.embed(chunk_index_table(spark, sf_dir), "chunked_text")
+
+
+def question_vectors(spark, sf_dir):
+    return embed.embed(fixtures.questions(spark, sf_dir), "text")
+
+
+def semantic_hits(spark, sf_dir):
+    return retrieve.topk_semantic(question_vectors(spark, sf_dir), chunk_vectors(spark, sf_dir), k=K)
+
+
+@register
+def q_embed_chunks(spark, sf_dir):
+    v = chunk_vectors(spark, sf_dir)
+    return v.select(
+        "chunk_id",
+        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"),
+        F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"),
+        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).cast("long").alias("sq_norm"),
+    )
+
+
+@register
+def q_topk_semantic(spark, sf_dir):
+    emb, cents = _label_centroids(spark, sf_dir)
+    hits = retrieve.topk_semantic(cents, emb, k=K, qid="label", qvec="centroid", key="vec_id", vec="embedding")
+    return hits.select(F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"), "vec_id")
+
+
+@register
+def q_semantic_search(spark, sf_dir):
+    return semantic_hits(spark, sf_dir).select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
+@register
+def q_topk_hybrid(spark, sf_dir):
+    fused = retrieve.fuse_ranks([semantic_hits(spark, sf_dir), keyword_hits(spark, sf_dir)], k=K)
+    return fused.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
+@register
+def q_topk_ann(spark, sf_dir):
+    emb, cents = _label_centroids(spark, sf_dir)
+    hits = retrieve.topk_ann(cents, emb, k=K, qid="label", qvec="centroid", key="vec_id", vec="embedding", cells=8, n_probe=3)
+    return hits.select(F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"), "vec_id")

@@ -234,3 +234,64 @@ prompts AS (
                      [{{'role': 'user', 'content': s.question}}]) AS prompt
   FROM searches s LEFT JOIN contexts c USING (conv_id) WHERE s.question IS NOT NULL)
 SELECT conv_id, {MESSAGES_TEXT.format(col='prompt')} AS prompt, CAST(len(prompt) AS BIGINT) AS n_messages FROM prompts"""
+
+
+# ---------------------------------------------------------------------------
+# vectors
+
+DIMS = 256
+
+HASHED = f"""
+cvec AS (
+  SELECT chunk_id, b, CAST(count(*) AS DOUBLE) AS c FROM (
+    SELECT chunk_id, ('0x' || substr(md5(t), 1, 7))::BIGINT % {DIMS} AS b
+    FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(chunked_text), {TOKEN})) AS t FROM chunk_index))
+  GROUP BY chunk_id, b),
+cnorm AS (SELECT chunk_id, sqrt(sum(c * c)) AS n FROM cvec GROUP BY chunk_id),
+qvec AS (
+  SELECT q, b, CAST(count(*) AS DOUBLE) AS c FROM (
+    SELECT q, ('0x' || substr(md5(t), 1, 7))::BIGINT % {DIMS} AS b
+    FROM (SELECT q, unnest(regexp_extract_all(lower(qtext), {TOKEN})) AS t FROM qsrc))
+  GROUP BY q, b),
+qnorm AS (SELECT q, sqrt(sum(c * c)) AS n FROM qvec GROUP BY q),
+sem_scored AS (
+  SELECT q, chunk_id, round(sum(qvec.c * cvec.c) / (any_value(qnorm.n) * any_value(cnorm.n)), 9) AS score
+  FROM qvec JOIN cvec USING (b) JOIN qnorm USING (q) JOIN cnorm USING (chunk_id)
+  GROUP BY q, chunk_id),
+sem_hits AS (
+  SELECT q AS item_id, chunk_id, rank FROM (
+    SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM sem_scored)
+  WHERE rank <= {K})"""
+
+SQL["embed_chunks"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, HASHED) + """
+SELECT chunk_id, CAST(sum(c) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_buckets,
+       CAST(sum(c * c) AS BIGINT) AS sq_norm
+FROM cvec GROUP BY chunk_id
+UNION ALL
+SELECT chunk_id, 0, 0, 0 FROM chunk_index WHERE chunk_id NOT IN (SELECT chunk_id FROM cvec)"""
+
+SQL["semantic_search"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, HASHED) + """
+SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM sem_hits"""
+
+SQL["topk_hybrid"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25, HASHED) + f"""
+SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM (
+  SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (
+      SELECT item_id, chunk_id, rank FROM sem_hits
+      UNION ALL SELECT item_id, chunk_id, rank FROM keyword_hits)
+    GROUP BY item_id, chunk_id))
+WHERE rank <= {K}"""
+
+SQL["topk_semantic"] = f"""
+WITH ex AS (
+  SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(generate_series(1, len(embedding))) AS i
+  FROM embeddings),
+cent AS (SELECT label, i, avg(x) AS c FROM ex GROUP BY label, i),
+cn AS (SELECT label, sqrt(sum(c * c)) AS n FROM cent GROUP BY label),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ex GROUP BY vec_id),
+dots AS (SELECT cent.label, ex.vec_id, sum(cent.c * ex.x) AS d FROM cent JOIN ex ON cent.i = ex.i GROUP BY cent.label, ex.vec_id),
+scored AS (SELECT dots.label, dots.vec_id, round(d / (cn.n * vn.n), 9) AS score
+           FROM dots JOIN cn ON dots.label = cn.label JOIN vn ON dots.vec_id = vn.vec_id)
+SELECT CAST(label AS BIGINT) AS label, CAST(rank AS BIGINT) AS rank, vec_id FROM (
+  SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= {K}"""
