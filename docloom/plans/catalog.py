@@ -342,3 +342,155 @@ def q_topk_ann(spark, sf_dir):
     emb, cents = _label_centroids(spark, sf_dir)
     hits = retrieve.topk_ann(cents, emb, k=K, qid="label", qvec="centroid", key="vec_id", vec="embedding", cells=8, n_probe=3)
     return hits.select(F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"), "vec_id")
+
+
+# ---------------------------------------------------------------------------
+# step 4: files, parse and chunk jobs
+
+import uuid  # noqa: E402
+
+from docloom.operators import parse, quality  # noqa: E402
+from docloom.session import ensure_checkpoint_dir  # noqa: E402
+from docloom.sources import files  # noqa: E402
+
+WORD_SIZE, WORD_OVERLAP = 200, 50
+
+
+def parsed_stream_shape(spark, sf_dir):
+    return parse.parse_documents(fixtures.raw_files(spark, sf_dir), "text", on_error="null")
+
+
+@register
+def q_scan_files(spark, sf_dir):
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/landed-docs-{uuid.uuid4().hex}"
+    files.land_text_files(fixtures.table(spark, sf_dir, "documents"), base, "source", "text")
+    scanned = files.scan_files(spark, base, "txt")
+    return scanned.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"), "length")
+
+
+@register
+def q_land_pages(spark, sf_dir):
+    landed = files.land_pages(fixtures.table(spark, sf_dir, "pages"), "/landing/pages")
+    return landed.select("path", "page_id", "length", "status")
+
+
+@register
+def q_parse_text(spark, sf_dir):
+    staged = parse.parse_documents(fixtures.raw_files(spark, sf_dir), "text")
+    return staged.select(
+        "path",
+        F.col("parsing.doc_parsed_contents")["num_pages"].alias("num_pages"),
+        F.col("parsing.doc_parsed_contents")["parsed_content"].alias("parsed_content"),
+        F.col("parsing.parser_status").alias("parser_status"),
+    )
+
+
+@register
+def q_parse_html(spark, sf_dir):
+    landed = files.land_pages(fixtures.table(spark, sf_dir, "pages"), "/landing/pages")
+    staged = parse.parse_documents(landed.drop("status"), "html")
+    return staged.select("page_id", F.col("parsing.doc_parsed_contents")["parsed_content"].alias("text"),
+                         F.col("parsing.parser_status").alias("parser_status"))
+
+
+@register
+def q_parse_nullable(spark, sf_dir):
+    return parsed_stream_shape(spark, sf_dir).select("path", "parsed_content")
+
+
+@register
+def q_parse_split(spark, sf_dir):
+    staged = parse.parse_documents(fixtures.raw_files(spark, sf_dir), "text")
+    good = parse.parsed_ok(staged)
+    return good.select("path", "length", F.length(F.col("doc_parsed_contents")["parsed_content"]).cast("long").alias("n_chars"))
+
+
+@register
+def q_parse_errors(spark, sf_dir):
+    staged = parse.parse_documents(fixtures.raw_files(spark, sf_dir), "text")
+    return parse.status_counts(staged)
+
+
+@register
+def q_chunk_recursive(spark, sf_dir):
+    docs = fixtures.parsed_docs(spark, sf_dir)
+    chunked = chunk.chunk_documents(docs, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP, method="recursive")
+    rows = chunk.chunk_rows(chunked, with_ordinal=True)
+    return rows.select("path", "chunk_index", "chunk_id", F.length("chunked_text").cast("long").alias("chunk_chars"))
+
+
+def words_of(text_col: str):
+    """Whitespace-separated words of a text (empty strings dropped)."""
+    return F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
+
+
+@register
+def q_chunk_words(spark, sf_dir):
+    docs = fixtures.parsed_docs(spark, sf_dir).withColumn("_words", words_of("parsed_content"))
+    n = F.size("_words")
+    step = WORD_SIZE - WORD_OVERLAP
+    rows = docs.filter(n > 0).select(
+        "path", "_words",
+        F.posexplode(F.sequence(F.lit(1), F.greatest(n - F.lit(WORD_OVERLAP), F.lit(1)), F.lit(step))).alias("chunk_index", "_s"),
+    ).select("path", "chunk_index", F.array_join(F.slice("_words", F.col("_s"), F.lit(WORD_SIZE)), " ").alias("chunked_text"))
+    return rows.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("chunked_text").alias("chunk_id"))
+
+
+@register
+def q_chunk_errors(spark, sf_dir):
+    docs = fixtures.parsed_docs(spark, sf_dir)
+    chunked = chunk.chunk_documents(docs, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP, method="windows")
+    return parse.status_counts(chunked, "chunked.chunker_status")
+
+
+# ---------------------------------------------------------------------------
+# step 5: quality, stage counts, flattening
+
+
+@register
+def q_quality_metrics(spark, sf_dir):
+    raw = fixtures.raw_files(spark, sf_dir)
+    parsed = parsed_stream_shape(spark, sf_dir)
+    chunks = chunk.window_rows(parsed, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP)
+    return quality.quality_metrics(
+        [("raw_files", raw, "content"), ("parsed_docs", parsed, "parsed_content"), ("chunked_docs", chunks, "chunked_text")]
+    )
+
+
+PARSED_RULES = {"valid_content": "parsed_content IS NOT NULL", "valid_path": "path IS NOT NULL"}
+CHUNK_RULES = {"valid_chunk": "chunked_text IS NOT NULL", "valid_chunk_id": "chunk_id IS NOT NULL"}
+
+
+@register
+def q_expectations(spark, sf_dir):
+    parsed = parsed_stream_shape(spark, sf_dir)
+    chunks = chunk.window_rows(parsed, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP)
+    return quality.expectations(parsed, PARSED_RULES, "parsed_docs").unionByName(
+        quality.expectations(chunks, CHUNK_RULES, "chunked_docs")
+    )
+
+
+@register
+def q_stage_counts(spark, sf_dir):
+    raw = fixtures.raw_files(spark, sf_dir)
+    staged = parse.parse_documents(raw, "text")
+    good = parse.parsed_ok(staged)
+    text = good.select("path", F.col("doc_parsed_contents")["parsed_content"].alias("text"))
+    chunks = chunk.window_rows(text, "text", CHUNK_SIZE, CHUNK_OVERLAP)
+    return quality.stage_counts([("raw_files", raw), ("parsed_docs", good), ("chunked_docs", chunks)])
+
+
+@register
+def q_flatten_columns(spark, sf_dir):
+    flat = quality.flatten_columns(fixtures.assessment_log(spark, sf_dir))
+    maps = [f.name for f in flat.schema.fields if f.dataType.typeName() == "map"]
+    return flat.select(*[F.to_json(c).alias(c) if c in maps else F.col(c) for c in flat.columns])
+
+
+@register
+def q_user_key(spark, sf_dir):
+    conv = _conv(spark, sf_dir)
+    address = F.concat(F.lit("Rev."), F.col("role"), F.lit(".No"), F.col("conv_id").cast("string"), F.lit("@Example.org"))
+    from docloom.functions.text import user_key
+
+    return conv.select("conv_id", "turn", user_key(address).alias("user_key"))

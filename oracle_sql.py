@@ -295,3 +295,97 @@ scored AS (SELECT dots.label, dots.vec_id, round(d / (cn.n * vn.n), 9) AS score
 SELECT CAST(label AS BIGINT) AS label, CAST(rank AS BIGINT) AS rank, vec_id FROM (
   SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= {K}"""
+
+
+# ---------------------------------------------------------------------------
+# files, parsing, quality
+
+RAW = """
+raw AS (
+  SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, doc_id, text,
+         CASE WHEN doc_id % 97 = 0 THEN 3 ELSE strlen(text) END AS length,
+         doc_id % 97 = 0 AS bad
+  FROM documents)"""
+
+HTML_TEXT = """trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace({col},
+      '(?is)<!--.*?-->', ' ', 'g'),
+      '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
+      '(?is)<[^>]+>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
+  '[ \\t\\r\\n]+', ' ', 'g'))"""
+
+PARSE_ERROR = "'ERROR: content is not valid UTF-8 text'"
+
+SQL["land_pages"] = """
+SELECT '/landing/pages/page_' || CAST(page_id AS VARCHAR) || '.pdf' AS path, page_id,
+       CASE WHEN strlen(html) > 0 THEN CAST(strlen(html) AS BIGINT) END AS length,
+       CASE WHEN strlen(html) > 0 THEN 'SUCCESS' ELSE 'ERROR: page ' || CAST(page_id AS VARCHAR) || ' is empty' END AS status
+FROM pages"""
+
+SQL["parse_text"] = _with(RAW) + f"""
+SELECT path,
+       CASE WHEN bad THEN '' ELSE CAST(len(string_split(text, chr(12))) AS VARCHAR) END AS num_pages,
+       CASE WHEN bad THEN '' ELSE replace(text, chr(12), chr(10)) END AS parsed_content,
+       CASE WHEN bad THEN {PARSE_ERROR} ELSE 'SUCCESS' END AS parser_status
+FROM raw"""
+
+SQL["parse_html"] = f"""
+SELECT page_id, {HTML_TEXT.format(col='html')} AS text, 'SUCCESS' AS parser_status FROM pages"""
+
+SQL["parse_nullable"] = _with(RAW) + """
+SELECT path, CASE WHEN bad THEN NULL ELSE replace(text, chr(12), chr(10)) END AS parsed_content FROM raw"""
+
+SQL["parse_split"] = _with(RAW) + """
+SELECT path, CAST(length AS BIGINT) AS length, CAST(length(text) AS BIGINT) AS n_chars FROM raw WHERE NOT bad"""
+
+SQL["parse_errors"] = _with(RAW) + f"""
+SELECT CASE WHEN bad THEN {PARSE_ERROR} ELSE 'SUCCESS' END AS status, count(*) AS n FROM raw GROUP BY 1"""
+
+SQL["chunk_errors"] = "SELECT 'SUCCESS' AS status, count(*) AS n FROM documents"
+
+SQL["chunk_words"] = _with(PARSED) + """
+, words AS (
+  SELECT path, list_filter(string_split_regex(parsed_content, '\\s+'), lambda w: w <> '') AS w
+  FROM parsed WHERE parsed_content IS NOT NULL)
+SELECT path, CAST((s - 1) // 150 AS BIGINT) AS chunk_index, md5(array_to_string(w[s:s + 199], ' ')) AS chunk_id
+FROM (SELECT path, w, unnest(generate_series(1, greatest(len(w) - 50, 1), 150)) AS s FROM words WHERE len(w) > 0)"""
+
+SQL["quality_metrics"] = _with(PARSED, WINDOWS) + """
+SELECT 'raw_files' AS table_name, count(*) AS total_records, CAST(0 AS BIGINT) AS null_content_count FROM documents
+UNION ALL
+SELECT 'parsed_docs', count(*), count(*) FILTER (WHERE parsed_content IS NULL) FROM parsed
+UNION ALL
+SELECT 'chunked_docs', count(*), count(*) FILTER (WHERE chunked_text IS NULL) FROM chunk_rows"""
+
+SQL["expectations"] = _with(PARSED, WINDOWS) + """
+SELECT 'parsed_docs' AS table_name, 'valid_content' AS rule, count(*) FILTER (WHERE parsed_content IS NULL) AS failed,
+       count(*) FILTER (WHERE parsed_content IS NOT NULL) AS passed, count(*) AS total FROM parsed
+UNION ALL
+SELECT 'parsed_docs', 'valid_path', count(*) FILTER (WHERE path IS NULL), count(*) FILTER (WHERE path IS NOT NULL), count(*) FROM parsed
+UNION ALL
+SELECT 'chunked_docs', 'valid_chunk', count(*) FILTER (WHERE chunked_text IS NULL), count(*) FILTER (WHERE chunked_text IS NOT NULL), count(*)
+FROM chunk_rows
+UNION ALL
+SELECT 'chunked_docs', 'valid_chunk_id', count(*) FILTER (WHERE chunk_id IS NULL), count(*) FILTER (WHERE chunk_id IS NOT NULL), count(*)
+FROM chunk_rows"""
+
+SQL["stage_counts"] = _with(PARSED, WINDOWS) + """
+SELECT 'raw_files' AS stage, count(*) AS rows FROM documents
+UNION ALL SELECT 'parsed_docs', count(*) FROM parsed WHERE parsed_content IS NOT NULL
+UNION ALL SELECT 'chunked_docs', count(*) FROM chunk_rows"""
+
+SQL["flatten_columns"] = _with(ALOG) + """
+SELECT request_id, timestamp, source_id AS source__id, step_id,
+       CASE WHEN answer IS NOT NULL THEN '{"answer_correct":{"value":"' || answer || '"}}' END AS text_assessment__ratings,
+       CASE WHEN answer IS NOT NULL THEN suggested_output END AS text_assessment__suggested_output,
+       CASE WHEN chunk_rating IS NOT NULL THEN position END AS retrieval_assessment__position,
+       CASE WHEN chunk_rating IS NOT NULL THEN step_id END AS retrieval_assessment__step_id,
+       CASE WHEN chunk_rating IS NOT NULL THEN '{"answer_correct":{"value":"' || chunk_rating || '"}}' END AS retrieval_assessment__ratings,
+       event_id
+FROM alog"""
+
+SQL["user_key"] = """
+SELECT conv_id, turn, substring(lower(replace(split_part('Rev.' || role || '.No' || CAST(conv_id AS VARCHAR) || '@Example.org', '@', 1), '.', '')), 1, 35) AS user_key
+FROM conversations"""
