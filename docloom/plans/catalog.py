@@ -494,3 +494,98 @@ def q_user_key(spark, sf_dir):
     from docloom.functions.text import user_key
 
     return conv.select("conv_id", "turn", user_key(address).alias("user_key"))
+
+
+# ---------------------------------------------------------------------------
+# step 6: change sets, upserts, streaming
+
+from docloom.operators import changes  # noqa: E402
+from docloom.streaming import pipeline  # noqa: E402
+
+
+def _lang_snapshots(spark, sf_dir):
+    """Two versions of the chunk index: the old one lacks German documents,
+    the new one lacks French documents (German added, French removed)."""
+    docs = fixtures.parsed_docs(spark, sf_dir)
+    def index(d):
+        return chunk.dedup_chunks(chunk.window_rows(d, "parsed_content", CHUNK_SIZE, CHUNK_OVERLAP))
+    return index(docs.filter(F.col("lang") != "de")), index(docs.filter(F.col("lang") != "fr"))
+
+
+@register
+def q_table_changes(spark, sf_dir):
+    old, new = _lang_snapshots(spark, sf_dir)
+    return changes.table_changes(old, new, "chunk_id", ["path"])
+
+
+@register
+def q_apply_changes(spark, sf_dir):
+    old, new = _lang_snapshots(spark, sf_dir)
+    delta = changes.table_changes(old, new, "chunk_id", ["path", "chunked_text"])
+    return changes.apply_changes(old, delta, "chunk_id").select("chunk_id", "path")
+
+
+def _scratch(spark, name):
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+def document_stream(spark, sf_dir, max_files: int = 1):
+    """The driver's ``documents`` file read as a stream, turned into file rows."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .option("maxFilesPerTrigger", str(max_files))
+        .parquet(sf_dir)
+    )
+    return fixtures.raw_files_from(docs).withColumn("processing_timestamp", F.current_timestamp())
+
+
+def streamed_tables(spark, sf_dir):
+    base = _scratch(spark, "stream")
+    runs = pipeline.run_pipeline(spark, document_stream(spark, sf_dir), base)
+    return base, runs
+
+
+@register
+def q_stream_files(spark, sf_dir):
+    base, _ = streamed_tables(spark, sf_dir)
+    return spark.read.parquet(f"{base}/bronze").select("path", "length")
+
+
+@register
+def q_stream_parsed(spark, sf_dir):
+    base, _ = streamed_tables(spark, sf_dir)
+    return spark.read.parquet(f"{base}/silver").select("path", "parsed_content")
+
+
+@register
+def q_stream_chunks(spark, sf_dir):
+    base, _ = streamed_tables(spark, sf_dir)
+    return spark.read.parquet(f"{base}/gold").select("path", "chunked_text", "chunk_id")
+
+
+@register
+def q_stream_expectations(spark, sf_dir):
+    _, runs = streamed_tables(spark, sf_dir)
+    rows = []
+    for table_name, stage, rules in (("parsed_docs", "silver", pipeline.PARSED_RULES), ("chunked_docs", "gold", pipeline.CHUNK_RULES)):
+        total = sum(int(m["rows"]) for m in runs[stage].metrics)
+        for rule in rules:
+            failed = sum(int(m[f"{rule}_failed"]) for m in runs[stage].metrics)
+            rows.append((table_name, rule, failed, total - failed, total))
+    return spark.createDataFrame(rows, "table_name string, rule string, failed long, passed long, total long")
+
+
+@register
+def q_stream_sync(spark, sf_dir):
+    base, _ = streamed_tables(spark, sf_dir)
+    vectors = f"{base}/vectors"
+    pipeline.sync_vectors(spark, base, vectors)
+    v = spark.read.parquet(vectors)
+    return v.select(
+        "chunk_id",
+        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"),
+        F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"),
+        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).cast("long").alias("sq_norm"),
+    )

@@ -57,7 +57,11 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File-shaped documents ``(path, modificationTime, length, content)``: the
     UTF-8 bytes of each document; every 97th document is not valid UTF-8 (a
     file the text parser rejects)."""
-    docs = table(spark, sf_dir, "documents")
+    return raw_files_from(table(spark, sf_dir, "documents"))
+
+
+def raw_files_from(docs: DataFrame) -> DataFrame:
+    """The raw-file recipe over any ``documents``-shaped frame (batch or stream)."""
     content = F.when(
         F.col("doc_id") % PARSE_FAILURE_EVERY == 0, F.unhex(F.lit("FFFE00"))
     ).otherwise(F.encode(F.col("text"), "UTF-8"))

@@ -389,3 +389,32 @@ FROM alog"""
 SQL["user_key"] = """
 SELECT conv_id, turn, substring(lower(replace(split_part('Rev.' || role || '.No' || CAST(conv_id AS VARCHAR) || '@Example.org', '@', 1), '.', '')), 1, 35) AS user_key
 FROM conversations"""
+
+
+# ---------------------------------------------------------------------------
+# change sets and streaming
+
+SNAPSHOTS = f"""
+snap_rows AS (
+  SELECT p.lang, w.path, w.chunked_text, md5(w.chunked_text) AS chunk_id
+  FROM (SELECT path, substring(parsed_content, s, {CHUNK_SIZE}) AS chunked_text FROM (
+          SELECT path, parsed_content,
+                 unnest(generate_series(1, greatest(length(parsed_content) - {CHUNK_OVERLAP}, 1), {STEP})) AS s
+          FROM parsed WHERE length(parsed_content) > 0)) w
+  JOIN parsed p USING (path)),
+old_index AS (SELECT chunk_id, min(path) AS path FROM snap_rows WHERE lang <> 'de' GROUP BY chunk_id),
+new_index AS (SELECT chunk_id, min(path) AS path FROM snap_rows WHERE lang <> 'fr' GROUP BY chunk_id)"""
+
+SQL["table_changes"] = _with(PARSED, SNAPSHOTS) + """
+SELECT coalesce(n.chunk_id, o.chunk_id) AS chunk_id,
+       CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN n.chunk_id IS NULL THEN 'delete' ELSE 'update' END AS change_type,
+       CASE WHEN n.chunk_id IS NULL THEN o.path ELSE n.path END AS path
+FROM old_index o FULL OUTER JOIN new_index n ON o.chunk_id = n.chunk_id
+WHERE o.chunk_id IS NULL OR n.chunk_id IS NULL OR o.path IS DISTINCT FROM n.path"""
+
+SQL["apply_changes"] = _with(PARSED, SNAPSHOTS) + "SELECT chunk_id, path FROM new_index"
+
+SQL["stream_parsed"] = SQL["parse_nullable"]
+SQL["stream_chunks"] = SQL["chunk_rows"]
+SQL["stream_expectations"] = SQL["expectations"]
+SQL["stream_sync"] = SQL["embed_chunks"]
