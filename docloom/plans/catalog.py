@@ -589,3 +589,99 @@ def q_stream_sync(spark, sf_dir):
         F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"),
         F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).cast("long").alias("sq_norm"),
     )
+
+
+# ---------------------------------------------------------------------------
+# step 7: evaluation and monitoring
+
+from docloom.operators import evaluate, monitor  # noqa: E402
+
+RETRIEVAL_METRICS = ["recall", "precision_at_k", "hit", "reciprocal_rank"]
+
+
+def gold_pairs(spark, sf_dir):
+    docs = fixtures.table(spark, sf_dir, "documents")
+    return evaluate.containment_pairs(docs, fixtures.questions(spark, sf_dir))
+
+
+def expected_uris(spark, sf_dir):
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", fixtures.doc_path().alias("path"))
+    return gold_pairs(spark, sf_dir).join(docs, "doc_id").select("item_id", "path")
+
+
+def retrieval_table(spark, sf_dir):
+    return evaluate.retrieval_metrics(keyword_hits(spark, sf_dir), expected_uris(spark, sf_dir), K)
+
+
+def served_traffic(spark, sf_dir):
+    """Served requests (user turns with a response) with the context the
+    keyword retriever gives for the request text."""
+    req = fixtures.request_log(spark, sf_dir).filter(F.col("response").isNotNull())
+    hits = retrieve.topk_keyword(req.select("request_id", "request"), chunk_index_table(spark, sf_dir), k=K,
+                                 qid="request_id", qtext="request")
+    ctx = retrieve.build_context(hits, qid="request_id")
+    return req.join(ctx, "request_id", "left")
+
+
+def monitored(spark, sf_dir):
+    sample = monitor.sample_requests(served_traffic(spark, sf_dir), "request_id", 0.8)
+    scored = monitor.groundedness(sample)
+    scored = monitor.relevance(scored)
+    scored = monitor.language_rule(scored, required="es")
+    return monitor.safety_rule(scored)
+
+
+@register
+def q_gold_pairs(spark, sf_dir):
+    return gold_pairs(spark, sf_dir)
+
+
+@register
+def q_retrieval_metrics(spark, sf_dir):
+    return retrieval_table(spark, sf_dir)
+
+
+@register
+def q_eval_summary(spark, sf_dir):
+    s = evaluate.summary(retrieval_table(spark, sf_dir), RETRIEVAL_METRICS)
+    return s.select("n_questions", *[F.round(f"mean_{m}", 9).alias(f"mean_{m}") for m in RETRIEVAL_METRICS])
+
+
+@register
+def q_answer_match(spark, sf_dir):
+    a = feedback.attach_feedback(fixtures.request_log(spark, sf_dir), _deduped(spark, sf_dir))
+    rows = feedback.feedback_class(a).filter(F.col("expected_response").isNotNull())
+    m = evaluate.answer_match(rows, "response", "expected_response")
+    return m.select("request_id", "source_user", "exact_match", "token_f1")
+
+
+@register
+def q_sample_requests(spark, sf_dir):
+    return monitor.sample_requests(fixtures.request_log(spark, sf_dir), "request_id", 0.8).select("request_id")
+
+
+@register
+def q_groundedness(spark, sf_dir):
+    return monitor.groundedness(served_traffic(spark, sf_dir)).select("request_id", "groundedness")
+
+
+@register
+def q_relevance(spark, sf_dir):
+    return monitor.relevance(fixtures.request_log(spark, sf_dir)).select("request_id", "relevance")
+
+
+@register
+def q_language_rule(spark, sf_dir):
+    docs = fixtures.table(spark, sf_dir, "documents")
+    return monitor.language_rule(docs, "text", F.col("lang")).select("doc_id", "lang", "detected_lang", "language_ok")
+
+
+@register
+def q_safety_rule(spark, sf_dir):
+    docs = fixtures.table(spark, sf_dir, "documents")
+    return monitor.safety_rule(docs, "text").select("doc_id", "safety_hits", "safety_ok")
+
+
+@register
+def q_monitor_summary(spark, sf_dir):
+    return monitor.monitor_summary(monitored(spark, sf_dir))

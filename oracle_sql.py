@@ -418,3 +418,129 @@ SQL["stream_parsed"] = SQL["parse_nullable"]
 SQL["stream_chunks"] = SQL["chunk_rows"]
 SQL["stream_expectations"] = SQL["expectations"]
 SQL["stream_sync"] = SQL["embed_chunks"]
+
+
+# ---------------------------------------------------------------------------
+# evaluation and monitoring
+
+GOLD = """
+gold AS (
+  SELECT DISTINCT d.doc_id, b.item_id, d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS path
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
+
+RETRIEVAL = """
+per_q AS (
+  SELECT g.item_id, count(*) AS n_expected,
+         count(*) FILTER (WHERE h.path IS NOT NULL) AS n_found
+  FROM (SELECT DISTINCT item_id, path FROM gold) g
+  LEFT JOIN (SELECT DISTINCT item_id, path FROM keyword_hits) h USING (item_id, path)
+  GROUP BY g.item_id),
+rel AS (
+  SELECT h.item_id, count(*) AS n_rel, min(h.rank) AS first_rank
+  FROM keyword_hits h JOIN (SELECT DISTINCT item_id, path FROM gold) g USING (item_id, path)
+  GROUP BY h.item_id),
+metrics AS (
+  SELECT p.item_id, p.n_expected, p.n_found, p.n_found / p.n_expected AS recall,
+         coalesce(r.n_rel, 0) / 8.0::DOUBLE AS precision_at_k,
+         CAST(coalesce(r.n_rel, 0) > 0 AS INTEGER) AS hit,
+         coalesce(1.0::DOUBLE / r.first_rank, 0.0) AS reciprocal_rank
+  FROM per_q p LEFT JOIN rel r USING (item_id))"""
+
+SQL["gold_pairs"] = _with(GOLD) + "SELECT doc_id, item_id FROM gold"
+
+SQL["retrieval_metrics"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25, GOLD, RETRIEVAL) + "SELECT * FROM metrics"
+
+SQL["eval_summary"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25, GOLD, RETRIEVAL) + """
+SELECT count(*) AS n_questions, round(avg(recall), 9) AS mean_recall, round(avg(precision_at_k), 9) AS mean_precision_at_k,
+       round(avg(hit), 9) AS mean_hit, round(avg(reciprocal_rank), 9) AS mean_reciprocal_rank
+FROM metrics"""
+
+TOKS = "regexp_extract_all(lower({col}), " + TOKEN.replace("{", "{{").replace("}", "}}") + ")"
+
+SQL["answer_match"] = _with(ALOG, REQLOG) + f"""
+, toks AS (
+  SELECT request_id, source_user, {TOKS.format(col='response')} AS a, {TOKS.format(col='expected_response')} AS e
+  FROM classified WHERE expected_response IS NOT NULL),
+common AS (
+  SELECT request_id, source_user, a, e,
+         list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)),
+                                                                 len(list_filter(e, lambda x: x = t))))) AS c
+  FROM toks)
+SELECT request_id, source_user,
+       CAST(array_to_string(a, ' ') = array_to_string(e, ' ') AS INTEGER) AS exact_match,
+       CASE WHEN len(a) + len(e) > 0 THEN 2.0::DOUBLE * coalesce(c, 0) / (len(a) + len(e)) ELSE 0.0 END AS token_f1
+FROM common"""
+
+SAMPLE = "('0x' || substr(md5({col}), 1, 7))::BIGINT % 10000 < 8000"
+
+SQL["sample_requests"] = _with(REQLOG.split("attached AS")[0].rstrip().rstrip(",")) + f"""
+SELECT request_id FROM reqlog WHERE {SAMPLE.format(col='request_id')}"""
+
+TRAFFIC = f"""
+served AS (SELECT * FROM reqlog WHERE response IS NOT NULL),
+qsrc AS (SELECT request_id AS q, request AS qtext FROM served)"""
+
+TRAFFIC_CTX = f"""
+contexts AS (
+  SELECT item_id AS request_id, string_agg('Passage: ' || chunked_text || chr(10), '' ORDER BY rank) AS context
+  FROM keyword_hits GROUP BY item_id),
+traffic AS (SELECT s.*, c.context FROM served s LEFT JOIN contexts c USING (request_id))"""
+
+def share(part_of, whole):
+    return (f"CASE WHEN len(list_distinct({whole})) > 0 THEN "
+            f"len(list_intersect(list_distinct({part_of}), list_distinct({whole}))) / len(list_distinct({whole})) END")
+
+GROUNDED = share(TOKS.format(col='context'), TOKS.format(col='response'))
+RELEVANT = share(TOKS.format(col='response'), TOKS.format(col='request'))
+
+REQLOG_ONLY = REQLOG.split("attached AS")[0].rstrip().rstrip(",")
+
+SQL["groundedness"] = _with(PARSED, WINDOWS, REQLOG_ONLY, TRAFFIC, BM25, TRAFFIC_CTX) + f"""
+SELECT request_id, {GROUNDED} AS groundedness FROM traffic"""
+
+SQL["relevance"] = _with(REQLOG_ONLY) + f"SELECT request_id, {RELEVANT} AS relevance FROM reqlog"
+
+STOP_WORDS = {
+    'en': ['the', 'and', 'of', 'to', 'in', 'is', 'that', 'it', 'for', 'with', 'as', 'on', 'was', 'this', 'by'],
+    'fr': ['le', 'la', 'les', 'de', 'des', 'et', 'un', 'une', 'est', 'en', 'du', 'que', 'qui', 'dans', 'pour'],
+    'de': ['der', 'die', 'das', 'und', 'ist', 'nicht', 'ein', 'eine', 'zu', 'den', 'von', 'mit', 'sich', 'auf', 'für'],
+    'es': ['el', 'la', 'los', 'las', 'de', 'y', 'en', 'que', 'un', 'una', 'es', 'por', 'con', 'para', 'del'],
+}
+SAFETY_PATTERNS = [
+    '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}',
+    '\\+\\d{1,3} \\(\\d{3}\\) \\d{3}-\\d{4}',
+    '\\b\\d{16}\\b',
+    '(?i)(api[_-]?key|secret|password|token)\\s*[=:]\\s*\\"?[A-Za-z0-9]{16,}',
+    '\\b\\d{1,3}(\\.\\d{1,3}){3}\\b',
+]
+
+
+def _lang(col):
+    counts = {l: f"len(list_filter({TOKS.format(col=col)}, lambda t: t IN ({', '.join(repr(w) for w in ws)})))"
+              for l, ws in STOP_WORDS.items()}
+    m = "greatest(" + ", ".join(counts.values()) + ")"
+    return (f"CASE WHEN {m} = 0 THEN NULL WHEN {counts['en']} = {m} THEN 'en' WHEN {counts['fr']} = {m} THEN 'fr' "
+            f"WHEN {counts['de']} = {m} THEN 'de' ELSE 'es' END")
+
+
+def _safety(col):
+    return "coalesce(" + " + ".join(f"len(regexp_extract_all({col}, '{p}'))" for p in SAFETY_PATTERNS) + ", 0)"
+
+
+SQL["language_rule"] = f"""
+SELECT doc_id, lang, detected_lang, coalesce(detected_lang = lang, false) AS language_ok
+FROM (SELECT doc_id, lang, {_lang('text')} AS detected_lang FROM documents)"""
+
+SQL["safety_rule"] = f"""
+SELECT doc_id, safety_hits, safety_hits = 0 AS safety_ok FROM (SELECT doc_id, {_safety('text')} AS safety_hits FROM documents)"""
+
+SQL["monitor_summary"] = _with(PARSED, WINDOWS, REQLOG_ONLY, TRAFFIC, BM25, TRAFFIC_CTX) + f"""
+, monitored AS (
+  SELECT {GROUNDED} AS g, {RELEVANT} AS r, {_lang('response')} AS lang, {_safety('response')} AS hits
+  FROM traffic WHERE {SAMPLE.format(col='request_id')})
+SELECT count(*) AS n_requests,
+       avg(CASE WHEN coalesce(g >= 0.5, false) THEN 1.0 ELSE 0.0 END) AS groundedness_pass,
+       avg(CASE WHEN coalesce(r >= 0.2, false) THEN 1.0 ELSE 0.0 END) AS relevance_pass,
+       avg(CASE WHEN coalesce(lang = 'es', false) THEN 1.0 ELSE 0.0 END) AS language_pass,
+       avg(CASE WHEN hits = 0 THEN 1.0 ELSE 0.0 END) AS safety_pass
+FROM monitored"""
