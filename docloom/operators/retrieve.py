@@ -29,7 +29,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from docloom.functions.templates import fill_template
 from docloom.functions.text import tokens
 from docloom.operators.common import row_count_at_most, top_k_per_group
-from docloom.session import cut_lineage
 
 # Fixed values --------------------------------------------------------------
 DEFAULT_K = 8
@@ -62,6 +61,96 @@ def attach_chunks(top: DataFrame, chunks: DataFrame, key: str, cols: Sequence[st
 # Keyword top-k (BM25)
 
 
+def keyword_stats(chunks: DataFrame, vocab: DataFrame, text: str, small: bool) -> tuple[int, float, dict]:
+    """Corpus size, mean length and the document frequency of every
+    vocabulary term, from one scan: each chunk emits one marker row (term "",
+    carrying its length) and one row per distinct vocabulary term; a partial
+    + final hash aggregate leaves at most ``len(vocab) + 1`` rows."""
+    marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
+    wanted = vocab.unionByName(marker)
+    rows = (
+        chunks.select(tokens(text).alias("_toks"))
+        .select(F.size("_toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_toks"))).alias("term"))
+        .join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
+        .collect()
+    )
+    by_term = {r["term"]: (int(r["df"]), int(r["total"] or 0)) for r in rows}
+    n_docs, total = by_term.pop("", (0, 0))
+    avgdl = (total / n_docs if n_docs else 0.0) or 1.0
+    return n_docs, avgdl, {t: d for t, (d, _) in by_term.items()}
+
+
+BLOCK_CELLS = 2_000_000  # chunk rows x questions scored at once in a task
+
+
+def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
+    """mapInArrow body: BM25 scores of this partition's chunks for every
+    question, scored block by block in numpy; only each question's top-k
+    candidates (ties kept) leave the task."""
+    import pyarrow.compute as pc
+
+    def run(batches):
+        qids, vocab, idf, term_start, term_questions, k1, b, avgdl = index.value
+        n_q = len(qids)
+        vocab_arr = pa.array(vocab, type=pa.string())
+        cand_s: list[list[np.ndarray]] = [[] for _ in range(n_q)]
+        cand_k: list[list] = [[] for _ in range(n_q)]
+        block = max(1, BLOCK_CELLS // max(n_q, 1))
+        for batch in batches:
+            toks = batch.column("_toks")
+            keys_all = batch.column(key).to_pylist()
+            for lo in range(0, batch.num_rows, block):
+                part = toks.slice(lo, block)
+                keys = keys_all[lo : lo + block]
+                n = len(part)
+                lengths = np.asarray(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                flat = part.flatten()
+                codes = pc.index_in(flat, value_set=vocab_arr)
+                valid = np.asarray(codes.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+                if not valid.any():
+                    continue
+                doc = np.repeat(np.arange(n, dtype=np.int64), lengths)[valid]
+                term = np.asarray(codes.drop_null().to_numpy(zero_copy_only=False), dtype=np.int64)
+                pairs, tf = np.unique(doc * len(vocab) + term, return_counts=True)
+                d, t = pairs // len(vocab), pairs % len(vocab)
+                tf = tf.astype(np.float64)
+                w = idf[t] * tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * lengths[d] / avgdl))
+                scores = np.zeros((n, n_q))
+                order = np.argsort(t, kind="stable")
+                t_sorted = t[order]
+                bounds = np.flatnonzero(np.diff(t_sorted)) + 1
+                for grp in np.split(order, bounds):
+                    tt = t[grp[0]]
+                    cols = term_questions[term_start[tt] : term_start[tt + 1]]
+                    scores[np.ix_(d[grp], cols)] += w[grp][:, None]
+                scores = np.round(scores, SCORE_DIGITS)
+                for qi in np.flatnonzero((scores > 0).any(axis=0)):
+                    col = scores[:, qi]
+                    hit = np.flatnonzero(col > 0)
+                    sub_keys = [keys[j] for j in hit]
+                    best = _top_order(col[hit], sub_keys, k)
+                    cand_s[qi].append(col[hit][best])
+                    cand_k[qi].extend(sub_keys[j] for j in best)
+        out_q, out_k, out_s = [], [], []
+        for qi in range(n_q):
+            if not cand_k[qi]:
+                continue
+            s_all = np.concatenate(cand_s[qi])
+            for j in _top_order(s_all, cand_k[qi], k):
+                out_q.append(qids[qi])
+                out_k.append(cand_k[qi][j])
+                out_s.append(float(s_all[j]))
+        if out_q:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_q, type=q_type), pa.array(out_k, type=key_type), pa.array(out_s, type=pa.float64())],
+                names=["_q", key, "score"],
+            )
+
+    return run
+
+
 def topk_keyword(
     questions: DataFrame,
     chunks: DataFrame,
@@ -78,52 +167,58 @@ def topk_keyword(
 
     ``chunks`` must hold one row per ``key`` (see ``dedup_chunks``).  Idf is
     ``ln(1 + (N - df + 0.5) / (df + 0.5))``; each distinct question term
-    counts once.
-
-    Chunks are tokenized once: the postings of the question vocabulary, plus
-    one marker row per chunk carrying its length, are aggregated and
-    checkpointed to the shared checkpoint folder; corpus statistics, document
-    frequencies and scores all read that table.
+    counts once; a chunk sharing no term with a question is not ranked.
+
+    Plan: (1) one aggregate gives N, mean length and the document frequency
+    of the question vocabulary; (2) the question-term index (size-checked)
+    is broadcast; (3) every partition scores its chunks in numpy blocks and
+    emits only top-k candidates per question; (4) a per-question
+    ``row_number`` merges the partitions.  No question x chunk pair is ever
+    a row and nothing is shuffled but the candidates.
     """
     spark = questions.sparkSession
-    qterms = questions.select(
-        F.col(qid).alias("_q"), F.explode(F.array_distinct(tokens(qtext))).alias("term")
-    )
-    small = row_count_at_most(questions, MAX_BROADCAST_QUESTIONS) and row_count_at_most(
-        qterms, MAX_BROADCAST_QUESTION_TERMS
+    qterms = questions.select(F.col(qid).alias("_q"), F.array_distinct(tokens(qtext)).alias("_terms")).filter(
+        F.size("_terms") > 0
     )
-    # "" never occurs as a token; it marks the one length row per chunk
-    marker = spark.range(1).select(F.lit("").alias("term"))
-    vocab = qterms.select("term").distinct().unionByName(marker)
-    postings = cut_lineage(
-        chunks.select(F.col(key).alias("_key"), tokens(text).alias("_toks"))
-        .select("_key", F.size("_toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_toks")).alias("term"))
-        .join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
-        .groupBy("_key", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    stats = postings.filter(F.col("term") == "").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")
-    ).first()
-    n_docs = int(stats["n"])
-    avgdl = (float(stats["total"] or 0) / n_docs if n_docs else 0.0) or 1.0
-
-    terms = postings.filter(F.col("term") != "")
-    doc_freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
-    scored = (
-        terms.join(F.broadcast(doc_freq) if small else doc_freq, "term")
-        .join(F.broadcast(qterms) if small else qterms, "term")
-        .groupBy("_q", "_key")
-        .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
-    )
-    top = _ranked(scored, "_q", "_key", k).select(
-        F.col("_q").alias(qid), "rank", F.col("_key").alias(key), "score"
+    if not row_count_at_most(questions, MAX_BROADCAST_QUESTIONS):
+        raise ValueError(f"more than {MAX_BROADCAST_QUESTIONS} questions: split the question table into batches")
+    n_terms = qterms.agg(F.sum(F.size("_terms"))).first()[0] or 0
+    if n_terms > MAX_BROADCAST_QUESTION_TERMS:
+        raise ValueError(f"{n_terms} question terms exceed the broadcast bound {MAX_BROADCAST_QUESTION_TERMS}")
+    vocab_df = qterms.select(F.explode("_terms").alias("term")).distinct()
+    n_docs, avgdl, doc_freq = keyword_stats(chunks, vocab_df, text, small=True)
+
+    rows = qterms.collect()  # bounded by the checks above
+    qids = [r["_q"] for r in rows]
+    vocab = sorted(doc_freq)  # terms that occur in the corpus
+    pos = {t: i for i, t in enumerate(vocab)}
+    df_arr = np.asarray([doc_freq[t] for t in vocab], dtype=np.float64)
+    idf = np.log(1.0 + (n_docs - df_arr + 0.5) / (df_arr + 0.5))
+    lists: list[list[int]] = [[] for _ in vocab]
+    for qi, r in enumerate(rows):
+        for t in r["_terms"]:
+            if t in pos:
+                lists[pos[t]].append(qi)
+    term_start = np.zeros(len(vocab) + 1, dtype=np.int64)
+    term_start[1:] = np.cumsum([len(x) for x in lists])
+    term_questions = np.asarray([q for x in lists for q in x], dtype=np.int64)
+    index = spark.sparkContext.broadcast((qids, vocab, idf, term_start, term_questions, k1, b, avgdl))
+
+    qid_type, key_type = questions.schema[qid].dataType, chunks.schema[key].dataType
+    schema = T.StructType(
+        [T.StructField("_q", qid_type, True), T.StructField(key, key_type, True), T.StructField("score", T.DoubleType(), True)]
     )
+    if not qids or not vocab:
+        top = spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    else:
+        body = _bm25_partition(index, key, k, to_arrow_type(key_type), to_arrow_type(qid_type))
+        cand = chunks.select(key, tokens(text).alias("_toks")).mapInArrow(body, schema)
+        top = _ranked(cand, "_q", key, k)
+    top = top.select(F.col("_q").alias(qid), "rank", key, "score")
     cols = [c for c in keep if c != key]
-    return attach_chunks(top, chunks, key, cols, small).select(qid, "rank", key, "score", *cols)
+    if not cols:
+        return top
+    return attach_chunks(top, chunks, key, cols, True).select(qid, "rank", key, "score", *cols)
 
 
 # ----------------------------------------------------------------------------
