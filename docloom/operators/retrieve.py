@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from docloom.functions.templates import fill_template
 from docloom.functions.text import tokens
 from docloom.operators.common import row_count_at_most, top_k_per_group
+from docloom.session import cut_lineage
 
 # Fixed values --------------------------------------------------------------
 DEFAULT_K = 8
@@ -85,19 +86,39 @@ def keyword_stats(chunks: DataFrame, vocab: DataFrame, text: str, small: bool) -
 BLOCK_CELLS = 2_000_000  # chunk rows x questions scored at once in a task
 
 
+def _groups(labels: np.ndarray, values: np.ndarray):
+    """(label, values of that label) for each distinct label, sorted by label."""
+    if len(labels) == 0:
+        return
+    order = np.argsort(labels, kind="stable")
+    labels, values = labels[order], values[order]
+    cuts = np.flatnonzero(np.diff(labels)) + 1
+    for part_l, part_v in zip(np.split(labels, cuts), np.split(values, cuts)):
+        yield int(part_l[0]), part_v
+
+
+HEAVY_CELLS = 20_000_000  # bound on the dense (shared term x question) matrix
+
+
 def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
     """mapInArrow body: BM25 scores of this partition's chunks for every
-    question, scored block by block in numpy; only each question's top-k
-    candidates (ties kept) leave the task."""
+    question, block by block in numpy; only each question's top-k candidates
+    (ties kept) leave the task.
+
+    Terms shared by many questions go through one dense matrix product
+    (chunk x shared-term weights times shared-term x question incidence);
+    the other terms are scattered with one ``bincount``.  Both are exact."""
     import pyarrow.compute as pc
 
     def run(batches):
-        qids, vocab, idf, term_start, term_questions, k1, b, avgdl = index.value
-        n_q = len(qids)
+        qids, vocab, idf, term_start, term_questions, heavy_of, heavy_mat, k1, b, avgdl = index.value
+        n_q, n_v, n_h = len(qids), len(vocab), heavy_mat.shape[0]
         vocab_arr = pa.array(vocab, type=pa.string())
+        fan = np.diff(term_start)
         cand_s: list[list[np.ndarray]] = [[] for _ in range(n_q)]
         cand_k: list[list] = [[] for _ in range(n_q)]
-        block = max(1, BLOCK_CELLS // max(n_q, 1))
+        block = max(1, BLOCK_CELLS // max(n_q, n_h, 1))
+        tiny = np.nextafter(0.0, 1.0)
         for batch in batches:
             toks = batch.column("_toks")
             keys_all = batch.column(key).to_pylist()
@@ -106,32 +127,44 @@ def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.D
                 keys = keys_all[lo : lo + block]
                 n = len(part)
                 lengths = np.asarray(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-                flat = part.flatten()
-                codes = pc.index_in(flat, value_set=vocab_arr)
+                codes = pc.index_in(part.flatten(), value_set=vocab_arr)
                 valid = np.asarray(codes.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
                 if not valid.any():
                     continue
                 doc = np.repeat(np.arange(n, dtype=np.int64), lengths)[valid]
                 term = np.asarray(codes.drop_null().to_numpy(zero_copy_only=False), dtype=np.int64)
-                pairs, tf = np.unique(doc * len(vocab) + term, return_counts=True)
-                d, t = pairs // len(vocab), pairs % len(vocab)
+                pairs, tf = np.unique(doc * n_v + term, return_counts=True)
+                d, t = pairs // n_v, pairs % n_v
                 tf = tf.astype(np.float64)
                 w = idf[t] * tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * lengths[d] / avgdl))
+                h = heavy_of[t]
+                is_heavy = h >= 0
                 scores = np.zeros((n, n_q))
-                order = np.argsort(t, kind="stable")
-                t_sorted = t[order]
-                bounds = np.flatnonzero(np.diff(t_sorted)) + 1
-                for grp in np.split(order, bounds):
-                    tt = t[grp[0]]
-                    cols = term_questions[term_start[tt] : term_start[tt + 1]]
-                    scores[np.ix_(d[grp], cols)] += w[grp][:, None]
+                if is_heavy.any():
+                    dense = np.zeros((n, n_h))
+                    dense[d[is_heavy], h[is_heavy]] = w[is_heavy]
+                    scores += dense @ heavy_mat
+                light = ~is_heavy
+                if light.any():
+                    ld, lt, lw = d[light], t[light], w[light]
+                    reps = fan[lt]
+                    total = int(reps.sum())
+                    if total:
+                        first = np.repeat(term_start[lt] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
+                        cols = term_questions[first + np.arange(total)]
+                        flat = np.repeat(ld, reps) * n_q + cols
+                        scores += np.bincount(flat, weights=np.repeat(lw, reps), minlength=n * n_q).reshape(n, n_q)
                 scores = np.round(scores, SCORE_DIGITS)
-                for qi in np.flatnonzero((scores > 0).any(axis=0)):
-                    col = scores[:, qi]
-                    hit = np.flatnonzero(col > 0)
-                    sub_keys = [keys[j] for j in hit]
-                    best = _top_order(col[hit], sub_keys, k)
-                    cand_s[qi].append(col[hit][best])
+                # k-th best score per question; rows at or above it (ties
+                # included) are the candidates, so only ~k keys per question are touched
+                kth = -np.partition(-scores, k - 1, axis=0)[k - 1] if n > k else np.zeros(n_q)
+                kth = np.maximum(kth, tiny)
+                rows_i, cols_i = np.nonzero(scores >= kth[None, :])
+                for qi, grp in _groups(cols_i, rows_i):
+                    sub = scores[grp, qi]
+                    sub_keys = [keys[j] for j in grp]
+                    best = _top_order(sub, sub_keys, k)
+                    cand_s[qi].append(sub[best])
                     cand_k[qi].extend(sub_keys[j] for j in best)
         out_q, out_k, out_s = [], [], []
         for qi in range(n_q):
@@ -151,6 +184,27 @@ def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.D
     return run
 
 
+DENSE_GAIN = 20.0  # a dense multiply-add costs about 1/20 of a scattered add
+
+
+def _split_heavy(term_start: np.ndarray, term_questions: np.ndarray, n_q: int, doc_share: np.ndarray):
+    """Choose the terms scored by the dense product: a term is worth a dense
+    row when (share of chunks holding it) x (questions using it) x
+    ``DENSE_GAIN`` exceeds the question count; at most ``HEAVY_CELLS`` cells.
+    Returns (term -> dense row or -1, dense 0/1 term x question matrix)."""
+    fan = np.diff(term_start).astype(np.float64)
+    value = doc_share * fan * DENSE_GAIN
+    budget = max(0, HEAVY_CELLS // max(n_q, 1))
+    order = np.argsort(-value, kind="stable")[:budget]
+    chosen = [int(t) for t in order if value[t] > n_q]
+    heavy_of = np.full(len(fan), -1, dtype=np.int64)
+    mat = np.zeros((len(chosen), n_q))
+    for row, t in enumerate(chosen):
+        heavy_of[t] = row
+        mat[row, term_questions[term_start[t] : term_start[t + 1]]] = 1.0
+    return heavy_of, mat
+
+
 def topk_keyword(
     questions: DataFrame,
     chunks: DataFrame,
@@ -177,10 +231,13 @@ def topk_keyword(
     a row and nothing is shuffled but the candidates.
     """
     spark = questions.sparkSession
-    qterms = questions.select(F.col(qid).alias("_q"), F.array_distinct(tokens(qtext)).alias("_terms")).filter(
-        F.size("_terms") > 0
+    # the question terms are read four times below: materialise them once
+    qterms = cut_lineage(
+        questions.select(F.col(qid).alias("_q"), F.array_distinct(tokens(qtext)).alias("_terms")).filter(
+            F.size("_terms") > 0
+        )
     )
-    if not row_count_at_most(questions, MAX_BROADCAST_QUESTIONS):
+    if not row_count_at_most(qterms, MAX_BROADCAST_QUESTIONS):
         raise ValueError(f"more than {MAX_BROADCAST_QUESTIONS} questions: split the question table into batches")
     n_terms = qterms.agg(F.sum(F.size("_terms"))).first()[0] or 0
     if n_terms > MAX_BROADCAST_QUESTION_TERMS:
@@ -202,7 +259,10 @@ def topk_keyword(
     term_start = np.zeros(len(vocab) + 1, dtype=np.int64)
     term_start[1:] = np.cumsum([len(x) for x in lists])
     term_questions = np.asarray([q for x in lists for q in x], dtype=np.int64)
-    index = spark.sparkContext.broadcast((qids, vocab, idf, term_start, term_questions, k1, b, avgdl))
+    heavy_of, heavy_mat = _split_heavy(term_start, term_questions, len(qids), df_arr / max(n_docs, 1))
+    index = spark.sparkContext.broadcast(
+        (qids, vocab, idf, term_start, term_questions, heavy_of, heavy_mat, k1, b, avgdl)
+    )
 
     qid_type, key_type = questions.schema[qid].dataType, chunks.schema[key].dataType
     schema = T.StructType(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import chunk, retrieve
 from docloom.plans import fixtures
+from docloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,9 +39,14 @@ def window_chunk_rows(spark: SparkSession, sf_dir: str, with_ordinal: bool = Fal
     return rows if with_ordinal else rows.drop("chunk_index")
 
 
-def chunk_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique chunk keys of the window chunks (the table a search index syncs)."""
-    return chunk.dedup_chunks(window_chunk_rows(spark, sf_dir))
+def chunk_index_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """Unique chunk keys of the window chunks (the table a search index syncs).
+
+    Searches read this table several times (statistics, scoring, joining
+    the text back), so it is written once to the shared checkpoint folder,
+    as a pipeline writes its gold table before indexing it."""
+    index = chunk.dedup_chunks(window_chunk_rows(spark, sf_dir))
+    return cut_lineage(index) if materialize else index
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,7 @@ def q_chunk_rows(spark, sf_dir):
 
 @register
 def q_dedup_chunks(spark, sf_dir):
-    return chunk_index_table(spark, sf_dir).select("chunk_id", "path", "chunked_text")
+    return chunk_index_table(spark, sf_dir, materialize=False).select("chunk_id", "path", "chunked_text")
 
 
 @register

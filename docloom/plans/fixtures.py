@@ -27,7 +27,7 @@ TRACE_URIS = 20  # distinct document uris in traces
 
 # Text-heavy tables: per-row work (chunking, tokenizing, parsing) dominates, so
 # a scan with fewer partitions than task slots is spread before that work.
-TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
