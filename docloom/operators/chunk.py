@@ -65,69 +65,88 @@ LENGTH_UNITS: dict[str, Callable[[str], int]] = {"chars": char_length, "words":
 # Recursive splitter: a small per-document helper, run inside Arrow tasks.
 
 
-def _split_keep(text: str, sep: str) -> list[str]:
-    """Split on ``sep``; the separator starts the following piece."""
+def _split_keep(text: str, sep: str, offset: int) -> list[tuple[int, str]]:
+    """Split on ``sep``; the separator starts the following piece.  Pieces
+    carry their offset in the whole text."""
     if sep == "":
-        return list(text)
-    parts = text.split(sep)
-    return [parts[0]] + [sep + p for p in parts[1:]]
+        return [(offset + i, ch) for i, ch in enumerate(text)]
+    out, pos = [], offset
+    for i, part in enumerate(text.split(sep)):
+        piece = part if i == 0 else sep + part
+        out.append((pos, piece))
+        pos += len(piece)
+    return out
 
 
-def _pieces(text: str, separators: Sequence[str], size: int, length) -> list[str]:
+def _pieces(text: str, offset: int, separators: Sequence[str], size: int, length) -> list[tuple[int, str]]:
     for i, sep in enumerate(separators):
         if sep == "" or sep in text:
             chosen, rest = sep, separators[i + 1 :]
             break
     else:  # no separator occurs and "" is absent: the text is one piece
-        return [text]
-    out: list[str] = []
-    for part in _split_keep(text, chosen):
+        return [(offset, text)]
+    out: list[tuple[int, str]] = []
+    for start, part in _split_keep(text, chosen, offset):
         if not part:
             continue
         if length(part) > size and rest:
-            out.extend(_pieces(part, rest, size, length))
+            out.extend(_pieces(part, start, rest, size, length))
         else:
-            out.append(part)
+            out.append((start, part))
     return out
 
 
-def _pack(pieces: list[str], size: int, overlap: int, length) -> list[str]:
-    chunks: list[str] = []
-    window: deque[tuple[str, int]] = deque()
+def _pack(pieces: list[tuple[int, str]], size: int, overlap: int, length) -> list[tuple[int, int]]:
+    """Greedy packing; returns (start, end) spans of the chunks."""
+    spans: list[tuple[int, int]] = []
+    window: deque[tuple[int, int, int]] = deque()  # (start, end, length)
     total = 0
-    for piece in pieces:
+    for start, piece in pieces:
         n = length(piece)
         if window and total + n > size:
-            chunks.append("".join(p for p, _ in window))
+            spans.append((window[0][0], window[-1][1]))
             # keep the longest suffix that fits the overlap and leaves room
             while window and (total > overlap or total + n > size):
-                total -= window.popleft()[1]
-        window.append((piece, n))
+                total -= window.popleft()[2]
+        window.append((start, start + len(piece), n))
         total += n
     if window:
-        chunks.append("".join(p for p, _ in window))
-    return chunks
+        spans.append((window[0][0], window[-1][1]))
+    return spans
 
 
-def split_recursive(
+def split_recursive_spans(
     text: str | None,
     size: int = DEFAULT_CHUNK_SIZE,
     overlap: int = DEFAULT_CHUNK_OVERLAP,
     separators: Sequence[str] = DEFAULT_SEPARATORS,
     length: Callable[[str], int] = char_length,
-) -> list[str]:
-    """Chunks of one text under the contract of SURVEY §2.3.1."""
+) -> list[tuple[int, int]]:
+    """Character spans ``[start, end)`` of the chunks of one text (after
+    trimming surrounding whitespace; empty chunks dropped)."""
     if not text:
         return []
-    pieces = _pieces(text, tuple(separators), size, length)
     out = []
-    for chunk in _pack(pieces, size, overlap, length):
-        chunk = chunk.strip()
-        if chunk:
-            out.append(chunk)
+    for start, end in _pack(_pieces(text, 0, tuple(separators), size, length), size, overlap, length):
+        chunk = text[start:end]
+        lead = len(chunk) - len(chunk.lstrip())
+        trail = len(chunk) - len(chunk.rstrip())
+        if end - trail > start + lead:
+            out.append((start + lead, end - trail))
     return out
 
 
+def split_recursive(
+    text: str | None,
+    size: int = DEFAULT_CHUNK_SIZE,
+    overlap: int = DEFAULT_CHUNK_OVERLAP,
+    separators: Sequence[str] = DEFAULT_SEPARATORS,
+    length: Callable[[str], int] = char_length,
+) -> list[str]:
+    """Chunks of one text under the contract of SURVEY §2.3.1."""
+    return [text[s:e] for s, e in split_recursive_spans(text, size, overlap, separators, length)]
+
+
 def _recursive_batches(text_col: str, size, overlap, separators, length):
     def run(batches):
         for batch in batches:

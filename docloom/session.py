@@ -22,7 +22,9 @@ DEFAULT_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "docloom") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "docloom", conf: dict | None = None
+) -> SparkSession:
     """A local-mode session for tests and benches (one JVM, ``cores`` task threads)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -32,7 +34,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
-    for key, value in DEFAULT_CONF.items():
+    for key, value in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
