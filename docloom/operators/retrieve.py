@@ -40,10 +40,27 @@ SCORE_DIGITS = 9
 DEFAULT_CHUNK_TEMPLATE = "Passage: {chunk_text}\n"
 # ----------------------------------------------------------------------------
 
-# Bounds for the broadcast side.  Question sets larger than this are joined
-# by shuffles instead.
+# Bounds for the broadcast side (rows, and cells of what is shipped to every
+# task).  Larger question sets are split into hash batches of questions;
+# each batch is an ordinary distributed job and the results are unioned.
 MAX_BROADCAST_QUESTIONS = 100_000
 MAX_BROADCAST_QUESTION_TERMS = 1_000_000
+MAX_BROADCAST_VECTOR_CELLS = 8_000_000  # questions x dimensions (64 MB of doubles)
+
+
+def _question_batches(questions: DataFrame, qid: str, n_batches: int, salt: int) -> list[DataFrame]:
+    """Hash batches of questions.  ``salt`` changes the hash at every level,
+    so a batch that is still too large splits again instead of landing in
+    one sub-batch."""
+    bucket = F.pmod(F.xxhash64(F.col(qid), F.lit(salt)), F.lit(n_batches))
+    return [questions.filter(bucket == i) for i in range(n_batches)]
+
+
+def _union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _ranked(scored: DataFrame, qid: str, key: str, k: int) -> DataFrame:
@@ -97,7 +114,7 @@ def _groups(labels: np.ndarray, values: np.ndarray):
         yield int(part_l[0]), part_v
 
 
-HEAVY_CELLS = 20_000_000  # bound on the dense (shared term x question) matrix
+HEAVY_CELLS = 4_000_000  # bound on the dense (shared term x question) matrix (32 MB)
 
 
 def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
@@ -216,6 +233,7 @@ def topk_keyword(
     keep: Sequence[str] = ("path", "chunked_text"),
     k1: float = BM25_K1,
     b: float = BM25_B,
+    _salt: int = 0,
 ) -> DataFrame:
     """BM25 top-k chunks per question: ``(qid, rank, key, score, *keep)``.
 
@@ -237,11 +255,15 @@ def topk_keyword(
             F.size("_terms") > 0
         )
     )
-    if not row_count_at_most(qterms, MAX_BROADCAST_QUESTIONS):
-        raise ValueError(f"more than {MAX_BROADCAST_QUESTIONS} questions: split the question table into batches")
-    n_terms = qterms.agg(F.sum(F.size("_terms"))).first()[0] or 0
-    if n_terms > MAX_BROADCAST_QUESTION_TERMS:
-        raise ValueError(f"{n_terms} question terms exceed the broadcast bound {MAX_BROADCAST_QUESTION_TERMS}")
+    sizes = qterms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_terms")).alias("terms")).first()
+    n_rows, n_terms = int(sizes["n"]), int(sizes["terms"] or 0)
+    n_batches = max(-(-n_rows // MAX_BROADCAST_QUESTIONS), -(-n_terms // MAX_BROADCAST_QUESTION_TERMS), 1)
+    if n_batches > 1:  # too large to ship whole: hash batches of questions
+        parts = [
+            topk_keyword(batch, chunks, k, qid, qtext, key, text, keep, k1, b, _salt + 1)
+            for batch in _question_batches(questions, qid, 2 * n_batches, _salt)
+        ]
+        return _union_all(parts)
     vocab_df = qterms.select(F.explode("_terms").alias("term")).distinct()
     n_docs, avgdl, doc_freq = keyword_stats(chunks, vocab_df, text, small=True)
 
@@ -365,6 +387,7 @@ def topk_semantic(
     vec: str = "vector",
     keep: Sequence[str] = (),
     max_questions: int = MAX_BROADCAST_QUESTIONS,
+    _salt: int = 0,
 ) -> DataFrame:
     """Exact cosine top-k items per question: ``(qid, rank, key, score, *keep)``.
 
@@ -374,11 +397,17 @@ def topk_semantic(
     question, and a per-question ``row_number`` merges them.
     """
     spark = questions.sparkSession
-    if not row_count_at_most(questions, max_questions):
-        raise ValueError(
-            f"more than {max_questions} questions: split the question table into batches"
-        )
-    qrows = questions.select(qid, F.col(qvec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull()).collect()
+    qvecs = questions.select(qid, F.col(qvec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = qvecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("dim")).first()
+    n_rows, dim = int(sizes["n"]), int(sizes["dim"] or 0)
+    n_batches = max(-(-n_rows // max_questions), -(-(n_rows * dim) // MAX_BROADCAST_VECTOR_CELLS), 1)
+    if n_batches > 1:  # too large to ship whole: hash batches of questions
+        parts = [
+            topk_semantic(batch, items, k, qid, qvec, key, vec, keep, max_questions, _salt + 1)
+            for batch in _question_batches(questions, qid, 2 * n_batches, _salt)
+        ]
+        return _union_all(parts)
+    qrows = qvecs.collect()  # bounded by the checks above
     qids = [r[0] for r in qrows]
     qid_type = questions.schema[qid].dataType
     key_type = items.schema[key].dataType
@@ -460,6 +489,7 @@ def topk_ann(
     cells: int = 16,
     n_probe: int = 4,
     index=None,
+    _salt: int = 0,
 ) -> DataFrame:
     """Approximate cosine top-k: each question probes its ``n_probe`` nearest
     cells and is scored exactly against the items of those cells only.
@@ -471,7 +501,11 @@ def topk_ann(
     """
     assigned, centres = index if index is not None else build_ivf(items, key, vec, cells)
     if not row_count_at_most(questions, MAX_BROADCAST_QUESTIONS):
-        raise ValueError(f"more than {MAX_BROADCAST_QUESTIONS} questions: split the question table into batches")
+        parts = [
+            topk_ann(batch, items, k, qid, qvec, key, vec, cells, n_probe, (assigned, centres), _salt + 1)
+            for batch in _question_batches(questions, qid, 2, _salt)
+        ]
+        return _union_all(parts)
     probes = topk_semantic(questions, centres, k=n_probe, qid=qid, qvec=qvec, key="cell", vec="centroid")
     q_unit = questions.select(F.col(qid).alias("_q"), unit(F.col(qvec).cast("array<double>")).alias("_qv"))
     pairs = F.broadcast(

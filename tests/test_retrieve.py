@@ -127,3 +127,13 @@ def test_injected_encoder(spark):
     rows = {r.id: r.vec for r in embed.embed(df, "text", "vec", method="encoder",
                                              encoder=lambda texts: [[len(t), 1.0] for t in texts]).collect()}
     assert rows == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+
+
+def test_question_batches_give_the_same_answer(spark, monkeypatch):
+    chunks = spark.createDataFrame([("c%d" % i, "word%d common text %d" % (i % 7, i), "p") for i in range(120)],
+                                   "chunk_id string, chunked_text string, path string")
+    qs = spark.createDataFrame([(i, "word%d common" % (i % 7)) for i in range(40)], "item_id long, text string")
+    whole = sorted((r.item_id, r.rank, r.chunk_id) for r in retrieve.topk_keyword(qs, chunks, k=3).collect())
+    monkeypatch.setattr(retrieve, "MAX_BROADCAST_QUESTIONS", 6)
+    batched = sorted((r.item_id, r.rank, r.chunk_id) for r in retrieve.topk_keyword(qs, chunks, k=3).collect())
+    assert whole == batched
