@@ -239,11 +239,10 @@ def _messages_text(col):
 
 
 def conversation_prompts(spark, sf_dir):
-    view = conversation.search_text(conversation.conversation_view(_conv(spark, sf_dir)))
-    asks = view.filter(F.col("search_text").isNotNull()).select("conv_id", "search_text")
-    hits = retrieve.topk_keyword(asks, chunk_index_table(spark, sf_dir), k=K, qid="conv_id", qtext="search_text")
-    contexts = retrieve.build_context(hits, qid="conv_id")
-    return conversation.build_prompt(view, contexts)
+    """Prompts with hybrid retrieval, the source system's default search."""
+    from docloom.plans import answering
+
+    return answering.conversation_prompts(_conv(spark, sf_dir), chunk_index_table(spark, sf_dir), k=K)
 
 
 @register
@@ -691,3 +690,25 @@ def q_safety_rule(spark, sf_dir):
 @register
 def q_monitor_summary(spark, sf_dir):
     return monitor.monitor_summary(monitored(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# end-to-end plans
+
+
+@register
+def q_ingest_pipeline(spark, sf_dir):
+    from docloom.plans.ingest import TableNames, batch_ingest
+
+    result = batch_ingest(spark, fixtures.raw_files(spark, sf_dir), TableNames.scratch(spark),
+                          config={"chunker": {"size": CHUNK_SIZE, "overlap": CHUNK_OVERLAP}},
+                          method="windows")
+    return result.chunks.select("path", "chunked_text", "chunk_id")
+
+
+@register
+def q_ingest_counts(spark, sf_dir):
+    from docloom.plans.ingest import TableNames, batch_ingest
+
+    result = batch_ingest(spark, fixtures.raw_files(spark, sf_dir), TableNames.scratch(spark), method="windows")
+    return spark.createDataFrame(sorted(result.counts.items()), "stage string, rows long")

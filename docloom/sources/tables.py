@@ -24,14 +24,18 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` as a managed table and return the table read back.
+def save_table(
+    df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = (), path: str | None = None
+) -> DataFrame:
+    """Write ``df`` as a table and return the table read back.
 
     ``mode="overwrite"`` replaces data and schema (S4); ``mode="errorifexists"``
     is the create-only write of the evaluation set (S5), which fails on a
-    rerun.
+    rerun.  With ``path`` the table is external, stored at that folder.
     """
     writer = df.write.mode(mode)
+    if path:
+        writer = writer.option("path", path)
     if mode == "overwrite":
         writer = writer.option("overwriteSchema", "true")
     if partition_by:

@@ -223,17 +223,8 @@ FROM view2"""
 
 SQL["search_text"] = _with(CONV) + "SELECT conv_id, question, search_text FROM searches"
 
-SQL["build_prompt"] = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25) + f"""
-, contexts AS (
-  SELECT item_id AS conv_id, string_agg('Passage: ' || chunked_text || chr(10), '' ORDER BY rank) AS context
-  FROM keyword_hits GROUP BY item_id),
-prompts AS (
-  SELECT s.conv_id,
-         list_concat([{{'role': 'system', 'content': 'Answer the question using only the passages below. If they do not contain the answer, say so.' || chr(10) || '' || chr(10) || 'Context: ' || coalesce(context, '')}}],
-                     list_transform(s.history_messages, lambda m: {{'role': m.role, 'content': m.content}}),
-                     [{{'role': 'user', 'content': s.question}}]) AS prompt
-  FROM searches s LEFT JOIN contexts c USING (conv_id) WHERE s.question IS NOT NULL)
-SELECT conv_id, {MESSAGES_TEXT.format(col='prompt')} AS prompt, CAST(len(prompt) AS BIGINT) AS n_messages FROM prompts"""
+# defined below, after the hashed-vector CTEs
+
 
 
 # ---------------------------------------------------------------------------
@@ -544,3 +535,34 @@ SELECT count(*) AS n_requests,
        avg(CASE WHEN coalesce(lang = 'es', false) THEN 1.0 ELSE 0.0 END) AS language_pass,
        avg(CASE WHEN hits = 0 THEN 1.0 ELSE 0.0 END) AS safety_pass
 FROM monitored"""
+
+
+# ---------------------------------------------------------------------------
+# end-to-end plans
+
+SQL["ingest_pipeline"] = SQL["chunk_rows"]
+
+SQL["ingest_counts"] = _with(PARSED, WINDOWS) + """
+SELECT 'raw_files' AS stage, count(*) AS rows FROM documents
+UNION ALL SELECT 'parsed_docs', count(*) FROM parsed WHERE parsed_content IS NOT NULL
+UNION ALL SELECT 'parse_errors', count(*) FROM parsed WHERE parsed_content IS NULL
+UNION ALL SELECT 'chunk_errors', 0
+UNION ALL SELECT 'chunked_docs', count(*) FROM chunk_rows"""
+
+
+SQL["build_prompt"] = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25, HASHED) + f"""
+, fused AS (
+  SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (
+      SELECT item_id, chunk_id, rank FROM sem_hits UNION ALL SELECT item_id, chunk_id, rank FROM keyword_hits)
+    GROUP BY item_id, chunk_id)),
+contexts AS (
+  SELECT f.item_id AS conv_id, string_agg('Passage: ' || c.chunked_text || chr(10), '' ORDER BY f.rank) AS context
+  FROM fused f JOIN chunk_index c USING (chunk_id) WHERE f.rank <= 8 GROUP BY f.item_id),
+prompts AS (
+  SELECT s.conv_id,
+         list_concat([{{'role': 'system', 'content': 'Answer the question using only the passages below. If they do not contain the answer, say so.' || chr(10) || '' || chr(10) || 'Context: ' || coalesce(context, '')}}],
+                     list_transform(s.history_messages, lambda m: {{'role': m.role, 'content': m.content}}),
+                     [{{'role': 'user', 'content': s.question}}]) AS prompt
+  FROM searches s LEFT JOIN contexts c USING (conv_id) WHERE s.question IS NOT NULL)
+SELECT conv_id, {MESSAGES_TEXT.format(col='prompt')} AS prompt, CAST(len(prompt) AS BIGINT) AS n_messages FROM prompts"""
