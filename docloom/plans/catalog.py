@@ -60,7 +60,8 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_chunk_windows(spark, sf_dir):
     rows = window_chunk_rows(spark, sf_dir, with_ordinal=True)
-    return rows.select("path", "chunk_index", "chunk_id", F.length("chunked_text").cast("long").alias("chunk_chars"))
+    return rows.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id",
+                       F.length("chunked_text").cast("long").alias("chunk_chars"))
 
 
 @register
