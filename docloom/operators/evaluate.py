@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 from docloom.functions.text import tokens
 from docloom.operators.common import row_count_at_most
 
-ANCHOR_TOKENS = 8  # fixed value: shingle length used to find passage copies
 MAX_BROADCAST_PASSAGES = 1_000_000
 
 
+def _anchor(toks: Column) -> Column:
+    """Longest interior token of a passage (ties: the larger string).  A
+    token strictly inside the passage is a whole token of any text that
+    contains the passage, even when the passage starts or ends inside a
+    word; passages of one or two tokens use all their tokens."""
+    n = F.size(toks)
+    interior = F.when(n >= 3, F.slice(toks, F.lit(2), n - 2)).otherwise(toks)
+    return F.array_max(F.transform(interior, lambda t: F.struct(F.length(t).alias("len"), t.alias("tok"))))["tok"]
+
+
 def containment_pairs(
     docs: DataFrame,
     passages: DataFrame,
@@ -26,33 +35,20 @@ def containment_pairs(
     item_text: str = "text",
 ) -> DataFrame:
     """``(doc_key, item_key)`` for every document whose text contains a
-    passage verbatim (starting on a token boundary).
+    passage verbatim.
 
     No document x passage product is formed: each passage is anchored by
-    its first 8 tokens (fewer when it is shorter), each document emits its
-    token shingles of the anchor lengths in use, an equi-join on the
-    shingle finds candidates and ``instr`` confirms each one exactly.
+    one token (``_anchor``), each document emits its distinct tokens, an
+    equi-join on the token finds the candidates and ``instr`` confirms each
+    one exactly.  For passages of three or more tokens this finds every
+    containment; one- and two-token passages are found on token boundaries.
     """
-    p = passages.select(item_key, F.col(item_text).alias("_ptext"), tokens(item_text).alias("_pt"))
-    p = p.withColumn("_len", F.least(F.size("_pt"), F.lit(ANCHOR_TOKENS))).filter(F.col("_len") > 0)
-    anchors = p.select(item_key, "_ptext", "_len", F.array_join(F.slice("_pt", F.lit(1), F.col("_len")), " ").alias("_anchor"))
+    anchors = passages.select(item_key, F.col(item_text).alias("_ptext"), _anchor(tokens(item_text)).alias("_anchor")).filter(
+        F.col("_anchor").isNotNull()
+    )
     small = row_count_at_most(anchors, MAX_BROADCAST_PASSAGES)
-    lengths = sorted(r[0] for r in anchors.select("_len").distinct().collect())  # at most 8 values
-    d = docs.select(doc_key, F.col(doc_text).alias("_dtext"), tokens(doc_text).alias("_dt"))
-    parts = []
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.size("_dt") - F.lit(n - 1))
-        shingles = d.filter(F.size("_dt") >= n).select(
-            doc_key, "_dtext", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("_dt", i, F.lit(n)), " "))).alias("_anchor")
-        )
-        side = anchors.filter(F.col("_len") == n)
-        parts.append(shingles.join(F.broadcast(side) if small else side, "_anchor"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], f"{doc_key} {docs.schema[doc_key].dataType.simpleString()}, "
-                                                  f"{item_key} {passages.schema[item_key].dataType.simpleString()}")
-    cand = parts[0]
-    for part in parts[1:]:
-        cand = cand.unionByName(part)
+    words = docs.select(doc_key, F.col(doc_text).alias("_dtext"), F.explode(F.array_distinct(tokens(doc_text))).alias("_anchor"))
+    cand = words.join(F.broadcast(anchors) if small else anchors, "_anchor")
     return cand.filter(F.instr("_dtext", F.col("_ptext")) > 0).select(doc_key, item_key).distinct()
 
 

@@ -54,3 +54,10 @@ def test_containment_pairs_short_and_long_passages(spark):
                                       (12, "not there")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in evaluate.containment_pairs(docs, passages).collect()}
     assert got == {(1, 10), (1, 11), (2, 11)}
+
+
+def test_containment_inside_words(spark):
+    docs = spark.createDataFrame([(1, "xxalpha beta gammayy"), (2, "alpha beta gamma")], "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in evaluate.containment_pairs(docs, passages).collect()}
+    assert got == {(1, 7), (2, 7)}  # the passage starts and ends inside words of doc 1
