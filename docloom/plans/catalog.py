@@ -8,6 +8,7 @@ operators themselves keep their nested types.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import chunk, retrieve
 from docloom.plans import fixtures
-from docloom.session import cut_lineage
+from docloom.session import cut_lineage, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,8 +26,16 @@ K = retrieve.DEFAULT_K
 
 
 def register(fn):
-    QUERIES[fn.__name__.removeprefix("q_")] = fn
-    return fn
+    """Add a query; it prepares any session it is given (package shipped to
+    the workers, checkpoint folder set) before building its plan."""
+
+    @functools.wraps(fn)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__.removeprefix("q_")] = query
+    return query
 
 
 # ---------------------------------------------------------------------------
