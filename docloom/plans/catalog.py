@@ -58,8 +58,9 @@ def chunk_index_table(spark: SparkSession, sf_dir: str, materialize: bool = True
     return cut_lineage(index) if materialize else index
 
 
-def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.topk_keyword(fixtures.questions(spark, sf_dir), chunk_index_table(spark, sf_dir), k=K)
+def keyword_hits(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
+    index = index if index is not None else chunk_index_table(spark, sf_dir)
+    return retrieve.topk_keyword(fixtures.questions(spark, sf_dir), index, k=K)
 
 
 # ---------------------------------------------------------------------------
@@ -311,16 +312,17 @@ def _label_centroids(spark, sf_dir):
     return emb, embed.centroids(emb, "label", "embedding")
 
 
-def chunk_vectors(spark, sf_dir):
-    return embed.embed(chunk_index_table(spark, sf_dir), "chunked_text")
+def chunk_vectors(spark, sf_dir, index=None):
+    index = index if index is not None else chunk_index_table(spark, sf_dir)
+    return embed.embed(index, "chunked_text")
 
 
 def question_vectors(spark, sf_dir):
     return embed.embed(fixtures.questions(spark, sf_dir), "text")
 
 
-def semantic_hits(spark, sf_dir):
-    return retrieve.topk_semantic(question_vectors(spark, sf_dir), chunk_vectors(spark, sf_dir), k=K)
+def semantic_hits(spark, sf_dir, index=None):
+    return retrieve.topk_semantic(question_vectors(spark, sf_dir), chunk_vectors(spark, sf_dir, index), k=K)
 
 
 @register
@@ -348,7 +350,8 @@ def q_semantic_search(spark, sf_dir):
 
 @register
 def q_topk_hybrid(spark, sf_dir):
-    fused = retrieve.fuse_ranks([semantic_hits(spark, sf_dir), keyword_hits(spark, sf_dir)], k=K)
+    index = chunk_index_table(spark, sf_dir)  # built once, searched twice
+    fused = retrieve.fuse_ranks([semantic_hits(spark, sf_dir, index), keyword_hits(spark, sf_dir, index)], k=K)
     return fused.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
 
 
