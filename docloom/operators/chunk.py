@@ -239,6 +239,38 @@ def window_rows(
     )
 
 
+def words(text_col: str):
+    """Whitespace-separated words of a text (empty strings dropped)."""
+    return F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
+
+
+def word_window_rows(
+    docs: DataFrame,
+    text_col: str = "text",
+    size: int = 200,
+    overlap: int = 50,
+    path_col: str = "path",
+) -> DataFrame:
+    """P6, native form: windows of ``size`` words (step ``size - overlap``,
+    same tail rule as the character windows), joined by one space:
+    ``(path, chunk_index, chunked_text, chunk_id)``."""
+    check_chunk_params(size, overlap)
+    w = words(text_col)
+    n = F.size(F.col("_words"))
+    starts = F.sequence(F.lit(1), F.greatest(n - F.lit(overlap), F.lit(1)), F.lit(size - overlap))
+    return (
+        docs.select(F.col(path_col), w.alias("_words"))
+        .filter(n > 0)
+        .select(path_col, "_words", F.posexplode(starts).alias("chunk_index", "_s"))
+        .select(
+            path_col,
+            F.col("chunk_index").cast("long").alias("chunk_index"),
+            F.array_join(F.slice("_words", F.col("_s"), F.lit(size)), " ").alias("chunked_text"),
+        )
+        .withColumn("chunk_id", chunk_key("chunked_text"))
+    )
+
+
 def chunk_errors(chunked: DataFrame) -> DataFrame:
     """Documents whose chunker failed (A4 companion)."""
     return chunked.filter(F.col("chunked.chunker_status") != SUCCESS)

@@ -437,21 +437,10 @@ def q_chunk_recursive(spark, sf_dir):
     return rows.select("path", "chunk_index", "chunk_id", F.length("chunked_text").cast("long").alias("chunk_chars"))
 
 
-def words_of(text_col: str):
-    """Whitespace-separated words of a text (empty strings dropped)."""
-    return F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
-
-
 @register
 def q_chunk_words(spark, sf_dir):
-    docs = fixtures.parsed_docs(spark, sf_dir).withColumn("_words", words_of("parsed_content"))
-    n = F.size("_words")
-    step = WORD_SIZE - WORD_OVERLAP
-    rows = docs.filter(n > 0).select(
-        "path", "_words",
-        F.posexplode(F.sequence(F.lit(1), F.greatest(n - F.lit(WORD_OVERLAP), F.lit(1)), F.lit(step))).alias("chunk_index", "_s"),
-    ).select("path", "chunk_index", F.array_join(F.slice("_words", F.col("_s"), F.lit(WORD_SIZE)), " ").alias("chunked_text"))
-    return rows.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("chunked_text").alias("chunk_id"))
+    rows = chunk.word_window_rows(fixtures.parsed_docs(spark, sf_dir), "parsed_content", WORD_SIZE, WORD_OVERLAP)
+    return rows.select("path", "chunk_index", "chunk_id")
 
 
 @register
