@@ -451,6 +451,9 @@ def unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
+MAX_TRAIN_VECTORS = 200_000  # k-means is trained on a random sample of at most this many items
+
+
 def build_ivf(
     items: DataFrame,
     key: str = "chunk_id",
@@ -458,17 +461,22 @@ def build_ivf(
     cells: int = 16,
     seed: int = 7,
     max_iter: int = 20,
+    max_train: int = MAX_TRAIN_VECTORS,
 ):
-    """Train ``cells`` k-means centres on unit vectors (pyspark.ml, distributed)
-    and assign each item to its nearest centre.  Returns ``(assigned items
-    (key, _unit, cell), centres (cell, centroid))``."""
+    """Train ``cells`` k-means centres on unit vectors (pyspark.ml,
+    distributed) and assign every item to its nearest centre.  Training
+    reads a seeded random sample of at most about ``max_train`` items, so its
+    iterations do not rescan a large table; assignment covers all items.
+    Returns ``(assigned items (key, _unit, cell), centres (cell, centroid))``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit_items = items.select(key, unit(F.col(vec).cast("array<double>")).alias("_unit")).withColumn(
         "_features", array_to_vector("_unit")
     )
-    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(unit_items)
+    n_items = items.count()
+    train = unit_items if n_items <= max_train else unit_items.sample(fraction=max_train / n_items, seed=seed)
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(train)
     assigned = model.transform(unit_items).select(key, "_unit", F.col("cell").cast("int").alias("cell"))
     spark = items.sparkSession
     centres = spark.createDataFrame(

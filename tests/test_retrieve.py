@@ -137,3 +137,10 @@ def test_question_batches_give_the_same_answer(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "MAX_BROADCAST_QUESTIONS", 6)
     batched = sorted((r.item_id, r.rank, r.chunk_id) for r in retrieve.topk_keyword(qs, chunks, k=3).collect())
     assert whole == batched
+
+
+def test_ivf_trains_on_a_sample_but_assigns_every_item(spark):
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    assigned, centres = retrieve.build_ivf(emb, "vec_id", "embedding", cells=4, max_train=100)
+    assert assigned.count() == emb.count()
+    assert centres.count() == 4
