@@ -699,7 +699,7 @@ def q_monitor_summary(spark, sf_dir):
 
 
 @register
-def q_ingest_pipeline(spark, sf_dir):
+def q_ingest_gold(spark, sf_dir):
     from docloom.plans.ingest import TableNames, batch_ingest
 
     result = batch_ingest(spark, fixtures.raw_files(spark, sf_dir), TableNames.scratch(spark),

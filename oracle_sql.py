@@ -540,7 +540,7 @@ FROM monitored"""
 # ---------------------------------------------------------------------------
 # end-to-end plans
 
-SQL["ingest_pipeline"] = SQL["chunk_rows"]
+SQL["ingest_gold"] = SQL["chunk_rows"]
 
 SQL["ingest_counts"] = _with(PARSED, WINDOWS) + """
 SELECT 'raw_files' AS stage, count(*) AS rows FROM documents
