@@ -9,14 +9,18 @@ operators themselves keep their nested types.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import chunk, retrieve
+from docloom.functions.text import user_key
+from docloom.operators import changes, chunk, conversation, embed, evaluate, feedback, monitor, parse, quality, retrieve
 from docloom.plans import fixtures
-from docloom.session import cut_lineage, prepare
+from docloom.session import cut_lineage, ensure_checkpoint_dir, prepare
+from docloom.sources import files
+from docloom.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,7 +107,6 @@ def q_source_list(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # step 1: feedback -> evaluation set
 
-from docloom.operators import feedback  # noqa: E402
 
 TIE = ("event_id",)
 
@@ -238,8 +241,6 @@ def q_eval_set(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # step 2: conversations -> question, history, search text, prompt
 
-from docloom.operators import conversation  # noqa: E402
-
 
 def _conv(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "conversations")
@@ -304,8 +305,6 @@ def q_batch_answer(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # step 3: vectors, exact / approximate / hybrid top-k
 
-from docloom.operators import embed  # noqa: E402
-
 
 def _label_centroids(spark, sf_dir):
     emb = fixtures.table(spark, sf_dir, "embeddings")
@@ -365,11 +364,6 @@ def q_topk_ann(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # step 4: files, parse and chunk jobs
 
-import uuid  # noqa: E402
-
-from docloom.operators import parse, quality  # noqa: E402
-from docloom.session import ensure_checkpoint_dir  # noqa: E402
-from docloom.sources import files  # noqa: E402
 
 WORD_SIZE, WORD_OVERLAP = 200, 50
 
@@ -498,17 +492,12 @@ def q_flatten_columns(spark, sf_dir):
 def q_user_key(spark, sf_dir):
     conv = _conv(spark, sf_dir)
     address = F.concat(F.lit("Rev."), F.col("role"), F.lit(".No"), F.col("conv_id").cast("string"), F.lit("@Example.org"))
-    from docloom.functions.text import user_key
-
     return conv.select("conv_id", "turn", user_key(address).alias("user_key"))
 
 
 # ---------------------------------------------------------------------------
 # step 6: change sets, upserts, streaming
 
-from docloom.operators import changes  # noqa: E402
-from docloom.streaming import pipeline  # noqa: E402
-
 
 def _lang_snapshots(spark, sf_dir):
     """Two versions of the chunk index: the old one lacks German documents,
@@ -601,7 +590,6 @@ def q_stream_sync(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # step 7: evaluation and monitoring
 
-from docloom.operators import evaluate, monitor  # noqa: E402
 
 RETRIEVAL_METRICS = ["recall", "precision_at_k", "hit", "reciprocal_rank"]
 
