@@ -3,6 +3,7 @@
 from docloom.functions.text import (  # noqa: F401
     TOKEN_PATTERN,
     chunk_key,
+    current_user_key,
     html_to_text,
     tokens,
     user_key,

@@ -63,3 +63,9 @@ def user_key(address) -> Column:
     lower case, at most 35 characters."""
     local = F.substring_index(_col(address), "@", 1)
     return F.substring(F.lower(F.replace(local, F.lit("."), F.lit(""))), 1, 35)
+
+
+def current_user_key() -> Column:
+    """The session user's key (``current_user()`` through ``user_key``), used
+    to name per-user catalogs, schemas and endpoints."""
+    return user_key(F.current_user())
