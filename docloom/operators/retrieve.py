@@ -5,14 +5,17 @@ doubles rounded to ``SCORE_DIGITS`` before ranking so that equal scores tie
 the same way in every engine.
 
 Scale notes
-* Questions are the small side.  Their size is checked (row counts, with a
-  bounded ``limit``) before they are broadcast; above the bound the joins
-  shuffle on their keys and AQE splits skewed partitions.
-* Keyword search joins question terms to postings on the term, so a common
-  term is handled map-side when the question terms are broadcast.
-* Vector search never materialises question x chunk pairs as rows: each
-  partition keeps a running top-k per question (numpy) and emits only those
-  candidates; a final per-question top-k merges the partitions.
+* Questions are the small side.  Their size is checked in rows, terms and
+  cells before anything is broadcast; above a bound the question table is
+  split into salted hash batches, each an ordinary distributed job.
+* Neither keyword nor vector search materialises question x chunk pairs as
+  rows: each partition scores its chunks against the broadcast questions in
+  numpy blocks and emits only its top-k candidates per question; a final
+  per-question ``row_number`` (partial ``WindowGroupLimit`` first) merges
+  the partitions.  Corpus statistics for BM25 come from one aggregate whose
+  output is bounded by the question vocabulary.
+* Approximate search joins each question only to the items of its probed
+  k-means cells (a broadcast probe list), never item to item.
 """
 
 from __future__ import annotations
