@@ -116,7 +116,7 @@ def assessment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chunk_rating = F.when(F.col("event_type") == "click", "true").when(F.col("event_type") == "signup", "false")
     step = F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string"))
-    position = (F.get_json_object("props", "$.k").cast("int") % TRACE_LENGTH)
+    position = F.get_json_object("props", "$.k").try_cast("int") % TRACE_LENGTH
     text_assessment = F.when(
         answer.isNotNull(),
         F.struct(
