@@ -43,6 +43,17 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), 0)
 
 
+# A table may carry its precomputed tokens under this name (for example a
+# chunk index written once); operators then read it instead of tokenizing.
+TOKENS_COL = "text_tokens"
+
+
+def tokens_of(df, text) -> Column:
+    """The tokens of ``text`` in ``df``: the stored ``text_tokens`` column when
+    the table has one, else ``tokens(text)``."""
+    return F.col(TOKENS_COL) if TOKENS_COL in df.columns else tokens(text)
+
+
 def html_to_text(html) -> Column:
     """Visible text of an HTML page (comments, scripts, styles and tags removed)."""
     out = _col(html)

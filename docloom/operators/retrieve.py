@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.templates import fill_template
-from docloom.functions.text import tokens
+from docloom.functions.text import tokens, tokens_of
 from docloom.operators.common import row_count_at_most, top_k_per_group
 from docloom.session import cut_lineage
 
@@ -90,7 +90,7 @@ def keyword_stats(chunks: DataFrame, vocab: DataFrame, text: str, small: bool) -
     marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
     wanted = vocab.unionByName(marker)
     rows = (
-        chunks.select(tokens(text).alias("_toks"))
+        chunks.select(tokens_of(chunks, text).alias("_toks"))
         .select(F.size("_toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_toks"))).alias("term"))
         .join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
         .groupBy("term")
@@ -297,7 +297,7 @@ def topk_keyword(
         top = spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
     else:
         body = _bm25_partition(index, key, k, to_arrow_type(key_type), to_arrow_type(qid_type))
-        cand = chunks.select(key, tokens(text).alias("_toks")).mapInArrow(body, schema)
+        cand = chunks.select(key, tokens_of(chunks, text).alias("_toks")).mapInArrow(body, schema)
         top = _ranked(cand, "_q", key, k)
     top = top.select(F.col("_q").alias(qid), "rank", key, "score")
     cols = [c for c in keep if c != key]

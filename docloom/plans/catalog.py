@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import user_key
+from docloom.functions.text import TOKENS_COL, tokens, user_key
 from docloom.operators import changes, chunk, conversation, embed, evaluate, feedback, monitor, parse, quality, retrieve
 from docloom.plans import fixtures
 from docloom.session import cut_lineage, ensure_checkpoint_dir, prepare
@@ -59,7 +59,9 @@ def chunk_index_table(spark: SparkSession, sf_dir: str, materialize: bool = True
     the text back), so it is written once to the shared checkpoint folder,
     as a pipeline writes its gold table before indexing it."""
     index = chunk.dedup_chunks(window_chunk_rows(spark, sf_dir))
-    return cut_lineage(index) if materialize else index
+    if not materialize:
+        return index
+    return cut_lineage(index.withColumn(TOKENS_COL, tokens("chunked_text")))
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
