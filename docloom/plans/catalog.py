@@ -610,10 +610,14 @@ def retrieval_table(spark, sf_dir):
     return evaluate.retrieval_metrics(keyword_hits(spark, sf_dir), expected_uris(spark, sf_dir), K)
 
 
-def served_traffic(spark, sf_dir):
+def served_traffic(spark, sf_dir, fraction: float | None = None):
     """Served requests (user turns with a response) with the context the
-    keyword retriever gives for the request text."""
+    keyword retriever gives for the request text.  With ``fraction`` the
+    stable request sample is taken first: a request's context does not
+    depend on the other requests, so only sampled requests are searched."""
     req = fixtures.request_log(spark, sf_dir).filter(F.col("response").isNotNull())
+    if fraction is not None:
+        req = monitor.sample_requests(req, "request_id", fraction)
     hits = retrieve.topk_keyword(req.select("request_id", "request"), chunk_index_table(spark, sf_dir), k=K,
                                  qid="request_id", qtext="request")
     ctx = retrieve.build_context(hits, qid="request_id")
@@ -621,7 +625,7 @@ def served_traffic(spark, sf_dir):
 
 
 def monitored(spark, sf_dir):
-    sample = monitor.sample_requests(served_traffic(spark, sf_dir), "request_id", 0.8)
+    sample = served_traffic(spark, sf_dir, fraction=0.8)
     scored = monitor.groundedness(sample)
     scored = monitor.relevance(scored)
     scored = monitor.language_rule(scored, required="es")
