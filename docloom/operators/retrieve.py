@@ -303,6 +303,7 @@ def topk_keyword(
     cols = [c for c in keep if c != key]
     if not cols:
         return top
+    # questions were proven <= MAX_BROADCAST_QUESTIONS above, so top <= that x k rows
     return attach_chunks(top, chunks, key, cols, True).select(qid, "rank", key, "score", *cols)
 
 
@@ -437,6 +438,7 @@ def topk_semantic(
     cols = [c for c in keep if c != key]
     if not cols:
         return top
+    # questions were proven <= max_questions above, so top <= that x k rows
     return attach_chunks(top, items, key, cols, True).select(qid, "rank", key, "score", *cols)
 
 
