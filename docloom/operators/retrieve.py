@@ -353,16 +353,19 @@ def _partition_topk(qids: list, qmat: np.ndarray, key: str, vec: str, k: int, ke
     def run(batches):
         cand_scores: list[list[np.ndarray]] = [[] for _ in qids]
         cand_keys: list[list] = [[] for _ in qids]
+        block = max(1, BLOCK_CELLS // max(len(qids), 1))  # bounds the (questions x rows) matrix
         for batch in batches:
             keep, mat = _list_matrix(batch.column(vec))
             if len(keep) == 0 or mat.shape[1] != qmat.shape[1]:
                 continue
-            keys = batch.column(key).take(pa.array(keep)).to_pylist()
-            scores = np.round(qmat @ _unit_rows(mat).T, SCORE_DIGITS)  # (questions, rows)
-            for qi in range(len(qids)):
-                order = _top_order(scores[qi], keys, k)
-                cand_scores[qi].append(scores[qi][order])
-                cand_keys[qi].extend(keys[j] for j in order)
+            keys_all = batch.column(key).take(pa.array(keep)).to_pylist()
+            for lo in range(0, len(keep), block):
+                keys = keys_all[lo : lo + block]
+                scores = np.round(qmat @ _unit_rows(mat[lo : lo + block]).T, SCORE_DIGITS)  # (questions, rows)
+                for qi in range(len(qids)):
+                    order = _top_order(scores[qi], keys, k)
+                    cand_scores[qi].append(scores[qi][order])
+                    cand_keys[qi].extend(keys[j] for j in order)
         out_q, out_k, out_s = [], [], []
         for qi, q in enumerate(qids):
             if not cand_keys[qi]:
