@@ -118,6 +118,7 @@ def _groups(labels: np.ndarray, values: np.ndarray):
 
 
 HEAVY_CELLS = 4_000_000  # bound on the dense (shared term x question) matrix (32 MB)
+EXPAND_CELLS = 4_000_000  # bound on one slice of the sparse (posting x question) expansion
 
 
 def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
@@ -168,12 +169,23 @@ def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.D
                 if light.any():
                     ld, lt, lw = d[light], t[light], w[light]
                     reps = fan[lt]
-                    total = int(reps.sum())
-                    if total:
-                        first = np.repeat(term_start[lt] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
-                        cols = term_questions[first + np.arange(total)]
-                        flat = np.repeat(ld, reps) * n_q + cols
-                        scores += np.bincount(flat, weights=np.repeat(lw, reps), minlength=n * n_q).reshape(n, n_q)
+                    ends = np.cumsum(reps)
+                    # expand (posting -> its questions) in slices of at most EXPAND_CELLS entries
+                    start = 0
+                    while start < len(ld):
+                        base = ends[start - 1] if start else 0
+                        stop = max(start + 1, int(np.searchsorted(ends, base + EXPAND_CELLS, side="right")))
+                        r = reps[start:stop]
+                        total = int(r.sum())
+                        if total:
+                            offs = np.concatenate(([0], np.cumsum(r)[:-1]))
+                            first = np.repeat(term_start[lt[start:stop]] - offs, r)
+                            cols = term_questions[first + np.arange(total)]
+                            flat = np.repeat(ld[start:stop], r) * n_q + cols
+                            scores += np.bincount(flat, weights=np.repeat(lw[start:stop], r), minlength=n * n_q).reshape(
+                                n, n_q
+                            )
+                        start = stop
                 scores = np.round(scores, SCORE_DIGITS)
                 # k-th best score per question; rows at or above it (ties
                 # included) are the candidates, so only ~k keys per question are touched
