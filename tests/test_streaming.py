@@ -53,3 +53,20 @@ def test_file_stream_pipeline_equals_batch(spark, tmp_path):
     assert keys == {r.chunk_id for r in spark.read.parquet(f"{base}/gold").collect()}
     pipeline.sync_vectors(spark, base, vectors, buckets=4)  # nothing new: same table
     assert spark.read.parquet(vectors).count() == len(keys)
+
+
+def test_vector_sync_keeps_smallest_path_across_batches(spark, tmp_path):
+    src = str(tmp_path / "src")
+    text = ("shared words " * 60).encode()
+    write_files(src, {"b.txt": text})
+    base = str(tmp_path / "run")
+    vectors = str(tmp_path / "vectors")
+    pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    pipeline.sync_vectors(spark, base, vectors, buckets=4)
+    write_files(src, {"a.txt": text, "c.txt": text})  # same chunks, smaller and larger paths
+    pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    pipeline.sync_vectors(spark, base, vectors, buckets=4)
+    paths = {r.path.rsplit("/", 1)[1] for r in spark.read.parquet(vectors).collect()}
+    assert paths == {"a.txt"}
+    gold = chunk.dedup_chunks(spark.read.parquet(f"{base}/gold").select("path", "chunked_text", "chunk_id"))
+    assert spark.read.parquet(vectors).count() == gold.count()
