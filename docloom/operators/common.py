@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side (rows) we broadcast without further thought.  Callers pass
-# their own bound when rows are wide.
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
@@ -21,12 +16,6 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` as is
-    (the join then shuffles, and AQE may still pick a broadcast or split skew)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
 def top_k_per_group(
     df: DataFrame,
     group: Sequence[str],
