@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, line_dedup, packing, quality_rules, rule_ensemble, simhash_dedup
+from docloom.llm import decontaminate, line_dedup, packing, quality_rules, rule_ensemble, sharding, simhash_dedup, warc
 from docloom.llm.common import read
 from docloom.session import prepare
 
@@ -48,6 +48,14 @@ def op3_quality_rules(spark, sf_dir):
     )
 
 
+@register
+def op4_sharding(spark, sf_dir):
+    rows = sharding.shard(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @register
 def op5_line_dedup(spark, sf_dir):
     rows = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -72,6 +80,13 @@ def op8_quality_classifier(spark, sf_dir):
     return rows.select("doc_id", held_out().alias("held_out"), "score", predicted.cast("int").alias("predicted"))
 
 
+@register
+def op9_warc(spark, sf_dir):
+    index = warc.write_archives(read(spark, sf_dir, "pages"))
+    rows = warc.read_records(index, payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
