@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, line_dedup, packing, quality_rules, rule_ensemble, sharding, simhash_dedup, warc
+from docloom.llm import decontaminate, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, warc
 from docloom.llm.common import read
 from docloom.session import prepare
 
@@ -31,6 +31,14 @@ def op1_simhash_dedup(spark, sf_dir):
     return groups.select("doc_id", simhash_dedup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@register
+def op2_pii(spark, sf_dir):
+    rows = pii.find(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans"
+    )
+
+
 @register
 def op3_quality_rules(spark, sf_dir):
     rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")))
