@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, warc
+from docloom.llm import decontaminate, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
 from docloom.llm.common import read
 from docloom.session import prepare
 
@@ -75,6 +75,12 @@ def op6_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@register
+def op7_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
