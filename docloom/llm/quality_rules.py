@@ -34,13 +34,13 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Rules over the measurements.  The order fixes the bit: append, never reorder.
-RULES: dict[str, Column] = {
-    "too_short": F.col("n_words") < MIN_WORDS,
-    "repeated_words": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
-    "symbols": 100 * F.col("n_symbols") > 20 * F.col("n_words"),
-    "duplicate_lines": 100 * F.col("n_dup_lines") > 60 * F.col("n_text_lines"),
-    "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
-    "capitals": 100 * F.col("n_capitals") > 60 * F.col("word_chars"),
+RULES: dict[str, str] = {
+    "too_short": f"n_words < {MIN_WORDS}",
+    "repeated_words": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "100 * n_symbols > 20 * n_words",
+    "duplicate_lines": "100 * n_dup_lines > 60 * n_text_lines",
+    "word_length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
+    "capitals": "100 * n_capitals > 60 * word_chars",
 }
 BASE_RULES = ("too_short", "repeated_words")
 POLICIES: dict[str, Sequence[str]] = {
@@ -110,9 +110,9 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return _repeat_words(df, "_w", [key, *MEASURES])
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Mapping[str, Column] = RULES) -> DataFrame:
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Mapping[str, str] = RULES) -> DataFrame:
     """``(key, measurements, fail_bits)``: every rule evaluated once per document."""
-    bits = [F.when(rule, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(rules.values())]
+    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(rules.values())]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
