@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.session import cut_lineage
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
+FILES_PER_BUCKET = 8  # tasks (and files) that write one bucket
 
 
 def table_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,26 +52,47 @@ def key_bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
+def key_bucket_file(key: str):
+    """Second half of a bucket's distribution: a bucket is written by several tasks, as several files."""
+    return F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(FILES_PER_BUCKET)).cast("int")
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
     """Write a keyed table partitioned by a hash bucket of its key."""
-    df.withColumn("bucket", key_bucket(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy(
+    df.withColumn("bucket", key_bucket(key, buckets)).repartition("bucket", key_bucket_file(key)).write.mode("overwrite").partitionBy(
         "bucket"
     ).parquet(path)
 
 
+def _file_system(spark, path: str):
+    """The Hadoop path and file system of ``path`` (any store Spark can write)."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def table_exists(spark, path: str) -> bool:
+    """True when a table was committed at ``path``.  Asks the file system only, so a table
+    that cannot be read is not mistaken for one that is not there."""
+    root, fs = _file_system(spark, path)
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "_SUCCESS")
+    if not fs.exists(root):
+        return False
+    return fs.exists(marker) or len(fs.listStatus(root)) > 0
+
+
 def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int) -> int:
     """Apply a change set to a bucketed parquet table in place, rewriting only
     the touched buckets (dynamic partition overwrite).
 
-    The new version of the touched buckets is checkpointed first, so the job
-    never reads and overwrites the same files at once.  A touched bucket
-    left with no rows has its folder removed.  Returns the number of touched
-    buckets.  Replaying the same change set gives the same table.
+    The change set and the new version of the touched buckets are written
+    first, so neither is computed twice and the job never reads and overwrites
+    the same files at once.  A touched bucket left with no rows has its folder
+    removed.  Returns the number of touched buckets.  Replaying the same change
+    set gives the same table.
     """
     spark = changes.sparkSession
-    changes = changes.withColumn("bucket", key_bucket(key, buckets))
-    touched = cut_lineage(changes.select("bucket").distinct())
-    touched_ids = sorted(r["bucket"] for r in touched.collect())  # at most `buckets` rows
+    changes = cut_lineage(changes.withColumn("bucket", key_bucket(key, buckets)))
+    touched_ids = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())  # at most `buckets` rows
     if not touched_ids:
         return 0
     target = spark.read.parquet(path)
@@ -81,7 +103,7 @@ def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int) -> int
     staged = cut_lineage(kept.unionByName(upserts))
     written = {r["bucket"] for r in staged.select("bucket").distinct().collect()}
     (
-        staged.repartition("bucket")
+        staged.repartition("bucket", key_bucket_file(key))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -89,11 +111,7 @@ def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int) -> int
     )
     emptied = [b for b in touched_ids if b not in written]
     if emptied:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(conf)
+        root, fs = _file_system(spark, path)
         for b in emptied:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"bucket={b}"), True)
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"bucket={b}"), True)
     return len(touched_ids)
-

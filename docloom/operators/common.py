@@ -18,8 +18,8 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def top_k_per_group(
     df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
+    group: Sequence[Column | str],
+    order: Sequence[Column | str],
     k: int,
     rank_col: str = "rank",
 ) -> DataFrame:

@@ -374,12 +374,29 @@ def parsed_stream_shape(spark, sf_dir):
     return parse.parse_documents(fixtures.raw_files(spark, sf_dir), "text", on_error="null")
 
 
+DOCS_PER_FILE = 64
+
+
+def landed_documents(spark, sf_dir) -> str:
+    """The documents as text files of about ``DOCS_PER_FILE`` texts each, in folders
+    ``bucket=n``; returns the landing folder."""
+    docs = fixtures.table(spark, sf_dir, "documents")
+    base = _scratch(spark, "landed-docs")
+    n = docs.count() // DOCS_PER_FILE + 1
+    files.land_text_files(docs.withColumn("bucket", F.col("doc_id") % n), base, "bucket", "text")
+    return base
+
+
+def file_texts(scanned):
+    """``(bucket, text_md5)`` of every text in scanned files: where it was landed and what it holds."""
+    texts = F.split(F.decode("content", "UTF-8"), "\u0000")
+    each = scanned.select("path", F.explode(F.slice(texts, 1, F.size(texts) - 1)).alias("text"))
+    return each.select(F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), F.md5("text").alias("text_md5"))
+
+
 @register
 def q_scan_files(spark, sf_dir):
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/landed-docs-{uuid.uuid4().hex}"
-    files.land_text_files(fixtures.table(spark, sf_dir, "documents"), base, "source", "text")
-    scanned = files.scan_files(spark, base, "txt")
-    return scanned.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"), "length")
+    return file_texts(files.scan_files(spark, landed_documents(spark, sf_dir), "txt"))
 
 
 @register
@@ -527,28 +544,25 @@ def _scratch(spark, name):
     return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
 
 
-def document_stream(spark, sf_dir, max_files: int = 1):
-    """The driver's ``documents`` file read as a stream, turned into file rows."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    docs = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", str(max_files))
-        .parquet(sf_dir)
-    )
-    return fixtures.raw_files_from(docs).withColumn("processing_timestamp", F.current_timestamp())
+def document_stream(spark, sf_dir, max_files: int = 1, failing: bool = True):
+    """The driver's ``documents`` table (a file or a folder) read as a stream, turned into file rows."""
+    path = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files)).parquet(path)
+    return fixtures.raw_files_from(docs, failing).withColumn("processing_timestamp", F.current_timestamp())
 
 
-def streamed_tables(spark, sf_dir):
+def streamed_tables(spark, sf_dir, failing: bool = True):
     base = _scratch(spark, "stream")
-    runs = pipeline.run_pipeline(spark, document_stream(spark, sf_dir), base)
+    runs = pipeline.run_pipeline(spark, document_stream(spark, sf_dir, failing=failing), base)
     return base, runs
 
 
 @register
 def q_stream_files(spark, sf_dir):
-    base, _ = streamed_tables(spark, sf_dir)
-    return spark.read.parquet(f"{base}/bronze").select("path", "length")
+    landed, base = landed_documents(spark, sf_dir), _scratch(spark, "stream")
+    stage = pipeline.run_stage(pipeline.bronze_from_files(spark, landed, "txt"), base, "bronze")
+    return file_texts(spark.read.parquet(stage.output))
 
 
 @register
@@ -559,7 +573,7 @@ def q_stream_parsed(spark, sf_dir):
 
 @register
 def q_stream_chunks(spark, sf_dir):
-    base, _ = streamed_tables(spark, sf_dir)
+    base, _ = streamed_tables(spark, sf_dir, failing=False)
     return spark.read.parquet(f"{base}/gold").select("path", "chunked_text", "chunk_id")
 
 
@@ -577,12 +591,21 @@ def q_stream_expectations(spark, sf_dir):
 
 @register
 def q_stream_sync(spark, sf_dir):
-    base, _ = streamed_tables(spark, sf_dir)
-    vectors = f"{base}/vectors"
-    pipeline.sync_vectors(spark, base, vectors)
+    """Two syncs of one vector table: the documents that are not German, then all
+    documents, so that most keys come back with a second path."""
+    base = _scratch(spark, "stream")
+    source, vectors = f"{base}/source", f"{base}/vectors"
+    docs = fixtures.table(spark, sf_dir, "documents")
+    for landing in (docs.filter(F.col("lang") != "de"), docs):
+        landing.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "100").parquet(source)
+        stream = fixtures.raw_files_from(stream, failing=False).withColumn("processing_timestamp", F.current_timestamp())
+        pipeline.run_pipeline(spark, stream, base)
+        pipeline.sync_vectors(spark, base, vectors)
     v = spark.read.parquet(vectors)
     return v.select(
         "chunk_id",
+        "path",
         F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"),
         F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"),
         F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).cast("long").alias("sq_norm"),
@@ -696,7 +719,7 @@ def q_monitor_summary(spark, sf_dir):
 def q_ingest_gold(spark, sf_dir):
     from docloom.plans.ingest import TableNames, batch_ingest
 
-    result = batch_ingest(spark, fixtures.raw_files(spark, sf_dir), TableNames.scratch(spark),
+    result = batch_ingest(spark, fixtures.raw_files(spark, sf_dir, failing=False), TableNames.scratch(spark),
                           config={"chunker": {"size": CHUNK_SIZE, "overlap": CHUNK_OVERLAP}},
                           method="windows")
     return result.chunks.select("path", "chunked_text", "chunk_id")

@@ -7,7 +7,7 @@ the same rows.  Every recipe reads its whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.sources.tables import spread
@@ -18,8 +18,8 @@ TABLES = (
 ).split()
 
 # Fixed values of the recipes ------------------------------------------------
-PARSE_FAILURE_EVERY = 97  # documents with doc_id % 97 = 0 stand for parse failures
-REVIEW_BUCKETS = 1000  # events map onto request ids r0 .. r999
+PARSE_FAILURE_EVERY = 97  # in the parse and quality queries, documents with doc_id % 97 = 0 stand for parse failures
+UNREVIEWED_EVERY = 3  # requests of conversations with conv_id % 3 = 0 get no review
 TRACE_LENGTH = 8  # retrieved chunks per request
 TRACE_URIS = 20  # distinct document uris in traces
 # -----------------------------------------------------------------------------
@@ -40,31 +40,23 @@ def doc_path(source="source", doc_id="doc_id"):
 
 
 def parsed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream-shaped parsed documents ``(path, doc_id, lang, parsed_content)``;
-    every 97th document stands for a parse failure (null content)."""
+    """Stream-shaped parsed documents ``(path, doc_id, lang, parsed_content)``, whole texts."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(
-        doc_path().alias("path"),
-        "doc_id",
-        "lang",
-        F.when(F.col("doc_id") % PARSE_FAILURE_EVERY == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("text"))
-        .alias("parsed_content"),
-    )
+    return docs.select(doc_path().alias("path"), "doc_id", "lang", F.col("text").alias("parsed_content"))
 
 
-def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_files(spark: SparkSession, sf_dir: str, failing: bool = True) -> DataFrame:
     """File-shaped documents ``(path, modificationTime, length, content)``: the
-    UTF-8 bytes of each document; every 97th document is not valid UTF-8 (a
-    file the text parser rejects)."""
-    return raw_files_from(table(spark, sf_dir, "documents"))
+    UTF-8 bytes of each document.  With ``failing`` every 97th document is not
+    valid UTF-8 (a file the text parser rejects)."""
+    return raw_files_from(table(spark, sf_dir, "documents"), failing)
 
 
-def raw_files_from(docs: DataFrame) -> DataFrame:
+def raw_files_from(docs: DataFrame, failing: bool = True) -> DataFrame:
     """The raw-file recipe over any ``documents``-shaped frame (batch or stream)."""
-    content = F.when(
-        F.col("doc_id") % PARSE_FAILURE_EVERY == 0, F.unhex(F.lit("FFFE00"))
-    ).otherwise(F.encode(F.col("text"), "UTF-8"))
+    content = F.encode(F.col("text"), "UTF-8")
+    if failing:
+        content = F.when(F.col("doc_id") % PARSE_FAILURE_EVERY == 0, F.unhex(F.lit("FFFE00"))).otherwise(content)
     return docs.select(
         doc_path().alias("path"),
         F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"),
@@ -78,8 +70,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
 
 
+def request_key():
+    return F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as requests: ``request_id = 'r' || (conv_id * 10 + turn)``,
+    """User turns as requests: ``request_id = 'r' || conv_id || '_' || turn``,
     response = text of the next turn (if any), trace = 8 retrieved chunks."""
     conv = table(spark, sf_dir, "conversations")
     nxt = conv.select(
@@ -94,21 +90,37 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return users.select(
-        F.concat(F.lit("r"), (F.col("conv_id") * 10 + F.col("turn")).cast("string")).alias("request_id"),
+        request_key().alias("request_id"),
         F.col("text").alias("request"),
         "response",
         F.to_json(F.struct(entries.alias("retrieved"))).alias("trace"),
     )
 
 
+def _reviewed(events: DataFrame, conv: DataFrame) -> DataFrame:
+    """``events`` with the ``(conv_id, turn)`` of the request each one reviews."""
+    n_conv = int(conv.agg(F.max("conv_id")).first()[0] or 0) + 1
+    by_conv = Window.partitionBy("conv_id")
+    users = conv.filter(F.col("role") == "user").select(
+        "conv_id", "turn", (F.row_number().over(by_conv.orderBy("turn")) - 1).cast("long").alias("_nth")
+    )
+    counts = conv.filter(F.col("role") == "user").groupBy("conv_id").agg(F.count(F.lit(1)).alias("_users"))
+    first = F.col("event_id") % n_conv
+    picked = F.when(first % UNREVIEWED_EVERY == 0, (first + 1) % n_conv).otherwise(first)
+    placed = events.select("*", picked.alias("conv_id"), F.floor(F.col("event_id") / n_conv).alias("_round")).join(counts, "conv_id")
+    placed = placed.withColumn("_nth", F.col("_round") % F.col("_users"))
+    return placed.join(users, ["conv_id", "_nth"]).drop("_nth", "_round", "_users")
+
+
 def assessment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewer clicks from ``events``.  An event maps onto request
-    ``'r' || (event_id % 1000)``; requests whose number is a multiple of 3 get
-    no review.  purchase / error / view are answer ratings (positive /
-    negative / unknown); click / signup rate the retrieved chunk at position
-    ``props.k % 8`` (true / false).  ``event_id`` is kept as tie-break."""
-    ev = table(spark, sf_dir, "events")
-    bucket = F.col("event_id") % REVIEW_BUCKETS
+    """Reviewer clicks from ``events``.  Every event belongs to a request: it picks
+    conversation ``event_id % conversations`` (the next one where that is a
+    multiple of 3, so some requests stay without a review) and there the user
+    turn number ``event_id // conversations``, counted round.  purchase / error
+    / view are answer ratings (positive / negative / unknown); click / signup
+    rate the retrieved chunk at position ``props.k % 8`` (true / false).
+    ``event_id`` is kept as tie-break."""
+    ev = _reviewed(table(spark, sf_dir, "events"), table(spark, sf_dir, "conversations"))
     answer = (
         F.when(F.col("event_type") == "purchase", "positive")
         .when(F.col("event_type") == "error", "negative")
@@ -134,8 +146,8 @@ def assessment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.create_map(F.lit("answer_correct"), F.struct(chunk_rating.alias("value"))).alias("ratings"),
         ),
     )
-    return ev.filter(bucket % 3 != 0).select(
-        F.concat(F.lit("r"), bucket.cast("string")).alias("request_id"),
+    return ev.select(
+        request_key().alias("request_id"),
         F.col("ts").alias("timestamp"),
         F.struct(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("id")).alias("source"),
         step.alias("step_id"),

@@ -20,14 +20,6 @@ PARSING = T.StructType(
     ]
 )
 
-CHUNKED_DOCS = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("chunked_text", T.StringType()),
-        T.StructField("chunk_id", T.StringType()),
-    ]
-)
-
 RATING = T.StructType([T.StructField("value", T.StringType())])
 RATINGS = T.MapType(T.StringType(), RATING)
 
@@ -68,18 +60,6 @@ CONTEXT = T.ArrayType(CONTEXT_ENTRY)
 
 # Our trace format: {"retrieved": [{"doc_uri": ..., "content": ...}, ...]}
 TRACE = T.StructType([T.StructField("retrieved", CONTEXT)])
-TRACE_SCHEMA_DDL = "retrieved array<struct<doc_uri:string,content:string>>"
-
-EVALUATION_SET = T.StructType(
-    [
-        T.StructField("request", T.StringType()),
-        T.StructField("request_id", T.StringType()),
-        T.StructField("expected_response", T.StringType()),
-        T.StructField("expected_retrieved_context", CONTEXT),
-        T.StructField("source_user", T.StringType()),
-        T.StructField("source_tag", T.StringType()),
-    ]
-)
 
 GOLD_QUESTIONS = T.StructType(
     [
@@ -91,13 +71,3 @@ GOLD_QUESTIONS = T.StructType(
 )
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-MESSAGES = T.ArrayType(MESSAGE)
-
-CONVERSATION_ROWS = T.StructType(
-    [
-        T.StructField("conv_id", T.LongType()),
-        T.StructField("turn", T.LongType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)

@@ -19,11 +19,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target)
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """S3: a saved table by name."""
-    return spark.table(name)
-
-
 def save_table(
     df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = (), path: str | None = None
 ) -> DataFrame:
@@ -51,16 +46,18 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def flatten_config(config: Mapping[str, Any], sep: str = "__", prefix: str = "") -> dict[str, str]:
-    """Nested configuration -> flat ``{a__b__c: value}`` (values as text)."""
-    out: dict[str, str] = {}
-    for key, value in config.items():
-        name = f"{prefix}{sep}{key}" if prefix else str(key)
+def flatten_config(config: Mapping[str, Any], sep: str = "__") -> dict[str, str]:
+    """Tags of a nested configuration: the path to each leaf, its keys joined by
+    ``sep``, with the leaf as text, in the order of the configuration."""
+    open_paths: list[tuple[tuple[str, ...], Any]] = [((), config)]
+    tags: dict[str, str] = {}
+    while open_paths:
+        path, value = open_paths.pop()
         if isinstance(value, Mapping):
-            out.update(flatten_config(value, sep, name))
+            open_paths.extend([((*path, str(key)), below) for key, below in reversed(list(value.items()))])
         else:
-            out[name] = str(value)
-    return out
+            tags[sep.join(path)] = str(value)
+    return tags
 
 
 def _sql_string(value: str) -> str:

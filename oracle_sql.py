@@ -16,9 +16,12 @@ TOKEN = r"'[\p{L}\p{N}]+'"
 PARSED = """
 parsed AS (
   SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, doc_id, lang,
-         CASE WHEN doc_id % 97 = 0 THEN NULL ELSE text END AS parsed_content
+         text AS parsed_content
   FROM documents)"""
 
+# parse and quality queries: every 97th document fails to parse
+PARSED_FAILING = PARSED.replace("text AS parsed_content", "CASE WHEN doc_id % 97 = 0 THEN NULL ELSE text END AS parsed_content")
+
 WINDOWS = f"""
 windows AS (
   SELECT path, (s - 1) // {STEP} AS chunk_index, substring(parsed_content, s, {CHUNK_SIZE}) AS chunked_text
@@ -85,15 +88,22 @@ GROUP BY item_id"""
 # feedback -> evaluation set
 
 ALOG = """
+n_conv AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+users AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, count(*) OVER (PARTITION BY conv_id) AS n_users
+  FROM conversations WHERE role = 'user'),
+picked AS (
+  SELECT e.*, CASE WHEN (event_id % n) % 3 = 0 THEN (event_id % n + 1) % n ELSE event_id % n END AS conv_id, event_id // n AS round
+  FROM events e CROSS JOIN n_conv),
 alog AS (
-  SELECT 'r' || CAST(event_id % 1000 AS VARCHAR) AS request_id, ts AS timestamp,
+  SELECT 'r' || CAST(u.conv_id AS VARCHAR) || '_' || CAST(u.turn AS VARCHAR) AS request_id, ts AS timestamp,
          'u' || CAST(user_id % 3 AS VARCHAR) AS source_id, 's' || CAST(event_id % 2 AS VARCHAR) AS step_id,
          CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative' WHEN 'view' THEN 'unknown' END AS answer,
          CASE WHEN value > 35 THEN 'edit ' || CAST(event_id AS VARCHAR) ELSE '' END AS suggested_output,
          CASE event_type WHEN 'click' THEN 'true' WHEN 'signup' THEN 'false' END AS chunk_rating,
          CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 AS position,
          event_id
-  FROM events WHERE (event_id % 1000) % 3 <> 0),
+  FROM picked p JOIN users u ON u.conv_id = p.conv_id AND u.nth = p.round % u.n_users),
 dedup_text AS (
   SELECT * FROM alog WHERE answer IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY request_id, source_id ORDER BY timestamp DESC, event_id DESC) = 1),
@@ -112,7 +122,7 @@ merged AS (
 
 REQLOG = """
 reqlog AS (
-  SELECT 'r' || CAST(c.conv_id * 10 + c.turn AS VARCHAR) AS request_id, c.text AS request, n.text AS response, c.conv_id
+  SELECT 'r' || CAST(c.conv_id AS VARCHAR) || '_' || CAST(c.turn AS VARCHAR) AS request_id, c.text AS request, n.text AS response, c.conv_id
   FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
   WHERE c.role = 'user'),
 attached AS (
@@ -334,7 +344,7 @@ SELECT path, CAST(length AS BIGINT) AS length, CAST(length(text) AS BIGINT) AS n
 SQL["parse_errors"] = _with(RAW) + f"""
 SELECT CASE WHEN bad THEN {PARSE_ERROR} ELSE 'SUCCESS' END AS status, count(*) AS n FROM raw GROUP BY 1"""
 
-SQL["chunk_errors"] = "SELECT 'SUCCESS' AS status, count(*) AS n FROM documents"
+SQL["chunk_errors"] = _with(PARSED) + "SELECT 'SUCCESS' AS status, count(*) AS n FROM parsed"  # the window chunker rejects no text
 
 SQL["chunk_words"] = _with(PARSED) + """
 , words AS (
@@ -343,14 +353,15 @@ SQL["chunk_words"] = _with(PARSED) + """
 SELECT path, CAST((s - 1) // 150 AS BIGINT) AS chunk_index, md5(array_to_string(w[s:s + 199], ' ')) AS chunk_id
 FROM (SELECT path, w, unnest(generate_series(1, greatest(len(w) - 50, 1), 150)) AS s FROM words WHERE len(w) > 0)"""
 
-SQL["quality_metrics"] = _with(PARSED, WINDOWS) + """
-SELECT 'raw_files' AS table_name, count(*) AS total_records, CAST(0 AS BIGINT) AS null_content_count FROM documents
+SQL["quality_metrics"] = _with(PARSED_FAILING, WINDOWS) + """
+SELECT 'raw_files' AS table_name, count(*) AS total_records,
+       count(*) FILTER (WHERE text IS NULL AND doc_id % 97 <> 0) AS null_content_count FROM documents
 UNION ALL
 SELECT 'parsed_docs', count(*), count(*) FILTER (WHERE parsed_content IS NULL) FROM parsed
 UNION ALL
 SELECT 'chunked_docs', count(*), count(*) FILTER (WHERE chunked_text IS NULL) FROM chunk_rows"""
 
-SQL["expectations"] = _with(PARSED, WINDOWS) + """
+SQL["expectations"] = _with(PARSED_FAILING, WINDOWS) + """
 SELECT 'parsed_docs' AS table_name, 'valid_content' AS rule, count(*) FILTER (WHERE parsed_content IS NULL) AS failed,
        count(*) FILTER (WHERE parsed_content IS NOT NULL) AS passed, count(*) AS total FROM parsed
 UNION ALL
@@ -362,7 +373,7 @@ UNION ALL
 SELECT 'chunked_docs', 'valid_chunk_id', count(*) FILTER (WHERE chunk_id IS NULL), count(*) FILTER (WHERE chunk_id IS NOT NULL), count(*)
 FROM chunk_rows"""
 
-SQL["stage_counts"] = _with(PARSED, WINDOWS) + """
+SQL["stage_counts"] = _with(PARSED_FAILING, WINDOWS) + """
 SELECT 'raw_files' AS stage, count(*) AS rows FROM documents
 UNION ALL SELECT 'parsed_docs', count(*) FROM parsed WHERE parsed_content IS NOT NULL
 UNION ALL SELECT 'chunked_docs', count(*) FROM chunk_rows"""
@@ -408,7 +419,12 @@ SQL["apply_changes"] = _with(PARSED, SNAPSHOTS) + "SELECT chunk_id, path FROM ne
 SQL["stream_parsed"] = SQL["parse_nullable"]
 SQL["stream_chunks"] = SQL["chunk_rows"]
 SQL["stream_expectations"] = SQL["expectations"]
-SQL["stream_sync"] = SQL["embed_chunks"]
+SQL["stream_sync"] = f"""
+SELECT e.chunk_id, c.path, n_tokens, n_buckets, sq_norm
+FROM ({SQL["embed_chunks"]}) e JOIN ({SQL["dedup_chunks"]}) c ON e.chunk_id = c.chunk_id"""
+SQL["scan_files"] = """
+SELECT doc_id % (SELECT count(*) // 64 + 1 FROM documents) AS bucket, md5(coalesce(text, '')) AS text_md5 FROM documents"""
+SQL["stream_files"] = SQL["scan_files"]
 
 
 # ---------------------------------------------------------------------------
@@ -542,7 +558,7 @@ FROM monitored"""
 
 SQL["ingest_gold"] = SQL["chunk_rows"]
 
-SQL["ingest_counts"] = _with(PARSED, WINDOWS) + """
+SQL["ingest_counts"] = _with(PARSED_FAILING, WINDOWS) + """
 SELECT 'raw_files' AS stage, count(*) AS rows FROM documents
 UNION ALL SELECT 'parsed_docs', count(*) FROM parsed WHERE parsed_content IS NOT NULL
 UNION ALL SELECT 'parse_errors', count(*) FROM parsed WHERE parsed_content IS NULL

@@ -3,6 +3,7 @@ the ingest time, and a second run with the same checkpoints adds nothing."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chunk, parse
@@ -70,3 +71,46 @@ def test_vector_sync_keeps_smallest_path_across_batches(spark, tmp_path):
     assert paths == {"a.txt"}
     gold = chunk.dedup_chunks(spark.read.parquet(f"{base}/gold").select("path", "chunked_text", "chunk_id"))
     assert spark.read.parquet(vectors).count() == gold.count()
+
+
+def test_vector_sync_never_overwrites_a_table_it_cannot_read(spark, tmp_path):
+    src, base, vectors = str(tmp_path / "src"), str(tmp_path / "run"), str(tmp_path / "vectors")
+    write_files(src, {f"d{i}.txt": (f"text number {i} " * 30).encode() for i in range(5)})
+    pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    pipeline.sync_vectors(spark, base, vectors, buckets=1)
+    files = [os.path.join(d, f) for d, _, names in os.walk(vectors) for f in names if f.endswith(".parquet")]
+    kept = {f: open(f, "rb").read() for f in files}
+    with open(files[0], "wb") as f:
+        f.write(b"not a parquet file")
+    write_files(src, {"late.txt": b"late arrival " * 30})
+    pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    with pytest.raises(Exception):
+        pipeline.sync_vectors(spark, base, vectors, buckets=1)
+    for f in files[1:]:
+        assert open(f, "rb").read() == kept[f]
+    with open(files[0], "wb") as f:
+        f.write(kept[files[0]])
+    pipeline.sync_vectors(spark, base, vectors)  # the failed batch is taken again
+    keys = {r.chunk_id for r in spark.read.parquet(vectors).collect()}
+    assert keys == {r.chunk_id for r in spark.read.parquet(f"{base}/gold").collect()}
+
+
+def test_rule_counts_cover_more_batches_than_the_progress_history(spark, tmp_path):
+    src, base = str(tmp_path / "src"), str(tmp_path / "run")
+    write_files(src, {f"d{i}.txt": b"some words here" for i in range(12)})
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "5")
+    try:
+        pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt", 1), base, max_files_per_trigger=1)
+        runs = pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt", 1), str(tmp_path / "again"), max_files_per_trigger=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert sum(m["rows"] for m in runs["silver"].metrics) == 12
+
+
+def test_document_stream_reads_a_folder_table(spark, tmp_path):
+    from docloom.plans import catalog
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    base, _ = catalog.streamed_tables(spark, str(tmp_path), failing=False)
+    assert spark.read.parquet(f"{base}/silver").count() == 9
