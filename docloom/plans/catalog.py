@@ -548,7 +548,8 @@ def document_stream(spark, sf_dir, max_files: int = 1, failing: bool = True):
     """The driver's ``documents`` table (a file or a folder) read as a stream, turned into file rows."""
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files)).parquet(path)
+    # a pattern: a stream may then start from one file as well as from a folder
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files)).parquet(path[:-1] + "[t]")
     return fixtures.raw_files_from(docs, failing).withColumn("processing_timestamp", F.current_timestamp())
 
 
