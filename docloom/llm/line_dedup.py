@@ -45,7 +45,7 @@ from docloom.llm.common import WHITE_CHARS
 from docloom.session import cut_lineage, ensure_checkpoint_dir
 
 MIN_CHARS = 10  # fixed value of the contract
-KEYS_PER_SHARD = 1 << 15
+KEYS_PER_SHARD = 1 << 12
 _UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 POSTING = "k1 long, k2 long, doc_id long"

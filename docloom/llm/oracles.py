@@ -7,8 +7,8 @@ SQL: dict[str, str] = {}
 SQL["op3_quality_rules"] = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text,
-             list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+             list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
       FROM t),
 win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS s
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
@@ -16,7 +16,7 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
         FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
-             coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
              len(lines)::BIGINT AS n_text_lines,
