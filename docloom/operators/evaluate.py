@@ -11,19 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
-from docloom.operators.common import row_count_at_most
+from docloom.session import cut_lineage
 
-MAX_BROADCAST_PASSAGES = 1_000_000
+SHORT_GRAM = 3  # characters of the grams that anchor passages without a whole interior token
 
 
-def _anchor(toks: Column) -> Column:
-    """Longest interior token of a passage (ties: the larger string).  A
-    token strictly inside the passage is a whole token of any text that
-    contains the passage, even when the passage starts or ends inside a
-    word; passages of one or two tokens use all their tokens."""
+def _interior(toks: Column) -> Column:
+    """Tokens strictly inside a passage: each is a whole token of any text that contains the
+    passage, even when the passage starts or ends inside a word."""
     n = F.size(toks)
-    interior = F.when(n >= 3, F.slice(toks, F.lit(2), n - 2)).otherwise(toks)
-    return F.array_max(F.transform(interior, lambda t: F.struct(F.length(t).alias("len"), t.alias("tok"))))["tok"]
+    return F.when(n >= 3, F.array_distinct(F.slice(toks, F.lit(2), n - 2))).otherwise(F.array().cast("array<string>"))
+
+
+def _anchored(keys: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
+    """Candidate ``(doc_key, item_key)``: documents that have the rarest of a passage's anchors.
+    ``keys (doc_key, _anchor)``, ``items (item_key, _anchor)``, both distinct."""
+    held = cut_lineage(keys.join(items.select("_anchor").distinct(), "_anchor", "left_semi"))
+    frequency = held.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = items.join(frequency, "_anchor").groupBy(item_key).agg(F.min(F.struct("_df", "_anchor")).alias("_a"))
+    return held.join(rarest.select(item_key, F.col("_a._anchor").alias("_anchor")), "_anchor").select(doc_key, item_key)
 
 
 def containment_pairs(
@@ -35,32 +41,56 @@ def containment_pairs(
     item_text: str = "text",
 ) -> DataFrame:
     """``(doc_key, item_key)`` for every document whose text contains a
-    passage verbatim.
+    passage verbatim.  An empty passage is in no document.
 
-    No document x passage product is formed: each passage is anchored by
-    one token (``_anchor``), each document emits its distinct tokens, an
-    equi-join on the token finds the candidates and ``instr`` confirms each
-    one exactly.  For passages of three or more tokens this finds every
-    containment; one- and two-token passages are found on token boundaries.
+    No document x passage product is formed and no text is copied per token: each
+    document gives slim ``(id, token)`` rows, each passage is anchored by its
+    rarest interior token in the corpus, an equi-join finds the candidates, and
+    only those fetch their texts for the exact ``instr``.  Passages without an
+    interior token are anchored by character grams the same way, also exactly.
     """
-    anchors = passages.select(item_key, F.col(item_text).alias("_ptext"), _anchor(tokens(item_text)).alias("_anchor")).filter(
-        F.col("_anchor").isNotNull()
-    )
-    small = row_count_at_most(anchors, MAX_BROADCAST_PASSAGES)
-    words = docs.select(doc_key, F.col(doc_text).alias("_dtext"), F.explode(F.array_distinct(tokens(doc_text))).alias("_anchor"))
-    cand = words.join(F.broadcast(anchors) if small else anchors, "_anchor")
-    return cand.filter(F.instr("_dtext", F.col("_ptext")) > 0).select(doc_key, item_key).distinct()
+    items = passages.filter(F.length(item_text) > 0)
+    inner = _interior(tokens(item_text))
+    by_token = items.select(item_key, F.explode(inner).alias("_anchor"))
+    words = docs.select(doc_key, F.explode(F.array_distinct(tokens(doc_text))).alias("_anchor"))
+    found = _anchored(words, by_token, doc_key, item_key)
+    short = cut_lineage(items.filter(F.size(inner) == 0).select(item_key, F.col(item_text).alias("_p")))
+    for (size,) in short.select(F.least(F.length("_p"), F.lit(SHORT_GRAM)).alias("n")).distinct().collect():  # at most SHORT_GRAM
+        of_size = short.filter(F.least(F.length("_p"), F.lit(SHORT_GRAM)) == size)
+
+        def grams(text: Column, n: int = size) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+            return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))))
+
+        found = found.unionByName(
+            _anchored(
+                docs.select(doc_key, grams(F.col(doc_text)).alias("_anchor")),
+                of_size.select(item_key, grams(F.col("_p")).alias("_anchor")),
+                doc_key,
+                item_key,
+            )
+        )
+    texts = found.distinct().join(passages.select(item_key, F.col(item_text).alias("_p")), item_key)
+    texts = texts.join(docs.select(doc_key, F.col(doc_text).alias("_d")), doc_key)
+    return texts.filter(F.instr("_d", F.col("_p")) > 0).select(doc_key, item_key).distinct()
+
+
+def expand_paths(hits: DataFrame, paths: DataFrame, qid: str = "item_id", key: str = "chunk_id", uri: str = "path") -> DataFrame:
+    """``(qid, rank, uri)``: a hit once for every document its chunk occurs in, from the
+    ``(key, uri)`` rows of the chunk table before it was reduced to unique keys."""
+    return hits.select(qid, "rank", key).join(paths.select(key, uri).distinct(), key).select(qid, "rank", uri)
 
 
 def retrieval_metrics(hits: DataFrame, expected: DataFrame, k: int, qid: str = "item_id", uri: str = "path") -> DataFrame:
     """V1 per question with at least one expected uri: ``n_expected``,
     ``n_found`` (distinct expected uris retrieved), ``recall``,
-    ``precision_at_k`` (relevant hits / k), ``hit`` and ``reciprocal_rank``.
+    ``precision_at_k`` (relevant ranks / k), ``hit`` and ``reciprocal_rank``.
+    A hit may have several uris, one row each (``expand_paths``).
     Equi-join of hits and expected on (question, uri)."""
     exp = expected.select(qid, uri).distinct()
     rel = hits.select(qid, uri, "rank").join(exp.withColumn("_rel", F.lit(1)), [qid, uri], "left")
     per_q = rel.groupBy(qid).agg(
-        F.count_if(F.col("_rel").isNotNull()).alias("n_relevant_hits"),
+        F.countDistinct(F.when(F.col("_rel").isNotNull(), F.col("rank"))).alias("n_relevant_hits"),
         F.countDistinct(F.when(F.col("_rel").isNotNull(), F.col(uri))).alias("n_found"),
         F.min(F.when(F.col("_rel").isNotNull(), F.col("rank"))).alias("first_rank"),
     )
@@ -78,14 +108,24 @@ def retrieval_metrics(hits: DataFrame, expected: DataFrame, k: int, qid: str = "
 
 
 def _multiset_common(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.transform(
-            F.array_distinct(a),
-            lambda t: F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
-        ),
-        F.lit(0),
-        lambda acc, x: acc + x,
-    )
+    """Tokens two arrays share, with multiplicity: one fold over both, sorted together."""
+
+    def tagged(toks: Column, left: int) -> Column:
+        return F.transform(toks, lambda t: F.struct(t.alias("t"), F.lit(left).alias("l")))
+
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(s, x):
+        same = x["t"].eqNullSafe(s["t"])
+        return F.struct(
+            x["t"].alias("t"),
+            (F.when(same, s["a"]).otherwise(0) + x["l"]).alias("a"),
+            (F.when(same, s["b"]).otherwise(0) + 1 - x["l"]).alias("b"),
+            (s["n"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))).alias("n"),
+        )
+
+    both = F.array_sort(F.concat(tagged(a, 1), tagged(b, 0)))
+    return F.aggregate(both, start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
 
 
 def answer_match(df: DataFrame, answer: str = "response", expected: str = "expected_response") -> DataFrame:

@@ -10,17 +10,19 @@ Scale notes
   split into salted hash batches, each an ordinary distributed job.
 * Neither keyword nor vector search materialises question x chunk pairs as
   rows: each partition scores its chunks against the broadcast questions in
-  numpy blocks and emits only its top-k candidates per question; a final
-  per-question ``row_number`` (partial ``WindowGroupLimit`` first) merges
-  the partitions.  Corpus statistics for BM25 come from one aggregate whose
-  output is bounded by the question vocabulary.
-* Approximate search joins each question only to the items of its probed
-  k-means cells (a broadcast probe list), never item to item.
+  numpy blocks with a running top-k per question, whose memory is bounded by
+  questions x k; the partitions' candidates are merged in two steps.  Corpus
+  statistics for BM25 come from one aggregate for all question batches.
+* Approximate search scores an item only for the questions that probe its
+  k-means cell, in the same blocks.
+* Hybrid search fuses the uncut rankings: the heads that can matter are
+  taken from both lists and ranks missing in the other are counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.templates import fill_template
 from docloom.functions.text import tokens, tokens_of
+from docloom.operators import embed
 from docloom.operators.common import row_count_at_most, top_k_per_group
 from docloom.session import cut_lineage
 
@@ -49,6 +52,9 @@ DEFAULT_CHUNK_TEMPLATE = "Passage: {chunk_text}\n"
 MAX_BROADCAST_QUESTIONS = 100_000
 MAX_BROADCAST_QUESTION_TERMS = 1_000_000
 MAX_BROADCAST_VECTOR_CELLS = 8_000_000  # questions x dimensions (64 MB of doubles)
+MAX_FUSED_QUESTIONS = 5_000  # each has up to 2 x (constant + 2k) candidates in a task
+MAX_PROBES = 1_000_000  # (question, cell) probes of one batch
+MERGE_GROUPS = 64  # groups of partitions whose candidates are merged before the final merge
 
 
 def _question_batches(questions: DataFrame, qid: str, n_batches: int, salt: int) -> list[DataFrame]:
@@ -67,7 +73,12 @@ def _union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, qid: str, key: str, k: int) -> DataFrame:
-    return top_k_per_group(scored, [qid], [F.desc("score"), F.asc(key)], k)
+    """Final top-k in two steps: per group of partitions, then per question, so that no
+    task sorts the candidates of all partitions for a question."""
+    order = [F.desc("score"), F.asc(key)]
+    grouped = scored.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+    some = top_k_per_group(grouped, [qid, "_group"], order, k, rank_col="_some").drop("_some", "_group")
+    return top_k_per_group(some, [qid], order, k)
 
 
 def attach_chunks(top: DataFrame, chunks: DataFrame, key: str, cols: Sequence[str], small: bool) -> DataFrame:
@@ -78,53 +89,182 @@ def attach_chunks(top: DataFrame, chunks: DataFrame, key: str, cols: Sequence[st
     return side.join(F.broadcast(top) if small else top, key, "inner")
 
 
+# ----------------------------------------------------------------------------
+# scoring in numpy blocks, shared by keyword and vector search
+
+
+BLOCK_CELLS = 2_000_000  # chunk rows x questions scored at once in a task
+
+
+class _Best:
+    """Running top-k of every question of a task: candidates are appended as flat
+    arrays and cut back to k per question whenever they outgrow a fixed multiple
+    of questions x k, so memory does not grow with the rows seen."""
+
+    def __init__(self, n_q: int, k: int):
+        self.n_q, self.k = n_q, k
+        self.limit = max(4 * n_q * k, 1 << 16)
+        self.q, self.s, self.keys = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
+        self.least = np.full(n_q, -np.inf)  # the k-th best so far
+        self.parts: list[tuple] = []
+        self.pending = 0
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, floor: float, asks: np.ndarray | None = None) -> None:
+        """``scores`` (rows, questions), or the columns of the questions ``asks`` only;
+        scores below ``floor`` never rank."""
+        least = self.least if asks is None else self.least[asks]
+        if len(scores) > self.k:
+            least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=0)[self.k - 1])
+        rows, cols = np.nonzero(scores >= np.maximum(least, floor)[None, :])
+        if len(rows):
+            self.parts.append((cols if asks is None else asks[cols], scores[rows, cols], keys[rows]))
+            self.pending += len(rows)
+            if self.pending > self.limit:
+                self.cut()
+
+    def cut(self) -> None:
+        q, s, keys = (np.concatenate(x) for x in zip((self.q, self.s, self.keys), *self.parts))
+        self.parts, self.pending = [], 0
+        if not len(q):
+            return
+        _, place = np.unique(keys, return_inverse=True)
+        order = np.lexsort((place, -s, q))
+        q, s, keys = q[order], s[order], keys[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = nth < self.k
+        self.q, self.s, self.keys = q[keep], s[keep], keys[keep]
+        full = nth == self.k - 1
+        self.least[q[full]] = s[full]
+
+
+@dataclass(frozen=True)
+class _Source:
+    """One way of scoring: ``blocks`` maps Arrow batches of ``rows`` (key first) to
+    ``(keys, scores)`` blocks, scores being (rows, questions) in the order of ``qids``."""
+
+    rows: DataFrame
+    blocks: Callable
+    qids: list
+    q_field: T.StructField
+    key: str
+    floor: float
+
+    def _schema(self, extra: str) -> tuple[T.StructType, pa.DataType, pa.DataType]:
+        key_field = self.rows.schema[self.key]
+        fields = [T.StructField("_q", self.q_field.dataType), T.StructField(self.key, key_field.dataType)]
+        schema = T.StructType([*fields, *T._parse_datatype_string(extra).fields])
+        return schema, to_arrow_type(self.q_field.dataType), to_arrow_type(key_field.dataType)
+
+    def top(self, k: int) -> DataFrame:
+        """``(_q, key, score, rank)``: the k best rows per question."""
+        schema, q_type, key_type = self._schema("score double")
+        blocks, qids, floor = self.blocks, self.qids, self.floor
+
+        def run(batches):
+            best = _Best(len(qids), k)
+            for keys, scores, *asks in blocks(batches):
+                best.add(scores, keys, floor, *asks)
+            best.cut()
+            if len(best.q):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([qids[i] for i in best.q], q_type), pa.array(best.keys.tolist(), key_type), pa.array(best.s)],
+                    names=schema.names,
+                )
+
+        return _ranked(self.rows.mapInArrow(run, schema), "_q", self.key, k)
+
+    def scores_of(self, pairs: DataFrame) -> DataFrame:
+        """``(_q, key, score)`` of the given ``(_q, key)`` pairs (at most questions x candidates)."""
+        schema, q_type, key_type = self._schema("score double")
+        wanted: dict = {}
+        numbers = {q: i for i, q in enumerate(self.qids)}
+        for q, key in pairs.collect():
+            wanted.setdefault(key, []).append(numbers[q])
+        shared, blocks, qids, floor = pairs.sparkSession.sparkContext.broadcast(wanted), self.blocks, self.qids, self.floor
+
+        def run(batches):
+            wanted = shared.value
+
+            def candidates():
+                for batch in batches:
+                    here = np.array([x in wanted for x in batch.column(0).to_pylist()], dtype=bool)
+                    if here.any():
+                        yield batch.filter(pa.array(here))
+
+            out = []
+            for keys, scores in blocks(candidates()):
+                out += [(qids[q], key, scores[i, q]) for i, key in enumerate(keys) for q in wanted[key] if scores[i, q] >= floor]
+            if out:
+                q, key, s = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q, q_type), pa.array(key, key_type), pa.array(np.array(s, dtype=float))], names=schema.names
+                )
+
+        return self.rows.mapInArrow(run, schema)
+
+    def ranks_of(self, scored: DataFrame) -> DataFrame:
+        """``(_q, key, rank)`` of ``scored (_q, key, score)``: one more than the rows that come before."""
+        schema, q_type, key_type = self._schema("better long")
+        numbers = {q: i for i, q in enumerate(self.qids)}
+        given: dict[int, list] = {}
+        for q, key, score in scored.collect():  # at most questions x candidates
+            given.setdefault(numbers[q], []).append((-score, key))
+        for q in given:
+            given[q].sort()
+        shared, blocks, qids = scored.sparkSession.sparkContext.broadcast(given), self.blocks, self.qids
+
+        def run(batches):
+            given = shared.value
+            limits = {q: np.array([s for s, _ in xs]) for q, xs in given.items()}
+            better = {q: np.zeros(len(xs) + 1, dtype=np.int64) for q, xs in given.items()}
+            for keys, scores in blocks(batches):
+                for q, limit in limits.items():
+                    column = -scores[:, q]
+                    left, right = np.searchsorted(limit, column, "left"), np.searchsorted(limit, column, "right")
+                    better[q] += np.bincount(right, minlength=len(limit) + 1)  # before every candidate of a lower score
+                    for i in np.flatnonzero(left != right):  # equal scores: the smaller key comes first
+                        for j in range(left[i], right[i]):
+                            if keys[i] < given[q][j][1]:
+                                better[q][j] += 1
+                                better[q][j + 1] -= 1
+            out = [(qids[q], xs[j][1], int(n)) for q, xs in given.items() for j, n in enumerate(np.cumsum(better[q])[:-1]) if n]
+            if out:
+                q, key, n = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(q, q_type), pa.array(key, key_type), pa.array(n, pa.int64())], names=schema.names)
+
+        counts = self.rows.mapInArrow(run, schema).groupBy("_q", self.key).agg(F.sum("better").alias("better"))
+        joined = scored.join(counts, ["_q", self.key], "left")
+        return joined.select("_q", self.key, (F.coalesce("better", F.lit(0)) + 1).alias("rank"))
+
+
 # ----------------------------------------------------------------------------
 # Keyword top-k (BM25)
 
 
-def keyword_stats(chunks: DataFrame, vocab: DataFrame, text: str, small: bool) -> tuple[int, float, dict]:
-    """Corpus size, mean length and the document frequency of every
-    vocabulary term, from one scan: each chunk emits one marker row (term "",
-    carrying its length) and one row per distinct vocabulary term; a partial
-    + final hash aggregate leaves at most ``len(vocab) + 1`` rows."""
-    marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
-    wanted = vocab.unionByName(marker)
-    rows = (
+def keyword_stats(chunks: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
+    """``(term, df, total)``: the document frequency of every vocabulary term, and under
+    the term "" the number and total length of the chunks.  One scan: each chunk
+    emits one marker row carrying its length and one row per distinct vocabulary
+    term; an aggregate with map-side combine leaves at most ``len(vocab) + 1`` rows."""
+    wanted = vocab.unionByName(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
+    if row_count_at_most(vocab, MAX_BROADCAST_QUESTION_TERMS):
+        wanted = F.broadcast(wanted)
+    return (
         chunks.select(tokens_of(chunks, text).alias("_toks"))
         .select(F.size("_toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_toks"))).alias("term"))
-        .join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        .join(wanted, "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
-        .collect()
     )
-    by_term = {r["term"]: (int(r["df"]), int(r["total"] or 0)) for r in rows}
-    n_docs, total = by_term.pop("", (0, 0))
-    avgdl = (total / n_docs if n_docs else 0.0) or 1.0
-    return n_docs, avgdl, {t: d for t, (d, _) in by_term.items()}
-
-
-BLOCK_CELLS = 2_000_000  # chunk rows x questions scored at once in a task
-
-
-def _groups(labels: np.ndarray, values: np.ndarray):
-    """(label, values of that label) for each distinct label, sorted by label."""
-    if len(labels) == 0:
-        return
-    order = np.argsort(labels, kind="stable")
-    labels, values = labels[order], values[order]
-    cuts = np.flatnonzero(np.diff(labels)) + 1
-    for part_l, part_v in zip(np.split(labels, cuts), np.split(values, cuts)):
-        yield int(part_l[0]), part_v
 
 
 HEAVY_CELLS = 4_000_000  # bound on the dense (shared term x question) matrix (32 MB)
 EXPAND_CELLS = 4_000_000  # bound on one slice of the sparse (posting x question) expansion
 
 
-def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
-    """mapInArrow body: BM25 scores of this partition's chunks for every
-    question, block by block in numpy; only each question's top-k candidates
-    (ties kept) leave the task.
+def _bm25_blocks(index):
+    """Blocks of BM25 scores of this partition's chunks for every question.
 
     Terms shared by many questions go through one dense matrix product
     (chunk x shared-term weights times shared-term x question incidence);
@@ -132,17 +272,14 @@ def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.D
     import pyarrow.compute as pc
 
     def run(batches):
-        qids, vocab, idf, term_start, term_questions, heavy_of, heavy_mat, k1, b, avgdl = index.value
-        n_q, n_v, n_h = len(qids), len(vocab), heavy_mat.shape[0]
+        n_q, vocab, idf, term_start, term_questions, heavy_of, heavy_mat, k1, b, avgdl = index.value
+        n_v, n_h = len(vocab), heavy_mat.shape[0]
         vocab_arr = pa.array(vocab, type=pa.string())
         fan = np.diff(term_start)
-        cand_s: list[list[np.ndarray]] = [[] for _ in range(n_q)]
-        cand_k: list[list] = [[] for _ in range(n_q)]
         block = max(1, BLOCK_CELLS // max(n_q, n_h, 1))
-        tiny = np.nextafter(0.0, 1.0)
         for batch in batches:
-            toks = batch.column("_toks")
-            keys_all = batch.column(key).to_pylist()
+            toks = batch.column(1)
+            keys_all = np.array(batch.column(0).to_pylist(), dtype=object)
             for lo in range(0, batch.num_rows, block):
                 part = toks.slice(lo, block)
                 keys = keys_all[lo : lo + block]
@@ -186,32 +323,7 @@ def _bm25_partition(index, key: str, k: int, key_type: pa.DataType, q_type: pa.D
                                 n, n_q
                             )
                         start = stop
-                scores = np.round(scores, SCORE_DIGITS)
-                # k-th best score per question; rows at or above it (ties
-                # included) are the candidates, so only ~k keys per question are touched
-                kth = -np.partition(-scores, k - 1, axis=0)[k - 1] if n > k else np.zeros(n_q)
-                kth = np.maximum(kth, tiny)
-                rows_i, cols_i = np.nonzero(scores >= kth[None, :])
-                for qi, grp in _groups(cols_i, rows_i):
-                    sub = scores[grp, qi]
-                    sub_keys = [keys[j] for j in grp]
-                    best = _top_order(sub, sub_keys, k)
-                    cand_s[qi].append(sub[best])
-                    cand_k[qi].extend(sub_keys[j] for j in best)
-        out_q, out_k, out_s = [], [], []
-        for qi in range(n_q):
-            if not cand_k[qi]:
-                continue
-            s_all = np.concatenate(cand_s[qi])
-            for j in _top_order(s_all, cand_k[qi], k):
-                out_q.append(qids[qi])
-                out_k.append(cand_k[qi][j])
-                out_s.append(float(s_all[j]))
-        if out_q:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, type=q_type), pa.array(out_k, type=key_type), pa.array(out_s, type=pa.float64())],
-                names=["_q", key, "score"],
-            )
+                yield keys, np.round(scores, SCORE_DIGITS)
 
     return run
 
@@ -237,6 +349,62 @@ def _split_heavy(term_start: np.ndarray, term_questions: np.ndarray, n_q: int, d
     return heavy_of, mat
 
 
+def _question_terms(questions: DataFrame, qid: str, qtext: str) -> DataFrame:
+    rows = questions.select(F.col(qid).alias("_q"), F.array_distinct(tokens(qtext)).alias("_terms"))
+    return cut_lineage(rows.filter(F.size("_terms") > 0))
+
+
+def _term_batches(qterms: DataFrame, most: int) -> list[DataFrame]:
+    """Hash batches of questions within the broadcast bounds.  A batch that is over them is
+    split again with another hash; one question alone is taken as it is."""
+    todo, out, salt = [(qterms, 0)], [], 0
+    while todo:
+        part, depth = todo.pop()
+        sizes = part.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_terms")).alias("terms"), F.min("_q").alias("a"), F.max("_q").alias("b")).first()
+        need = max(-(-int(sizes["n"]) // most), -(-int(sizes["terms"] or 0) // MAX_BROADCAST_QUESTION_TERMS), 1)
+        if need == 1 or sizes["a"] == sizes["b"]:
+            out.append(part)
+        else:
+            todo += [(p, depth + 1) for p in _question_batches(part, "_q", 2 * need, depth)]
+    return out
+
+
+def _keyword_source(qterms: DataFrame, stats: DataFrame, chunks: DataFrame, q_field, key: str, text: str, k1: float, b: float) -> _Source | None:
+    """The BM25 index of a batch of questions, broadcast; None when no question term occurs."""
+    rows = qterms.collect()  # bounded by _term_batches
+    terms = qterms.select(F.explode("_terms").alias("term")).unionByName(
+        chunks.sparkSession.range(1).select(F.lit("").alias("term"))
+    )
+    freq = {r["term"]: (int(r["df"]), int(r["total"] or 0)) for r in stats.join(terms.distinct(), "term", "left_semi").collect()}
+    n_docs, total = freq.pop("", (0, 0))
+    vocab = sorted(freq)  # terms that occur in the corpus
+    if not rows or not vocab:
+        return None
+    avgdl = (total / n_docs if n_docs else 0.0) or 1.0
+    pos = {t: i for i, t in enumerate(vocab)}
+    df_arr = np.asarray([freq[t][0] for t in vocab], dtype=np.float64)
+    idf = np.log(1.0 + (n_docs - df_arr + 0.5) / (df_arr + 0.5))
+    lists: list[list[int]] = [[] for _ in vocab]
+    for qi, r in enumerate(rows):
+        for t in r["_terms"]:
+            if t in pos:
+                lists[pos[t]].append(qi)
+    term_start = np.zeros(len(vocab) + 1, dtype=np.int64)
+    term_start[1:] = np.cumsum([len(x) for x in lists])
+    term_questions = np.asarray([q for x in lists for q in x], dtype=np.int64)
+    heavy_of, heavy_mat = _split_heavy(term_start, term_questions, len(rows), df_arr / max(n_docs, 1))
+    index = chunks.sparkSession.sparkContext.broadcast(
+        (len(rows), vocab, idf, term_start, term_questions, heavy_of, heavy_mat, k1, b, avgdl)
+    )
+    scored = chunks.select(key, tokens_of(chunks, text).alias("_toks"))
+    return _Source(scored, _bm25_blocks(index), [r["_q"] for r in rows], q_field, key, float(np.nextafter(0.0, 1.0)))
+
+
+def _empty_top(spark, q_field, key_field) -> DataFrame:
+    schema = T.StructType([T.StructField("_q", q_field.dataType), T.StructField(key_field.name, key_field.dataType)])
+    return spark.createDataFrame([], schema).select("*", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+
+
 def topk_keyword(
     questions: DataFrame,
     chunks: DataFrame,
@@ -248,7 +416,6 @@ def topk_keyword(
     keep: Sequence[str] = ("path", "chunked_text"),
     k1: float = BM25_K1,
     b: float = BM25_B,
-    _salt: int = 0,
 ) -> DataFrame:
     """BM25 top-k chunks per question: ``(qid, rank, key, score, *keep)``.
 
@@ -256,67 +423,26 @@ def topk_keyword(
     ``ln(1 + (N - df + 0.5) / (df + 0.5))``; each distinct question term
     counts once; a chunk sharing no term with a question is not ranked.
 
-    Plan: (1) one aggregate gives N, mean length and the document frequency
-    of the question vocabulary; (2) the question-term index (size-checked)
-    is broadcast; (3) every partition scores its chunks in numpy blocks and
-    emits only top-k candidates per question; (4) a per-question
-    ``row_number`` merges the partitions.  No question x chunk pair is ever
-    a row and nothing is shuffled but the candidates.
+    Plan: (1) one aggregate, for all questions together, gives N, mean length and
+    the document frequency of the question vocabulary; (2) the question-term
+    index (size-checked) is broadcast; (3) every partition scores its chunks in
+    numpy blocks against a running top-k; (4) the partitions' candidates are
+    merged in two steps.  No question x chunk pair is ever a row and nothing is
+    shuffled but the candidates.
     """
-    spark = questions.sparkSession
-    # the question terms are read four times below: materialise them once
-    qterms = cut_lineage(
-        questions.select(F.col(qid).alias("_q"), F.array_distinct(tokens(qtext)).alias("_terms")).filter(
-            F.size("_terms") > 0
-        )
-    )
-    sizes = qterms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_terms")).alias("terms")).first()
-    n_rows, n_terms = int(sizes["n"]), int(sizes["terms"] or 0)
-    n_batches = max(-(-n_rows // MAX_BROADCAST_QUESTIONS), -(-n_terms // MAX_BROADCAST_QUESTION_TERMS), 1)
-    if n_batches > 1:  # too large to ship whole: hash batches of questions
-        parts = [
-            topk_keyword(batch, chunks, k, qid, qtext, key, text, keep, k1, b, _salt + 1)
-            for batch in _question_batches(questions, qid, 2 * n_batches, _salt)
-        ]
-        return _union_all(parts)
-    vocab_df = qterms.select(F.explode("_terms").alias("term")).distinct()
-    n_docs, avgdl, doc_freq = keyword_stats(chunks, vocab_df, text, small=True)
-
-    rows = qterms.collect()  # bounded by the checks above
-    qids = [r["_q"] for r in rows]
-    vocab = sorted(doc_freq)  # terms that occur in the corpus
-    pos = {t: i for i, t in enumerate(vocab)}
-    df_arr = np.asarray([doc_freq[t] for t in vocab], dtype=np.float64)
-    idf = np.log(1.0 + (n_docs - df_arr + 0.5) / (df_arr + 0.5))
-    lists: list[list[int]] = [[] for _ in vocab]
-    for qi, r in enumerate(rows):
-        for t in r["_terms"]:
-            if t in pos:
-                lists[pos[t]].append(qi)
-    term_start = np.zeros(len(vocab) + 1, dtype=np.int64)
-    term_start[1:] = np.cumsum([len(x) for x in lists])
-    term_questions = np.asarray([q for x in lists for q in x], dtype=np.int64)
-    heavy_of, heavy_mat = _split_heavy(term_start, term_questions, len(qids), df_arr / max(n_docs, 1))
-    index = spark.sparkContext.broadcast(
-        (qids, vocab, idf, term_start, term_questions, heavy_of, heavy_mat, k1, b, avgdl)
-    )
-
-    qid_type, key_type = questions.schema[qid].dataType, chunks.schema[key].dataType
-    schema = T.StructType(
-        [T.StructField("_q", qid_type, True), T.StructField(key, key_type, True), T.StructField("score", T.DoubleType(), True)]
-    )
-    if not qids or not vocab:
-        top = spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    else:
-        body = _bm25_partition(index, key, k, to_arrow_type(key_type), to_arrow_type(qid_type))
-        cand = chunks.select(key, tokens_of(chunks, text).alias("_toks")).mapInArrow(body, schema)
-        top = _ranked(cand, "_q", key, k)
-    top = top.select(F.col("_q").alias(qid), "rank", key, "score")
+    q_field, key_field = questions.schema[qid], chunks.schema[key]
+    qterms = _question_terms(questions, qid, qtext)  # read several times below
+    stats = cut_lineage(keyword_stats(chunks, qterms.select(F.explode("_terms").alias("term")).distinct(), text))
+    tops = []
+    for part in _term_batches(qterms, MAX_BROADCAST_QUESTIONS):
+        source = _keyword_source(part, stats, chunks, q_field, key, text, k1, b)
+        tops.append(source.top(k) if source else _empty_top(questions.sparkSession, q_field, key_field))
+    top = _union_all(tops).select(F.col("_q").alias(qid), "rank", key, "score")
     cols = [c for c in keep if c != key]
     if not cols:
         return top
-    # questions were proven <= MAX_BROADCAST_QUESTIONS above, so top <= that x k rows
-    return attach_chunks(top, chunks, key, cols, True).select(qid, "rank", key, "score", *cols)
+    # broadcast only behind a check of the question count: top has at most that x k rows
+    return attach_chunks(top, chunks, key, cols, len(tops) == 1).select(qid, "rank", key, "score", *cols)
 
 
 # ----------------------------------------------------------------------------
@@ -329,73 +455,53 @@ def _unit_rows(values: np.ndarray) -> np.ndarray:
     return values / norms
 
 
-def _list_matrix(arr) -> tuple[np.ndarray, np.ndarray]:
-    """(kept row indices, float64 matrix) of a list<double> column.  Null rows
-    and rows whose length differs from the most common one are skipped."""
+def _list_matrix(arr, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row indices, float64 matrix) of the rows of a list<double> column that have ``dim`` values."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    valid = np.asarray(arr.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
-    if not valid.any():
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    lengths = np.asarray(arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    dim = int(np.bincount(lengths[valid]).argmax())
-    keep = np.nonzero(valid & (lengths == dim))[0]
-    if len(keep) == len(arr):
-        flat = np.asarray(arr.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-        return keep, flat.reshape(len(arr), dim)
-    sub = arr.take(pa.array(keep))
+    lengths = np.asarray(arr.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
+    keep = np.flatnonzero(lengths == dim)
+    sub = arr if len(keep) == len(arr) else arr.take(pa.array(keep))
     flat = np.asarray(sub.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
     return keep, flat.reshape(len(keep), dim)
 
 
-def _top_order(scores: np.ndarray, keys: list, k: int) -> list[int]:
-    """Indices of the k best (score desc, key asc), exact under ties."""
-    if len(keys) > k:
-        kth = np.partition(-scores, k - 1)[k - 1]
-        cand = np.nonzero(-scores <= kth)[0].tolist()  # all rows that can still make the cut
-    else:
-        cand = range(len(keys))
-    return sorted(cand, key=lambda j: (-scores[j], keys[j]))[:k]
-
-
-def _partition_topk(qids: list, qmat: np.ndarray, key: str, vec: str, k: int, key_type: pa.DataType, q_type: pa.DataType):
-    """mapInArrow body: top-k per question over the whole partition; only
-    those candidates leave the task."""
+def _cosine_blocks(shared):
+    """Blocks of cosine scores of this partition's vectors of the questions' length."""
 
     def run(batches):
-        cand_scores: list[list[np.ndarray]] = [[] for _ in qids]
-        cand_keys: list[list] = [[] for _ in qids]
-        block = max(1, BLOCK_CELLS // max(len(qids), 1))  # bounds the (questions x rows) matrix
+        qmat = shared.value
+        block = max(1, BLOCK_CELLS // max(len(qmat), 1))
         for batch in batches:
-            keep, mat = _list_matrix(batch.column(vec))
-            if len(keep) == 0 or mat.shape[1] != qmat.shape[1]:
+            keep, mat = _list_matrix(batch.column(1), qmat.shape[1])
+            if not len(keep):
                 continue
-            keys_all = batch.column(key).take(pa.array(keep)).to_pylist()
+            keys = np.array(batch.column(0).take(pa.array(keep)).to_pylist(), dtype=object)
             for lo in range(0, len(keep), block):
-                keys = keys_all[lo : lo + block]
-                scores = np.round(qmat @ _unit_rows(mat[lo : lo + block]).T, SCORE_DIGITS)  # (questions, rows)
-                for qi in range(len(qids)):
-                    order = _top_order(scores[qi], keys, k)
-                    cand_scores[qi].append(scores[qi][order])
-                    cand_keys[qi].extend(keys[j] for j in order)
-        out_q, out_k, out_s = [], [], []
-        for qi, q in enumerate(qids):
-            if not cand_keys[qi]:
-                continue
-            s = np.concatenate(cand_scores[qi])
-            for j in _top_order(s, cand_keys[qi], k):
-                out_q.append(q)
-                out_k.append(cand_keys[qi][j])
-                out_s.append(float(s[j]))
-        if out_q:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, type=q_type), pa.array(out_k, type=key_type), pa.array(out_s, type=pa.float64())],
-                names=["_q", key, "score"],
-            )
+                yield keys[lo : lo + block], np.round(_unit_rows(mat[lo : lo + block]) @ qmat.T, SCORE_DIGITS)
 
     return run
 
 
+def _vector_source(qvecs: DataFrame, items: DataFrame, q_field, key: str, vec: str, floor: float = -np.inf) -> _Source:
+    rows = qvecs.collect()  # bounded by _vector_batches, all of one length
+    qmat = _unit_rows(np.asarray([r[1] for r in rows], dtype=np.float64))
+    shared = items.sparkSession.sparkContext.broadcast(qmat)
+    scored = items.select(key, F.col(vec).cast("array<double>").alias("_vec"))
+    return _Source(scored, _cosine_blocks(shared), [r[0] for r in rows], q_field, key, floor)
+
+
+def _vector_batches(qvecs: DataFrame, max_questions: int) -> list[DataFrame]:
+    """Questions ``(_q, _v)`` by vector length, in hash batches within the broadcast bounds."""
+    out = []
+    sizes = qvecs.groupBy(F.size("_v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
+    for dim, n in sizes:  # a row per vector length
+        part = qvecs.filter(F.size("_v") == dim)
+        need = max(-(-n // max_questions), -(-(n * dim) // MAX_BROADCAST_VECTOR_CELLS), 1)
+        out += [part] if need == 1 else _question_batches(part, "_q", 2 * need, 0)
+    return out
+
+
 def topk_semantic(
     questions: DataFrame,
     items: DataFrame,
@@ -406,55 +512,31 @@ def topk_semantic(
     vec: str = "vector",
     keep: Sequence[str] = (),
     max_questions: int = MAX_BROADCAST_QUESTIONS,
-    _salt: int = 0,
 ) -> DataFrame:
     """Exact cosine top-k items per question: ``(qid, rank, key, score, *keep)``.
 
     The question vectors are the broadcast side: their count is checked, then
     they are shipped once to every task as a unit-normalised matrix.  Items
-    stay where they are; each partition emits at most ``k`` candidates per
-    question, and a per-question ``row_number`` merges them.
+    stay where they are; each partition keeps a running top-k per question and
+    the partitions' candidates are merged in two steps.  A question is compared
+    with the items of its own length; items of another length cannot rank.
     """
-    spark = questions.sparkSession
-    qvecs = questions.select(qid, F.col(qvec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = qvecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("dim")).first()
-    n_rows, dim = int(sizes["n"]), int(sizes["dim"] or 0)
-    n_batches = max(-(-n_rows // max_questions), -(-(n_rows * dim) // MAX_BROADCAST_VECTOR_CELLS), 1)
-    if n_batches > 1:  # too large to ship whole: hash batches of questions
-        parts = [
-            topk_semantic(batch, items, k, qid, qvec, key, vec, keep, max_questions, _salt + 1)
-            for batch in _question_batches(questions, qid, 2 * n_batches, _salt)
-        ]
-        return _union_all(parts)
-    qrows = qvecs.collect()  # bounded by the checks above
-    qids = [r[0] for r in qrows]
-    qid_type = questions.schema[qid].dataType
-    key_type = items.schema[key].dataType
-    out_schema = T.StructType(
-        [
-            T.StructField("_q", qid_type, True),
-            T.StructField(key, key_type, True),
-            T.StructField("score", T.DoubleType(), True),
-        ]
+    q_field, key_field = questions.schema[qid], items.schema[key]
+    qvecs = cut_lineage(
+        questions.select(F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v")).filter(F.size("_v") > 0)
     )
-    if not qrows:
-        empty = spark.createDataFrame([], out_schema)
-        return empty.withColumn("rank", F.lit(1)).select(F.col("_q").alias(qid), "rank", key, "score")
-    qmat = _unit_rows(np.asarray([r[1] for r in qrows], dtype=np.float64))
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    arrow_key_type, arrow_q_type = to_arrow_type(key_type), to_arrow_type(qid_type)
-
-    def run(batches):
-        ids, mat = bq.value
-        yield from _partition_topk(ids, mat, key, "_vec", k, arrow_key_type, arrow_q_type)(batches)
-
-    cand = items.select(key, F.col(vec).cast("array<double>").alias("_vec")).mapInArrow(run, out_schema)
-    top = _ranked(cand, "_q", key, k).select(F.col("_q").alias(qid), "rank", key, "score")
+    tops = []
+    for part in _vector_batches(qvecs, max_questions):
+        source = _vector_source(part, items, q_field, key, vec)
+        if source.qids:
+            tops.append(source.top(k))
+    top = _union_all(tops or [_empty_top(questions.sparkSession, q_field, key_field)])
+    top = top.select(F.col("_q").alias(qid), "rank", key, "score")
     cols = [c for c in keep if c != key]
     if not cols:
         return top
-    # questions were proven <= max_questions above, so top <= that x k rows
-    return attach_chunks(top, items, key, cols, True).select(qid, "rank", key, "score", *cols)
+    # broadcast only behind the check of the question count: top has at most that x k rows
+    return attach_chunks(top, items, key, cols, len(tops) <= 1).select(qid, "rank", key, "score", *cols)
 
 
 # ----------------------------------------------------------------------------
@@ -471,41 +553,65 @@ def unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
-MAX_TRAIN_VECTORS = 200_000  # k-means is trained on a random sample of at most this many items
+MIN_CELLS = 16
 
 
 def build_ivf(
     items: DataFrame,
     key: str = "chunk_id",
     vec: str = "vector",
-    cells: int = 16,
+    cells: int | None = None,
     seed: int = 7,
     max_iter: int = 20,
-    max_train: int = MAX_TRAIN_VECTORS,
+    train: DataFrame | None = None,
 ):
-    """Train ``cells`` k-means centres on unit vectors (pyspark.ml,
-    distributed) and assign every item to its nearest centre.  Training
-    reads a seeded random sample of at most about ``max_train`` items, so its
-    iterations do not rescan a large table; assignment covers all items.
+    """Train k-means centres on unit vectors (pyspark.ml, distributed) and assign every
+    item to its nearest centre.  ``cells`` defaults to the square root of the item
+    count, so that a cell grows only with the root of the table.  Training reads all
+    items, or the rows the caller passes as ``train``; assignment covers all items.
     Returns ``(assigned items (key, _unit, cell), centres (cell, centroid))``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit_items = items.select(key, unit(F.col(vec).cast("array<double>")).alias("_unit")).withColumn(
-        "_features", array_to_vector("_unit")
-    )
-    n_items = items.count()
-    train = unit_items if n_items <= max_train else unit_items.sample(fraction=max_train / n_items, seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(train)
-    assigned = model.transform(unit_items).select(key, "_unit", F.col("cell").cast("int").alias("cell"))
-    spark = items.sparkSession
-    centres = spark.createDataFrame(
+    def units(df: DataFrame, *cols: str) -> DataFrame:
+        return df.select(*cols, unit(F.col(vec).cast("array<double>")).alias("_unit")).withColumn("_features", array_to_vector("_unit"))
+
+    if cells is None:
+        cells = max(MIN_CELLS, int(items.count() ** 0.5))
+    kmeans = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell")
+    model = kmeans.fit(units(items if train is None else train))
+    assigned = model.transform(units(items, key)).select(key, "_unit", F.col("cell").cast("int").alias("cell"))
+    centres = items.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cell int, centroid array<double>",
     )
     return assigned, centres
 
 
+def _cell_blocks(shared):
+    """Blocks of cosine scores, cell by cell, of the questions that probe the cell."""
+
+    def run(batches):
+        qmat, probing = shared.value
+        for batch in batches:
+            keep, mat = _list_matrix(batch.column(1), qmat.shape[1])
+            if not len(keep):
+                continue
+            keys = np.array(batch.column(0).take(pa.array(keep)).to_pylist(), dtype=object)
+            cells = batch.column(2).to_numpy(zero_copy_only=False)[keep]
+            for cell in np.unique(cells):
+                asks = probing.get(int(cell))
+                if asks is None:
+                    continue
+                rows = np.flatnonzero(cells == cell)
+                block = max(1, BLOCK_CELLS // len(asks))
+                for lo in range(0, len(rows), block):
+                    part = rows[lo : lo + block]
+                    yield keys[part], np.round(mat[part] @ qmat[asks].T, SCORE_DIGITS), asks
+
+    return run
+
+
 def topk_ann(
     questions: DataFrame,
     items: DataFrame,
@@ -514,35 +620,41 @@ def topk_ann(
     qvec: str = "vector",
     key: str = "chunk_id",
     vec: str = "vector",
-    cells: int = 16,
+    cells: int | None = None,
     n_probe: int = 4,
     index=None,
-    _salt: int = 0,
+    max_questions: int = MAX_BROADCAST_QUESTIONS,
 ) -> DataFrame:
     """Approximate cosine top-k: each question probes its ``n_probe`` nearest
     cells and is scored exactly against the items of those cells only.
 
-    The (question, cell) probe list is at most questions x n_probe rows and is
-    broadcast; the items are scanned in place and joined map-side, so no
-    question x item product and no item x item pair is ever formed.
-    ``index`` may be a prebuilt ``build_ivf`` result.
+    The questions of a batch (bounded in rows and in vector cells) and their probe
+    lists are broadcast; the items are scanned in place, scored in blocks cell by
+    cell against a running top-k, so no question x item pair is ever a row.
+    ``index`` may be a prebuilt ``build_ivf`` result.  Probing all cells is exact.
     """
     assigned, centres = index if index is not None else build_ivf(items, key, vec, cells)
-    if not row_count_at_most(questions, MAX_BROADCAST_QUESTIONS):
-        parts = [
-            topk_ann(batch, items, k, qid, qvec, key, vec, cells, n_probe, (assigned, centres), _salt + 1)
-            for batch in _question_batches(questions, qid, 2, _salt)
-        ]
-        return _union_all(parts)
-    probes = topk_semantic(questions, centres, k=n_probe, qid=qid, qvec=qvec, key="cell", vec="centroid")
-    q_unit = questions.select(F.col(qid).alias("_q"), unit(F.col(qvec).cast("array<double>")).alias("_qv"))
-    pairs = F.broadcast(
-        probes.select(F.col(qid).alias("_q"), "cell").join(q_unit, "_q")
-    )
-    scored = assigned.join(pairs, "cell").select(
-        "_q", key, F.round(_dot(F.col("_qv"), F.col("_unit")), SCORE_DIGITS).alias("score")
+    q_field, key_field = questions.schema[qid], items.schema[key]
+    qvecs = cut_lineage(
+        questions.select(F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v")).filter(F.size("_v") > 0)
     )
-    return _ranked(scored, "_q", key, k).select(F.col("_q").alias(qid), "rank", key, "score")
+    tops = []
+    for part in _vector_batches(qvecs, min(max_questions, MAX_PROBES // max(n_probe, 1))):
+        rows = part.collect()  # bounded by _vector_batches
+        if not rows:
+            continue
+        probes = topk_semantic(part, centres, k=n_probe, qid="_q", qvec="_v", key="cell", vec="centroid").collect()
+        number = {r["_q"]: i for i, r in enumerate(rows)}
+        probing: dict[int, list[int]] = {}
+        for r in probes:
+            probing.setdefault(int(r["cell"]), []).append(number[r["_q"]])
+        lists = {c: np.array(sorted(q), dtype=np.int64) for c, q in probing.items()}
+        qmat = _unit_rows(np.asarray([r["_v"] for r in rows], dtype=np.float64))
+        shared = items.sparkSession.sparkContext.broadcast((qmat, lists))
+        source = _Source(assigned.select(key, "_unit", "cell"), _cell_blocks(shared), [r["_q"] for r in rows], q_field, key, -np.inf)
+        tops.append(source.top(k))
+    top = _union_all(tops or [_empty_top(questions.sparkSession, q_field, key_field)])
+    return top.select(F.col("_q").alias(qid), "rank", key, "score")
 
 
 # ----------------------------------------------------------------------------
@@ -557,7 +669,8 @@ def fuse_ranks(
     constant: int = RRF_CONSTANT,
 ) -> DataFrame:
     """Reciprocal rank fusion: score = sum over lists of ``1 / (constant + rank)``
-    for the lists where the key appears; top-k by that score."""
+    for the lists where the key appears; top-k by that score.  The lists must hold the
+    rank of every key that can make the cut (``topk_hybrid`` sees to that)."""
     parts = [r.select(qid, key, (F.lit(1.0) / (F.lit(constant) + F.col("rank"))).alias("rr")) for r in ranked_lists]
     union = parts[0]
     for p in parts[1:]:
@@ -566,6 +679,63 @@ def fuse_ranks(
     return _ranked(scored, qid, key, k).select(qid, "rank", key, "score")
 
 
+def _uncut(first: _Source, second: _Source, k: int, constant: int) -> list[DataFrame]:
+    """``(_q, key, rank)`` of both lists for every key that fusion can choose.
+
+    A key outside the first ``constant + 2k`` of both lists scores at most
+    ``2 / (2 constant + 2k + 1)``, less than the first k of either list alone.  So
+    the candidates are those heads; a candidate missing from the other head gets
+    its exact rank there, by counting the rows that come before it."""
+    depth = constant + 2 * k
+    heads = [cut_lineage(s.top(depth).select("_q", s.key, "rank")) for s in (first, second)]
+    pairs = cut_lineage(heads[0].select("_q", first.key).unionByName(heads[1].select("_q", first.key)).distinct())
+    out = []
+    for source, head in zip((first, second), heads):
+        missing = pairs.join(head, ["_q", source.key], "left_anti")
+        scored = cut_lineage(source.scores_of(missing))  # those without a score are in no list
+        out.append(head.unionByName(source.ranks_of(scored).select("_q", source.key, F.col("rank").cast("int"))))
+    return out
+
+
+def topk_hybrid(
+    questions: DataFrame,
+    chunks: DataFrame,
+    k: int = DEFAULT_K,
+    qid: str = "item_id",
+    qtext: str = "text",
+    key: str = "chunk_id",
+    text: str = "chunked_text",
+    question_vectors: DataFrame | None = None,
+    chunk_vectors: DataFrame | None = None,
+    qvec: str = "vector",
+    vec: str = "vector",
+    constant: int = RRF_CONSTANT,
+    k1: float = BM25_K1,
+    b: float = BM25_B,
+) -> DataFrame:
+    """Top-k of the fused, uncut keyword and vector rankings: ``(qid, rank, key, score)``.
+
+    Vectors default to the hashed ones.  A key of score zero is in no list."""
+    if question_vectors is None:
+        question_vectors = embed.embed(questions, qtext, qvec)
+    items = chunk_vectors if chunk_vectors is not None else embed.embed(chunks, text, vec)
+    q_field, key_field = questions.schema[qid], chunks.schema[key]
+    qterms = _question_terms(questions, qid, qtext)
+    stats = cut_lineage(keyword_stats(chunks, qterms.select(F.explode("_terms").alias("term")).distinct(), text))
+    vectors = question_vectors.select(F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v"))
+    positive = float(np.nextafter(0.0, 1.0))
+    tops = []
+    for part in _term_batches(qterms, MAX_FUSED_QUESTIONS):
+        keyword = _keyword_source(part, stats, chunks, q_field, key, text, k1, b)
+        if keyword is None:
+            continue
+        semantic = _vector_source(vectors.join(part.select("_q"), "_q", "left_semi"), items, q_field, key, vec, positive)
+        lists = [r.withColumnRenamed("_q", qid) for r in _uncut(semantic, keyword, k, constant)]
+        tops.append(fuse_ranks(lists, k, qid, key, constant))
+    empty = _empty_top(questions.sparkSession, q_field, key_field).select(F.col("_q").alias(qid), "rank", key, "score")
+    return _union_all(tops or [empty])
+
+
 # ----------------------------------------------------------------------------
 # Context text and source list
 

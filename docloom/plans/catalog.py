@@ -240,6 +240,18 @@ def q_eval_set(spark, sf_dir):
     )
 
 
+@register
+def q_eval_set_table(spark, sf_dir):
+    """The evaluation set written create-only and read back."""
+    from docloom.plans.evaluation import create_evaluation_set
+
+    name = f"eval_set_{uuid.uuid4().hex}"
+    e = create_evaluation_set(
+        fixtures.request_log(spark, sf_dir), _alog(spark, sf_dir), name, tie_break=TIE, path=_scratch(spark, name)
+    )
+    return e.select("request_id", "expected_response", _uris_text("expected_retrieved_context").alias("expected_uris"), "source_user", "source_tag")
+
+
 # ---------------------------------------------------------------------------
 # step 2: conversations -> question, history, search text, prompt
 
@@ -289,8 +301,9 @@ def q_history_messages(spark, sf_dir):
 
 @register
 def q_search_text(spark, sf_dir):
-    v = conversation.search_text(conversation.conversation_view(_conv(spark, sf_dir)))
-    return v.select("conv_id", "question", "search_text")
+    view = conversation.conversation_view(_conv(spark, sf_dir))
+    v = conversation.search_text(view, conversation.last_turn_rewriter)
+    return v.select("conv_id", "question", "rewrite_prompt", "search_text")
 
 
 @register
@@ -301,7 +314,7 @@ def q_build_prompt(spark, sf_dir):
 
 @register
 def q_batch_answer(spark, sf_dir):
-    return conversation.answer(conversation_prompts(spark, sf_dir), conversation.extractive_model)
+    return conversation.answer(conversation_prompts(spark, sf_dir), conversation.per_prompt(conversation.extractive_model))
 
 
 # ---------------------------------------------------------------------------
@@ -351,15 +364,18 @@ def q_semantic_search(spark, sf_dir):
 
 @register
 def q_topk_hybrid(spark, sf_dir):
-    index = chunk_index_table(spark, sf_dir)  # built once, searched twice
-    fused = retrieve.fuse_ranks([semantic_hits(spark, sf_dir, index), keyword_hits(spark, sf_dir, index)], k=K)
+    fused = retrieve.topk_hybrid(fixtures.questions(spark, sf_dir), chunk_index_table(spark, sf_dir), k=K)
     return fused.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
 
 
 @register
 def q_topk_ann(spark, sf_dir):
     emb, cents = _label_centroids(spark, sf_dir)
-    hits = retrieve.topk_ann(cents, emb, k=K, qid="label", qvec="centroid", key="vec_id", vec="embedding", cells=8, n_probe=3)
+    # all cells are probed, which is exact; tests measure the recall of fewer probes
+    index = retrieve.build_ivf(emb, "vec_id", "embedding")
+    hits = retrieve.topk_ann(
+        cents, emb, k=K, qid="label", qvec="centroid", key="vec_id", vec="embedding", index=index, n_probe=index[1].count()
+    )
     return hits.select(F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
@@ -631,7 +647,8 @@ def expected_uris(spark, sf_dir):
 
 
 def retrieval_table(spark, sf_dir):
-    return evaluate.retrieval_metrics(keyword_hits(spark, sf_dir), expected_uris(spark, sf_dir), K)
+    hits = evaluate.expand_paths(keyword_hits(spark, sf_dir), window_chunk_rows(spark, sf_dir))
+    return evaluate.retrieval_metrics(hits, expected_uris(spark, sf_dir), K)
 
 
 def served_traffic(spark, sf_dir, fraction: float | None = None):

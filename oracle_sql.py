@@ -49,9 +49,11 @@ scored AS (
                    / (tf + 1.2 * ((1 - 0.75) + 0.75 * dl / stats.avgdl))), 9) AS score
   FROM postings JOIN dfreq USING (term) JOIN qterms USING (term) CROSS JOIN stats
   GROUP BY q, chunk_id),
+keyword_all AS (
+  SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM scored WHERE score > 0),
 keyword_hits AS (
   SELECT r.q AS item_id, r.rank, r.chunk_id, c.path, c.chunked_text
-  FROM (SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM scored) r
+  FROM keyword_all r
   JOIN chunk_index c USING (chunk_id)
   WHERE r.rank <= {K})"""
 
@@ -181,6 +183,9 @@ FROM reqlog"""
 SQL["expected_context"] = _with(ALOG, REQLOG) + """
 SELECT request_id, source_user, expected_uris FROM classified"""
 
+SQL["eval_set_table"] = _with(ALOG, REQLOG) + """
+SELECT request_id, expected_response, expected_uris, source_user, source_tag FROM classified"""
+
 SQL["eval_set"] = _with(ALOG, REQLOG) + """
 SELECT request, request_id, expected_response, expected_uris AS expected_retrieved_context, source_user, source_tag
 FROM classified"""
@@ -205,12 +210,12 @@ view2 AS (
          len(hist) AS history_size
   FROM view),
 searches AS (
-  SELECT *, CASE WHEN question IS NULL THEN NULL WHEN history_size > 0 THEN 'Rewrite the last question as a standalone search query, using the conversation for context. Reply with the query only.' || chr(10) || '' || chr(10) || 'Conversation:' || chr(10) || '' || history_text || '' || chr(10) || '' || chr(10) || 'Question: ' || question ELSE question END AS search_text
+  SELECT *, CASE WHEN history_size > 0 THEN 'Rewrite the last question as a standalone search query, using the conversation for context. Reply with the query only.' || chr(10) || '' || chr(10) || 'Conversation:' || chr(10) || '' || history_text || '' || chr(10) || '' || chr(10) || 'Question: ' || question END AS rewrite_prompt
   FROM view2)"""
 
 MESSAGES_TEXT = "array_to_string(list_transform({col}, lambda m: m.role || ': ' || m.content), chr(10) || '---' || chr(10))"
 
-CONV_QUESTIONS = "\nqsrc AS (SELECT conv_id AS q, search_text AS qtext FROM searches WHERE search_text IS NOT NULL)"
+CONV_QUESTIONS = "\nqsrc AS (SELECT conv_id AS q, question AS qtext FROM searches WHERE question IS NOT NULL)"
 
 SQL["current_question"] = """
 SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS question, arg_max(text, turn) AS last_message
@@ -231,7 +236,11 @@ SQL["history_messages"] = _with(CONV) + f"""
 SELECT conv_id, {MESSAGES_TEXT.format(col='history_messages')} AS history_messages, CAST(len(history_messages) AS BIGINT) AS n_messages
 FROM view2"""
 
-SQL["search_text"] = _with(CONV) + "SELECT conv_id, question, search_text FROM searches"
+SQL["search_text"] = _with(CONV) + """
+SELECT conv_id, question, rewrite_prompt,
+       CASE WHEN question IS NOT NULL AND rewrite_prompt IS NOT NULL THEN concat_ws(' ', question, history_messages[-1].content)
+            ELSE question END AS search_text
+FROM searches"""
 
 # defined below, after the hashed-vector CTEs
 
@@ -259,10 +268,17 @@ sem_scored AS (
   SELECT q, chunk_id, round(sum(qvec.c * cvec.c) / (any_value(qnorm.n) * any_value(cnorm.n)), 9) AS score
   FROM qvec JOIN cvec USING (b) JOIN qnorm USING (q) JOIN cnorm USING (chunk_id)
   GROUP BY q, chunk_id),
-sem_hits AS (
-  SELECT q AS item_id, chunk_id, rank FROM (
-    SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM sem_scored)
-  WHERE rank <= {K})"""
+sem_all AS (
+  SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM sem_scored WHERE score > 0),
+sem_hits AS (SELECT q AS item_id, chunk_id, rank FROM sem_all WHERE rank <= {K})"""
+
+# rank fusion over the whole lists, cut only at the end
+FUSED = """
+fused AS (
+  SELECT q AS item_id, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (
+      SELECT q, chunk_id, rank FROM sem_all UNION ALL SELECT q, chunk_id, rank FROM keyword_all)
+    GROUP BY q, chunk_id))"""
 
 SQL["embed_chunks"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, HASHED) + """
 SELECT chunk_id, CAST(sum(c) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_buckets,
@@ -274,14 +290,8 @@ SELECT chunk_id, 0, 0, 0 FROM chunk_index WHERE chunk_id NOT IN (SELECT chunk_id
 SQL["semantic_search"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, HASHED) + """
 SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM sem_hits"""
 
-SQL["topk_hybrid"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25, HASHED) + f"""
-SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM (
-  SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (
-      SELECT item_id, chunk_id, rank FROM sem_hits
-      UNION ALL SELECT item_id, chunk_id, rank FROM keyword_hits)
-    GROUP BY item_id, chunk_id))
-WHERE rank <= {K}"""
+SQL["topk_hybrid"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25, HASHED, FUSED) + f"""
+SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM fused WHERE rank <= {K}"""
 
 SQL["topk_semantic"] = f"""
 WITH ex AS (
@@ -298,6 +308,9 @@ SELECT CAST(label AS BIGINT) AS label, CAST(rank AS BIGINT) AS rank, vec_id FROM
 WHERE rank <= {K}"""
 
 
+SQL["topk_ann"] = SQL["topk_semantic"]  # the query probes all cells
+
+
 # ---------------------------------------------------------------------------
 # files, parsing, quality
 
@@ -436,15 +449,17 @@ gold AS (
   FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
 
 RETRIEVAL = """
+paths AS (SELECT DISTINCT chunk_id, path FROM chunk_rows),
+hit_paths AS (SELECT h.item_id, h.rank, p.path FROM keyword_hits h JOIN paths p USING (chunk_id)),
 per_q AS (
   SELECT g.item_id, count(*) AS n_expected,
          count(*) FILTER (WHERE h.path IS NOT NULL) AS n_found
   FROM (SELECT DISTINCT item_id, path FROM gold) g
-  LEFT JOIN (SELECT DISTINCT item_id, path FROM keyword_hits) h USING (item_id, path)
+  LEFT JOIN (SELECT DISTINCT item_id, path FROM hit_paths) h USING (item_id, path)
   GROUP BY g.item_id),
 rel AS (
-  SELECT h.item_id, count(*) AS n_rel, min(h.rank) AS first_rank
-  FROM keyword_hits h JOIN (SELECT DISTINCT item_id, path FROM gold) g USING (item_id, path)
+  SELECT h.item_id, count(DISTINCT h.rank) AS n_rel, min(h.rank) AS first_rank
+  FROM hit_paths h JOIN (SELECT DISTINCT item_id, path FROM gold) g USING (item_id, path)
   GROUP BY h.item_id),
 metrics AS (
   SELECT p.item_id, p.n_expected, p.n_found, p.n_found / p.n_expected AS recall,
@@ -566,13 +581,8 @@ UNION ALL SELECT 'chunk_errors', 0
 UNION ALL SELECT 'chunked_docs', count(*) FROM chunk_rows"""
 
 
-SQL["build_prompt"] = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25, HASHED) + f"""
-, fused AS (
-  SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (
-      SELECT item_id, chunk_id, rank FROM sem_hits UNION ALL SELECT item_id, chunk_id, rank FROM keyword_hits)
-    GROUP BY item_id, chunk_id)),
-contexts AS (
+SQL["build_prompt"] = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25, HASHED, FUSED) + f"""
+, contexts AS (
   SELECT f.item_id AS conv_id, string_agg('Passage: ' || c.chunked_text || chr(10), '' ORDER BY f.rank) AS context
   FROM fused f JOIN chunk_index c USING (chunk_id) WHERE f.rank <= 8 GROUP BY f.item_id),
 prompts AS (

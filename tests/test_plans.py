@@ -56,7 +56,7 @@ def test_answering_flow(spark, query_type):
     assert len(rows) == with_question
     assert all(r.prompt[0].role == "system" and r.prompt[-1].role == "user" for r in rows)
     assert all(r.prompt[0].content.count("Passage: ") <= 4 for r in rows)
-    answers = answering.answer_conversations(conv, chunks, conversation.extractive_model, k=4,
+    answers = answering.answer_conversations(conv, chunks, conversation.per_prompt(conversation.extractive_model), k=4,
                                              query_type=query_type).collect()
     assert len(answers) == len(rows)
 

@@ -139,8 +139,50 @@ def test_question_batches_give_the_same_answer(spark, monkeypatch):
     assert whole == batched
 
 
-def test_ivf_trains_on_a_sample_but_assigns_every_item(spark):
+def test_ivf_trains_on_the_callers_rows_but_assigns_every_item(spark):
     emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
-    assigned, centres = retrieve.build_ivf(emb, "vec_id", "embedding", cells=4, max_train=100)
+    assigned, centres = retrieve.build_ivf(emb, "vec_id", "embedding", cells=4, train=emb.limit(100))
     assert assigned.count() == emb.count()
     assert centres.count() == 4
+
+
+def test_semantic_ranks_only_vectors_of_the_questions_length(spark):
+    items = [(i, [1.0, float(i)]) for i in range(4)] + [(10 + i, [1.0, 2.0, float(i)]) for i in range(9)]
+    frame = spark.createDataFrame(items, "vec_id long, v array<double>")
+    qs = spark.createDataFrame([(0, [1.0, 0.5]), (1, [1.0, 2.0, 3.0])], "q long, v array<double>")
+    for parts in (1, 5):
+        hits = retrieve.topk_semantic(qs, frame.repartition(parts), k=3, qid="q", qvec="v", key="vec_id", vec="v").collect()
+        assert {h.vec_id for h in hits if h.q == 0} <= {0, 1, 2, 3}
+        assert sorted(h.rank for h in hits if h.q == 0) == [1, 2, 3]
+        assert all(h.vec_id >= 10 for h in hits if h.q == 1)
+
+
+def test_running_top_k_memory_does_not_grow_with_rows():
+    rng = np.random.default_rng(0)
+    best, seen, most = retrieve._Best(50, 8), [], 0
+    for block in range(60):
+        scores = np.round(rng.random((400, 50)), 2)  # many ties
+        keys = np.array([f"k{block:03d}{i:04d}" for i in rng.permutation(400)], dtype=object)
+        best.add(scores, keys, 0.0)
+        most = max(most, len(best.q) + best.pending)
+        seen.append((scores, keys))
+    best.cut()
+    assert most <= best.limit + 400 * 50
+    scores, keys = np.concatenate([s for s, _ in seen]), np.concatenate([k for _, k in seen])
+    for q in range(50):
+        want = sorted(range(len(keys)), key=lambda i: (-scores[i, q], keys[i]))[:8]
+        assert list(best.keys[best.q == q]) == [keys[i] for i in want]
+
+
+def test_hybrid_fuses_uncut_ranks(spark):
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(60)]
+    docs = [(f"c{i:04d}", " ".join(rng.choice(vocab, size=rng.integers(3, 30))), "p") for i in range(400)]
+    chunks = spark.createDataFrame(docs, "chunk_id string, chunked_text string, path string").repartition(5)
+    qs = spark.createDataFrame([(i, " ".join(rng.choice(vocab, size=6))) for i in range(6)], "item_id long, text string")
+    every = 400
+    semantic = retrieve.topk_semantic(embed.embed(qs, "text"), embed.embed(chunks, "chunked_text"), k=every).filter("score > 0")
+    keyword = retrieve.topk_keyword(qs, chunks, k=every, keep=())
+    want = retrieve.fuse_ranks([semantic, keyword], k=8).collect()
+    got = retrieve.topk_hybrid(qs, chunks, k=8).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
