@@ -32,10 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a document of smaller id holds; a null text
     stays null, and ``n_chars`` follows the text."""
     prepare(spark)
-    rows = line_dedup.dedup_lines(docs)
-    kept = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rows = line_dedup.LineIndex(spark).insert(docs).clean(docs)
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

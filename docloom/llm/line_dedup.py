@@ -222,23 +222,19 @@ class LineIndex:
 
     # -- result ---------------------------------------------------------------------
 
-    def apply(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``: the lines that
-        indexed documents lose are gone, the others are joined by \\n as they were."""
+    def _kept(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """The columns of ``docs`` by place (``_0``, ``_1``, ...) with ``_kept``, ``_lines`` and ``_dropped``."""
         shared = self.refs().filter("n_docs > 1")
         held = self.ledger() if self.version > 1 else self._table("ledger", POSTING).distinct()
         lost = held.join(shared, ["k1", "k2"]).filter(F.col("doc_id") != F.col("holder"))
         # the list is at most the document's own lines
         lost = lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_list(F.array("k1", "k2")).alias("_lost"))
-        joined = docs.join(lost, docs[key].cast("long") == lost["_lost_id"], "left").select(*docs.columns, "_lost")
+        places = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+        rows = docs.select(*[F.col(c).alias(n) for c, n in places.items()])
+        joined = rows.join(lost, F.col(places[key]).cast("long") == F.col("_lost_id"), "left").drop("_lost_id")
         min_chars, place, lost_at = self.min_chars, docs.columns.index(text), len(docs.columns)
         schema = T.StructType(
-            [
-                *docs.schema.fields,
-                T.StructField("kept_text", T.StringType()),
-                T.StructField("n_lines", T.LongType()),
-                T.StructField("n_dropped", T.LongType()),
-            ]
+            [*rows.schema.fields, *T._parse_datatype_string("_kept string, _lines long, _dropped long").fields]
         )
 
         def run(batches):
@@ -258,6 +254,20 @@ class LineIndex:
 
         return joined.mapInArrow(run, schema)
 
+    def apply(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``: the lines that
+        indexed documents lose are gone, the others are joined by \\n as they were.
+        Columns of ``docs`` with one of these names are replaced."""
+        new = {"kept_text": "_kept", "n_lines": "_lines", "n_dropped": "_dropped"}
+        old = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new]
+        return self._kept(docs, key, text).select(*old, *[F.col(c).alias(n) for n, c in new.items()])
+
+    def clean(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """``docs`` with the kept lines as its text (a null text stays null)."""
+        rows = self._kept(docs, key, text)
+        kept = F.when(F.col(f"_{docs.columns.index(text)}").isNotNull(), F.col("_kept"))
+        return rows.select(*[(kept if c == text else F.col(f"_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
 
 def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("k1", "k2"))

@@ -131,11 +131,14 @@ def _occurrences(docs: DataFrame, text: str, length: int) -> DataFrame:
         anchor, context, doc, start, windows = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, doc, context, anchor))
         cols = [x[order] for x in (anchor, context, doc, start, windows)]
-        again = np.zeros(len(order), dtype=bool)
+        twin = np.zeros(len(order), dtype=bool)  # the same place of a repeated row
+        twin[1:] = np.all([c[1:] == c[:-1] for c in cols[:4]], axis=0)
+        cols = [c[~twin] for c in cols]
+        again = np.zeros(len(cols[0]), dtype=bool)
         again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
         # a known repeat is not compared any more: spread it
         cols[0] = np.where(again, (cols[1] + cols[2].astype(_S) + cols[3].astype(_S)) * _MUL[0], cols[0])
-        for lo in range(0, len(order), 1 << 16):
+        for lo in range(0, len(again), 1 << 16):
             c = [x[lo : lo + (1 << 16)] for x in cols]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -196,7 +199,7 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
         )
 
     def run(batches):
-        before = None  # (anchor, context) of the last row
+        before = None  # (anchor, context, doc, start) of the last row
         pending = None  # first occurrence of the only context so far of the last anchor
         for batch in batches:
             anchor, context, doc, start, windows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -205,6 +208,12 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
                 yield out(False, anchor[again], doc[again], start[again], windows[again])
                 keep = ~again
                 anchor, context, doc, start, windows = anchor[keep], context[keep], doc[keep], start[keep], windows[keep]
+            here = (anchor, context, doc, start)
+            twin = np.zeros(len(anchor), dtype=bool)  # the same place of a repeated row
+            if len(anchor):
+                twin[0] = before is not None and all(x[0] == b for x, b in zip(here, before))
+                twin[1:] = np.all([x[1:] == x[:-1] for x in here], axis=0)
+            anchor, context, doc, start, windows = (x[~twin] for x in (*here, windows))
             if not len(anchor):
                 continue
             new_anchor = np.concatenate(([before is None or anchor[0] != before[0]], anchor[1:] != anchor[:-1]))
@@ -212,7 +221,7 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
             if (~new).any():
                 yield out(False, anchor[~new], doc[~new], start[~new], windows[~new])
             firsts = np.flatnonzero(new)
-            before = (anchor[-1], context[-1])
+            before = (anchor[-1], context[-1], doc[-1], start[-1])
             if not len(firsts):
                 continue
             continues = ~new_anchor[firsts]  # the anchor had a context before this one
