@@ -238,19 +238,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def estimate(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation.  ``votes`` (patterns, labelers) in -1, 0, 1.
     Returns the probability of each pattern and the labelers' rates
-    ``(true or false, labeler, vote)``."""
+    ``(false or true span, labeler, against or for)`` where they vote."""
     p = np.clip(0.5 + 0.2 * votes.sum(axis=1), 0.05, 0.95)  # majority vote
-    rates = np.zeros((2, votes.shape[1], 3))
+    rates = np.full((2, votes.shape[1], 2), 0.5)
     for _ in range(rounds):
         weight = np.stack([(1 - p) * counts, p * counts])
-        for v in (-1, 0, 1):
-            hit = (votes == v).astype(float)
-            rates[:, :, v + 1] = weight @ hit + 1.0  # one pseudo-vote each way
+        for side, v in enumerate((-1, 1)):
+            rates[:, :, side] = weight @ (votes == v).astype(float) + 1.0  # one pseudo-vote each way
         rates /= rates.sum(axis=2, keepdims=True)
         prior = np.array([(weight[1, kinds == k].sum() + 1) / (counts[kinds == k].sum() + 2) for k in range(len(KINDS))])[kinds]
         logs = np.stack([np.log(1 - prior), np.log(prior)])
-        for j in range(votes.shape[1]):
-            logs += np.log(rates[:, j, votes[:, j] + 1])
+        for j in range(votes.shape[1]):  # an abstention says nothing
+            spoke = votes[:, j] != 0
+            logs[:, spoke] += np.log(rates[:, j, (votes[spoke, j] + 1) // 2])
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
         if np.abs(new - p).max() < 1e-6:
             p = new
