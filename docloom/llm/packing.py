@@ -26,6 +26,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -85,7 +86,7 @@ def plan(histogram: Sequence[tuple[int, int]], capacities: Sequence[int], bin_co
         if room not in groups:
             groups[room] = []
             bisect.insort(rooms, room)
-        groups[room].append(run)
+        heapq.heappush(groups[room], run)  # of equal rooms, the bin opened first
 
     for size, count in sizes:
         rank = 0
@@ -102,7 +103,7 @@ def plan(histogram: Sequence[tuple[int, int]], capacities: Sequence[int], bin_co
                 next_bin += full
             else:
                 room = rooms[at]
-                run = groups[room].pop()
+                run = heapq.heappop(groups[room])
                 if not groups[room]:
                     del groups[room]
                     rooms.pop(at)

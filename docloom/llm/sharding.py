@@ -102,7 +102,10 @@ class GroupEnds:
 
     def floor(self, x: int) -> int:
         """The greatest end <= x."""
-        return self.total if x >= self.total else self.ends[self._settle(x)]
+        if x >= self.total:
+            return self.total
+        i = self._settle(x)  # may replace self.ends
+        return self.ends[i]
 
     def ceil(self, x: int) -> int:
         """The smallest end >= x."""

@@ -206,6 +206,8 @@ def brute_leaks(texts, items, threshold=0.8):
             k = min(5, len(want))
             a, b = shingles(w, k), Counter(shingles(want, k))
             m, best = sum(b.values()), 0
+            if b.keys().isdisjoint(a):
+                continue
             for s in range(max(1, len(a) - m + 1)):
                 c = Counter(a[s : s + m])
                 both = sum((b & c).values())
