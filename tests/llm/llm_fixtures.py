@@ -1,3 +1,5 @@
+"""Document fixtures of the training-data tests (imported by name; a second conftest would hide the first)."""
+
 import pytest
 
 from pyspark.sql import types as T

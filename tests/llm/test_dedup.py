@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+from llm_fixtures import edges, make_docs  # noqa: F401
+
 from docloom.llm import cuckoo, line_dedup, simhash_dedup, suffix_dedup
 from docloom.llm.common import components
 

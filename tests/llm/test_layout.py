@@ -14,6 +14,7 @@ import corpus_pipeline
 from docloom.llm import packing, rule_ensemble, sharding, warc
 from docloom.llm.common import with_row_index
 from docloom.llm.queries import QUERIES, held_out
+from llm_fixtures import edges, make_docs  # noqa: F401
 from test_dedup import brute_lines, fingerprint, least_reachable
 from test_select import brute_leaks
 

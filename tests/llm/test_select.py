@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from llm_fixtures import edges, make_docs  # noqa: F401
+
 from docloom.llm import decontaminate, pii, quality_rules, rule_ensemble
 from docloom.llm.queries import held_out
 
