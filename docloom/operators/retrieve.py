@@ -718,7 +718,9 @@ def topk_hybrid(
     Vectors default to the hashed ones.  A key of score zero is in no list."""
     if question_vectors is None:
         question_vectors = embed.embed(questions, qtext, qvec)
-    items = chunk_vectors if chunk_vectors is not None else embed.embed(chunks, text, vec)
+    items = chunk_vectors
+    if items is None:  # read up to three times below: embedded once
+        items = cut_lineage(embed.embed(chunks, text, vec).select(key, vec))
     q_field, key_field = questions.schema[qid], chunks.schema[key]
     qterms = _question_terms(questions, qid, qtext)
     stats = cut_lineage(keyword_stats(chunks, qterms.select(F.explode("_terms").alias("term")).distinct(), text))
