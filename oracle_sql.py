@@ -581,7 +581,53 @@ UNION ALL SELECT 'chunk_errors', 0
 UNION ALL SELECT 'chunked_docs', count(*) FROM chunk_rows"""
 
 
-SQL["build_prompt"] = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25, HASHED, FUSED) + f"""
+def _cut_pieces(source: str, sep: str) -> str:
+    """Pieces (path, pos, t) longer than a chunk cut before every ``sep``; the others as they are."""
+    return f"""
+  SELECT path, pos, t FROM {source} WHERE length(t) <= {CHUNK_SIZE}
+  UNION ALL
+  SELECT path, pos + coalesce(sum(length(piece)) OVER (PARTITION BY path, pos ORDER BY i
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT, piece
+  FROM (SELECT path, pos, i, CASE WHEN i = 1 THEN part ELSE {sep} || part END AS piece
+        FROM (SELECT path, pos, unnest(string_split(t, {sep})) AS part,
+                     generate_subscripts(string_split(t, {sep}), 1) AS i
+              FROM {source} WHERE length(t) > {CHUNK_SIZE}))"""
+
+
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+# A chunk runs from a piece's start to the last piece end within the size.  The next one starts pos
+# the first piece that leaves at most the overlap behind and room for the piece that did not fit.
+SQL["chunk_recursive"] = f"""
+WITH RECURSIVE {PARSED},
+whole AS (SELECT path, 0::BIGINT AS pos, parsed_content AS t FROM parsed WHERE length(parsed_content) > 0),
+paragraphs AS ({_cut_pieces("whole", "chr(10) || chr(10)")}),
+lines AS ({_cut_pieces("paragraphs", "chr(10)")}),
+parts AS ({_cut_pieces("lines", "' '")}),
+starts AS (
+  SELECT path, pos FROM parts WHERE length(t) BETWEEN 1 AND {CHUNK_SIZE}
+  UNION ALL
+  SELECT path, pos + unnest(range(length(t))) FROM parts WHERE length(t) > {CHUNK_SIZE}),
+edges AS (
+  SELECT s.path, list(s.pos ORDER BY s.pos) AS starts, list(s.pos ORDER BY s.pos)[2:] || [any_value(length(w.t))] AS ends,
+         any_value(length(w.t)) AS n
+  FROM starts s JOIN whole w USING (path) GROUP BY s.path),
+chunks AS (
+  SELECT path, 0 AS k, 0::BIGINT AS s, list_max(list_filter(ends, lambda x: x <= {CHUNK_SIZE})) AS e FROM edges
+  UNION ALL
+  SELECT path, k + 1, s2, list_max(list_filter(ends, lambda x: x <= s2 + {CHUNK_SIZE}))
+  FROM (SELECT path, k, ends,
+               list_min(list_filter(starts, lambda x: x >= e - {CHUNK_OVERLAP} AND x >= after - {CHUNK_SIZE})) AS s2
+        FROM (SELECT c.path, c.k, c.e, d.starts, d.ends, list_min(list_filter(d.ends, lambda x: x > c.e)) AS after
+              FROM chunks c JOIN edges d USING (path) WHERE c.e < d.n))),
+texts AS (
+  SELECT path, k, regexp_replace(substring(parsed_content, s + 1, e - s), '^{SPACES}+|{SPACES}+$', '', 'g') AS chunked_text
+  FROM chunks JOIN parsed USING (path))
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY k) - 1)::INTEGER AS chunk_index,
+       md5(chunked_text) AS chunk_id, length(chunked_text)::BIGINT AS chunk_chars
+FROM texts WHERE chunked_text <> ''"""
+
+PROMPTS = _with(PARSED, WINDOWS, CONV, CONV_QUESTIONS, BM25, HASHED, FUSED) + f"""
 , contexts AS (
   SELECT f.item_id AS conv_id, string_agg('Passage: ' || c.chunked_text || chr(10), '' ORDER BY f.rank) AS context
   FROM fused f JOIN chunk_index c USING (chunk_id) WHERE f.rank <= 8 GROUP BY f.item_id),
@@ -590,5 +636,24 @@ prompts AS (
          list_concat([{{'role': 'system', 'content': 'Answer the question using only the passages below. If they do not contain the answer, say so.' || chr(10) || '' || chr(10) || 'Context: ' || coalesce(context, '')}}],
                      list_transform(s.history_messages, lambda m: {{'role': m.role, 'content': m.content}}),
                      [{{'role': 'user', 'content': s.question}}]) AS prompt
-  FROM searches s LEFT JOIN contexts c USING (conv_id) WHERE s.question IS NOT NULL)
+  FROM searches s LEFT JOIN contexts c USING (conv_id) WHERE s.question IS NOT NULL)"""
+
+SQL["build_prompt"] = PROMPTS + f"""
 SELECT conv_id, {MESSAGES_TEXT.format(col='prompt')} AS prompt, CAST(len(prompt) AS BIGINT) AS n_messages FROM prompts"""
+
+WORDS = r"'[\p{L}\p{N}_]+'"
+
+# the sentence of the passages that shares the most words with the question; the earliest of equals
+SQL["batch_answer"] = PROMPTS + f"""
+, answer_asks AS (
+  SELECT conv_id, list_distinct(regexp_extract_all(lower(prompt[-1].content), {WORDS})) AS words,
+         string_split_regex(regexp_replace(string_split(prompt[1].content, 'Context:')[-1],
+                                           '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS sentences
+  FROM prompts),
+answers_scored AS (
+  SELECT conv_id, i, regexp_replace(sentence, '^{SPACES}+|{SPACES}+$', '', 'g') AS sentence,
+         len(list_intersect(words, list_distinct(regexp_extract_all(lower(sentence), {WORDS})))) AS shared
+  FROM (SELECT conv_id, words, unnest(sentences) AS sentence, generate_subscripts(sentences, 1) AS i FROM answer_asks))
+SELECT a.conv_id, coalesce(b.answer, '') AS answer
+FROM answer_asks a LEFT JOIN (SELECT conv_id, arg_max(sentence, shared * 1000000 - i) AS answer
+                        FROM answers_scored WHERE sentence <> '' GROUP BY conv_id) b USING (conv_id)"""
