@@ -10,15 +10,17 @@ doc_id that holds it.
 * ``ledger``  one row per (key, document) with sign +1 for an insert and -1
   for a deletion.  The net of the signs is what is in the index.
 * ``refs``    the exact reference counts: key, number of documents, smallest
-  document; the newest version of a key counts.
+  document, and ``born``, the version whose filter table holds the key; the
+  newest version of a key counts.
 * ``filters`` one cuckoo filter per shard of the key space with every key
-  whose count is above zero.
+  whose count is above zero; each insert opens at most one table per shard.
 
 An insert probes the filters shard by shard.  A key that is absent for certain
 gets a new reference row unseen; only a key that may be present is looked up in
 the exact table.  A deletion writes the opposite ledger rows, counts the touched
 keys anew from the ledger and takes the keys that reached zero out of the
-filters: inserting documents and deleting them again restores every count.
+filter table they were put into (another table may hold the same tag for another
+key): inserting documents and deleting them again restores every count.
 
 Keys are 128-bit BLAKE2b digests.  Counting is an aggregate with map-side
 combine, so a line that a third of all documents share is one row per input
@@ -49,6 +51,7 @@ KEYS_PER_SHARD = 1 << 12
 _UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 POSTING = "k1 long, k2 long, doc_id long"
+FILTERS = "shard int, tables array<binary>, born array<int>"
 
 
 def line_digest(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -105,16 +108,19 @@ class LineIndex:
 
     def refs(self) -> DataFrame:
         """Current reference counts ``(k1, k2, n_docs, holder)`` of the keys in use."""
-        rows = self._table("refs", "k1 long, k2 long, n_docs long, holder long, version int")
+        return self._refs().drop("born")
+
+    def _refs(self) -> DataFrame:
+        rows = self._table("refs", "k1 long, k2 long, n_docs long, holder long, born int, version int")
         if self.version > 1:
-            newest = F.max_by(F.struct("n_docs", "holder"), "version").alias("r")
-            rows = rows.groupBy("k1", "k2").agg(newest).select("k1", "k2", "r.n_docs", "r.holder")
-        return rows.filter("n_docs > 0").select("k1", "k2", "n_docs", "holder")
+            newest = F.max_by(F.struct("n_docs", "holder", "born"), "version").alias("r")
+            rows = rows.groupBy("k1", "k2").agg(newest).select("k1", "k2", "r.n_docs", "r.holder", "r.born")
+        return rows.filter("n_docs > 0").select("k1", "k2", "n_docs", "holder", "born")
 
     def filters(self) -> DataFrame:
-        """``(shard, tables)``: the cuckoo tables of every shard."""
+        """``(shard, tables, born)``: the cuckoo tables of every shard and the version that opened each."""
         if not self.version:
-            return self.spark.createDataFrame([], "shard int, tables array<binary>")
+            return self.spark.createDataFrame([], FILTERS)
         return self.spark.read.parquet(f"{self.path}/filters/v={self.version}")
 
     def _shard(self):
@@ -138,31 +144,36 @@ class LineIndex:
         return keyed.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(probe, schema)
 
     def _write_filters(self, keys: DataFrame, remove: bool) -> None:
-        """Next version of the filters: ``keys (k1, k2)`` inserted or deleted."""
+        """Next version of the filters: ``keys (k1, k2, born)`` inserted or deleted."""
+        to = self.version + 1
 
         def change(left: pa.Table, right: pa.Table) -> pa.Table:
             tables = [t.copy() for t in _tables(right)]
+            opened = _born(right)
             k1, k2 = _halves(left)
             if remove:
-                for table in tables:
-                    here = cuckoo.contains(table, k1, k2)
+                born = left.column("born").to_numpy()
+                for version, table in zip(opened, tables):
+                    here = born == version
                     cuckoo.delete(table, k1[here], k2[here])
-                    k1, k2 = k1[~here], k2[~here]
             elif len(k1):
                 fresh = cuckoo.empty_table(len(k1))
                 while not cuckoo.insert(fresh, k1, k2):
                     fresh = np.zeros((len(fresh) * 2, cuckoo.SLOTS), dtype=np.uint16)
                 tables.append(fresh)
+                opened.append(to)
             shard = (left if left.num_rows else right).column("shard")[0].as_py()
             return pa.table(
-                {"shard": pa.array([shard], pa.int32()), "tables": pa.array([[t.tobytes() for t in tables]], pa.list_(pa.binary()))}
+                {
+                    "shard": pa.array([shard], pa.int32()),
+                    "tables": pa.array([[t.tobytes() for t in tables]], pa.list_(pa.binary())),
+                    "born": pa.array([opened], pa.list_(pa.int32())),
+                }
             )
 
-        keyed = keys.select("k1", "k2", self._shard().alias("shard"))
-        out = keyed.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(
-            change, "shard int, tables array<binary>"
-        )
-        out.write.mode("overwrite").parquet(f"{self.path}/filters/v={self.version + 1}")
+        keyed = keys.select("k1", "k2", "born", self._shard().alias("shard"))
+        out = keyed.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(change, FILTERS)
+        out.write.mode("overwrite").parquet(f"{self.path}/filters/v={to}")
 
     # -- changes --------------------------------------------------------------------
 
@@ -178,22 +189,22 @@ class LineIndex:
             self.shards = max(1, -(-counts.count() // KEYS_PER_SHARD))
         if self.version:
             probed = cut_lineage(self.maybe_present(counts))
-            old = self.refs().select("k1", "k2", F.col("n_docs").alias("n0"), F.col("holder").alias("h0"))
+            old = self._refs().select("k1", "k2", F.col("n_docs").alias("n0"), F.col("holder").alias("h0"), F.col("born").alias("b0"))
             known = probed.filter("maybe").join(old, ["k1", "k2"], "left")
-            rows = probed.filter("not maybe").select("k1", "k2", "n_docs", "holder", F.lit(True).alias("fresh"))
+            rows = probed.filter("not maybe").select("k1", "k2", "n_docs", "holder", F.lit(to).alias("born"))
             rows = rows.unionByName(
                 known.select(
                     "k1",
                     "k2",
                     (F.col("n_docs") + F.coalesce("n0", F.lit(0))).alias("n_docs"),
                     F.least("holder", "h0").alias("holder"),
-                    F.col("n0").isNull().alias("fresh"),
+                    F.coalesce("b0", F.lit(to)).alias("born"),
                 )
             )
             rows = cut_lineage(rows)
         else:  # no filter yet: every key is certainly absent
-            rows = counts.withColumn("fresh", F.lit(True))
-        self._write_filters(rows.filter("fresh"), remove=False)
+            rows = counts.withColumn("born", F.lit(to))
+        self._write_filters(rows.filter(F.col("born") == to), remove=False)
         return self._commit(rows)
 
     def delete(self, ids: DataFrame, key: str = "doc_id") -> LineIndex:
@@ -206,15 +217,18 @@ class LineIndex:
         touched = removed.select("k1", "k2").distinct()
         left = self.ledger().join(gone, "doc_id", "left_anti").join(touched, ["k1", "k2"], "left_semi")
         now = left.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("holder"))
+        born = self._refs().select("k1", "k2", "born")
         rows = cut_lineage(
-            touched.join(now, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n", F.lit(0)).alias("n_docs"), "holder")
+            touched.join(now, ["k1", "k2"], "left")
+            .join(born, ["k1", "k2"])
+            .select("k1", "k2", F.coalesce("n", F.lit(0)).alias("n_docs"), "holder", "born")
         )
         self._write_filters(rows.filter("n_docs = 0"), remove=True)
         return self._commit(rows)
 
     def _commit(self, rows: DataFrame) -> LineIndex:
         to = self.version + 1
-        rows.select("k1", "k2", "n_docs", "holder", F.lit(to).alias("version")).write.mode("overwrite").parquet(
+        rows.select("k1", "k2", "n_docs", "holder", "born", F.lit(to).alias("version")).write.mode("overwrite").parquet(
             f"{self.path}/refs/v={to}"
         )
         self.version = to
@@ -278,6 +292,11 @@ def _tables(filters: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(t, dtype=np.uint16).reshape(-1, cuckoo.SLOTS) for row in rows for t in row]
 
 
+def _born(filters: pa.Table) -> list[int]:
+    rows = filters.column("born").to_pylist() if filters.num_rows else []
+    return [v for row in rows for v in row]
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One-shot form: index ``docs`` and apply the index to them."""
     return LineIndex(docs.sparkSession, min_chars=min_chars).insert(docs, key, text).apply(docs, key, text)

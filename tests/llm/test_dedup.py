@@ -172,6 +172,38 @@ def test_lines_are_reversible(spark, make_docs):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in rows} == brute_lines(first)
 
 
+def same_tag_lines(buckets):
+    """Two lines of one tag that share no bucket in a table of ``buckets`` buckets."""
+    seen = {}
+    for i in range(100_000):
+        line = f"a line of its own {i}"
+        k1, k2 = np.frombuffer(line_dedup.line_digest(line), dtype="<u8").reshape(2, 1)
+        home, other, tag = cuckoo._homes(np.zeros((buckets, cuckoo.SLOTS), np.uint16), k1, k2)
+        here = {int(home[0]), int(other[0])}
+        for line_before, places in seen.setdefault(int(tag[0]), []):
+            if not here & places:
+                return line_before, line
+        seen[int(tag[0])].append((line, here))
+    raise AssertionError("no pair found")
+
+
+def test_line_delete_spares_a_live_key_of_the_same_tag(spark, make_docs):
+    filler = [f"filler line number {i}" for i in range(40)]
+    live, gone = same_tag_lines(len(cuckoo.empty_table(len(filler) + 1)))
+    texts = {1: live, 2: "\n".join([gone, *filler]), 3: live, 4: gone}
+    docs = {i: make_docs([(i, t)]) for i, t in texts.items()}
+    index = line_dedup.LineIndex(spark, shards=1).insert(docs[1])  # one bucket: every equal tag is a false positive
+    index.insert(docs[2]).delete(docs[2])
+    (row,) = index.filters().collect()
+    assert [np.count_nonzero(np.frombuffer(t, np.uint16)) for t in row.tables] == [1, 0]
+    index.insert(docs[3]).insert(docs[4])
+    left = {i: texts[i] for i in (1, 3, 4)}
+    whole = line_dedup.LineIndex(spark, shards=1).insert(make_docs(list(left.items())))
+    assert sorted(index.refs().collect()) == sorted(whole.refs().collect())
+    rows = index.apply(make_docs(list(left.items()))).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in rows} == brute_lines(left)
+
+
 def test_lines_edges(edges, make_docs, spark):
     rows = line_dedup.dedup_lines(edges).collect()
     assert len(rows) == edges.count()
