@@ -5,7 +5,7 @@ lower-cased; keys of fewer than ``min_chars`` code points never count.  A key
 held by two documents or more loses its lines everywhere but in the smallest
 doc_id that holds it.
 
-``LineIndex`` keeps three things in the shared folder, all written by Spark:
+``LineIndex`` keeps four things in the shared folder, all written by Spark:
 
 * ``ledger``  one row per (key, document) with sign +1 for an insert and -1
   for a deletion.  The net of the signs is what is in the index.
@@ -14,6 +14,11 @@ doc_id that holds it.
   newest version of a key counts.
 * ``filters`` one cuckoo filter per shard of the key space with every key
   whose count is above zero; each insert opens at most one table per shard.
+* ``state``   one row per change (version, shards, min_chars), written last: a
+  change without its row never happened, and the next one writes over it.
+
+``LineIndex(spark, path)`` on a folder that holds an index goes on with it.  One
+writer at a time.
 
 An insert probes the filters shard by shard.  A key that is absent for certain
 gets a new reference row unseen; only a key that may be present is looked up in
@@ -44,6 +49,7 @@ from pyspark.sql import types as T
 
 from docloom.llm import cuckoo
 from docloom.llm.common import WHITE_CHARS
+from docloom.operators.changes import table_exists
 from docloom.session import cut_lineage, ensure_checkpoint_dir
 
 MIN_CHARS = 10  # fixed value of the contract
@@ -51,6 +57,7 @@ KEYS_PER_SHARD = 1 << 12
 _UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 POSTING = "k1 long, k2 long, doc_id long"
+STATE = "version int, shards int, min_chars int"
 FILTERS = "shard int, tables array<binary>, born array<int>"
 
 
@@ -85,14 +92,27 @@ def _postings(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame
 class LineIndex:
     """Incremental index of lines (module docstring).  ``shards`` is fixed by the
     first insert (``KEYS_PER_SHARD`` keys each) unless given; a shard that
-    outgrows its table opens further ones."""
+    outgrows its table opens further ones.  ``min_chars`` is ``MIN_CHARS`` unless
+    given.  An index that exists keeps its own two values; other ones raise."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, min_chars: int = MIN_CHARS):
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, min_chars: int | None = None):
         self.spark = spark
-        self.path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines/{uuid.uuid4().hex}"
+        self.path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines/{uuid.uuid4().hex}").rstrip("/")
         self.shards = shards
-        self.min_chars = min_chars
+        self.min_chars = MIN_CHARS if min_chars is None else min_chars
         self.version = 0
+        if path and table_exists(spark, f"{self.path}/state"):
+            self._reopen(shards, min_chars)
+
+    def _reopen(self, shards: int | None, min_chars: int | None) -> None:
+        last = self.spark.read.schema(STATE).parquet(f"{self.path}/state").orderBy(F.desc("version")).first()
+        if last is None:  # the first change was never committed
+            return
+        for name, given, kept in (("shards", shards, last["shards"]), ("min_chars", min_chars, last["min_chars"])):
+            if given is not None and kept is not None and given != kept:
+                raise ValueError(f"the index at {self.path} has {name} {kept}, not {given}")
+        self.version, self.min_chars = last["version"], last["min_chars"]
+        self.shards = last["shards"] or shards
 
     # -- tables ------------------------------------------------------------------
 
@@ -231,6 +251,8 @@ class LineIndex:
         rows.select("k1", "k2", "n_docs", "holder", "born", F.lit(to).alias("version")).write.mode("overwrite").parquet(
             f"{self.path}/refs/v={to}"
         )
+        state = self.spark.createDataFrame([(to, self.shards, self.min_chars)], STATE)
+        state.coalesce(1).write.mode("append").parquet(f"{self.path}/state")  # one file: there whole or not at all
         self.version = to
         return self
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import shutil
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from llm_fixtures import edges, make_docs  # noqa: F401
@@ -204,6 +206,28 @@ def test_line_delete_spares_a_live_key_of_the_same_tag(spark, make_docs):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in rows} == brute_lines(left)
 
 
+def test_line_index_is_reopened_from_its_folder(spark, make_docs, tmp_path):
+    texts = line_texts(random.Random(5), 90)
+    first, late, gone = ({i: t for i, t in texts.items() if i % 3 == r} for r in range(3))
+    path = str(tmp_path / "index")
+    line_dedup.LineIndex(spark, path, shards=3, min_chars=8).insert(make_docs(list({**first, **gone}.items())))
+    line_dedup.LineIndex(spark, path).insert(make_docs(list(late.items())))
+    index = line_dedup.LineIndex(spark, path)
+    whole = line_dedup.LineIndex(spark, shards=3, min_chars=8).insert(make_docs(list(texts.items())))
+    assert (index.version, index.shards, index.min_chars) == (2, 3, 8)
+    assert sorted(index.refs().collect()) == sorted(whole.refs().collect())
+    shutil.copytree(f"{path}/ledger/v=1", f"{path}/ledger/v=3")  # left by a change that was never committed
+    line_dedup.LineIndex(spark, path).delete(make_docs(list(gone.items())))
+    left = make_docs(list({**first, **late}.items()))
+    index = line_dedup.LineIndex(spark, path)
+    whole = line_dedup.LineIndex(spark, shards=3, min_chars=8).insert(left)
+    assert sorted(index.refs().collect()) == sorted(whole.refs().collect())
+    assert sorted(index.apply(left).collect()) == sorted(whole.apply(left).collect())
+    for other in ({"shards": 4}, {"min_chars": 10}):
+        with pytest.raises(ValueError):
+            line_dedup.LineIndex(spark, path, **other)
+
+
 def test_lines_edges(edges, make_docs, spark):
     rows = line_dedup.dedup_lines(edges).collect()
     assert len(rows) == edges.count()
