@@ -22,7 +22,8 @@ writer at a time.
 
 An insert probes the filters shard by shard.  A key that is absent for certain
 gets a new reference row unseen; only a key that may be present is looked up in
-the exact table.  A deletion writes the opposite ledger rows, counts the touched
+the exact table.  The first insert has no filter to probe: its result, and so
+that of the one-shot form, comes from the exact counts alone.  A deletion writes the opposite ledger rows, counts the touched
 keys anew from the ledger and takes the keys that reached zero out of the
 filter table they were put into (another table may hold the same tag for another
 key): inserting documents and deleting them again restores every count.
