@@ -13,7 +13,9 @@ Only step 2 and 3 run on the driver, on at most ``max_train`` labelled rows
 
 Defined results: a null or empty text has all statistics zero and is scored
 like any other; labels that are null or whose document is missing are not used;
-several labels of one id are all used; without labels, or with labels of one
+several labels of one id are all used; rows of one id with equal statistics are
+one row of the fit, and when there are more rows than ``max_train`` every id's
+first row goes before any id's second; without labels, or with labels of one
 class only, the score is the smoothed share of label 1; an empty table gives
 an empty result; other columns are never inputs.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WHITE, WHITE_CHARS, words
+from docloom.session import cut_lineage
 
 MAX_TRAIN = 20_000  # labelled rows the ensemble is fitted on at most
 N_TREES = 30
@@ -228,12 +231,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .orderBy(F.xxhash64("_id"), "_id", "_y")
         .limit(max_train)
     )
+    by_id = chosen.groupBy("_id").agg(F.sort_array(F.collect_list("_y")).alias("_ys"))  # at most max_train labels
     bodies = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    rows = with_features(bodies.join(F.broadcast(chosen), "_id"), ["_id", "_y"], "_text").toPandas()  # at most max_train ids
+    features = [f"_f_{f}" for f in FEATURES]
+    rows = cut_lineage(with_features(bodies.join(F.broadcast(by_id), "_id"), ["_id", "_ys"], "_text").distinct())
+    first = rows.groupBy("_id").agg(F.min(F.struct(*features)).alias("_first"))  # no window: an id may hold most rows
+    later = F.struct(*features) != F.col("_first")
+    rows = (
+        rows.join(F.broadcast(first), "_id")
+        .select("_id", F.explode("_ys").alias("_y"), *features, F.when(later, F.xxhash64(*features)).alias("_later"))
+        .orderBy(F.asc_nulls_first("_later"), F.xxhash64("_id"), "_id", "_y", *features)
+        .limit(max_train)
+        .drop("_later")
+        .toPandas()
+    )
     if not len(rows):
         return RuleModel(0.0, ())
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
-    x = rows[[f"_f_{f}" for f in FEATURES]].to_numpy(dtype=float)
+    x = rows[features].to_numpy(dtype=float)
     y = rows["_y"].to_numpy(dtype=float)
     prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if y.min() == y.max():

@@ -109,6 +109,25 @@ def test_classifier_edges(edges, make_docs, spark):
     assert rule_ensemble.score(make_docs([]), rule_ensemble.fit(make_docs([]), labels)).count() == 0
 
 
+def test_classifier_fits_at_most_max_train_rows(make_docs, spark, monkeypatch):
+    good, bad = "plain words in a plain line", "# $ % & #"
+    texts = [(i, f"{good} {'w' * i}" if i % 2 else f"{bad} {'#' * i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fitted = []
+    extract = rule_ensemble.extract_rules
+    monkeypatch.setattr(rule_ensemble, "extract_rules", lambda x, y: fitted.append((len(y), int(y.sum()))) or extract(x, y))
+    model = rule_ensemble.fit(make_docs(texts), labels)
+    # one text a hundred times over is one row of the fit
+    assert rule_ensemble.fit(make_docs(texts + texts[:1] * 100), labels) == model
+    # one id of many texts: the bound holds for rows, and the other ids are all there
+    many = texts + [(0, f"{bad} {'%' * i}") for i in range(100)]
+    rule_ensemble.fit(make_docs(many), labels, max_train=45)
+    assert fitted == [(40, 20), (40, 20), (45, 20)]
+    # each of several labels counts
+    rule_ensemble.fit(make_docs(texts), labels.unionByName(labels.limit(3)))
+    assert fitted[-1][0] == 43
+
+
 # -- personal data ------------------------------------------------------------------------
 
 BASE = {
