@@ -180,7 +180,8 @@ class _Source:
         wanted: dict = {}
         numbers = {q: i for i, q in enumerate(self.qids)}
         for q, key in pairs.collect():
-            wanted.setdefault(key, []).append(numbers[q])
+            if q in numbers:  # a question without a vector has no score
+                wanted.setdefault(key, []).append(numbers[q])
         shared, blocks, qids, floor = pairs.sparkSession.sparkContext.broadcast(wanted), self.blocks, self.qids, self.floor
 
         def run(batches):
@@ -349,9 +350,11 @@ def _split_heavy(term_start: np.ndarray, term_questions: np.ndarray, n_q: int, d
     return heavy_of, mat
 
 
-def _question_terms(questions: DataFrame, qid: str, qtext: str) -> DataFrame:
-    rows = questions.select(F.col(qid).alias("_q"), F.array_distinct(tokens(qtext)).alias("_terms"))
-    return cut_lineage(rows.filter(F.size("_terms") > 0))
+def _question_terms(questions: DataFrame, qid: str, qtext: str, wordless: bool = False) -> DataFrame:
+    """Distinct terms of every question; questions without a token only when ``wordless``."""
+    terms = F.coalesce(F.array_distinct(tokens(qtext)), F.array().cast("array<string>"))
+    rows = questions.select(F.col(qid).alias("_q"), terms.alias("_terms"))
+    return cut_lineage(rows if wordless else rows.filter(F.size("_terms") > 0))
 
 
 def _term_batches(qterms: DataFrame, most: int) -> list[DataFrame]:
@@ -485,7 +488,7 @@ def _cosine_blocks(shared):
 
 def _vector_source(qvecs: DataFrame, items: DataFrame, q_field, key: str, vec: str, floor: float = -np.inf) -> _Source:
     rows = qvecs.collect()  # bounded by _vector_batches, all of one length
-    qmat = _unit_rows(np.asarray([r[1] for r in rows], dtype=np.float64))
+    qmat = _unit_rows(np.asarray([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
     shared = items.sparkSession.sparkContext.broadcast(qmat)
     scored = items.select(key, F.col(vec).cast("array<double>").alias("_vec"))
     return _Source(scored, _cosine_blocks(shared), [r[0] for r in rows], q_field, key, floor)
@@ -715,24 +718,25 @@ def topk_hybrid(
 ) -> DataFrame:
     """Top-k of the fused, uncut keyword and vector rankings: ``(qid, rank, key, score)``.
 
-    Vectors default to the hashed ones.  A key of score zero is in no list."""
+    Vectors default to the hashed ones.  A key of score zero is in no list.  A question
+    without a token, or whose terms do not occur in the corpus, has its vector ranking alone."""
     if question_vectors is None:
         question_vectors = embed.embed(questions, qtext, qvec)
     items = chunk_vectors
     if items is None:  # read up to three times below: embedded once
         items = cut_lineage(embed.embed(chunks, text, vec).select(key, vec))
     q_field, key_field = questions.schema[qid], chunks.schema[key]
-    qterms = _question_terms(questions, qid, qtext)
+    qterms = _question_terms(questions, qid, qtext, wordless=True)
     stats = cut_lineage(keyword_stats(chunks, qterms.select(F.explode("_terms").alias("term")).distinct(), text))
     vectors = question_vectors.select(F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v"))
+    vectors = vectors.filter(F.size("_v") > 0)
     positive = float(np.nextafter(0.0, 1.0))
     tops = []
     for part in _term_batches(qterms, MAX_FUSED_QUESTIONS):
         keyword = _keyword_source(part, stats, chunks, q_field, key, text, k1, b)
-        if keyword is None:
-            continue
         semantic = _vector_source(vectors.join(part.select("_q"), "_q", "left_semi"), items, q_field, key, vec, positive)
-        lists = [r.withColumnRenamed("_q", qid) for r in _uncut(semantic, keyword, k, constant)]
+        lists = [semantic.top(k)] if keyword is None else _uncut(semantic, keyword, k, constant)
+        lists = [r.withColumnRenamed("_q", qid) for r in lists]
         tops.append(fuse_ranks(lists, k, qid, key, constant))
     empty = _empty_top(questions.sparkSession, q_field, key_field).select(F.col("_q").alias(qid), "rank", key, "score")
     return _union_all(tops or [empty])

@@ -174,6 +174,25 @@ def test_running_top_k_memory_does_not_grow_with_rows():
         assert list(best.keys[best.q == q]) == [keys[i] for i in want]
 
 
+def test_hybrid_answer_does_not_depend_on_the_batch(spark):
+    docs = [(f"c{i:02d}", f"alpha beta w{i}", "p", [1.0, float(i)]) for i in range(20)]
+    chunks = spark.createDataFrame(docs, "chunk_id string, chunked_text string, path string, vector array<double>")
+    rows = [(0, "alpha w3", [1.0, 0.0]), (1, "palabras ajenas", [0.2, 1.0]), (2, "?!", [1.0, 1.0]), (3, None, [1.0, 2.0]), (4, "beta w5", None)]
+    qs = spark.createDataFrame(rows, "item_id long, text string, vector array<double>")
+
+    def hits(only):
+        part = qs.filter(F.col("item_id").isin(only))
+        got = retrieve.topk_hybrid(part, chunks, k=4, question_vectors=part, chunk_vectors=chunks).collect()
+        return {q: sorted((r["rank"], r.chunk_id, r.score) for r in got if r.item_id == q) for q in only}
+
+    together = hits([0, 1, 2, 3, 4])
+    assert all(len(x) == 4 for x in together.values())
+    assert hits([1, 2, 3]) == {q: together[q] for q in (1, 2, 3)}  # no question term occurs
+    assert hits([4]) == {4: together[4]}  # no question has a vector
+    semantic = retrieve.topk_semantic(qs.filter("item_id in (1, 2, 3)"), chunks, k=4).collect()
+    assert {(r.item_id, r["rank"], r.chunk_id) for r in semantic} == {(q, n, c) for q in (1, 2, 3) for n, c, _ in together[q]}
+
+
 def test_hybrid_fuses_uncut_ranks(spark):
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(60)]
