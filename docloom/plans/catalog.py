@@ -569,9 +569,15 @@ def document_stream(spark, sf_dir, max_files: int = 1, failing: bool = True):
     return fixtures.raw_files_from(docs, failing).withColumn("processing_timestamp", F.current_timestamp())
 
 
+def _stream_names(base: str) -> dict[str, str]:
+    """Table names of the streamed stages, unique per run."""
+    tag = base.rsplit("-", 1)[1][:12]
+    return {level: f"{name}_{tag}" for level, name in (("bronze", "raw_files"), ("silver", "parsed_docs"), ("gold", "chunked_docs"))}
+
+
 def streamed_tables(spark, sf_dir, failing: bool = True):
     base = _scratch(spark, "stream")
-    runs = pipeline.run_pipeline(spark, document_stream(spark, sf_dir, failing=failing), base)
+    runs = pipeline.run_pipeline(spark, document_stream(spark, sf_dir, failing=failing), base, names=_stream_names(base))
     return base, runs
 
 
@@ -617,7 +623,7 @@ def q_stream_sync(spark, sf_dir):
         landing.write.mode("append").parquet(source)
         stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "100").parquet(source)
         stream = fixtures.raw_files_from(stream, failing=False).withColumn("processing_timestamp", F.current_timestamp())
-        pipeline.run_pipeline(spark, stream, base)
+        pipeline.run_pipeline(spark, stream, base, names=_stream_names(base))
         pipeline.sync_vectors(spark, base, vectors)
     v = spark.read.parquet(vectors)
     return v.select(

@@ -101,4 +101,4 @@ def batch_ingest(
 
 
 def _tag(spark: SparkSession, name: str, config: Mapping[str, Any], level: str) -> None:
-    tables.tag_table(spark, name, {**config, "quality": level})
+    tables.tag_table(spark, name, {**config, "quality": level}, comment=tables.COMMENTS[level])

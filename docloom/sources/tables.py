@@ -64,9 +64,28 @@ def _sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def tag_table(spark: SparkSession, name: str, config: Mapping[str, Any], source: str = "docloom") -> dict[str, str]:
+# quality level -> comment of the tables of the batch and the streamed ingest
+COMMENTS = {
+    "bronze": "Raw files",
+    "silver": "Parsed document contents",
+    "gold": "Chunked document contents for vector search",
+}
+
+
+def register_folder(spark: SparkSession, name: str, path: str) -> None:
+    """A catalog table over the parquet folder ``path`` (external: dropping it leaves the files)."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION {_sql_string(path)}")
+    spark.catalog.refreshTable(name)
+
+
+def tag_table(
+    spark: SparkSession, name: str, config: Mapping[str, Any], source: str = "docloom", comment: str | None = None
+) -> dict[str, str]:
     """Record the flattened configuration, and the table source, as table
-    properties (``ALTER TABLE ... SET TBLPROPERTIES``).  Returns the tags."""
+    properties (``ALTER TABLE ... SET TBLPROPERTIES``), and ``comment`` as the
+    table's comment.  Returns the tags."""
+    if comment is not None:
+        spark.sql(f"COMMENT ON TABLE {name} IS {_sql_string(comment)}")
     tags = flatten_config(config)
     tags["table_source"] = source
     props = ", ".join(f"{_sql_string(k)} = {_sql_string(v)}" for k, v in sorted(tags.items()))

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chunk, parse
+from docloom.plans import ingest
+from docloom.sources import tables
 from docloom.streaming import pipeline
 
 
@@ -114,3 +116,28 @@ def test_document_stream_reads_a_folder_table(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     base, _ = catalog.streamed_tables(spark, str(tmp_path), failing=False)
     assert spark.read.parquet(f"{base}/silver").count() == 9
+
+
+def test_streamed_tables_have_comments_and_properties(spark, tmp_path):
+    src, base = str(tmp_path / "src"), str(tmp_path / "run")
+    names = {"bronze": "s6_raw_files", "silver": "s6_parsed_docs", "gold": "s6_chunked_docs"}
+    for n in (1, 2):  # a second run adds to the tables that are there
+        write_files(src, {f"d{n}.txt": b"some words " * 200})
+        pipeline.run_pipeline(
+            spark, pipeline.bronze_from_files(spark, src, "txt"), base, names=names, config={"chunk": {"size": 1024}}
+        )
+        for level, name in names.items():
+            assert spark.table(name).count() == spark.read.parquet(f"{base}/{level}").count() > 0
+            assert spark.catalog.getTable(name).description == tables.COMMENTS[level]
+            props = tables.table_tags(spark, name)
+            assert (props["quality"], props["chunk__size"], props["table_source"]) == (level, "1024", "docloom")
+    assert spark.table(names["bronze"]).count() == 2
+
+
+def test_batch_tables_have_comments(spark, tmp_path):
+    raw = spark.createDataFrame([("a.txt", bytearray(b"some words " * 200))], "path string, content binary")
+    names = ingest.TableNames(**{n: f"s6_batch_{n}" for n in ("raw", "parsed_staging", "parse_errors", "parsed", "chunk_staging", "chunk_errors", "chunks")},
+                              base_path=str(tmp_path / "lake"))
+    ingest.batch_ingest(spark, raw, names)
+    for level, name in (("bronze", names.raw), ("silver", names.parsed), ("gold", names.chunks)):
+        assert spark.catalog.getTable(name).description == tables.COMMENTS[level]
