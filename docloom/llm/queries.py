@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
+from docloom.llm import decontaminate, embedding_dedup, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
 from docloom.llm.common import read
 from docloom.session import prepare
 
@@ -104,3 +104,8 @@ def op9_warc(spark, sf_dir):
 @register
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register
+def op11_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))

@@ -234,5 +234,7 @@ def test_queries_run_with_a_row_per_input(spark, name):
     n = rows.count()
     if name == "op9_warc":
         assert n == spark.read.parquet(f"{SF001}/pages.parquet").count()
-    elif name not in ("op6_packing", "op10_decontaminate"):
+    elif name == "op11_embedding_dedup":
+        assert n == spark.read.parquet(f"{SF001}/embeddings.parquet").count()
+    elif name not in ("op6_packing", "op10_decontaminate", "op12_conversation_trie", "op13_collocations"):
         assert n == spark.read.parquet(f"{SF001}/documents.parquet").count()
