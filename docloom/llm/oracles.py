@@ -50,4 +50,39 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(lost::INT)::BIGINT AS n_dropped,
 FROM d GROUP BY doc_id
 """
 
+SQL["op12_conversation_trie"] = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           substr(sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 40)) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'r': r, 'x': x} ORDER BY p) AS s FROM t GROUP BY c),
+crc AS (
+  SELECT c, s, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ord(z)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                             lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT crc.c, list_concat(coalesce(own.s[1:h], []), crc.s[h + 1:]) AS s
+  FROM crc LEFT JOIN own ON own.c = crc.c - ((crc.c % 5) + 5) % 5),
+path AS (SELECT c, d, len(s) AS len, s[1:d] AS k, s[1:d - 1] AS up FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT d, k, up, min(c) AS conv, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].x) END AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len = d), '')) AS ends
+  FROM path GROUP BY d, k, up),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+shape AS (
+  SELECT node.*, p.conv AS parent, coalesce(kids.n, 0) AS n_children
+  FROM node LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k
+            LEFT JOIN node AS p ON node.d > 0 AND p.d = node.d - 1 AND p.k = node.up),
+at AS (SELECT path.c, path.d, node.conv FROM path JOIN node ON path.d = node.d AND path.k = node.k),
+sub AS (
+  SELECT at.conv, at.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n - 1) * u.bytes) AS saved
+  FROM shape AS u JOIN at ON at.c = u.conv AND at.d <= u.d GROUP BY 1, 2)
+SELECT shape.conv AS conv_id, shape.d AS depth, parent AS parent_conv_id, n AS n_convs, n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM shape JOIN sub ON sub.conv = shape.conv AND sub.d = shape.d
+"""
+
 assert set(BASE_RULES) <= set(POLICIES["v3"])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, embedding_dedup, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
+from docloom.llm import conversation_trie, decontaminate, embedding_dedup, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
 from docloom.llm.common import read
 from docloom.session import prepare
 
@@ -109,3 +109,8 @@ def op10_decontaminate(spark, sf_dir):
 @register
 def op11_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_conversation_trie(spark, sf_dir):
+    return conversation_trie.shared_prefix_trie(read(spark, sf_dir, "conversations"))
