@@ -76,13 +76,38 @@ shape AS (
   SELECT node.*, p.conv AS parent, coalesce(kids.n, 0) AS n_children
   FROM node LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k
             LEFT JOIN node AS p ON node.d > 0 AND p.d = node.d - 1 AND p.k = node.up),
-at AS (SELECT path.c, path.d, node.conv FROM path JOIN node ON path.d = node.d AND path.k = node.k),
+spot AS (SELECT path.c, path.d, node.conv FROM path JOIN node ON path.d = node.d AND path.k = node.k),
 sub AS (
-  SELECT at.conv, at.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n - 1) * u.bytes) AS saved
-  FROM shape AS u JOIN at ON at.c = u.conv AND at.d <= u.d GROUP BY 1, 2)
+  SELECT spot.conv, spot.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n - 1) * u.bytes) AS saved
+  FROM shape AS u JOIN spot ON spot.c = u.conv AND spot.d <= u.d GROUP BY 1, 2)
 SELECT shape.conv AS conv_id, shape.d AS depth, parent AS parent_conv_id, n AS n_convs, n_children,
        n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
 FROM shape JOIN sub ON sub.conv = shape.conv AND sub.d = shape.d
 """
 
+SQL["op13_collocations"] = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS ws FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k))),
+f AS (SELECT lang, k, ws, count(*) AS f FROM g GROUP BY lang, k, ws HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.k, c.ws, c.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.ws = c.ws[1:j] JOIN f AS y ON y.lang = c.lang AND y.ws = c.ws[j + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1),
+part AS (
+  SELECT lang, ws[i:i + m - 1] AS ws, max(f) AS longer
+  FROM (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS i FROM f JOIN (VALUES (2), (3)) AS sizes(m) ON m < k) GROUP BY 1, 2),
+kept AS (
+  SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN part ON part.lang = best.lang AND part.ws = best.ws
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang
+QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 assert set(BASE_RULES) <= set(POLICIES["v3"])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import conversation_trie, decontaminate, embedding_dedup, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
+from docloom.llm import collocations, conversation_trie, decontaminate, embedding_dedup, line_dedup, packing, pii, quality_rules, rule_ensemble, sharding, simhash_dedup, suffix_dedup, warc
 from docloom.llm.common import read
 from docloom.session import prepare
 
@@ -114,3 +114,8 @@ def op11_embedding_dedup(spark, sf_dir):
 @register
 def op12_conversation_trie(spark, sf_dir):
     return conversation_trie.shared_prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@register
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
