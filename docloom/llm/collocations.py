@@ -14,8 +14,8 @@ and each language keeps its best.
    ``bincount`` into a direct-address table; all others as sorted coordinates.  Tasks send
    one row per tile, in pieces that split the dense tiles, and tiles are added up the same way.
 4. Frequent pairs are ranked again and are the left ids of the next level: a triple is
-   a pair and a word, a phrase of four a triple and a word.  A chunk learns the ids of
-   its own phrases from a join; a bit table of fixed size keeps phrases that cannot be frequent
+   a pair and a word, a phrase of four a triple and a word.  A chunk asks for the ids of
+   its own phrases tile by tile, one row per tile; a bit table of fixed size keeps phrases that cannot be frequent
    out of it (a false positive costs a row, never a wrong count).
 
 Every part of a frequent phrase is at least as frequent, so the levels hold every
@@ -51,7 +51,7 @@ TOP = 2000
 INSIDE = (100, 80)
 SEPARATORS = r".,;:!?\x0A-\x0D"
 # ---------------------------------------------------------------------------------
-CHUNK = 8 << 20  # bytes of text coded at once
+CHUNK = 16 << 20  # bytes of text coded at once
 TILE_BITS = 11
 TILE = 1 << TILE_BITS
 CELL_BITS = 2 * TILE_BITS
@@ -171,9 +171,8 @@ def tile_cells(left: np.ndarray, right: np.ndarray, across: int):
     return tile[order], np.concatenate([*cells, code & (TILE * TILE - 1)])[order], np.concatenate([*counts, n])[order]
 
 
-def _tile_rows(left: np.ndarray, right: np.ndarray, across: int):
-    """Rows ``(top, side, piece, cells, counts)`` of a task's pairs."""
-    tile, cell, n = tile_cells(left, right, across)
+def _tile_rows(tile: np.ndarray, cell: np.ndarray, across: int, **values: np.ndarray):
+    """Rows ``(top, side, piece, cells, ...)`` of cells sorted by tile; a value stands beside each cell."""
     top, side = tile // across, tile % across
     piece = np.where((top < HEAD) & (side < HEAD), cell >> PIECE_BITS, 0)
     new = np.ones(len(tile), dtype=bool)
@@ -186,16 +185,9 @@ def _tile_rows(left: np.ndarray, right: np.ndarray, across: int):
         at = starts[lo : lo + (1 << 12)]
         end = starts[lo + len(at)] if lo + len(at) < len(starts) else len(tile)
         offsets = pa.array(np.append(at, end) - at[0], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(top[at]),
-                pa.array(side[at]),
-                pa.array(piece[at].astype(np.int32)),
-                pa.ListArray.from_arrays(offsets, pa.array(cell[at[0] : end].astype(np.int32))),
-                pa.ListArray.from_arrays(offsets, pa.array(n[at[0] : end].astype(np.int64))),
-            ],
-            names=["top", "side", "piece", "cells", "counts"],
-        )
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[at[0] : end])) for x in (cell.astype(np.int32), *values.values())]
+        keys = [pa.array(x[at]) for x in (top, side, piece.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*keys, *lists], names=["top", "side", "piece", "cells", *values])
 
 
 def add_up(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,6 +329,10 @@ def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFram
     """Frequent phrases of ``k`` + 1 words as ``(left, right, f)``."""
     across = (n_words >> TILE_BITS) + 1
 
+    def counted(held):
+        tile, cell, n = tile_cells(*(np.concatenate(x) for x in zip(*held)), across)
+        return _tile_rows(tile, cell, across, counts=n.astype(np.int32))  # a task's share is counted a few million at a time
+
     def run(batches):
         held, size = [], 0
         for row in _rows(batches):
@@ -345,16 +341,65 @@ def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFram
             held.append((syms[at], words[at + k].astype(np.int64)))
             size += len(at)
             if size >= 4 << 20:
-                yield from _tile_rows(*(np.concatenate(x) for x in zip(*held)), across)
+                yield from counted(held)
                 held, size = [], 0
         if size:
-            yield from _tile_rows(*(np.concatenate(x) for x in zip(*held)), across)
+            yield from counted(held)
+
+    return _merge(coded.mapInArrow(run, "top long, side long, piece int, cells array<int>, counts array<int>"), least)
+
+
+def _tiled(left: np.ndarray, right: np.ndarray, across: int):
+    """``(order, tile, cell)`` of distinct pairs, sorted by tile and cell."""
+    tile = (left >> TILE_BITS) * across + (right >> TILE_BITS)
+    cell = ((left & (TILE - 1)) << TILE_BITS) | (right & (TILE - 1))
+    order = np.lexsort((cell, tile))
+    return order, tile[order], cell[order]
 
-    return _merge(coded.mapInArrow(run, "top long, side long, piece int, cells array<int>, counts array<long>"), least)
 
+def _answers(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(of, top, side, cells, ids)``: the asked cells that are known.  Rows of a tile meet, its known
+    cells first."""
+    by = ["top", "side", "piece"]
+    names = ["of", "top", "side", "cells", "ids"]
 
-def _next_level(coded: DataFrame, k: int, ranked: DataFrame) -> DataFrame:
+    def run(batches):
+        tile, cells, ids, parts = None, None, None, []
+        for batch in batches:
+            out = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            starts, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            id_starts, flat_ids = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy(zero_copy_only=False)
+            for r, (*at, of) in enumerate(keys):
+                here = flat[starts[r] : starts[r + 1]]
+                if at != tile:
+                    tile, cells, ids, parts = at, None, None, []
+                if of < 0:
+                    parts.append((here, flat_ids[id_starts[r] : id_starts[r + 1]]))
+                    continue
+                if not parts:
+                    continue
+                if cells is None:
+                    cells, ids = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(cells)
+                    cells, ids = cells[order], ids[order]
+                place = np.minimum(np.searchsorted(cells, here), len(cells) - 1)
+                hit = cells[place] == here
+                if hit.any():
+                    out.append((of, at[0], at[1], here[hit], ids[place[hit]]))
+            if out:
+                of, top, side, some, theirs = zip(*out)
+                offsets = pa.array(np.cumsum([0] + [len(x) for x in some]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (some, theirs)]
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(top), pa.array(side), *lists], names=names)
+
+    rows = known.unionByName(asked).repartition(*by).sortWithinPartitions(*by, "of")
+    return rows.select(*by, "of", "cells", "ids").mapInArrow(run, "of long, top long, side long, cells array<int>, ids array<long>")
+
+
+def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> DataFrame:
     """The chunks with the ids of their phrases of ``k`` + 1 words."""
+    across = (n_words >> TILE_BITS) + 1
     columns = coded.columns
     bits = coded.sparkSession.sparkContext.broadcast(_bit_table(ranked))  # of fixed size
 
@@ -370,21 +415,34 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame) -> DataFrame:
         for row in _rows(batches):
             _, _, left, right = places(row)
             if len(left):
-                left, right = _unique_pairs(left, right)
-                cols = [np.full(len(left), row["chunk"]), left, right]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["of", "left", "right"])
+                _, tile, cell = _tiled(*_unique_pairs(left, right), across)
+                for part in _tile_rows(tile, cell, across):
+                    yield part.append_column("of", pa.array(np.full(part.num_rows, row["chunk"])))
+
+    def tell(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, left, right = (batch.column(i).to_numpy() for i in range(3))
+                order, tile, cell = _tiled(left, right, across)
+                yield from _tile_rows(tile, cell, across, ids=ids[order])
 
-    asked = coded.mapInArrow(ask, "of long, left long, right long")
-    found = asked.join(ranked.select("left", "right", "id"), ["left", "right"])
-    lists = found.groupBy("of").agg(F.collect_list(F.struct("left", "right", "id")).alias("found"))  # at most a chunk's places
-    joined = coded.join(lists, F.col("chunk") == F.col("of")).select(*columns, "found.left", "found.right", "found.id")
+    asked = coded.mapInArrow(ask, "top long, side long, piece int, cells array<int>, of long")
+    known = ranked.select("id", "left", "right").mapInArrow(tell, "top long, side long, piece int, cells array<int>, ids array<long>")
+    found = _answers(known.withColumn("of", F.lit(-1).cast("long")), asked.withColumn("ids", F.array().cast("array<long>")))
+    lists = found.groupBy("of").agg(F.collect_list(F.struct("top", "side", "cells", "ids")).alias("found"))  # at most a chunk's places
+    joined = coded.join(lists, F.col("chunk") == F.col("of")).select(*columns, "found")
 
     def answer(batches):
         for batch in batches:
             for r, row in enumerate(batch.select(columns).to_pylist()):
                 words, at, left, right = places(row)
-                known = [batch.column(c)[r].values.to_numpy() for c in ("left", "right", "id")]
-                ids = _look_up(left, right, *known)
+                tiles = batch.column("found")[r].values
+                top, side, cells, ids = (tiles.field(c) for c in range(4))
+                lens = pc.list_value_length(cells).to_numpy()
+                cell, ids = cells.flatten().to_numpy().astype(np.int64), ids.flatten().to_numpy()
+                known_left = (np.repeat(top.to_numpy(), lens) << TILE_BITS) | (cell >> TILE_BITS)
+                known_right = (np.repeat(side.to_numpy(), lens) << TILE_BITS) | (cell & (TILE - 1))
+                ids = _look_up(left, right, known_left, known_right, ids)
                 at, ids = at[ids >= 0], ids[ids >= 0]
                 near = np.zeros(len(words) + 2 * MOST_WORDS, dtype=bool)  # words that a longer phrase can still use
                 near[at + k + 1] = True
@@ -442,7 +500,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     for k in range(1, MOST_WORDS):
         levels.append(cut_lineage(_ranked(_count_pairs(coded, k, n_words, least))))
         if k + 1 < MOST_WORDS:
-            coded = cut_lineage(_next_level(coded, k, levels[-1]))
+            coded = cut_lineage(_next_level(coded, k, levels[-1], n_words))
     two, three, four = levels
 
     word = lambda i: vocab.select(F.col("id").alias(f"w{i}"), F.col("f").alias(f"f{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang")] if i == 1 else []))

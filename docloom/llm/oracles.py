@@ -66,7 +66,7 @@ crc AS (
 rebuilt AS (
   SELECT crc.c, list_concat(coalesce(own.s[1:h], []), crc.s[h + 1:]) AS s
   FROM crc LEFT JOIN own ON own.c = crc.c - ((crc.c % 5) + 5) % 5),
-path AS (SELECT c, d, len(s) AS len, s[1:d] AS k, s[1:d - 1] AS up FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+path AS (SELECT c, d, len(s) AS len, s[1:d] AS k, s[1:greatest(d - 1, 0)] AS up FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
 node AS (
   SELECT d, k, up, min(c) AS conv, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].x) END AS bytes,
          sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len = d), '')) AS ends
