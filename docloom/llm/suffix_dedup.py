@@ -10,9 +10,12 @@ are judged on the input and never cross documents.
    The windows of one anchor occurrence are consecutive; their bytes are its
    context, and contexts are all that the next steps compare.
 2. Occurrences meet by anchor.  Equal contexts are one string with a first
-   occurrence; all others are repeats throughout and need no comparison.  They
-   are combined in the map tasks already, so a third of all rows being copies
-   is one row per task.  Anchors that occur once are dropped.
+   occurrence; all others are repeats throughout and need no comparison.  Equality is told
+   by a 124-bit polynomial hash whose bases are drawn for each run: whatever the texts hold,
+   two different contexts are taken for one with a chance below 10^-27.  Repeats are
+   combined in the map tasks already, so a third of all rows being copies
+   is one row per task.  Anchors that occur once are dropped, and so are contexts that share
+   neither the gram left of the anchor nor the one right of it with another context.
 3. The distinct contexts of an anchor that has several are fetched and indexed: shards
    of contexts get their own Burrows-Wheeler transform, and the transforms are
    merged by iterative interleave refinement (Holt and McMillan, 2014): in round
@@ -25,9 +28,13 @@ are judged on the input and never cross documents.
 4. In a block all but the earliest window are repeats.  Repeated runs are
    gathered per document and cut out.
 
-An anchor with more than ``MAX_CONTEXTS`` distinct contexts is not one unit of
-work: its windows are dealt by their own 128-bit digest and the earliest found by
-an aggregate with map-side combine.
+An anchor with more than ``MAX_CONTEXTS`` such contexts is not one unit of work.  It goes
+on in parts, contexts that share the gram on one side, each merged in the same way; what
+is still too many after that shares 64 bytes and more, and is split down to whole windows, which are
+dealt by their 128-bit digest and the earliest found by an aggregate with map-side combine.
+
+A very long text is handled ``PIECE`` bytes at a time when it is scanned, and is held once when
+its contexts are fetched and when its runs are cut out.
 
 Defined results: a null or empty text, or one shorter than ``length``, loses
 nothing; rows that repeat a doc_id are one document (a repeated row is judged
@@ -37,7 +44,9 @@ document; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +62,8 @@ PIECE = 1 << 19  # bytes of text handled at once; windows overlap pieces, so not
 COMBINE = 1 << 20  # occurrences combined at once in a map task
 SHARD_BYTES = 1 << 15  # contexts of one Burrows-Wheeler transform
 MERGE_BYTES = 1 << 18  # contexts merged at once in a task (whole anchors)
-MAX_CONTEXTS = 4096
+MAX_CONTEXTS = 4096  # of an anchor, or of a part of it, that are merged in one task
+MOST_HELD = 1 << 18  # contexts of one anchor that are sifted together
 NO_ID = (1 << 63) - 1  # stands for a null id
 
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -73,10 +83,11 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int):
-    """Anchor occurrences of the texts ``data[begins[i]:ends[i]]``:
-    ``(anchor hash, context hash, first window, number of windows)`` per occurrence."""
-    none = (np.zeros(0, _S), np.zeros(0, _S), np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, key: tuple[int, ...]):
+    """Anchor occurrences of the texts ``data[begins[i]:ends[i]]``: ``(anchor hash, two context
+    hashes, hashes of the gram left and right of the anchor, first window, number of windows)``
+    per occurrence.  A gram beyond the context is 0."""
+    none = (*[np.zeros(0, _S)] * 5, np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(data) < length:
         return none
     h = _gram_hashes(data)
@@ -99,20 +110,55 @@ def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
     last = np.flatnonzero(here & (moved[1:] | ~inside[2:]))
     if not len(first):
         return none
-    stop = last + length
-    context = (stop - first).astype(_S) * _MUL[3]
-    end_gram = stop - GRAM
-    for step in range(0, 2 * length, GRAM):  # grams that together cover the whole context
-        context ^= context >> _S(31)
-        context = (context + h[np.minimum(first + step, end_gram)]) * _MUL[1]
-    context ^= context >> _S(29)
-    return h[at[first]], context, first, last - first + 1
+    stop, place = last + length, at[first]
+    left, right = place - GRAM, place + GRAM
+    beside = [
+        np.where(left >= first, h[np.maximum(left, 0)] | _S(1), _S(0)),
+        np.where(right + GRAM <= stop, h[np.minimum(right, len(h) - 1)] | _S(1), _S(0)),
+    ]
+    return h[place], *context_hashes(data, first, stop, key), *beside, first, last - first + 1
+
+
+# Fixed value: the Mersenne prime of the context hashes
+PRIME = (1 << 31) - 1
+HASHES = 4
+
+
+def draw_key() -> tuple[int, ...]:
+    """Bases of the context hashes, drawn anew for each run."""
+    return tuple(secrets.randbelow(PRIME - 2) + 2 for _ in range(HASHES))
+
+
+@functools.cache
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` and its inverse to the powers 0 to 2^bits - 1, modulo PRIME."""
+    out = []
+    for x in (base, pow(base, -1, PRIME)):
+        table = np.ones(1, _S)
+        for i in range(bits):
+            table = np.concatenate((table, table * _S(pow(x, 1 << i, PRIME)) % _S(PRIME)))
+        out.append(table.astype(np.uint32))
+    return out[0], out[1]
+
 
+def context_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray, key: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """124-bit hashes of ``data[first:stop]`` as two longs: the polynomials of the bytes at the four
+    bases of ``key``.  Two different contexts of n bytes at most are hashed alike by at most
+    (n / 2^31)^4 of all keys, whatever their bytes, and the key is not known when the texts are."""
+    one_up = data.astype(_S) + _S(1)  # so that no byte is without weight
+    bits = max(1, len(data).bit_length())
+    parts = []
+    for base in key:
+        power, inverse = _powers(base, bits)
+        total = np.concatenate((np.zeros(1, _S), np.cumsum(one_up * power[: len(data)])))
+        parts.append((total[stop] - total[first]) % _S(PRIME) * inverse[first] % _S(PRIME))
+    return (parts[0] << _S(31)) | parts[1], (parts[2] << _S(31)) | parts[3]
 
-ROW = "anchor long, context long, doc long, start long, windows int, repeat boolean"
 
+ROW = "anchor long, c1 long, c2 long, left long, right long, doc long, start long, windows int, repeat boolean"
 
-def _occurrences(docs: DataFrame, text: str, length: int) -> DataFrame:
+
+def _occurrences(docs: DataFrame, text: str, length: int, key: tuple[int, ...]) -> DataFrame:
     """Anchor occurrences of every whole text, combined within the task: ``repeat`` rows are
     known not to be the first of their context."""
     names = [f.split()[0] for f in ROW.split(", ")]
@@ -128,28 +174,20 @@ def _occurrences(docs: DataFrame, text: str, length: int) -> DataFrame:
                         yield doc, lo, part
 
     def combined(parts):
-        anchor, context, doc, start, windows = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, doc, context, anchor))
-        cols = [x[order] for x in (anchor, context, doc, start, windows)]
-        twin = np.zeros(len(order), dtype=bool)  # the same place of a repeated row
-        twin[1:] = np.all([c[1:] == c[:-1] for c in cols[:4]], axis=0)
+        anchor, c1, c2, left, right, doc, start, windows = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((start, doc, c2, c1, anchor))
+        cols = [x[order] for x in (anchor, c1, c2, left, right, doc, start, windows)]
+        same = [cols[i][1:] == cols[i][:-1] for i in (0, 1, 2, 5, 6)]
+        twin = np.concatenate(([False], np.all(same, axis=0)))  # the same place of a repeated row
+        again = np.concatenate(([False], np.all(same[:3], axis=0)))[~twin]
         cols = [c[~twin] for c in cols]
-        again = np.zeros(len(cols[0]), dtype=bool)
-        again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
         # a known repeat is not compared any more: spread it
-        cols[0] = np.where(again, (cols[1] + cols[2].astype(_S) + cols[3].astype(_S)) * _MUL[0], cols[0])
+        cols[0] = np.where(again, (cols[1] + cols[5].astype(_S) + cols[6].astype(_S)) * _MUL[0], cols[0])
         for lo in range(0, len(again), 1 << 16):
             c = [x[lo : lo + (1 << 16)] for x in cols]
+            longs = [pa.array(x.view(np.int64)) for x in c[:7]]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c[0].view(np.int64)),
-                    pa.array(c[1].view(np.int64)),
-                    pa.array(c[2]),
-                    pa.array(c[3]),
-                    pa.array(c[4].astype(np.int32)),
-                    pa.array(again[lo : lo + (1 << 16)]),
-                ],
-                names=names,
+                [*longs, pa.array(c[7].astype(np.int32)), pa.array(again[lo : lo + (1 << 16)])], names=names
             )
 
     def run(batches):
@@ -160,11 +198,11 @@ def _occurrences(docs: DataFrame, text: str, length: int) -> DataFrame:
             lens = np.array([len(p[2]) for p in parts])
             ends = np.cumsum(lens)
             begins = ends - lens
-            anchor, context, first, windows = _anchored(data, begins, ends, length)
+            *hashes, first, windows = _anchored(data, begins, ends, length, key)
             which = np.searchsorted(begins, first, side="right") - 1
             doc = np.array([p[0] for p in parts], dtype=np.int64)[which]
             start = first - begins[which] + np.array([p[1] for p in parts], dtype=np.int64)[which]
-            return anchor, context, doc, start, windows
+            return *hashes, doc, start, windows
 
         for part in texts(batches):
             parts.append(part)
@@ -184,57 +222,71 @@ def _occurrences(docs: DataFrame, text: str, length: int) -> DataFrame:
     return docs.select("_doc", text).mapInArrow(run, ROW)
 
 
-EVENT = "candidate boolean, anchor long, doc long, start long, size long"
+EVENT = "candidate boolean, anchor long, left long, right long, doc long, start long, size long"
+
+
+def _near(anchor: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Contexts that share the gram beside their anchor with another one."""
+    order = np.lexsort((beside, anchor))
+    a, b = anchor[order], beside[order]
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (b[1:] != 0)
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return out
 
 
 def _meet(rows: DataFrame, length: int) -> DataFrame:
-    """Occurrences by anchor: repeats of a context become removed runs; the first
-    occurrence of each context of an anchor with several becomes a candidate."""
+    """Occurrences by anchor: repeats of a context become removed runs; first occurrences
+    of contexts that may share a window with another one become candidates.
+
+    Windows shared by two contexts lie alike about the anchor, so they hold the
+    gram left of it or the one right of it: contexts that share neither are left out."""
     names = [f.split()[0] for f in EVENT.split(", ")]
 
-    def out(candidate, anchor, doc, start, windows):
+    def out(anchor, left, right, doc, start, windows, candidate=True):
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc), candidate)), pa.array(anchor), pa.array(doc), pa.array(start), pa.array(windows.astype(np.int64) + (length - 1))],
+            [pa.array(np.full(len(doc), candidate)), *[pa.array(x) for x in (anchor, left, right, doc, start)], pa.array(windows.astype(np.int64) + (length - 1))],
             names=names,
         )
 
     def run(batches):
-        before = None  # (anchor, context, doc, start) of the last row
-        pending = None  # first occurrence of the only context so far of the last anchor
+        before = None  # (anchor, c1, c2, doc, start) of the last row
+        held = None  # first occurrences of the last anchor's contexts
+        hot = None  # the anchor of which there are too many to hold: all its contexts are candidates
+
         for batch in batches:
-            anchor, context, doc, start, windows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            again = batch.column(5).to_numpy(zero_copy_only=False)
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            again = batch.column(8).to_numpy(zero_copy_only=False)
             if again.any():
-                yield out(False, anchor[again], doc[again], start[again], windows[again])
-                keep = ~again
-                anchor, context, doc, start, windows = anchor[keep], context[keep], doc[keep], start[keep], windows[keep]
-            here = (anchor, context, doc, start)
-            twin = np.zeros(len(anchor), dtype=bool)  # the same place of a repeated row
-            if len(anchor):
-                twin[0] = before is not None and all(x[0] == b for x, b in zip(here, before))
-                twin[1:] = np.all([x[1:] == x[:-1] for x in here], axis=0)
-            anchor, context, doc, start, windows = (x[~twin] for x in (*here, windows))
-            if not len(anchor):
+                yield out(*(cols[i][again] for i in (0, 3, 4, 5, 6, 7)), candidate=False)
+                cols = [c[~again] for c in cols]
+            here = [cols[i] for i in (0, 1, 2, 5, 6)]
+            if not len(here[0]):
                 continue
-            new_anchor = np.concatenate(([before is None or anchor[0] != before[0]], anchor[1:] != anchor[:-1]))
-            new = new_anchor | np.concatenate(([before is None or context[0] != before[1]], context[1:] != context[:-1]))
-            if (~new).any():
-                yield out(False, anchor[~new], doc[~new], start[~new], windows[~new])
-            firsts = np.flatnonzero(new)
-            before = (anchor[-1], context[-1], doc[-1], start[-1])
-            if not len(firsts):
+            same = [np.concatenate(([before is not None and x[0] == b], x[1:] == x[:-1])) for x, b in zip(here, before or here)]
+            before = tuple(x[-1] for x in here)
+            twin = np.all(same, axis=0)  # the same place of a repeated row
+            new = ~np.all(same[:3], axis=0)
+            rest = ~new & ~twin
+            if rest.any():
+                yield out(*(cols[i][rest] for i in (0, 3, 4, 5, 6, 7)), candidate=False)
+            firsts = [cols[i][new] for i in (0, 3, 4, 5, 6, 7)]
+            firsts = firsts if held is None else [np.concatenate(x) for x in zip(held, firsts)]
+            if not len(firsts[0]):
                 continue
-            continues = ~new_anchor[firsts]  # the anchor had a context before this one
-            followed = np.concatenate((continues[1:], [False]))
-            if continues[0] and pending is not None:
-                yield out(True, *(np.array([x]) for x in pending))
-            chosen = firsts[continues | followed]
-            if len(chosen):
-                yield out(True, anchor[chosen], doc[chosen], start[chosen], windows[chosen])
-            last = firsts[-1]
-            pending = None if continues[-1] else (anchor[last], doc[last], start[last], windows[last])
-
-    order = ["anchor", "context", "doc", "start"]
+            last = firsts[0] == firsts[0][-1]
+            if last.sum() > MOST_HELD:
+                hot = firsts[0][-1]
+            all_ = firsts[0] == hot if hot is not None else np.zeros(len(last), dtype=bool)
+            some = all_ | (~last & (_near(firsts[0], firsts[1]) | _near(firsts[0], firsts[2])))
+            if some.any():
+                yield out(*(x[some] for x in firsts))
+            held = [x[last & ~all_] for x in firsts]
+        if held is not None:
+            some = _near(held[0], held[1]) | _near(held[0], held[2])
+            yield out(*(x[some] for x in held))
+
+    order = ["anchor", "c1", "c2", "doc", "start"]
     return rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(run, EVENT)
 
 
@@ -311,12 +363,15 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: in
     return string, where - begins[string], block
 
 
-def _later_runs(string, at, block, doc, start, size, length):
+def _later_runs(string, at, block, doc, start, length):
     """Runs ``(string, first, last + length)`` of windows that occur earlier elsewhere."""
+    if not len(block):
+        return string, at, at
     order = np.lexsort((start[string] + at, doc[string], block))
     string, at, block = string[order], at[order], block[order]
-    later = np.zeros(len(block), dtype=bool)
-    later[1:] = block[1:] == block[:-1]
+    spot, of = start[string] + at, doc[string]
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], block[1:] != block[:-1])), np.arange(len(block)), 0))
+    later = (of != of[first]) | (spot != spot[first])  # a context may come with both parts of its anchor
     string, at = string[later], at[later]
     order = np.lexsort((at, string))
     string, at = string[order], at[order]
@@ -338,7 +393,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     def runs(cols):
         doc, start, strings = np.array(cols[1]), np.array(cols[2]), cols[3]
         string, at, block = repeated_windows(strings, length)
-        string, first, stop = _later_runs(string, at, block, doc, start, None, length)
+        string, first, stop = _later_runs(string, at, block, doc, start, length)
         if len(string):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc[string]), pa.array(start[string] + first), pa.array(stop - first)], names=["doc", "start", "size"]
@@ -374,7 +429,8 @@ def _compare_large(contexts: DataFrame, length: int) -> DataFrame:
                     names=["w1", "w2", "doc", "start"],
                 )
 
-    rows = cut_lineage(contexts.mapInArrow(windows, "w1 long, w2 long, doc long, start long"))
+    # a window may come from both parts of its anchor
+    rows = cut_lineage(contexts.mapInArrow(windows, "w1 long, w2 long, doc long, start long").distinct())
     first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = rows.join(first, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     return again.select("doc", "start", F.lit(length).cast("long").alias("size"))
@@ -410,12 +466,24 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_doc"), text)
-    events = cut_lineage(_meet(_occurrences(texts, text, length), length))
-    contexts = cut_lineage(_fetch(texts, events.filter("candidate"), text))
-    many = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_contexts).select("anchor")
-    few = _compare(contexts.join(many, "anchor", "left_anti"), length)
-    rest = _compare_large(contexts.join(many, "anchor", "left_semi"), length)
-    return events.filter("not candidate").select("doc", "start", "size").union(few).union(rest)
+    events = cut_lineage(_meet(_occurrences(texts, text, length, draw_key()), length))
+    contexts, parts = events.filter("candidate"), []
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("gram")) for i, c in enumerate(("left", "right"))])
+    # an anchor with too many contexts goes on in parts, by the gram left and the gram right of it
+    for split in (True, False):
+        many = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_contexts).select("anchor")
+        many = cut_lineage(many)
+        parts.append(_compare(_fetch(texts, contexts.join(many, "anchor", "left_anti"), text), length))
+        if many.isEmpty():
+            break
+        contexts = contexts.join(many, "anchor", "left_semi")
+        if split:
+            by_side = contexts.select("*", F.explode(sides).alias("s")).filter("s.gram <> 0")
+            contexts = by_side.withColumn("anchor", F.xxhash64("anchor", "s.i", "s.gram")).drop("s")
+    else:  # parts that stay too many share 64 bytes and more: split on, down to whole windows
+        parts.append(_compare_large(_fetch(texts, contexts, text), length))
+    runs = events.filter("not candidate").select("doc", "start", "size")
+    return functools.reduce(DataFrame.union, parts, runs)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:

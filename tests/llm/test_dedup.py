@@ -293,6 +293,7 @@ def test_suffixes_equal_brute_force(make_docs):
     want = brute_suffixes(texts)
     assert sum(x[1] for x in want.values()) > 3000
     assert as_rows(suffix_dedup.remove_repeats(docs)) == want
+    assert as_rows(suffix_dedup.remove_repeats(docs, max_contexts=3)) == want  # some anchors go on in parts
     assert as_rows(suffix_dedup.remove_repeats(docs, max_contexts=1)) == want  # every anchor dealt by window
 
 
@@ -325,3 +326,49 @@ def test_suffix_edges(edges, make_docs):
     twice = suffix_dedup.remove_repeats(make_docs([(1, same), (1, same), (None, same)])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in twice) == [(0, len(same)), (1, 0), (1, 0)]
     assert hashlib.sha256(bytes(twice[0].kept)).hexdigest()
+
+
+def test_context_hashes_tell_contexts_apart():
+    rnd = np.random.default_rng(3)
+    data = rnd.integers(0, 3, size=4000, dtype=np.uint8)
+    first = rnd.integers(0, 3800, size=3000)
+    stop = first + rnd.integers(100, 170, size=3000)
+    key = suffix_dedup.draw_key()
+    seen = {}
+    for a, b, c, d in zip(first, stop, *suffix_dedup.context_hashes(data, first, stop, key)):
+        seen.setdefault(data[a:b].tobytes(), set()).add((int(c), int(d)))
+    assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
+    assert suffix_dedup.draw_key() != key
+    # by hand, one base
+    want = sum((int(x) + 1) * pow(key[0], i, suffix_dedup.PRIME) for i, x in enumerate(data[5:150])) % suffix_dedup.PRIME
+    assert int(suffix_dedup.context_hashes(data, np.array([5]), np.array([150]), key)[0][0]) >> 31 == want
+
+
+def test_only_true_repeats_go(make_docs):
+    """Texts that share all but their first 16 bytes: 84 common bytes are no repeat, 100 are."""
+    rnd = random.Random(11)
+    chars = "".join(chr(c) for c in range(33, 127))
+    texts, n = {}, 0
+    for _ in range(40):
+        tail = "".join(rnd.choice(chars) for _ in range(rnd.choice([84, 99, 100, 120])))
+        for _ in range(3):
+            texts[n] = "".join(rnd.choice(chars) for _ in range(16)) + tail
+            n += 1
+    got = as_rows(suffix_dedup.remove_repeats(make_docs(list(texts.items()))))
+    assert got == brute_suffixes(texts)
+    assert sum(v[1] == 0 for v in got.values()) > 60
+
+
+def test_hot_anchor_over_batches(make_docs, monkeypatch):
+    """One gram in many different surroundings, more than are held at once."""
+    monkeypatch.setattr(suffix_dedup, "MOST_HELD", 20)
+    rnd = random.Random(12)
+    gram = "G" * 32
+    texts = {i: "".join(rnd.choice("xyz") for _ in range(rnd.randint(60, 90))) + gram + "".join(rnd.choice("xyz") for _ in range(rnd.randint(60, 90))) for i in range(150)}
+    for i in range(150, 200):
+        body = texts[rnd.randrange(100)]
+        cut = rnd.randrange(len(body) - 100)
+        texts[i] = "ab" + body[cut : cut + 110] + "cd"
+    want = brute_suffixes(texts)
+    assert as_rows(suffix_dedup.remove_repeats(make_docs(list(texts.items())))) == want
+    assert as_rows(suffix_dedup.remove_repeats(make_docs(list(texts.items())), max_contexts=5)) == want
