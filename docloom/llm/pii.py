@@ -20,14 +20,17 @@ all documents.
 Defined results: a null or empty text has no spans; offsets are code points, end
 exclusive; a proposal that overlaps a base span or an earlier proposal of its
 text is not made; repeated rows repeat their result; other columns are ignored;
-an empty table gives an empty result.
+an empty table gives an empty result.  A very long text is scanned whole, in time that grows with
+its length and its spans (runs of digits of any length included).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,7 +44,7 @@ from docloom.session import cut_lineage
 # Fixed values of the contract ---------------------------------------------------
 BASE_KINDS = ("email", "ip", "card", "phone")
 # ---------------------------------------------------------------------------------
-EXTRA_KINDS = ("email_spelled", "phone_national", "ssn", "iban")
+EXTRA_KINDS = ("email_spelled", "phone_national", "ssn", "iban", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
 LABELERS = ("strict", "checksum", "gazetteer", "context", "surroundings")
 CUT = 0.5  # a proposal is added from this probability on
@@ -60,6 +63,8 @@ _SPELLED = re.compile(
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,5}\)[\x20-]?|0[0-9]{1,4}[\x20/-]|[0-9]{3}[\x20.-])[0-9]{3,4}(?:[\x20-]?[0-9]{2,4}){1,2}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+# a run of key characters with a digit in it
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{20,200}={0,2}(?![A-Za-z0-9_+/=-])")
 
 # Gazetteers and context words (fixed values) --------------------------------------
 TOP_DOMAINS = frozenset("com org net edu gov int info io co uk de fr es it nl eu us ca au ch at be se no dk fi pl pt ie jp cn in br mx ru example test".split())
@@ -73,7 +78,9 @@ CUES = {
     "phone": r"tel|phone|fon|call|mobil|cell|fax|ruf|appel|llam|whatsapp",
     "ssn": r"ssn|social|security|sozial",
     "iban": r"iban|account|konto|compte|cuenta|bank",
+    "secret": r"token|secret|key|passw|pwd|auth|bearer|credential",
 }
+SECRET_PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "AKIA", "ASIA", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "SG-", "hf_", "npm_", "pypi-")
 AGAINST = r"(?:version|v|ver|order|invoice|isbn|issn|id|no|nr|ref|page|fig|sku|part|serial|build|release)[\s.:#=]*$"
 # ------------------------------------------------------------------------------------
 _CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
@@ -111,7 +118,8 @@ def base_spans(text: str) -> list[Span]:
             done = domain.end()
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         d = _digits(m.group())
@@ -129,16 +137,30 @@ def proposals(text: str, taken: Sequence[Span]) -> list[Span]:
     found = []
     if "[" in text or "(" in text:
         found += [("email_spelled", m.start(), m.end()) for m in _SPELLED.finditer(text)]
-    for kind, pattern in (("ssn", _SSN), ("iban", _IBAN), ("phone_national", _NATIONAL)):
+    for kind, pattern in (("ssn", _SSN), ("iban", _IBAN), ("phone_national", _NATIONAL), ("secret", _SECRET)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    out, used = [], sorted((a, b) for _, a, b in taken)
+    starts, ends = [], []  # the places used, as disjoint intervals in order
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
     for kind, a, b in found:
-        if all(b <= x or y <= a for x, y in used):
+        at = bisect.bisect_left(ends, a + 1)  # the first interval that ends after a
+        if at == len(starts) or starts[at] >= b:
             out.append((kind, a, b))
-            used.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return out
 
 
+def entropy(s: str) -> float:
+    """Bits for each character, by the string's own frequencies."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
 def _votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
     """One vote per labeler: 1 for, -1 against, 0 abstain."""
     s, d, family = text[a:b], _digits(text[a:b]), _FAMILY.get(kind, kind)
@@ -171,13 +193,19 @@ def _votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
         moved = flat[4:] + flat[:4]
         checksum = 1 if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else -1
         gazetteer = 1 if IBAN_LENGTHS.get(flat[:2]) == len(flat) else -1
+    elif kind == "secret":
+        hexes = all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s)
+        mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
+        strict = 1 if (hexes and b - a in (32, 40, 48, 64, 96, 128)) or (mixed and not hexes) else -1
+        checksum = 1 if entropy(s) >= 3.2 and not s.isdigit() else -1  # random characters in place of a check digit
+        gazetteer = 1 if s.startswith(SECRET_PREFIXES) else 0
     before = text[max(0, a - 40) : a]
     context = 1 if _CUES[family].search(before) else 0
     around = -1 if _AGAINST.search(before) else 0
     if not around and (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
         around = -1
     elif not around:
-        around = 1 if a == 0 or text[a - 1].isspace() or text[a - 1] in ":(<\"'" else 0
+        around = 1 if a == 0 or text[a - 1].isspace() or text[a - 1] in ":=(<\"'" else 0
     return strict, checksum, gazetteer, context, around
 
 

@@ -271,3 +271,39 @@ def test_leak_edges_and_native_plan(spark, edges, make_docs):
     assert kept.columns == edges.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5]
     assert decontaminate.contaminations(edges, bench.limit(0)).count() == 0
     assert decontaminate.contaminations(make_docs([]), bench).count() == 0
+
+
+def test_long_runs_of_digits_and_many_spans():
+    for n in (5_000, 1_000_000):
+        assert pii.base_spans("0" * n + "1.1.1.1") == [("ip", 0, n + 7)]
+        assert pii.base_spans("1" * n + ".1.1.1") == []
+    text = "call 030 1234567, " * 4000
+    base = pii.base_spans(text)
+    found = pii.proposals(text, base)
+    assert len(found) == 4000 and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_proposals_overlap_neither_base_nor_each_other():
+    rnd = random.Random(4)
+    for _ in range(300):
+        taken = [("ip", a, a + rnd.randint(1, 9)) for a in (rnd.randrange(150) for _ in range(4))]
+        text = " ".join(rnd.choice(["555-12-9876", "a1b2c3d4e5f6a7b8c9d0e1f2", "(030) 1234567", "GB82 WEST 1234 5698 7654 32", "word"]) for _ in range(12))
+        used = [(a, b) for _, a, b in taken]
+        for _, a, b in pii.proposals(text, taken):
+            assert all(b <= x or y <= a for x, y in used)
+            used.append((a, b))
+
+
+def test_secrets_are_proposed_and_kept(spark):
+    """The tokens of the corpus are beyond the base kinds: all are found, and nothing else is taken for one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r"token\W+([0-9a-f]{40})\b", t)}
+    got = set()
+    for r in pii.find(docs).collect():
+        for s in filter(None, r.spans.split(",")):
+            kind, a, b = s.split(":")
+            if kind == "secret":
+                got.add((r.doc_id, int(a), int(b)))
+    assert len(want) > 5 and want <= got
+    assert all(re.fullmatch(r"(?=.*[0-9])[0-9a-f]{40}|[A-Za-z0-9_+/=-]{20,}", texts[i][a:b]) for i, a, b in got)
