@@ -23,8 +23,8 @@ are judged on the input and never cross documents.
    back by its LF map and dealing stably by the character before gives depth
    h + 1.  Block borders mark where the common prefix ends, so after ``length``
    rounds the blocks are the repeated intervals of common prefix ``length`` or
-   more.  Suffixes alone in their block, or at the start of their context, can
-   reach no repeat and leave the rounds.  Nothing is sorted again.
+   more.  Only suffixes that follow a window are taken, in blocks of those that lie alike about
+   their anchor, and those alone in their block leave the rounds.  Nothing is sorted again.
 4. In a block all but the earliest window are repeats.  Repeated runs are
    gathered per document and cut out.
 
@@ -64,6 +64,7 @@ SHARD_BYTES = 1 << 15  # contexts of one Burrows-Wheeler transform
 MERGE_BYTES = 1 << 18  # contexts merged at once in a task (whole anchors)
 MAX_CONTEXTS = 4096  # of an anchor, or of a part of it, that are merged in one task
 MOST_HELD = 1 << 18  # contexts of one anchor that are sifted together
+SHAPE_BITS = 15
 NO_ID = (1 << 63) - 1  # stands for a null id
 
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -85,8 +86,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, key: tuple[int, ...]):
     """Anchor occurrences of the texts ``data[begins[i]:ends[i]]``: ``(anchor hash, two context
-    hashes, hashes of the gram left and right of the anchor, first window, number of windows)``
-    per occurrence.  A gram beyond the context is 0."""
+    hashes, hashes of the gram left and right of the anchor, first window, shape)`` per occurrence.
+    A gram beyond the context is 0; the shape holds the anchor's offset and the number of windows."""
     none = (*[np.zeros(0, _S)] * 5, np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(data) < length:
         return none
@@ -116,7 +117,7 @@ def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
         np.where(left >= first, h[np.maximum(left, 0)] | _S(1), _S(0)),
         np.where(right + GRAM <= stop, h[np.minimum(right, len(h) - 1)] | _S(1), _S(0)),
     ]
-    return h[place], *context_hashes(data, first, stop, key), *beside, first, last - first + 1
+    return h[place], *context_hashes(data, first, stop, key), *beside, first, (place - first) << SHAPE_BITS | (last - first + 1)
 
 
 # Fixed value: the Mersenne prime of the context hashes
@@ -155,7 +156,7 @@ def context_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray, key: t
     return (parts[0] << _S(31)) | parts[1], (parts[2] << _S(31)) | parts[3]
 
 
-ROW = "anchor long, c1 long, c2 long, left long, right long, doc long, start long, windows int, repeat boolean"
+ROW = "anchor long, c1 long, c2 long, left long, right long, doc long, start long, shape int, repeat boolean"
 
 
 def _occurrences(docs: DataFrame, text: str, length: int, key: tuple[int, ...]) -> DataFrame:
@@ -174,9 +175,9 @@ def _occurrences(docs: DataFrame, text: str, length: int, key: tuple[int, ...])
                         yield doc, lo, part
 
     def combined(parts):
-        anchor, c1, c2, left, right, doc, start, windows = (np.concatenate(x) for x in zip(*parts))
+        anchor, c1, c2, left, right, doc, start, shape = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, doc, c2, c1, anchor))
-        cols = [x[order] for x in (anchor, c1, c2, left, right, doc, start, windows)]
+        cols = [x[order] for x in (anchor, c1, c2, left, right, doc, start, shape)]
         same = [cols[i][1:] == cols[i][:-1] for i in (0, 1, 2, 5, 6)]
         twin = np.concatenate(([False], np.all(same, axis=0)))  # the same place of a repeated row
         again = np.concatenate(([False], np.all(same[:3], axis=0)))[~twin]
@@ -198,11 +199,11 @@ def _occurrences(docs: DataFrame, text: str, length: int, key: tuple[int, ...])
             lens = np.array([len(p[2]) for p in parts])
             ends = np.cumsum(lens)
             begins = ends - lens
-            *hashes, first, windows = _anchored(data, begins, ends, length, key)
+            *hashes, first, shape = _anchored(data, begins, ends, length, key)
             which = np.searchsorted(begins, first, side="right") - 1
             doc = np.array([p[0] for p in parts], dtype=np.int64)[which]
             start = first - begins[which] + np.array([p[1] for p in parts], dtype=np.int64)[which]
-            return *hashes, doc, start, windows
+            return *hashes, doc, start, shape
 
         for part in texts(batches):
             parts.append(part)
@@ -222,7 +223,7 @@ def _occurrences(docs: DataFrame, text: str, length: int, key: tuple[int, ...])
     return docs.select("_doc", text).mapInArrow(run, ROW)
 
 
-EVENT = "candidate boolean, anchor long, left long, right long, doc long, start long, size long"
+EVENT = "candidate boolean, anchor long, left long, right long, doc long, start long, size long, lead int"
 
 
 def _near(anchor: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -243,11 +244,10 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
     gram left of it or the one right of it: contexts that share neither are left out."""
     names = [f.split()[0] for f in EVENT.split(", ")]
 
-    def out(anchor, left, right, doc, start, windows, candidate=True):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc), candidate)), *[pa.array(x) for x in (anchor, left, right, doc, start)], pa.array(windows.astype(np.int64) + (length - 1))],
-            names=names,
-        )
+    def out(anchor, left, right, doc, start, shape, candidate=True):
+        size = (shape & ((1 << SHAPE_BITS) - 1)).astype(np.int64) + (length - 1)
+        cols = [np.full(len(doc), candidate), anchor, left, right, doc, start, size, (shape >> SHAPE_BITS).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     def run(batches):
         before = None  # (anchor, c1, c2, doc, start) of the last row
@@ -305,12 +305,12 @@ def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     key = text.astype(np.int64) + len(strings)
     key[ends] = np.arange(len(strings))
     _, rank = np.unique(key, return_inverse=True)
-    width, order = 1, np.argsort(rank, kind="stable")
+    width = 1
     while True:  # prefix doubling; terminators are distinct, so it ends with the longest string
         after = np.zeros(n, dtype=np.int64)
         after[: n - width] = rank[width:] + 1
         both = rank.astype(np.int64) * (n + 1) + after
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         step = np.concatenate(([0], (np.diff(both[order]) != 0).astype(np.int64)))
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(step)
@@ -326,9 +326,10 @@ def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return char, lf, order
 
 
-def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES):
+def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES, anchors=None, leads=None):
     """``(string, offset, block)`` of every window of ``length`` bytes that occurs at least twice
-    in the strings; equal windows have equal blocks."""
+    in the strings; equal windows have equal blocks.  With each string's anchor and the anchor's offset,
+    only windows that lie alike about equal anchors are brought together."""
     chars, lfs, places, base, at = [], [], [], 0, 0
     while at < len(strings):
         stop, size = at, 0
@@ -342,8 +343,24 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: in
         base += len(order)
         at = stop
     char, lf, place = np.concatenate(chars), np.concatenate(lfs), np.concatenate(places)
-    src = np.arange(base)  # the interleave: rows of the shard transforms in merged order
-    block = np.zeros(base, dtype=np.int64)
+    lens = np.array([len(s) for s in strings])
+    begins = np.concatenate(([0], np.cumsum(lens + 1)))
+    # rows of the shard transforms in merged order: the suffixes that windows end at, the only ones to grow into windows
+    windows = np.maximum(0, lens - length + 1)
+    string = np.repeat(np.arange(len(strings)), windows)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+    row = np.empty(base, dtype=np.int64)
+    row[place] = np.arange(base)
+    src = row[begins[string] + offset + length]
+    block = np.zeros(len(src), dtype=np.int64)
+    if anchors is not None:
+        anchor, lead = anchors[string], leads[string] - offset
+        order = np.lexsort((lead, anchor))
+        src, anchor, lead = src[order], anchor[order], lead[order]
+        border = np.ones(len(src) + 1, dtype=bool)
+        border[1:-1] = (anchor[1:] != anchor[:-1]) | (lead[1:] != lead[:-1])
+        shared = ~(border[:-1] & border[1:])
+        src, block = src[shared], np.cumsum(border[:-1])[shared]
     for _ in range(length):
         ahead = lf[src]
         alive = ahead >= 0  # at the start of its string a suffix cannot grow
@@ -357,7 +374,6 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: in
         src, block = src[shared], np.cumsum(border[:-1])[shared]
         if not len(src):
             break
-    begins = np.cumsum([0] + [len(s) + 1 for s in strings])
     where = place[src]
     string = np.searchsorted(begins, where, side="right") - 1
     return string, where - begins[string], block
@@ -383,7 +399,7 @@ def _later_runs(string, at, block, doc, start, length):
     return string[first], at[first], at[last] + length
 
 
-CONTEXT = "anchor long, doc long, start long, body binary"
+CONTEXT = "anchor long, doc long, start long, body binary, lead int"
 RUN = "doc long, start long, size long"
 
 
@@ -392,7 +408,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
     def runs(cols):
         doc, start, strings = np.array(cols[1]), np.array(cols[2]), cols[3]
-        string, at, block = repeated_windows(strings, length)
+        string, at, block = repeated_windows(strings, length, anchors=np.array(cols[0]), leads=np.array(cols[4]))
         string, first, stop = _later_runs(string, at, block, doc, start, length)
         if len(string):
             yield pa.RecordBatch.from_arrays(
@@ -400,12 +416,12 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
             )
 
     def run(batches):
-        held, size = [[], [], [], []], 0
+        held, size = [[], [], [], [], []], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if size >= MERGE_BYTES and row[0] != held[0][-1]:
                     yield from runs(held)
-                    held, size = [[], [], [], []], 0
+                    held, size = [[], [], [], [], []], 0
                 for col, x in zip(held, row):
                     col.append(x)
                 size += len(row[3])
@@ -439,7 +455,7 @@ def _compare_large(contexts: DataFrame, length: int) -> DataFrame:
 def _fetch(texts: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """The bytes of the candidates, one pass over the documents that have some."""
     # at most the document's own anchors
-    lists = wanted.groupBy(F.col("doc").alias("_of")).agg(F.collect_list(F.struct("anchor", "start", "size")).alias("_want"))
+    lists = wanted.groupBy(F.col("doc").alias("_of")).agg(F.collect_list(F.struct("anchor", "start", "size", "lead")).alias("_want"))
     joined = texts.join(lists, texts["_doc"] == lists["_of"]).select("_doc", text, "_want")
 
     def run(batches):
@@ -453,8 +469,9 @@ def _fetch(texts: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                         pa.array([doc] * len(want), pa.int64()),
                         pa.array([w["start"] for w in want], pa.int64()),
                         pa.array([data[w["start"] : w["start"] + w["size"]] for w in want], pa.binary()),
+                        pa.array([w["lead"] for w in want], pa.int32()),
                     ],
-                    names=["anchor", "doc", "start", "body"],
+                    names=["anchor", "doc", "start", "body", "lead"],
                 )
 
     return joined.mapInArrow(run, CONTEXT)
@@ -463,8 +480,8 @@ def _fetch(texts: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """``(doc, start, size)``: byte runs covered by strings of ``length`` bytes that start
     earlier; they may overlap.  A null key is ``NO_ID``."""
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    if not GRAM + 8 <= length < 1 << SHAPE_BITS:
+        raise ValueError(f"length must be at least {GRAM + 8} and below {1 << SHAPE_BITS}")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_doc"), text)
     events = cut_lineage(_meet(_occurrences(texts, text, length, draw_key()), length))
     contexts, parts = events.filter("candidate"), []
