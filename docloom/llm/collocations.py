@@ -76,6 +76,15 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), dtype=kind) if n else np.zeros(0, kind)
 
 
+def _pack_cells(cell: np.ndarray) -> bytes:
+    """Ascending cells by their steps."""
+    return _pack(np.diff(cell, prepend=0).astype(np.int32))
+
+
+def _unpack_cells(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, n, np.int32), dtype=np.int64)
+
+
 # ---------------------------------------------------------------------------------
 # words
 
@@ -184,10 +193,12 @@ def _tile_rows(tile: np.ndarray, cell: np.ndarray, across: int, **values: np.nda
     for lo in range(0, len(starts), 1 << 12):
         at = starts[lo : lo + (1 << 12)]
         end = starts[lo + len(at)] if lo + len(at) < len(starts) else len(tile)
-        offsets = pa.array(np.append(at, end) - at[0], pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[at[0] : end])) for x in (cell.astype(np.int32), *values.values())]
+        spans = list(zip(at.tolist(), np.append(at[1:], end).tolist()))
+        packed = [_pack_cells(cell[a:b]) for a, b in spans]
+        lists = [pa.array(packed)] + [pa.array([_pack(x[a:b]) for a, b in spans], pa.binary()) for x in values.values()]
         keys = [pa.array(x[at]) for x in (top, side, piece.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*keys, *lists], names=["top", "side", "piece", "cells", *values])
+        size = pa.array([b - a for a, b in spans], pa.int32())
+        yield pa.RecordBatch.from_arrays([*keys, size, *lists], names=["top", "side", "piece", "size", "cells", *values])
 
 
 def add_up(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,24 +233,16 @@ def _merge(rows: DataFrame, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["left", "right", "f"])
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            lens = pc.list_value_length(batch.column(3)).to_numpy()
-            flat, flat_n = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (3, 4))
-            stops = np.cumsum(lens)
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))
-            runs = np.flatnonzero(new)
-            for lo, hi in zip(runs, np.append(runs[1:], len(keys))):
-                a, b = (int(stops[lo - 1]) if lo else 0), int(stops[hi - 1])
-                tile = tuple(keys[lo].tolist())
-                if not tiles or tiles[-1] != tile:
+            for top, side, piece, k, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if not tiles or tiles[-1] != (top, side, piece):
                     if size >= MERGE_CELLS:
                         yield out(*totals())
                         tiles, numbers, cells, counts, size = [], [], [], [], 0
-                    tiles.append(tile)
-                numbers.append(np.full(b - a, len(tiles) - 1))
-                cells.append(flat[a:b])
-                counts.append(flat_n[a:b])
-                size += b - a
+                    tiles.append((top, side, piece))
+                numbers.append(np.full(k, len(tiles) - 1))
+                cells.append(_unpack_cells(cell, k))
+                counts.append(_unpack(n, k, np.int32).astype(np.int64))
+                size += k
                 if size >= 4 * MERGE_CELLS:  # a hot tile: as many cells as a tile has at most
                     code, n = totals()
                     numbers, cells, counts, size = [code >> CELL_BITS], [code & (TILE * TILE - 1)], [n], len(code)
@@ -346,7 +349,7 @@ def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFram
         if size:
             yield from counted(held)
 
-    return _merge(coded.mapInArrow(run, "top long, side long, piece int, cells array<int>, counts array<int>"), least)
+    return _merge(coded.mapInArrow(run, "top long, side long, piece int, size int, cells binary, counts binary"), least)
 
 
 def _tiled(left: np.ndarray, right: np.ndarray, across: int):
@@ -358,24 +361,20 @@ def _tiled(left: np.ndarray, right: np.ndarray, across: int):
 
 
 def _answers(known: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(of, top, side, cells, ids)``: the asked cells that are known.  Rows of a tile meet, its known
-    cells first."""
+    """``(of, top, side, size, cells, ids)``: the asked cells that are known.  Rows of a tile meet, its
+    known cells first."""
     by = ["top", "side", "piece"]
-    names = ["of", "top", "side", "cells", "ids"]
+    fields = [("of", pa.int64()), ("top", pa.int64()), ("side", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("ids", pa.binary())]
 
     def run(batches):
         tile, cells, ids, parts = None, None, None, []
         for batch in batches:
             out = []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-            starts, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
-            id_starts, flat_ids = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy(zero_copy_only=False)
-            for r, (*at, of) in enumerate(keys):
-                here = flat[starts[r] : starts[r + 1]]
+            for *at, of, k, packed, packed_ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != tile:
                     tile, cells, ids, parts = at, None, None, []
                 if of < 0:
-                    parts.append((here, flat_ids[id_starts[r] : id_starts[r + 1]]))
+                    parts.append((_unpack_cells(packed, k), _unpack(packed_ids, k, np.int64)))
                     continue
                 if not parts:
                     continue
@@ -383,18 +382,16 @@ def _answers(known: DataFrame, asked: DataFrame) -> DataFrame:
                     cells, ids = (np.concatenate(x) for x in zip(*parts))
                     order = np.argsort(cells)
                     cells, ids = cells[order], ids[order]
+                here = _unpack_cells(packed, k)
                 place = np.minimum(np.searchsorted(cells, here), len(cells) - 1)
                 hit = cells[place] == here
                 if hit.any():
-                    out.append((of, at[0], at[1], here[hit], ids[place[hit]]))
+                    out.append((of, at[0], at[1], int(hit.sum()), _pack_cells(here[hit]), _pack(ids[place[hit]])))
             if out:
-                of, top, side, some, theirs = zip(*out)
-                offsets = pa.array(np.cumsum([0] + [len(x) for x in some]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (some, theirs)]
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(top), pa.array(side), *lists], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
 
     rows = known.unionByName(asked).repartition(*by).sortWithinPartitions(*by, "of")
-    return rows.select(*by, "of", "cells", "ids").mapInArrow(run, "of long, top long, side long, cells array<int>, ids array<long>")
+    return rows.select(*by, "of", "size", "cells", "ids").mapInArrow(run, "of long, top long, side long, size int, cells binary, ids binary")
 
 
 def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> DataFrame:
@@ -426,10 +423,10 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
                 order, tile, cell = _tiled(left, right, across)
                 yield from _tile_rows(tile, cell, across, ids=ids[order])
 
-    asked = coded.mapInArrow(ask, "top long, side long, piece int, cells array<int>, of long")
-    known = ranked.select("id", "left", "right").mapInArrow(tell, "top long, side long, piece int, cells array<int>, ids array<long>")
-    found = _answers(known.withColumn("of", F.lit(-1).cast("long")), asked.withColumn("ids", F.array().cast("array<long>")))
-    lists = found.groupBy("of").agg(F.collect_list(F.struct("top", "side", "cells", "ids")).alias("found"))  # at most a chunk's places
+    asked = coded.mapInArrow(ask, "top long, side long, piece int, size int, cells binary, of long")
+    known = ranked.select("id", "left", "right").mapInArrow(tell, "top long, side long, piece int, size int, cells binary, ids binary")
+    found = _answers(known.withColumn("of", F.lit(-1).cast("long")), asked.withColumn("ids", F.lit(None).cast("binary")))
+    lists = found.groupBy("of").agg(F.collect_list(F.struct("top", "side", "size", "cells", "ids")).alias("found"))  # at most a chunk's places
     joined = coded.join(lists, F.col("chunk") == F.col("of")).select(*columns, "found")
 
     def answer(batches):
@@ -437,11 +434,11 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
             for r, row in enumerate(batch.select(columns).to_pylist()):
                 words, at, left, right = places(row)
                 tiles = batch.column("found")[r].values
-                top, side, cells, ids = (tiles.field(c) for c in range(4))
-                lens = pc.list_value_length(cells).to_numpy()
-                cell, ids = cells.flatten().to_numpy().astype(np.int64), ids.flatten().to_numpy()
-                known_left = (np.repeat(top.to_numpy(), lens) << TILE_BITS) | (cell >> TILE_BITS)
-                known_right = (np.repeat(side.to_numpy(), lens) << TILE_BITS) | (cell & (TILE - 1))
+                top, side, lens = (tiles.field(c).to_numpy() for c in range(3))
+                cell = np.concatenate([_unpack_cells(x, n) for x, n in zip(tiles.field(3).to_pylist(), lens)])
+                ids = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(tiles.field(4).to_pylist(), lens)])
+                known_left = (np.repeat(top, lens) << TILE_BITS) | (cell >> TILE_BITS)
+                known_right = (np.repeat(side, lens) << TILE_BITS) | (cell & (TILE - 1))
                 ids = _look_up(left, right, known_left, known_right, ids)
                 at, ids = at[ids >= 0], ids[ids >= 0]
                 near = np.zeros(len(words) + 2 * MOST_WORDS, dtype=bool)  # words that a longer phrase can still use
