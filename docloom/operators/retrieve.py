@@ -654,7 +654,8 @@ def topk_ann(
         lists = {c: np.array(sorted(q), dtype=np.int64) for c, q in probing.items()}
         qmat = _unit_rows(np.asarray([r["_v"] for r in rows], dtype=np.float64))
         shared = items.sparkSession.sparkContext.broadcast((qmat, lists))
-        source = _Source(assigned.select(key, "_unit", "cell"), _cell_blocks(shared), [r["_q"] for r in rows], q_field, key, -np.inf)
+        near = assigned.filter(F.col("cell").isin(sorted(lists)))  # a table partitioned by cell is read in part
+        source = _Source(near.select(key, "_unit", "cell"), _cell_blocks(shared), [r["_q"] for r in rows], q_field, key, -np.inf)
         tops.append(source.top(k))
     top = _union_all(tops or [_empty_top(questions.sparkSession, q_field, key_field)])
     return top.select(F.col("_q").alias(qid), "rank", key, "score")

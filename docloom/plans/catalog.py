@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import TOKENS_COL, tokens, user_key
-from docloom.operators import changes, chunk, conversation, embed, evaluate, feedback, monitor, parse, quality, retrieve
+from docloom.operators import changes, chunk, conversation, embed, evaluate, feedback, indexes, monitor, parse, quality, retrieve
 from docloom.plans import fixtures
 from docloom.session import cut_lineage, ensure_checkpoint_dir, prepare
 from docloom.sources import files
@@ -379,6 +379,28 @@ def q_topk_ann(spark, sf_dir):
     return hits.select(F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
+def _index_folder(spark):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/indexes/{uuid.uuid4().hex}"
+
+
+@register
+def q_ann_search(spark, sf_dir):
+    """Every 20th vector asked against all, through an index on disk with its measured probe count."""
+    emb, path = fixtures.table(spark, sf_dir, "embeddings"), _index_folder(spark)
+    indexes.write_vector_index(emb, path, "vec_id", "embedding", k=K)
+    asks = emb.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("ask_id"), "embedding")
+    hits = indexes.search_vector_index(spark, path, asks, qid="ask_id", qvec="embedding")
+    return hits.select("ask_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+
+
+@register
+def q_keyword_postings(spark, sf_dir):
+    path = _index_folder(spark)
+    indexes.write_postings(chunk_index_table(spark, sf_dir), path)
+    hits = indexes.topk_postings(spark, path, fixtures.questions(spark, sf_dir), k=K)
+    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
 # ---------------------------------------------------------------------------
 # step 4: files, parse and chunk jobs
 

@@ -76,6 +76,9 @@ SQL["dedup_chunks"] = _with(PARSED, WINDOWS) + "SELECT chunk_id, path, chunked_t
 SQL["topk_keyword"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25) + """
 SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id, path FROM keyword_hits"""
 
+SQL["keyword_postings"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25) + """
+SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM keyword_hits"""
+
 SQL["build_context"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, BM25) + """
 SELECT item_id, string_agg('Passage: ' || chunked_text || chr(10), '' ORDER BY rank) AS context
 FROM keyword_hits GROUP BY item_id"""
