@@ -59,7 +59,7 @@ from docloom.session import cut_lineage
 LENGTH = 100  # fixed value of the contract
 GRAM = 32
 PIECE = 1 << 19  # bytes of text handled at once; windows overlap pieces, so nothing is lost at the seams
-COMBINE = 1 << 20  # occurrences combined at once in a map task
+COMBINE = 1 << 18  # occurrences combined at once in a map task
 SHARD_BYTES = 1 << 15  # contexts of one Burrows-Wheeler transform
 MERGE_BYTES = 1 << 18  # contexts merged at once in a task (whole anchors)
 MAX_CONTEXTS = 4096  # of an anchor, or of a part of it, that are merged in one task
