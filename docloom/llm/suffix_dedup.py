@@ -130,7 +130,7 @@ def draw_key() -> tuple[int, ...]:
     return tuple(secrets.randbelow(PRIME - 2) + 2 for _ in range(HASHES))
 
 
-@functools.cache
+@functools.lru_cache(maxsize=HASHES)  # workers live longer than a run's key
 def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """``base`` and its inverse to the powers 0 to 2^bits - 1, modulo PRIME."""
     out = []
@@ -147,7 +147,7 @@ def context_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray, key: t
     bases of ``key``.  Two different contexts of n bytes at most are hashed alike by at most
     (n / 2^31)^4 of all keys, whatever their bytes, and the key is not known when the texts are."""
     one_up = data.astype(_S) + _S(1)  # so that no byte is without weight
-    bits = max(1, len(data).bit_length())
+    bits = max(PIECE.bit_length(), len(data).bit_length())  # one table for all pieces
     parts = []
     for base in key:
         power, inverse = _powers(base, bits)
@@ -206,15 +206,15 @@ def _occurrences(docs: DataFrame, text: str, length: int, key: tuple[int, ...])
             return *hashes, doc, start, shape
 
         for part in texts(batches):
-            parts.append(part)
-            size += len(part[2])
-            if size >= PIECE:
+            if parts and size + len(part[2]) > PIECE:
                 held.append(flush())
                 n_held += len(held[-1][0])
                 parts, size = [], 0
                 if n_held >= COMBINE:
                     yield from combined(held)
                     held, n_held = [], 0
+            parts.append(part)
+            size += len(part[2])
         if parts:
             held.append(flush())
         if held:
