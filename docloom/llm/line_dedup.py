@@ -124,8 +124,11 @@ class LineIndex:
 
     def ledger(self) -> DataFrame:
         """Net holdings ``(k1, k2, doc_id)``."""
+        return self._holdings().drop("net")
+
+    def _holdings(self) -> DataFrame:
         rows = self._table("ledger", f"{POSTING}, sign int")
-        return rows.groupBy("k1", "k2", "doc_id").agg(F.sum("sign").alias("net")).filter("net > 0").drop("net")
+        return rows.groupBy("k1", "k2", "doc_id").agg(F.sum("sign").alias("net")).filter("net > 0")
 
     def refs(self) -> DataFrame:
         """Current reference counts ``(k1, k2, n_docs, holder)`` of the keys in use."""
@@ -199,9 +202,14 @@ class LineIndex:
     # -- changes --------------------------------------------------------------------
 
     def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
-        """Add documents whose ids are not in the index (delete them first otherwise)."""
+        """Add documents.  One that is in the index already gains the lines it did not hold, so an
+        insert that is repeated changes nothing (delete a document first to replace its text)."""
         to = self.version + 1
         batch = _postings(docs, key, text, self.min_chars)
+        if self.version:
+            live = self.ledger().select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("doc_id").alias("of"))
+            same = (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & F.col("doc_id").eqNullSafe(F.col("of"))
+            batch = batch.join(live, same, "left_anti")
         batch.withColumn("sign", F.lit(1)).write.mode("overwrite").parquet(f"{self.path}/ledger/v={to}")
         batch = self.spark.read.schema(POSTING).parquet(f"{self.path}/ledger/v={to}")
         held = batch.distinct()  # a repeated doc_id may repeat a line
@@ -232,8 +240,8 @@ class LineIndex:
         """Take documents out: every count, holder and filter is as if they had never been inserted."""
         to = self.version + 1
         gone = ids.select(F.col(key).cast("long").alias("doc_id")).distinct()
-        out = self.ledger().join(gone, "doc_id", "left_semi")
-        out.select("k1", "k2", "doc_id", F.lit(-1).alias("sign")).write.mode("overwrite").parquet(f"{self.path}/ledger/v={to}")
+        out = self._holdings().join(gone, "doc_id", "left_semi")
+        out.select("k1", "k2", "doc_id", (-F.col("net")).cast("int").alias("sign")).write.mode("overwrite").parquet(f"{self.path}/ledger/v={to}")
         removed = self.spark.read.schema(POSTING).parquet(f"{self.path}/ledger/v={to}")
         touched = removed.select("k1", "k2").distinct()
         left = self.ledger().join(gone, "doc_id", "left_anti").join(touched, ["k1", "k2"], "left_semi")

@@ -228,6 +228,17 @@ def test_line_index_is_reopened_from_its_folder(spark, make_docs, tmp_path):
             line_dedup.LineIndex(spark, path, **other)
 
 
+def test_repeated_inserts_and_rows_are_undone_by_one_delete(spark, make_docs):
+    line = "a line that is long enough"
+    one, two = make_docs([(1, line), (1, line)]), make_docs([(2, line)])
+    index = line_dedup.LineIndex(spark, shards=2).insert(one).insert(one)
+    assert sorted((r.n_docs, r.holder) for r in index.refs().collect()) == [(1, 1)]
+    index.delete(make_docs([(1, "")]))
+    assert index.ledger().count() == 0
+    index.insert(two).insert(make_docs([(2, line + "\nand another line")]))
+    assert sorted((r.n_docs, r.holder) for r in index.refs().collect()) == [(1, 2), (1, 2)]
+
+
 def test_lines_edges(edges, make_docs, spark):
     rows = line_dedup.dedup_lines(edges).collect()
     assert len(rows) == edges.count()
