@@ -57,11 +57,10 @@ def key_bucket_file(key: str):
     return F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(FILES_PER_BUCKET)).cast("int")
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
-    """Write a keyed table partitioned by a hash bucket of its key."""
-    df.withColumn("bucket", key_bucket(key, buckets)).repartition("bucket", key_bucket_file(key)).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(path)
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, bucket_by: str | None = None) -> None:
+    """Write a keyed table partitioned by a hash bucket of its key (or of ``bucket_by``)."""
+    placed = df.withColumn("bucket", key_bucket(bucket_by or key, buckets))
+    placed.repartition("bucket", key_bucket_file(key)).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _file_system(spark, path: str):
@@ -80,7 +79,26 @@ def table_exists(spark, path: str) -> bool:
     return fs.exists(marker) or len(fs.listStatus(root)) > 0
 
 
-def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int) -> int:
+def replace_buckets(rows: DataFrame, path: str, key: str, buckets: list[int]) -> None:
+    """Make ``rows`` (with ``bucket``, not read from ``path``) the content of ``buckets``;
+    the others stay, and a bucket without rows loses its folder."""
+    spark = rows.sparkSession
+    written = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most one row per bucket
+    (
+        rows.repartition("bucket", key_bucket_file(key))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+    emptied = [b for b in buckets if b not in written]
+    if emptied:
+        root, fs = _file_system(spark, path)
+        for b in emptied:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"bucket={b}"), True)
+
+
+def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int, bucket_by: str | None = None, schema: str | None = None) -> int:
     """Apply a change set to a bucketed parquet table in place, rewriting only
     the touched buckets (dynamic partition overwrite).
 
@@ -88,30 +106,18 @@ def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int) -> int
     first, so neither is computed twice and the job never reads and overwrites
     the same files at once.  A touched bucket left with no rows has its folder
     removed.  Returns the number of touched buckets.  Replaying the same change
-    set gives the same table.
+    set gives the same table.  ``bucket_by`` names the column of the bucket when it
+    is not the key; ``schema`` (DDL with ``bucket int``) reads a table that may be empty.
     """
     spark = changes.sparkSession
-    changes = cut_lineage(changes.withColumn("bucket", key_bucket(key, buckets)))
+    changes = cut_lineage(changes.withColumn("bucket", key_bucket(bucket_by or key, buckets)))
     touched_ids = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())  # at most `buckets` rows
     if not touched_ids:
         return 0
-    target = spark.read.parquet(path)
+    target = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     cols = [c for c in target.columns if c != "bucket"]
     current = target.filter(F.col("bucket").isin(touched_ids))  # partition pruning
     kept = current.join(changes.select(key), key, "left_anti")
     upserts = changes.filter(F.col("change_type") != DELETE).select(*cols, "bucket")
-    staged = cut_lineage(kept.unionByName(upserts))
-    written = {r["bucket"] for r in staged.select("bucket").distinct().collect()}
-    (
-        staged.repartition("bucket", key_bucket_file(key))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-    emptied = [b for b in touched_ids if b not in written]
-    if emptied:
-        root, fs = _file_system(spark, path)
-        for b in emptied:
-            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"bucket={b}"), True)
+    replace_buckets(cut_lineage(kept.unionByName(upserts)), path, key, touched_ids)
     return len(touched_ids)

@@ -20,7 +20,7 @@ from docloom.operators import changes, chunk, conversation, embed, evaluate, fee
 from docloom.plans import fixtures
 from docloom.session import cut_lineage, ensure_checkpoint_dir, prepare
 from docloom.sources import files
-from docloom.streaming import pipeline
+from docloom.streaming import pipeline, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -657,6 +657,41 @@ def q_stream_sync(spark, sf_dir):
     )
 
 
+SECOND_LANDING = 10_000_000  # seconds by which the files of the second landing are newer
+
+
+def resynced(spark, sf_dir):
+    """A vector table after two landings, and its version after the first.  First the documents that
+    are not German.  Then the German ones, the Spanish ones with another text, and the French ones deleted."""
+    base = _scratch(spark, "sync")
+    docs = fixtures.table(spark, sf_dir, "documents")
+    later = F.col("modificationTime") + F.make_dt_interval(secs=F.lit(SECOND_LANDING))
+    edited = F.when(F.col("lang") == "es", F.concat(F.lit("Second edition. "), "text")).when(F.col("lang") != "fr", F.col("text"))
+    first = fixtures.raw_files_from(docs.filter(F.col("lang") != "de"), failing=False)
+    second = fixtures.raw_files_from(docs.filter(F.col("lang").isin("de", "es", "fr")).withColumn("text", edited), failing=False)
+    versions = []
+    for landing in (first, second.withColumn("modificationTime", later)):
+        landing.write.mode("append").parquet(f"{base}/source")
+        stream = spark.readStream.schema(landing.schema).option("maxFilesPerTrigger", "100").parquet(f"{base}/source")
+        table = sync.sync_documents(parse.parse_documents(stream, "text", on_error="null"), f"{base}/table")
+        versions.append(table.version())
+    return table, versions[0]
+
+
+@register
+def q_stream_resync(spark, sf_dir):
+    table, _ = resynced(spark, sf_dir)
+    n_tokens = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long")
+    return table.vectors().select("chunk_id", "path", "n_refs", n_tokens.alias("n_tokens"))
+
+
+@register
+def q_change_feed(spark, sf_dir):
+    table, first = resynced(spark, sf_dir)
+    value = F.coalesce("new", "old")
+    return table.changes_since(first).select("chunk_id", "change_type", value["path"].alias("path"), value["n_refs"].alias("n_refs"))
+
+
 # ---------------------------------------------------------------------------
 # step 7: evaluation and monitoring
 

@@ -438,6 +438,27 @@ SQL["stream_expectations"] = SQL["expectations"]
 SQL["stream_sync"] = f"""
 SELECT e.chunk_id, c.path, n_tokens, n_buckets, sq_norm
 FROM ({SQL["embed_chunks"]}) e JOIN ({SQL["dedup_chunks"]}) c ON e.chunk_id = c.chunk_id"""
+LANDINGS = f"""
+landed AS (
+  SELECT 1 AS landing, path, parsed_content AS text FROM parsed WHERE lang <> 'de'
+  UNION ALL
+  SELECT 2, path, CASE WHEN lang = 'es' THEN 'Second edition. ' || parsed_content ELSE parsed_content END FROM parsed WHERE lang <> 'fr'),
+landed_rows AS (
+  SELECT DISTINCT landing, path, substring(text, s, {CHUNK_SIZE}) AS chunked_text FROM (
+    SELECT landing, path, text, unnest(generate_series(1, greatest(length(text) - {CHUNK_OVERLAP}, 1), {STEP})) AS s
+    FROM landed WHERE length(text) > 0)),
+landed_keys AS (
+  SELECT landing, md5(chunked_text) AS chunk_id, any_value(chunked_text) AS chunked_text, min(path) AS path, count(*) AS n_refs
+  FROM landed_rows GROUP BY landing, md5(chunked_text))"""
+
+SQL["stream_resync"] = _with(PARSED, LANDINGS) + f"""
+SELECT chunk_id, path, n_refs, CAST(len({TOKS.format(col='chunked_text')}) AS BIGINT) AS n_tokens FROM landed_keys WHERE landing = 2"""
+SQL["change_feed"] = _with(PARSED, LANDINGS) + """
+SELECT coalesce(n.chunk_id, o.chunk_id) AS chunk_id,
+       CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN n.chunk_id IS NULL THEN 'delete' ELSE 'update' END AS change_type,
+       coalesce(n.path, o.path) AS path, coalesce(n.n_refs, o.n_refs) AS n_refs
+FROM (SELECT * FROM landed_keys WHERE landing = 1) o FULL OUTER JOIN (SELECT * FROM landed_keys WHERE landing = 2) n ON o.chunk_id = n.chunk_id
+WHERE o.chunk_id IS NULL OR n.chunk_id IS NULL OR o.path <> n.path OR o.n_refs <> n.n_refs"""
 SQL["scan_files"] = """
 SELECT doc_id % (SELECT count(*) // 64 + 1 FROM documents) AS bucket, md5(coalesce(text, '')) AS text_md5 FROM documents"""
 SQL["stream_files"] = SQL["scan_files"]
