@@ -20,7 +20,7 @@ from docloom.operators import changes, chunk, conversation, embed, evaluate, fee
 from docloom.plans import fixtures
 from docloom.session import cut_lineage, ensure_checkpoint_dir, prepare
 from docloom.sources import files
-from docloom.streaming import pipeline, sync
+from docloom.streaming import monitoring, pipeline, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -350,6 +350,17 @@ def q_embed_chunks(spark, sf_dir):
     )
 
 
+@register
+def q_embed_tfidf(spark, sf_dir):
+    v = embed.embed(chunk_index_table(spark, sf_dir), "chunked_text", "vector", method="tfidf")
+    return v.select(
+        "chunk_id",
+        F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"),
+        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 9).alias("weight_sum"),
+        F.round(F.array_max("vector"), 9).alias("weight_max"),
+    )
+
+
 @register
 def q_topk_semantic(spark, sf_dir):
     emb, cents = _label_centroids(spark, sf_dir)
@@ -597,9 +608,10 @@ def _stream_names(base: str) -> dict[str, str]:
     return {level: f"{name}_{tag}" for level, name in (("bronze", "raw_files"), ("silver", "parsed_docs"), ("gold", "chunked_docs"))}
 
 
-def streamed_tables(spark, sf_dir, failing: bool = True):
+def streamed_tables(spark, sf_dir, failing: bool = True, rules: bool = False):
     base = _scratch(spark, "stream")
-    runs = pipeline.run_pipeline(spark, document_stream(spark, sf_dir, failing=failing), base, names=_stream_names(base))
+    stream = document_stream(spark, sf_dir, failing=failing)
+    runs = pipeline.run_pipeline(spark, stream, base, names=_stream_names(base), rules=rules)
     return base, runs
 
 
@@ -624,14 +636,16 @@ def q_stream_chunks(spark, sf_dir):
 
 @register
 def q_stream_expectations(spark, sf_dir):
-    _, runs = streamed_tables(spark, sf_dir)
-    rows = []
+    base, _ = streamed_tables(spark, sf_dir, rules=True)
+    out = None
     for table_name, stage, rules in (("parsed_docs", "silver", pipeline.PARSED_RULES), ("chunked_docs", "gold", pipeline.CHUNK_RULES)):
-        total = sum(int(m["rows"]) for m in runs[stage].metrics)
-        for rule in rules:
-            failed = sum(int(m[f"{rule}_failed"]) for m in runs[stage].metrics)
-            rows.append((table_name, rule, failed, total - failed, total))
-    return spark.createDataFrame(rows, "table_name string, rule string, failed long, passed long, total long")
+        failed = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_failed").alias("failed")) for r in rules]))
+        counts = pipeline.rule_table(spark, base, stage).select("rows", failed.alias("_f")).groupBy("_f.rule").agg(
+            F.sum("_f.failed").alias("failed"), F.sum("rows").alias("total")
+        )
+        part = counts.select(F.lit(table_name).alias("table_name"), "rule", "failed", (F.col("total") - F.col("failed")).alias("passed"), "total")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register
@@ -645,7 +659,7 @@ def q_stream_sync(spark, sf_dir):
         landing.write.mode("append").parquet(source)
         stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "100").parquet(source)
         stream = fixtures.raw_files_from(stream, failing=False).withColumn("processing_timestamp", F.current_timestamp())
-        pipeline.run_pipeline(spark, stream, base, names=_stream_names(base))
+        pipeline.run_pipeline(spark, stream, base, names=_stream_names(base), rules=False)
         pipeline.sync_vectors(spark, base, vectors)
     v = spark.read.parquet(vectors)
     return v.select(
@@ -792,6 +806,21 @@ def q_monitor_summary(spark, sf_dir):
     return monitor.monitor_summary(monitored(spark, sf_dir))
 
 
+@register
+def q_stream_monitor(spark, sf_dir):
+    """The sampled traffic lands in two halves; the monitoring stream is stopped between them."""
+    base = _scratch(spark, "monitor")
+    traffic = served_traffic(spark, sf_dir, fraction=0.8).withColumn(
+        "timestamp", F.timestamp_seconds(F.regexp_extract("request_id", r"r(\d+)_", 1).cast("long") * 60)
+    )
+    traffic = cut_lineage(traffic)
+    for half in (0, 1):
+        traffic.filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == half).write.mode("append").parquet(f"{base}/traffic")
+        stream = spark.readStream.schema(traffic.schema).option("maxFilesPerTrigger", "100").parquet(f"{base}/traffic")
+        monitoring.monitor_stream(monitoring.score(stream), f"{base}/table")
+    return monitoring.monitor_total(spark, f"{base}/table")
+
+
 # ---------------------------------------------------------------------------
 # end-to-end plans
 

@@ -290,6 +290,15 @@ FROM cvec GROUP BY chunk_id
 UNION ALL
 SELECT chunk_id, 0, 0, 0 FROM chunk_index WHERE chunk_id NOT IN (SELECT chunk_id FROM cvec)"""
 
+SQL["embed_tfidf"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, HASHED) + """
+, idf AS (SELECT b, ln((1 + (SELECT count(*) FROM chunk_index)) / (1.0 + count(*))) + 1 AS w FROM cvec GROUP BY b),
+weighed AS (SELECT chunk_id, c * w AS x FROM cvec JOIN idf USING (b)),
+normed AS (SELECT chunk_id, x / sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS x FROM weighed)
+SELECT chunk_id, CAST(count(*) AS BIGINT) AS n_buckets, round(sum(x), 9) AS weight_sum, round(max(x), 9) AS weight_max
+FROM normed GROUP BY chunk_id
+UNION ALL
+SELECT chunk_id, 0, 0.0, 0.0 FROM chunk_index WHERE chunk_id NOT IN (SELECT chunk_id FROM cvec)"""
+
 SQL["semantic_search"] = _with(PARSED, WINDOWS, BENCH_QUESTIONS, HASHED) + """
 SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id FROM sem_hits"""
 
@@ -592,6 +601,8 @@ SELECT count(*) AS n_requests,
        avg(CASE WHEN hits = 0 THEN 1.0 ELSE 0.0 END) AS safety_pass
 FROM monitored"""
 
+SQL["stream_monitor"] = SQL["monitor_summary"]
+
 
 # ---------------------------------------------------------------------------
 # end-to-end plans

@@ -1,3 +1,4 @@
+import pytest
 import math
 import re
 from collections import Counter
@@ -205,3 +206,31 @@ def test_hybrid_fuses_uncut_ranks(spark):
     want = retrieve.fuse_ranks([semantic, keyword], k=8).collect()
     got = retrieve.topk_hybrid(qs, chunks, k=8).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_tfidf_vectors_against_brute_force(spark):
+    import hashlib
+    import math
+
+    from docloom.operators import embed
+
+    texts = ["red house", "red red car", "", None, "blue car and house", "red"]
+    dims = 32
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.vector for r in embed.embed(df, "text", "vector", method="tfidf", dims=dims).collect()}
+    buckets = {i: [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dims for w in t.split()] for i, t in enumerate(texts) if t is not None}
+    for i, mine in buckets.items():
+        want = [0.0] * dims
+        for b in mine:
+            df_b = sum(b in other for other in buckets.values())
+            want[b] += math.log((1 + len(buckets)) / (1 + df_b)) + 1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert got[i] == pytest.approx([x / norm for x in want])
+    assert got[3] is None
+    idf = embed.fit_idf(df, "text", dims)
+    asked = embed.embed(df.limit(1), "text", "vector", method="tfidf", dims=dims, idf=idf).first().vector
+    assert asked == pytest.approx(got[0])
+    empty = embed.embed(df.limit(0), "text", "vector", method="tfidf", dims=dims)
+    assert empty.count() == 0
+    with pytest.raises(ValueError):
+        embed.embed(df, "text", "vector", method="tfidf", dims=dims, idf=idf[:5])

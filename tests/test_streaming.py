@@ -109,6 +109,26 @@ def test_rule_counts_cover_more_batches_than_the_progress_history(spark, tmp_pat
     assert sum(m["rows"] for m in runs["silver"].metrics) == 12
 
 
+def test_rule_counts_survive_a_lost_driver(spark, tmp_path, monkeypatch):
+    src, base = str(tmp_path / "src"), str(tmp_path / "run")
+    write_files(src, {"a.txt": b"some words here", "bad.txt": b"\xff\xfe"})
+
+    def lost(*args):
+        raise OSError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "count_rules", lost)
+        with pytest.raises(OSError):
+            pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    assert pipeline.rule_table(spark, base, "silver") is None
+    write_files(src, {"b.txt": b"more words"})
+    pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    counts = pipeline.rule_table(spark, base, "silver").agg({"rows": "sum", "valid_content_failed": "sum"}).first()
+    assert sorted(counts) == [1, 3]
+    pipeline.run_pipeline(spark, pipeline.bronze_from_files(spark, src, "txt"), base)
+    assert pipeline.rule_table(spark, base, "silver").agg({"rows": "sum"}).first()[0] == 3
+
+
 def test_document_stream_reads_a_folder_table(spark, tmp_path):
     from docloom.plans import catalog
 
