@@ -8,7 +8,12 @@ Of records with equal payloads the one with the smallest id is a response; the
 others revisit it and carry headers only.
 
 ``read_records`` takes any selection of the index, sorts it by file and offset,
-joins neighbouring byte ranges into one read each and parses the records.
+joins neighbouring byte ranges into one read each and parses the records.  Its tasks
+follow the archive bytes that the selection points to, not the size of the index.
+
+Payloads are shuffled only if very many of them repeat: which page is the first of its
+payload is found on (id, digest), and the digests that occur more than once are broadcast
+up to ``MAX_BROADCAST_DIGESTS``; beyond, pages and digests are joined by a shuffle.
 
 Archives are opened through ``pyarrow.fs`` by the URI of the shared folder
 (local or mounted paths, object stores, HDFS).
@@ -16,7 +21,8 @@ Archives are opened through ``pyarrow.fs`` by the URI of the shared folder
 Defined results: a null html is an empty payload; a null or malformed URL is
 written with its control characters escaped (null: the record's own URN); a null
 id sorts after all others; rows that repeat the least id of their payload are
-responses all; other columns are ignored; an empty table gives empty results.
+responses all; other columns are ignored; an empty table gives empty results.  A very long
+html is one record, held whole by the task that writes or reads it.
 """
 
 from __future__ import annotations
@@ -32,12 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.common import row_count_at_most
 from docloom.session import cut_lineage, ensure_checkpoint_dir
+from docloom.sources.tables import spread
 
 ROLL_BYTES = 256 << 20  # an archive is closed once it is this long
 MIN_REVISIT_BYTES = 0  # smaller payloads are always written whole
 JOIN_GAP = 64 << 10  # ranges at most this far apart are read together
 JOIN_BYTES = 8 << 20  # up to this many bytes at once
+READ_BYTES = 64 << 20  # archive bytes of one reading task
+MAX_BROADCAST_DIGESTS = 500_000  # repeated digests (about 100 bytes each)
 DATE = "2024-01-01T00:00:00Z"  # capture date of pages that bring none
 
 INDEX = (
@@ -115,14 +125,19 @@ def write_archives(
     html: str = "html",
     min_revisit_bytes: int = MIN_REVISIT_BYTES,
     roll_bytes: int = ROLL_BYTES,
+    max_broadcast: int = MAX_BROADCAST_DIGESTS,
 ) -> DataFrame:
     """Write every page under ``base`` (a folder all executors share) and return the index."""
     base = base or f"{ensure_checkpoint_dir(pages.sparkSession).rstrip('/')}/warc/{uuid.uuid4().hex}"
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload")
     ).withColumn("_same", F.sha2("payload", 256))
-    first = rows.groupBy("_same").agg(F.min("page_id").alias("_first"))
-    joined = rows.join(first, "_same").select("page_id", "url", "payload", "_first")
+    repeated = rows.groupBy("_same").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    repeated = cut_lineage(repeated.select("_same", "_first"))
+    if row_count_at_most(repeated, max_broadcast):
+        repeated = F.broadcast(repeated)
+    first = F.coalesce("_first", "page_id")  # a payload of its own is its first
+    joined = spread(rows).join(repeated, "_same", "left").select("page_id", "url", "payload", first.alias("_first"))
 
     def write(batches):
         store, folder = fs.FileSystem.from_uri(base)
@@ -183,9 +198,12 @@ def _reads(files, offsets, lengths, gap: int, most: int):
         yield run[0], run[1], run[2] - run[1], run[3]
 
 
-def read_records(index: DataFrame, gap: int = JOIN_GAP, most: int = JOIN_BYTES, payload: bool = True) -> DataFrame:
+def read_records(
+    index: DataFrame, gap: int = JOIN_GAP, most: int = JOIN_BYTES, payload: bool = True, read_bytes: int = READ_BYTES
+) -> DataFrame:
     """The records that the ``index`` rows (file, offset, length) point to; without
-    ``payload`` its bytes are checked but not returned."""
+    ``payload`` its bytes are checked but not returned.  There is a task per ``read_bytes``
+    of archive, and one per task slot at least."""
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     arrow = pa.schema(
         [
@@ -217,5 +235,7 @@ def read_records(index: DataFrame, gap: int = JOIN_GAP, most: int = JOIN_BYTES,
         if opened[1] is not None:
             opened[1].close()
 
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // read_bytes))
+    ranges = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(read, RECORD)

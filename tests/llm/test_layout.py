@@ -178,6 +178,25 @@ def test_warc_round_trip(spark):
     assert empty.count() == 0 and warc.read_records(empty).count() == 0
 
 
+def test_warc_tasks_follow_archive_bytes_and_joins_agree(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 5000 if i % 3 == 0 else f"page {i} " * 40) for i in range(60)], "page_id long, url string, html string")
+    index = warc.write_archives(pages, roll_bytes=2000)
+    stored = sum(r.length for r in index.collect())
+    records = warc.read_records(index, read_bytes=stored // 12)
+    assert records.rdd.getNumPartitions() >= 12
+    want = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in records.collect())
+    assert [x[0] for x in want if x[1] == "response"] == [i for i in range(60) if i == 0 or i % 3]
+    shuffled = warc.read_records(warc.write_archives(pages, max_broadcast=0))
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in shuffled.collect()) == want
+
+
+def test_warc_very_long_page(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(1000)) * 3000
+    pages = spark.createDataFrame([(1, "a", text), (2, "b", text), (3, "c", "short")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.read_records(warc.write_archives(pages)).collect()}
+    assert rows[1].payload.decode() == text and rows[2].refers_to == 1 and rows[2].payload_bytes == 3_000_000
+
+
 def test_ranges_are_joined():
     runs = list(warc._reads(["a", "a", "a", "b"], [0, 10, 100, 0], [10, 5, 5, 5], gap=20, most=60))
     assert runs == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 100, 5, [(100, 5)]), ("b", 0, 5, [(0, 5)])]
