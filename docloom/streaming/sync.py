@@ -16,7 +16,7 @@ again, and tables whose rewriting may have been cut off are made anew from the l
 the touched buckets.  The checkpoint lies beside the logs, since both count batches.
 
 Defined results: among versions of a path the greatest ``order`` wins, whatever order they
-arrive in; on equal order the later batch, and within a batch the greater text (null last).
+arrive in; on equal order the later batch, and within a batch the text with the greater md5 (null last).
 A null path is no document.  A null, empty or unparsable text leaves a document without chunks.
 """
 
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from docloom.operators import changelog, changes, chunk, embed
 from docloom.operators.changes import DELETE, INSERT, UPDATE, key_bucket
-from docloom.operators.common import top_k_per_group
-from docloom.session import cut_lineage
 
 DEFAULT_BUCKETS = 16  # of a new table; about one per 4 GB of chunks is a good number
 SEEN = "seen"  # change type of the row that records a path's newest version
@@ -37,6 +35,10 @@ REFS = "ref_id string, path string, chunk_id string, stamp {order}, bucket int"
 VECTORS = "chunk_id string, path string, n_refs long, chunked_text string, vector array<double>, bucket int"
 
 
+def _digest():
+    return F.md5("text")  # tells versions of equal order apart
+
+
 def _ref_id():
     return F.md5(F.concat_ws("\u0000", F.col("path"), F.col("chunk_id")))
 
@@ -97,7 +99,7 @@ class VectorSync:
         refs = changelog.read_changes(self.spark, self.refs_log, version - 1, version)
         self._once("refs", version, lambda: self._write_refs(refs), lambda: self._remake_refs(refs))
         if version not in changelog.versions(self.spark, self.key_log):
-            changelog.append_version(self._key_changes(refs), self.key_log, version)
+            changelog.append_version(self._key_changes(refs, batch), self.key_log, version)
         keys = changelog.read_changes(self.spark, self.key_log, version - 1, version)
         self._once("keys", version, lambda: self._write_vectors(keys), lambda: self._remake_vectors(keys))
 
@@ -115,24 +117,23 @@ class VectorSync:
         rows = df.filter(F.col(column).isNotNull()).select(key_bucket(column, self.buckets).alias("b")).distinct().collect()
         return sorted(r["b"] for r in rows)  # at most one per bucket
 
+    def _staged(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written under ``_staged``, where the next batch overwrites it."""
+        path = f"{self.base}/_staged/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def _ref_changes(self, batch: DataFrame) -> DataFrame:
-        newest = top_k_per_group(
-            batch.filter(F.col("path").isNotNull()).select("path", "text", "stamp"),
-            ["path"],
-            [F.col("stamp").desc_nulls_last(), F.col("text").desc_nulls_last()],
-            1,
-        ).drop("rank")
-        newest = cut_lineage(newest)
+        """The difference between the references of the batch's paths and their newest
+        versions.  Texts are shuffled once, to their version; the rest is narrow."""
+        docs = batch.filter(F.col("path").isNotNull()).select("path", "text", "stamp", _digest().alias("_digest"))
+        newest = docs.groupBy("path").agg(F.max(F.struct("stamp", "_digest")).alias("_v")).select("path", "_v.*")
+        newest = self._staged(newest, "newest")
         known = self.refs("path").filter(F.col("bucket").isin(self._touched(newest, "path")))
-        seen = known.filter(F.col("chunk_id").isNull()).select("path", F.col("stamp").alias("_seen"), F.lit(True).alias("_known"))
+        seen = known.filter(F.col("chunk_id").isNull()).select("path", F.col("stamp").alias("_seen"))
         late = F.col("_seen").isNotNull() & (F.col("stamp").isNull() | (F.col("stamp") < F.col("_seen")))
-        fresh = newest.join(seen, "path", "left").filter(~late).drop("_seen", "_known")
-        now = (
-            chunk.window_rows(fresh, "text", self.size, self.overlap)
-            .select("path", "chunk_id", "chunked_text")
-            .dropDuplicates(["path", "chunk_id"])  # equal keys have equal texts
-            .withColumn("_now", F.lit(True))
-        )
+        fresh = self._staged(newest.join(seen, "path", "left").filter(~late).drop("_seen"), "fresh")
+        now = self._chunks(docs, fresh).select("path", "chunk_id").distinct().withColumn("_now", F.lit(True))
         before = (
             known.filter(F.col("chunk_id").isNotNull())
             .join(fresh.select("path"), "path", "left_semi")
@@ -140,12 +141,16 @@ class VectorSync:
         )
         moved = now.join(before, ["path", "chunk_id"], "full_outer").filter(F.col("_now").isNull() | F.col("_before").isNull())
         moved = moved.join(fresh.select("path", "stamp"), "path").select(
-            "path", "chunk_id", "stamp", "chunked_text", F.when(F.col("_now").isNull(), DELETE).otherwise(INSERT).alias("change_type")
+            "path", "chunk_id", "stamp", F.when(F.col("_now").isNull(), DELETE).otherwise(INSERT).alias("change_type")
         )
-        none = F.lit(None).cast("string")
-        marks = fresh.select("path", none.alias("chunk_id"), "stamp", none.alias("chunked_text"), F.lit(SEEN).alias("change_type"))
+        marks = fresh.select("path", F.lit(None).cast("string").alias("chunk_id"), "stamp", F.lit(SEEN).alias("change_type"))
         return moved.unionByName(marks).withColumn("ref_id", _ref_id())
 
+    def _chunks(self, docs: DataFrame, which: DataFrame) -> DataFrame:
+        """Chunk rows of the versions ``(path, stamp, _digest)`` in ``which``."""
+        same = (docs["path"] == which["path"]) & docs["stamp"].eqNullSafe(which["stamp"]) & docs["_digest"].eqNullSafe(which["_digest"])
+        return chunk.window_rows(docs.join(which, same, "left_semi"), "text", self.size, self.overlap)
+
     def _write_refs(self, log: DataFrame) -> None:
         for by, column in (("path", "path"), ("key", "chunk_id")):
             rows = log.filter(F.col(column).isNotNull())
@@ -158,12 +163,12 @@ class VectorSync:
             rows = whole.filter(F.col(column).isNotNull()).withColumn("bucket", key_bucket(column, self.buckets))
             rows = rows.filter(F.col("bucket").isin(touched)).withColumn("new", F.struct("path", "chunk_id", "stamp", "bucket"))
             state = changelog.table_at(rows, "ref_id").select("ref_id", "new.*")
-            changes.replace_buckets(cut_lineage(state), f"{self.base}/refs_by_{by}", "ref_id", touched)
+            changes.replace_buckets(self._staged(state, "refs"), f"{self.base}/refs_by_{by}", "ref_id", touched)
 
-    def _key_changes(self, log: DataFrame) -> DataFrame:
+    def _key_changes(self, log: DataFrame, batch: DataFrame) -> DataFrame:
         named = log.filter(F.col("chunk_id").isNotNull())
         touched = self._touched(named, "chunk_id")
-        texts = named.groupBy("chunk_id").agg(F.max("chunked_text").alias("chunked_text"))  # null: only released
+        keys = named.select("chunk_id").distinct()
         # counted before the join, so that a key with very many references is a partial sum per task
         living = (
             self.refs("key").filter(F.col("bucket").isin(touched)).groupBy("chunk_id")
@@ -172,15 +177,20 @@ class VectorSync:
         )
         present = self.spark.read.schema(VECTORS).parquet(self.vectors_path).filter(F.col("bucket").isin(touched))
         present = present.select("chunk_id", F.struct("path", "n_refs").alias("old"))
-        both = texts.join(living, "chunk_id", "left").join(present, "chunk_id", "left")
+        both = keys.join(living, "chunk_id", "left").join(present, "chunk_id", "left")
         change = (
             F.when(F.col("old").isNull() & F.col("new").isNotNull(), INSERT)
             .when(F.col("old").isNotNull() & F.col("new").isNull(), DELETE)
             .when(~F.col("old").eqNullSafe(F.col("new")), UPDATE)
         )
         rows = both.withColumn("change_type", change).filter(F.col("change_type").isNotNull())
-        text = F.when(F.col("change_type") == INSERT, F.col("chunked_text"))
-        return rows.select("chunk_id", "change_type", "old", "new", text.alias("chunked_text"))
+        rows = self._staged(rows.select("chunk_id", "change_type", "old", "new"), "keys")
+        # all references of an inserted key came with this batch, so its smallest path has the text
+        wanted = rows.filter(F.col("change_type") == INSERT).select("chunk_id", F.col("new.path").alias("path"))
+        docs = batch.select("path", "text").join(wanted.select("path").distinct(), "path", "left_semi")
+        pieces = chunk.window_rows(docs, "text", self.size, self.overlap).join(wanted, ["path", "chunk_id"], "left_semi")
+        texts = pieces.groupBy("chunk_id").agg(F.max("chunked_text").alias("chunked_text"))  # equal keys have equal texts
+        return rows.join(texts, "chunk_id", "left")
 
     def _embedded(self, rows: DataFrame) -> DataFrame:
         return embed.embed(rows, "chunked_text", "vector", dims=self.dims)
@@ -188,14 +198,17 @@ class VectorSync:
     def _write_vectors(self, log: DataFrame) -> None:
         flat = log.select("chunk_id", "change_type", "new.path", "new.n_refs", "chunked_text")
         touched = self._touched(flat, "chunk_id")
+        if not touched:
+            return
         stored = self.spark.read.schema(VECTORS).parquet(self.vectors_path).filter(F.col("bucket").isin(touched))
-        new = self._embedded(flat.filter(F.col("change_type") == INSERT))
-        moved = flat.filter(F.col("change_type") == UPDATE).drop("chunked_text").join(
+        kept = stored.drop("bucket").join(flat.select("chunk_id"), "chunk_id", "left_anti")
+        new = self._embedded(flat.filter(F.col("change_type") == INSERT).drop("change_type"))
+        moved = flat.filter(F.col("change_type") == UPDATE).select("chunk_id", "path", "n_refs").join(
             stored.select("chunk_id", "chunked_text", "vector"), "chunk_id"
         )
-        gone = flat.filter(F.col("change_type") == DELETE).withColumn("vector", F.lit(None).cast("array<double>"))
-        rows = new.unionByName(moved).unionByName(gone)
-        changes.upsert_buckets(rows, self.vectors_path, "chunk_id", self.buckets, schema=VECTORS)
+        rows = kept.unionByName(moved).unionByName(new).withColumn("bucket", key_bucket("chunk_id", self.buckets))
+        # read from the folder that is about to change, so written beside it first
+        changes.replace_buckets(self._staged(rows, "vectors"), self.vectors_path, "chunk_id", touched)
 
     def _remake_vectors(self, log: DataFrame) -> None:
         touched = self._touched(log, "chunk_id")
@@ -204,7 +217,7 @@ class VectorSync:
         texts = whole.filter(F.col("change_type") == INSERT).groupBy("chunk_id").agg(F.max("chunked_text").alias("chunked_text"))
         state = changelog.table_at(whole, "chunk_id").join(texts, "chunk_id").select("chunk_id", "new.path", "new.n_refs", "chunked_text")
         rows = self._embedded(state).withColumn("bucket", key_bucket("chunk_id", self.buckets))
-        changes.replace_buckets(cut_lineage(rows), self.vectors_path, "chunk_id", touched)
+        changes.replace_buckets(self._staged(rows, "vectors"), self.vectors_path, "chunk_id", touched)
 
 
 KEY_LOG = (
