@@ -273,6 +273,51 @@ def test_leak_edges_and_native_plan(spark, edges, make_docs):
     assert decontaminate.contaminations(make_docs([]), bench).count() == 0
 
 
+def test_leak_in_a_very_long_text(spark, make_docs):
+    rnd = random.Random(6)
+    item = [f"w{rnd.randrange(500)}" for _ in range(400)]
+    long = [f"w{rnd.randrange(500)}" for _ in range(60_000)]
+    leak = item[:200] + ["other"] + item[201:]
+    texts = [(1, " ".join(long)), (2, " ".join(long[:40_000] + leak + long[40_000:])), (3, "w1 " * 50_000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "w1 " * 300)], "item_id long, text string")
+    rows = decontaminate.contaminations(make_docs(texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.n_words) for r in rows) == [(2, 1, 40_000, 400), (3, 2, 0, 300)]
+    assert {r.item_id: r.similarity for r in rows} == {1: round(391 / 401, 9), 2: 1.0}
+
+
+def test_block_index_finds_all_within_the_radius(spark):
+    rnd = random.Random(7)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [rnd.getrandbits(64) for _ in range(60)]
+    near = []
+    for _ in range(300):
+        x = rnd.choice(prints)
+        for b in rnd.sample(range(64), rnd.randint(0, 30)):
+            x ^= 1 << b
+        near.append(x)
+    items = spark.createDataFrame([(i, 9, signed(x)) for i, x in enumerate(prints)], "_no long, n int, _ifp long")
+    windows = spark.createDataFrame([(i, 9, signed(x)) for i, x in enumerate(near)], "id long, n int, _fp long")
+    for radius in (0, 3, 23):
+        got = [(r["id"], r["_no"]) for r in decontaminate.candidates(windows, items, radius).collect()]
+        want = [(i, j) for i, x in enumerate(near) for j, y in enumerate(prints) if (x ^ y).bit_count() <= radius]
+        assert sorted(got) == sorted(want)
+
+
+def test_few_windows_of_clean_texts_reach_the_block_index(spark, make_docs):
+    rnd = random.Random(8)
+    phrases = [" ".join(rnd.choice("abcdefghij") * 2 for _ in range(6)) for _ in range(40)]  # common to texts and items
+    body = lambda n: " ".join(rnd.choice(phrases) + f" x{rnd.randrange(10**6)}" for _ in range(n))
+    items = {j: body(5) for j in range(20)}
+    texts = {i: body(30) + (" " + items[i % 20] if i % 10 == 0 else "") for i in range(100)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    held = decontaminate.benchmark_items(bench).withColumn("_s", F.explode("_ih")).select("n", "k", "m", "_s").distinct()
+    hits = decontaminate._hits(make_docs(list(texts.items())), held, "doc_id", "text", 5)
+    with_a_hit = sum(len(tokens(t)) for t in texts.values())
+    assert decontaminate._windows(hits, 0.8).count() < with_a_hit / 20
+    rows = decontaminate.contaminations(make_docs(list(texts.items())), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == set(brute_leaks(texts, items)) == {(i, i % 20) for i in range(0, 100, 10)}
+
+
 def test_long_runs_of_digits_and_many_spans():
     for n in (5_000, 1_000_000):
         assert pii.base_spans("0" * n + "1.1.1.1") == [("ip", 0, n + 7)]
