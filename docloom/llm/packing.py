@@ -1,11 +1,15 @@
 """Variable-capacity best-fit packing of documents into sequences (operator 6).
 
-Several sequence lengths are permitted.  Documents are packed best-fit
-decreasing: the longest piece first, each into the fullest open bin that holds
-it.  When none does, a bin of the permitted size with the least cost per token
-it can still expect to hold is opened (a bin costs ``bin_cost`` besides its
-capacity, so the sizes are weighed against each other jointly).  At the end
-every bin is downsized to the smallest permitted size that holds its contents.
+Several sequence lengths are permitted.  A sequence of ``c`` tokens costs
+``bin_cost + c + c * c / attention``: a fixed share, its length, and the part that
+grows with the square of the length.  Documents are packed best-fit decreasing:
+the longest piece first, each into the fullest open bin that holds it.  When none
+does, a bin is opened.  Its size is chosen by the contents it can expect: for each
+permitted size, the piece and, longest first, what is left of all lengths and
+still fits; the size with the least cost per token of these contents wins, so long
+bins are opened where long pieces need them or where their rests can be filled,
+short ones elsewhere.  At the end every bin is downsized to the smallest permitted
+size that holds its contents.
 
 Pieces of equal length are interchangeable, so the packing is decided on the
 histogram of lengths, at most ``max(capacities)`` counts whatever the table's
@@ -18,7 +22,8 @@ A document longer than the largest capacity is cut into full pieces and a
 rest.  The length is the number of words plus ``separator`` for each piece, or
 any other column given by the caller.
 
-Defined results: a null or empty text has length 0 and is one piece of the
+Defined results: a very long text is cut into as many pieces as it needs; a null or
+empty text has length 0 and is one piece of the
 separator alone; repeated rows are packed each; ties go by key; other columns
 are ignored; an empty table gives an empty result.
 """
@@ -41,6 +46,7 @@ from docloom.session import cut_lineage
 CAPACITIES = (512, 1024, 2048, 4096)
 SEPARATOR = 1
 BIN_COST = 64
+ATTENTION = 8192  # length at which the square part of the cost is as large as the length
 
 
 def pieces(docs: DataFrame, capacities: Sequence[int], key: str = "doc_id", text: str = "text", length: Column | None = None, separator: int = SEPARATOR) -> DataFrame:
@@ -60,21 +66,38 @@ def pieces(docs: DataFrame, capacities: Sequence[int], key: str = "doc_id", text
 # the packing plan, from the histogram
 
 
-def open_size(piece: int, volume: int, capacities: Sequence[int], bin_cost: float) -> int:
-    """Permitted size >= piece with the least cost per token it can expect to hold;
-    ``volume`` is the size of everything not yet packed, the piece included."""
+def cost(capacity: int, bin_cost: float = BIN_COST, attention: float = ATTENTION) -> float:
+    """What one sequence of ``capacity`` tokens costs."""
+    return bin_cost + capacity + capacity * capacity / attention
+
+
+def expected_fill(capacity: int, piece: int, count: int, lengths: Sequence[int], counts: Sequence[int]) -> int:
+    """Contents of a new bin: as many of ``count`` pieces as fit, then, longest first,
+    what fits of the shorter ``lengths`` (ascending, with ``counts``)."""
+    room = capacity - min(count, capacity // piece) * piece
+    at = len(lengths)
+    while room and at:
+        at = bisect.bisect_right(lengths, room, 0, at) - 1
+        if at >= 0:
+            room -= min(counts[at], room // lengths[at]) * lengths[at]
+        at = max(at, 0)
+    return capacity - room
+
+
+def open_size(piece: int, count: int, lengths: Sequence[int], counts: Sequence[int], capacities: Sequence[int], bin_cost: float, attention: float) -> int:
+    """Permitted size >= piece with the least cost per token it can expect to hold (ties: the smaller)."""
     fits = [c for c in sorted(capacities) if c >= piece]
-    return min(fits, key=lambda c: ((c + bin_cost) / min(c, max(volume, piece)), c))
+    return min(fits, key=lambda c: (cost(c, bin_cost, attention) / expected_fill(c, piece, count, lengths, counts), c))
 
 
-def plan(histogram: Sequence[tuple[int, int]], capacities: Sequence[int], bin_cost: float = BIN_COST) -> tuple[list[tuple], list[tuple]]:
+def plan(histogram: Sequence[tuple[int, int]], capacities: Sequence[int], bin_cost: float = BIN_COST, attention: float = ATTENTION) -> tuple[list[tuple], list[tuple]]:
     """``(rules, bins)`` from ``(size, count)``.
 
     A rule ``(size, rank, first_bin, per_bin, offset)`` says: from that rank on,
     pieces of that size go ``per_bin`` to a bin, starting with ``first_bin``, at
     ``offset`` in it.  ``bins`` lists ``(first, count, used, capacity)`` runs."""
     sizes = sorted((s, n) for s, n in histogram if n > 0)[::-1]
-    volume = sum(s * n for s, n in sizes)
+    shorter, of_shorter = [s for s, _ in sizes[::-1]], [n for _, n in sizes[::-1]]
     groups: dict[int, list[list[int]]] = {}  # room left -> runs [first bin, count, used]
     rooms: list[int] = []  # the keys of groups, ascending
     rules, done, next_bin = [], [], 0
@@ -90,14 +113,14 @@ def plan(histogram: Sequence[tuple[int, int]], capacities: Sequence[int], bin_co
 
     for size, count in sizes:
         rank = 0
+        shorter.pop()
+        of_shorter.pop()
+        most = max(capacities) // size  # with so many left or more, the choice does not depend on how many
         while count:
             at = bisect.bisect_left(rooms, size)
             if at == len(rooms):  # open bins for what is left, as many as the size needs
-                capacity = open_size(size, volume, capacities, bin_cost)
-                per_bin = capacity // size
-                full = max(1, count // per_bin)
-                if open_size(size, volume - full * per_bin * size + size, capacities, bin_cost) != capacity:
-                    full = 1  # near the end the best size changes: one bin at a time
+                capacity = open_size(size, count, shorter, of_shorter, capacities, bin_cost, attention)
+                full = max(1, (count - most) // (capacity // size) + 1)
                 first, room, used = next_bin, capacity, 0
                 run = [first, full, used]
                 next_bin += full
@@ -115,13 +138,11 @@ def plan(histogram: Sequence[tuple[int, int]], capacities: Sequence[int], bin_co
                 put(room - per_bin * size, [first, full, used + per_bin * size])
                 rank += full * per_bin
                 count -= full * per_bin
-                volume -= full * per_bin * size
             if full < bins:
                 rest = [first + full, bins - full, used]
                 if 0 < count < per_bin:  # the last bin takes what is left
                     rules.append((size, rank, rest[0], per_bin, used))
                     put(room - count * size, [rest[0], 1, used + count * size])
-                    volume -= count * size
                     count = 0
                     rest = [rest[0] + 1, rest[1] - 1, used]
                 if rest[1]:
@@ -144,6 +165,7 @@ def pack(
     length: Column | None = None,
     separator: int = SEPARATOR,
     bin_cost: float = BIN_COST,
+    attention: float = ATTENTION,
 ) -> DataFrame:
     """One row per piece: its document and part, its bin, the bin's (downsized)
     capacity and filled length, and the piece's offset in the bin."""
@@ -152,7 +174,7 @@ def pack(
     spark = docs.sparkSession
     parts = cut_lineage(pieces(docs, capacities, key, text, length, separator))
     histogram = [(int(r["size"]), int(r["n"])) for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    rules, bins = plan(histogram, capacities, bin_cost)  # at most max(capacities) sizes
+    rules, bins = plan(histogram, capacities, bin_cost, attention)  # at most max(capacities) sizes
     before, total = {}, 0
     for size, n in sorted(histogram):
         before[size] = total

@@ -95,15 +95,29 @@ def test_shards(make_docs, edges):
 # -- packing -----------------------------------------------------------------------------
 
 
-def best_fit(sizes, capacities, cost):
-    volume, bins = sum(sizes), []
-    for s in sorted(sizes, reverse=True):
-        fits = [b for b in bins if b[0] >= s]
-        bin_ = min(fits, key=lambda b: b[0]) if fits else [packing.open_size(s, volume, capacities, cost), 0]
-        if not fits:
+def bin_price(c, cost, attention):
+    return cost + c + c * c / attention
+
+
+def best_fit(sizes, capacities, cost, attention):
+    """Piece by piece; a new bin's size by filling one of each size from what is left."""
+    left, bins = sorted(sizes, reverse=True), []
+    while left:
+        fits = [b for b in bins if b[0] >= left[0]]
+        if fits:
+            bin_ = min(fits, key=lambda b: b[0])
+        else:
+            prices = []
+            for c in sorted(capacities):
+                if c >= left[0]:
+                    held = 0
+                    for s in left:
+                        held += s if held + s <= c else 0
+                    prices.append((bin_price(c, cost, attention) / held, c))
+            bin_ = [min(prices)[1], 0]
             bins.append(bin_)
+        s = left.pop(0)
         bin_[0], bin_[1] = bin_[0] - s, bin_[1] + s
-        volume -= s
     return sorted(b[1] for b in bins)
 
 
@@ -112,16 +126,45 @@ def test_plan_on_counts_packs_as_piece_by_piece():
     for _ in range(400):
         capacities = sorted(rnd.sample(range(5, 60), 3))
         sizes = [rnd.randint(1, capacities[-1]) for _ in range(rnd.randint(1, 120))]
-        rules, bins = packing.plan(list(Counter(sizes).items()), capacities, 4)
+        attention = rnd.choice([20, 60, 1000])
+        rules, bins = packing.plan(list(Counter(sizes).items()), capacities, 4, attention)
         used = sorted(u for _, n, u, _ in bins for _ in range(n))
-        assert used == best_fit(sizes, capacities, 4)
+        assert used == best_fit(sizes, capacities, 4, attention)
         assert all(min(c for c in capacities if c >= u) == cap for _, _, u, cap in bins)
 
 
+def test_sizes_are_chosen_jointly():
+    rnd = random.Random(3)
+    sizes = [min(4096, int(rnd.lognormvariate(5.5, 1.2)) + 1) for _ in range(20_000)]
+    counts = list(Counter(sizes).items())
+
+    def spent(capacities):
+        _, bins = packing.plan(counts, capacities)
+        assert sum(n * u for _, n, u, _ in bins) == sum(sizes)
+        of_size = Counter()
+        for _, n, _, cap in bins:
+            of_size[cap] += n
+        return sum(n * bin_price(cap, packing.BIN_COST, packing.ATTENTION) for cap, n in of_size.items()), of_size
+
+    joint, used = spent(packing.CAPACITIES)
+    assert sum(n > 50 for n in used.values()) >= 3
+    assert joint < 0.95 * spent((4096,))[0]
+    one_size = packing.plan(counts, (4096,))[1]  # the largest size only, each bin downsized afterwards
+    downsized = [(n, min(c for c in packing.CAPACITIES if c >= u)) for _, n, u, _ in one_size]
+    assert joint < 0.95 * sum(n * bin_price(c, packing.BIN_COST, packing.ATTENTION) for n, c in downsized)
+
+
+def test_a_very_long_text_is_packed_whole(make_docs):
+    rows = packing.pack(make_docs([(1, "w " * 1_000_000), (2, "w")])).collect()
+    parts = sorted((r.start, r.stop) for r in rows if r.doc_id == 1)
+    assert parts[0][0] == 0 and parts[-1][1] == 1_000_000 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert len({r.bin_id for r in rows}) <= len(parts) and all(r.offset + r.size <= r.capacity for r in rows)
+
+
 def test_pack(make_docs, edges):
     rnd = random.Random(2)
     texts = {i: " ".join(["w"] * rnd.choice([0, 1, 3, 3, 3, 9, 14, 40, 200])) for i in range(300)}
-    rows = packing.pack(make_docs(list(texts.items()), clash=True), capacities=(8, 16, 32), bin_cost=2).collect()
+    rows = packing.pack(make_docs(list(texts.items()), clash=True), capacities=(8, 16, 32), bin_cost=2, attention=64).collect()
     parts, bins = defaultdict(list), defaultdict(list)
     for r in rows:
         assert r.size == r.stop - r.start + 1
@@ -136,7 +179,7 @@ def test_pack(make_docs, edges):
         assert members[0].offset == 0 and all(a.offset + a.size == b.offset for a, b in zip(members, members[1:]))
         used = members[-1].offset + members[-1].size
         assert {(r.bin_used, r.capacity) for r in members} == {(used, min(c for c in (8, 16, 32) if c >= used))}
-    assert sorted(sum(r.size for r in m) for m in bins.values()) == best_fit([r.size for r in rows], (8, 16, 32), 2)
+    assert sorted(sum(r.size for r in m) for m in bins.values()) == best_fit([r.size for r in rows], (8, 16, 32), 2, 64)
     assert sorted(bins) == list(range(len(bins)))
     assert len(packing.pack(edges).collect()) == edges.count()
     assert packing.pack(make_docs([])).count() == 0
