@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import TOKENS_COL, tokens, user_key
-from docloom.operators import changes, chunk, conversation, embed, evaluate, feedback, indexes, monitor, parse, quality, retrieve
+from docloom.operators import changes, chunk, conversation, embed, evaluate, feedback, indexes, language, monitor, parse, quality, retrieve
 from docloom.plans import fixtures
 from docloom.session import cut_lineage, ensure_checkpoint_dir, prepare
-from docloom.sources import files
+from docloom.sources import files, tables
 from docloom.streaming import monitoring, pipeline, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -795,6 +795,14 @@ def q_language_rule(spark, sf_dir):
     return monitor.language_rule(docs, "text", F.col("lang")).select("doc_id", "lang", "detected_lang", "language_ok")
 
 
+@register
+def q_language_model_rule(spark, sf_dir):
+    """Trigram naive Bayes fitted on all documents, and the rule with it."""
+    docs = tables.spread(fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    rows = monitor.language_rule(docs, "text", F.col("lang"), language.fit(docs))
+    return rows.select("doc_id", "lang", "detected_lang", "language_ok")
+
+
 @register
 def q_safety_rule(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents")

@@ -587,6 +587,28 @@ SQL["language_rule"] = f"""
 SELECT doc_id, lang, detected_lang, coalesce(detected_lang = lang, false) AS language_ok
 FROM (SELECT doc_id, lang, {_lang('text')} AS detected_lang FROM documents)"""
 
+SQL["language_model_rule"] = """
+WITH cleaned AS (
+  SELECT doc_id, lang, trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) AS t FROM documents),
+chars AS (
+  SELECT doc_id, lang, list_transform(string_split(' ' || t || ' ', ''), lambda x: unicode(x)) AS c FROM cleaned WHERE length(t) > 0),
+grams AS (
+  SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 16384)) AS bucket
+  FROM chars),
+per_doc AS (SELECT doc_id, lang, bucket, count(*) AS n FROM grams GROUP BY ALL),
+counts AS (SELECT lang, bucket, sum(n) AS n FROM per_doc WHERE lang IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+weights AS (
+  SELECT b.bucket, t.lang AS detected, round_even(1000 * ln((coalesce(c.n, 0) + 1) / (t.total + 16384)), 0)::BIGINT AS w
+  FROM (SELECT DISTINCT bucket FROM per_doc) b CROSS JOIN totals t
+  LEFT JOIN counts c ON c.lang = t.lang AND c.bucket = b.bucket),
+scores AS (SELECT doc_id, detected, sum(p.n * w) AS score FROM per_doc p JOIN weights USING (bucket) GROUP BY ALL),
+best AS (
+  SELECT doc_id, detected FROM scores
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, detected) = 1)
+SELECT d.doc_id, d.lang, b.detected AS detected_lang, coalesce(b.detected = d.lang, false) AS language_ok
+FROM documents d LEFT JOIN best b USING (doc_id)"""
+
 SQL["safety_rule"] = f"""
 SELECT doc_id, safety_hits, safety_hits = 0 AS safety_ok FROM (SELECT doc_id, {_safety('text')} AS safety_hits FROM documents)"""
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluate, monitor
+from docloom.operators import evaluate, language, monitor
 
 
 def test_sample_is_stable_and_close_to_fraction(spark):
@@ -61,3 +61,28 @@ def test_containment_inside_words(spark):
     passages = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in evaluate.containment_pairs(docs, passages).collect()}
     assert got == {(1, 7), (2, 7)}  # the passage starts and ends inside words of doc 1
+
+
+def test_language_model_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.fit(docs.filter(~held_out))
+    assert model.languages == tuple(sorted(model.languages)) and model.weights.shape == (len(model.languages), language.BUCKETS)
+    scored = monitor.language_rule(docs.filter(held_out), "text", F.col("lang"), model)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    n, ok = scored.agg(F.count(F.lit(1)), F.count_if("language_ok")).first()
+    _, by_words = monitor.language_rule(docs.filter(held_out), "text", F.col("lang")).agg(F.count(F.lit(1)), F.count_if("language_ok")).first()
+    assert n > 100 and ok / n > 0.9 and ok >= by_words
+
+
+def test_language_model_edges(spark):
+    rows = [("the cat sat on the mat", "en"), ("le chat est sur le tapis", "fr"), (None, "en"), ("x", None), ("", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit(df)
+    assert model.languages == ("en", "fr")
+    texts = [("on the mat",), ("sur le tapis",), (None,), ("",), (" 12 !",), ("z",), ("the cat " * 100_000,), ("\U0001d11e le chat \u6f22",)]
+    out = spark.createDataFrame(texts, "text string").select(language.language_by_model("text", model).alias("l")).collect()
+    assert [r.l for r in out] == ["en", "fr", None, None, None, "en", "en", "fr"]  # "z": unseen, and en has fewer trigrams
+    nothing = language.fit(df.limit(0))
+    assert df.select(language.language_by_model("text", nothing).alias("l")).filter("l is not null").count() == 0
