@@ -843,6 +843,17 @@ def q_ingest_gold(spark, sf_dir):
     return result.chunks.select("path", "chunked_text", "chunk_id")
 
 
+@register
+def q_layout_lookup(spark, sf_dir):
+    """Ingest with its tables laid out by key, then the chunks of one range of keys."""
+    from docloom.plans.ingest import LAYOUT, TableNames, batch_ingest
+
+    result = batch_ingest(spark, fixtures.raw_files(spark, sf_dir, failing=False), TableNames.scratch(spark),
+                          method="windows", layout=LAYOUT)
+    some = result.chunks.filter(F.col("chunk_id").between("80", "8f"))
+    return some.select("path", "chunked_text", "chunk_id")
+
+
 @register
 def q_ingest_counts(spark, sf_dir):
     from docloom.plans.ingest import TableNames, batch_ingest

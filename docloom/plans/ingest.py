@@ -19,6 +19,8 @@ from docloom.operators import chunk, parse, quality
 from docloom.session import ensure_checkpoint_dir
 from docloom.sources import files, tables
 
+LAYOUT = {"bronze": "path", "silver": "path", "gold": "chunk_id"}  # key that each level is looked up by
+
 
 @dataclass
 class TableNames:
@@ -66,22 +68,26 @@ def batch_ingest(
     size: int = chunk.DEFAULT_CHUNK_SIZE,
     overlap: int = chunk.DEFAULT_CHUNK_OVERLAP,
     file_format: str | None = None,
+    layout: Mapping[str, str] | None = None,
 ) -> IngestResult:
     """Run the batch pipeline.  ``raw_files`` is a folder (scanned with S1)
-    or a file-rows DataFrame.  Chunk parameters are checked before any job."""
+    or a file-rows DataFrame.  Chunk parameters are checked before any job.
+    ``layout`` (level -> key, such as ``LAYOUT``) lays the files of a level out by a key."""
     chunk.check_chunk_params(size, overlap)
     names = names or TableNames()
     config = dict(config or {})
+    order = {level: (key,) for level, key in (layout or {}).items()}
     raw = files.scan_files(spark, raw_files, file_format) if isinstance(raw_files, str) else raw_files
 
-    bronze = tables.save_table(raw, names.raw, path=names.path(names.raw))
+    bronze = tables.save_table(raw, names.raw, path=names.path(names.raw), order_by=order.get("bronze", ()))
     tables.require_rows(bronze, "the source")  # S10
     _tag(spark, names.raw, config, "bronze")
 
     staged = tables.save_table(parse.parse_documents(bronze, parser), names.parsed_staging,
                                path=names.path(names.parsed_staging))
     errors = tables.save_table(parse.parse_failures(staged), names.parse_errors, path=names.path(names.parse_errors))
-    silver = tables.save_table(parse.parsed_ok(staged), names.parsed, path=names.path(names.parsed))
+    silver = tables.save_table(parse.parsed_ok(staged), names.parsed, path=names.path(names.parsed),
+                               order_by=order.get("silver", ()))
     _tag(spark, names.parsed, config, "silver")
 
     text = silver.select("path", F.col("doc_parsed_contents")["parsed_content"].alias("parsed_content"))
@@ -91,7 +97,8 @@ def batch_ingest(
         path=names.path(names.chunk_staging),
     )
     chunk_errs = tables.save_table(chunk.chunk_errors(chunked), names.chunk_errors, path=names.path(names.chunk_errors))
-    gold = tables.save_table(chunk.chunk_rows(chunked), names.chunks, path=names.path(names.chunks))
+    gold = tables.save_table(chunk.chunk_rows(chunked), names.chunks, path=names.path(names.chunks),
+                             order_by=order.get("gold", ()))
     _tag(spark, names.chunks, config, "gold")
 
     counts = {r["stage"]: int(r["rows"]) for r in quality.stage_counts(

@@ -631,6 +631,8 @@ SQL["stream_monitor"] = SQL["monitor_summary"]
 
 SQL["ingest_gold"] = SQL["chunk_rows"]
 
+SQL["layout_lookup"] = f"SELECT * FROM ({SQL['chunk_rows']}) WHERE chunk_id BETWEEN '80' AND '8f'"
+
 SQL["ingest_counts"] = _with(PARSED_FAILING, WINDOWS) + """
 SELECT 'raw_files' AS stage, count(*) AS rows FROM documents
 UNION ALL SELECT 'parsed_docs', count(*) FROM parsed WHERE parsed_content IS NOT NULL

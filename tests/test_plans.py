@@ -65,3 +65,34 @@ def test_unknown_query_type(spark):
     conv = fixtures.table(spark, SF001, "conversations")
     with pytest.raises(ValueError):
         answering.conversation_prompts(conv, catalog.chunk_index_table(spark, SF001), query_type="fuzzy")
+
+
+def test_tables_laid_out_by_key_skip_files(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from docloom.sources import tables
+
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.md5(F.col("id").cast("string"))).alias("key"),
+        F.concat(F.lit("text "), "id").alias("text"), F.array("id").alias("more"),
+    ).repartition(8, "text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = tables.save_table(rows, "laid_out_by_key", path=str(tmp_path / "t"), order_by=("key",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = []
+    for file in glob.glob(str(tmp_path / "t" / "*.parquet")):
+        table = pq.read_table(file, columns=["key"])
+        keys = table.column("key").to_pylist()
+        assert keys == sorted(keys)
+        if keys:
+            ranges.append((keys[0], keys[-1], len(keys)))
+    key = out.filter("key <> 'hot'").orderBy("key").first()["key"]
+    assert sum(lo <= key <= hi for lo, hi, _ in ranges) == 1 < len(ranges)  # the others are skipped by their statistics
+    assert sum(lo <= "hot" <= hi for lo, hi, _ in ranges) >= 2 and max(n for *_, n in ranges) < 40_000 / 3
+    assert out.exceptAll(rows).isEmpty() and rows.exceptAll(out).isEmpty()
+    spark.sql("DROP TABLE laid_out_by_key")
