@@ -16,7 +16,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,25 +149,35 @@ def split_recursive(
     return [text[s:e] for s, e in split_recursive_spans(text, size, overlap, separators, length)]
 
 
+TEXT_AT_ONCE = 1 << 20  # bytes of text that a task holds as Python strings, or one longer text
+
+
 def _recursive_batches(text_col: str, size, overlap, separators, length):
     def run(batches):
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            arrays, statuses = [], []
-            for text in texts:
-                try:
-                    arrays.append(split_recursive(text, size, overlap, separators, length))
-                    statuses.append(SUCCESS)
-                except Exception as exc:  # a failing document is reported, not fatal
-                    arrays.append([])
-                    statuses.append(f"ERROR: {exc}")
-            chunked = pa.StructArray.from_arrays(
-                [pa.array(arrays, type=pa.list_(pa.string())), pa.array(statuses, type=pa.string())],
-                names=["chunked_text", "chunker_status"],
-            )
-            yield pa.RecordBatch.from_arrays(
-                list(batch.columns) + [chunked], names=list(batch.schema.names) + ["chunked"]
-            )
+            sizes = pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes.astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + TEXT_AT_ONCE, side="right")))
+                part = batch.slice(lo, hi - lo)
+                arrays, statuses = [], []
+                for text in part.column(text_col).to_pylist():
+                    try:
+                        arrays.append(split_recursive(text, size, overlap, separators, length))
+                        statuses.append(SUCCESS)
+                    except Exception as exc:  # a failing document is reported, not fatal
+                        arrays.append([])
+                        statuses.append(f"ERROR: {exc}")
+                chunked = pa.StructArray.from_arrays(
+                    [pa.array(arrays, type=pa.list_(pa.string())), pa.array(statuses, type=pa.string())],
+                    names=["chunked_text", "chunker_status"],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    list(part.columns) + [chunked], names=list(part.schema.names) + ["chunked"]
+                )
+                lo = hi
 
     return run
 
