@@ -7,8 +7,9 @@ Its small ``meta`` table is written last, so a folder without one is not an inde
   it probes.  How many cells that takes is measured when the index is written: for a
   bounded sample of items the exact neighbours are found in the whole table, and the
   probe count is the least that reaches the target recall.
-* Postings are ``(term, key, s)``, sorted by term, so that Parquet's statistics keep a search
-  to the files and row groups of its terms; ``s`` is the BM25 weight without the idf, and
+* Postings are ``(term, number, s)``, sorted by term, so that Parquet's statistics keep a search
+  to the files and row groups of its terms; ``s`` is the BM25 weight without the idf.  Chunks are
+  numbered, and the rows of the term "" hold each number's key, so a key is stored once.
   ``terms`` holds each term's document frequency and largest ``s``.  A search finds a lower bound
   of each question's k-th score from its rarest terms, and lets only those terms bring
   candidates that are needed to pass it: the terms whose largest weights together stay
@@ -20,8 +21,13 @@ Null or empty vectors and texts have no entry; an index of an empty table gives
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.text import tokens, tokens_of
 from docloom.operators import retrieve
@@ -35,6 +41,8 @@ SEED_TERMS = 3  # rarest terms of a question that bring the first candidates
 SEED_DEPTH = 4  # times k: candidates whose whole score is found for the lower bound
 MAX_LISTED_TERMS = 1_000  # terms named in the scan's filter
 SLACK = 1e-6  # above the rounding of a score
+NAMES = ["term", "number", "s", "key"]  # of the postings' columns
+ROWS_AT_ONCE = 100_000  # postings of one Arrow batch
 
 # ----------------------------------------------------------------------------
 # Vectors by cell
@@ -109,6 +117,34 @@ def search_vector_index(
 # Postings by term
 
 
+def _postings(mean: float, k1: float, b: float, key_type: pa.DataType):
+    """Arrow batches of ``(key, tokens)`` to ``(term, number, s, key)``: a row per distinct term of a chunk,
+    and one with the term "" and the key."""
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            toks, keys = batch.column(1), batch.column(0).cast(key_type)
+            lengths = toks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = toks.flatten().dictionary_encode()
+            width = len(words.dictionary)
+            doc = np.repeat(np.arange(len(toks), dtype=np.int64), lengths)
+            pairs, tf = np.unique(doc * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            tf, dl = tf.astype(np.float64), lengths[pairs // width]
+            s = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / mean))
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat("", len(toks)), pa.array(first + np.arange(len(toks))), pa.nulls(len(toks), pa.float64()), keys], names=NAMES
+            )
+            for lo in range(0, len(pairs), ROWS_AT_ONCE):
+                at = slice(lo, lo + ROWS_AT_ONCE)
+                term = words.dictionary.take(pa.array(pairs[at] % width))
+                number = pa.array(first + pairs[at] // width)
+                yield pa.RecordBatch.from_arrays([term, number, pa.array(s[at]), pa.nulls(len(term), key_type)], names=NAMES)
+            first += len(toks)
+
+    return run
+
+
 def write_postings(
     chunks: DataFrame,
     path: str,
@@ -123,15 +159,15 @@ def write_postings(
     size = rows.agg(F.count("_toks").alias("n"), F.sum(F.size("_toks")).alias("total")).first()  # a null text is no chunk
     n, total = int(size["n"]), int(size["total"] or 0)
     mean = total / n if total else 1.0
-    each = rows.select(key, F.size("_toks").alias("_dl"), F.explode("_toks").alias("term"))
-    tf = each.groupBy(key, "_dl", "term").agg(F.count(F.lit(1)).cast("double").alias("_tf"))
-    s = F.col("_tf") * (k1 + 1.0) / (F.col("_tf") + k1 * ((1.0 - b) + b * F.col("_dl") / mean))
+    schema = T.StructType([*T._parse_datatype_string("term string, number long, s double").fields, T.StructField("key", chunks.schema[key].dataType)])
+    # terms are counted inside their row, so that only the postings themselves are shuffled, once
+    each = rows.filter(F.size("_toks") > 0).mapInArrow(_postings(mean, k1, b, to_arrow_type(schema["key"].dataType)), schema)
     files = max(1, -(-total // TOKENS_PER_FILE))
-    ordered = tf.select("term", key, s.alias("s")).repartitionByRange(files, "term", key).sortWithinPartitions("term", key)
+    ordered = each.repartitionByRange(files, "term", "number").sortWithinPartitions("term", "number")
     ordered.write.parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings").filter(F.col("term") != "")
     stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("s").alias("most")).write.parquet(f"{path}/terms")
-    spark.createDataFrame([(n, mean)], "n long, mean double").write.parquet(f"{path}/meta")
+    spark.createDataFrame([(n, mean, key)], "n long, mean double, key string").write.parquet(f"{path}/meta")
 
 
 def _with_terms(postings: DataFrame, asked: DataFrame) -> DataFrame:
@@ -154,8 +190,9 @@ def topk_postings(
 ) -> DataFrame:
     """``(qid, rank, key, score)``: BM25 top-k of every question from the stored postings."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    postings = spark.read.parquet(f"{path}/postings")
-    key = postings.columns[1]
+    stored = spark.read.parquet(f"{path}/postings")
+    postings, key = stored.filter(F.col("term") != "").select("term", "number", "s"), "number"
+    keys = stored.filter(F.col("term") == "").select("number", "key")
     idf = F.log(1.0 + (F.lit(float(meta["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = questions.select(F.col(qid).alias("_q"), F.explode(F.array_distinct(tokens(qtext))).alias("term")).distinct()
     known = asked.join(spark.read.parquet(f"{path}/terms"), "term")
@@ -186,4 +223,5 @@ def topk_postings(
     alive = partial.filter(F.col("bound").isNull() | (F.col("part") + F.col("rest") >= F.col("bound") - SLACK)).select("_q", key, "part")
     scored = whole(cut_lineage(alive), parted.filter("silent"))
     scored = scored.select("_q", key, F.round("score", retrieve.SCORE_DIGITS).alias("score")).filter("score > 0")
-    return retrieve._ranked(scored, "_q", key, k).select(F.col("_q").alias(qid), "rank", key, "score")
+    scored = scored.join(keys, "number")  # equal scores are ordered by key
+    return retrieve._ranked(scored, "_q", "key", k).select(F.col("_q").alias(qid), "rank", F.col("key").alias(meta["key"]), "score")
