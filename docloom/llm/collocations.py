@@ -301,8 +301,10 @@ def _symbols(row, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(batches):
+    """One row at a time: a row holds a whole chunk's codes."""
     for batch in batches:
-        yield from batch.to_pylist()
+        for r in range(batch.num_rows):
+            yield batch.slice(r, 1).to_pylist()[0]
 
 
 def _word_ids(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -410,9 +412,13 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
 
     def ask(batches):
         for row in _rows(batches):
-            _, _, left, right = places(row)
+            left, right = places(row)[2:]
             if len(left):
-                _, tile, cell = _tiled(*_unique_pairs(left, right), across)
+                code = _cell_codes(left, right, across)
+                del left, right
+                code = _distinct(code)
+                tile, cell = code >> CELL_BITS, code & (TILE * TILE - 1)
+                del code
                 for part in _tile_rows(tile, cell, across):
                     yield part.append_column("of", pa.array(np.full(part.num_rows, row["chunk"])))
 
@@ -451,11 +457,16 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
     return joined.mapInArrow(answer, _CODED)
 
 
-def _unique_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
-    new = np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
-    return left[new], right[new]
+def _cell_codes(left: np.ndarray, right: np.ndarray, across: int) -> np.ndarray:
+    """Tile and cell of each pair in one number."""
+    tile = (left >> TILE_BITS) * across + (right >> TILE_BITS)
+    return (tile << CELL_BITS) | ((left & (TILE - 1)) << TILE_BITS) | (right & (TILE - 1))
+
+
+def _distinct(code: np.ndarray) -> np.ndarray:
+    """The distinct codes, ascending; ``code`` is sorted in place."""
+    code.sort()
+    return code[np.concatenate(([True], code[1:] != code[:-1]))]
 
 
 def _look_up(left, right, known_left, known_right, ids) -> np.ndarray:

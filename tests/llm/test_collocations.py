@@ -106,3 +106,24 @@ def test_long_text(make_docs):
     long = "alpha beta gamma " * 200_000 + "z" * 3_000_000 + " alpha beta"
     out = collocations.collocations(make_docs([(1, long), (2, "alpha beta")]), chunk=1 << 18)
     assert sorted(map(tuple, out.collect())) == plain([("en", long), ("en", "alpha beta")], 30)
+
+
+def test_rows_of_chunks_are_made_one_at_a_time():
+    """op13: a task holds the codes of one chunk as Python objects, and asks for distinct cells in one sorted array."""
+    import pyarrow as pa
+
+    made = []
+
+    class Batch:
+        num_rows = 3
+
+        def slice(self, at, n):
+            made.append((at, n))
+            return pa.RecordBatch.from_pydict({"a": [at] * n})
+
+    rows = collocations._rows([Batch()])
+    assert next(rows) == {"a": 0} and made == [(0, 1)]
+    left, right = np.array([5000, 3, 5000, 3]), np.array([7, 9000, 7, 2])
+    code = collocations._distinct(collocations._cell_codes(left, right, 6))
+    _, tile, cell = collocations._tiled(np.array([3, 3, 5000]), np.array([2, 9000, 7]), 6)
+    assert list(code >> collocations.CELL_BITS) == list(tile) and list(code & (collocations.TILE**2 - 1)) == list(cell)
