@@ -407,7 +407,9 @@ def q_ann_search(spark, sf_dir):
 @register
 def q_keyword_postings(spark, sf_dir):
     path = _index_folder(spark)
-    indexes.write_postings(chunk_index_table(spark, sf_dir), path)
+    index = chunk_index_table(spark, sf_dir, materialize=False)
+    # read several times for its keys and tokens only: the texts are not stored
+    indexes.write_postings(cut_lineage(index.select("chunk_id", tokens("chunked_text").alias(TOKENS_COL))), path)
     hits = indexes.topk_postings(spark, path, fixtures.questions(spark, sf_dir), k=K)
     return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
 
