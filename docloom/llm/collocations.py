@@ -60,6 +60,8 @@ PIECE_BITS = 17
 DENSE = TILE * TILE // 16  # occurrences that make a tile dense
 ROW_CELLS = 4096  # cells in one row
 MERGE_CELLS = 1 << 20  # sparse cells added up at once
+COUNTED = 4 << 20  # pairs of a task counted at once, 8 bytes each
+SHARE = 1 << 19  # places or cells for which arrays are made beside those held
 FILTER_BITS = 25  # log2 of the bits of the fixed table of frequent phrases
 
 _RUN = f"[{SEPARATORS}]+"
@@ -159,25 +161,38 @@ _CHUNK_ARROW = pa.schema(
 # pairs in tiles
 
 
+def count_cells(code: np.ndarray, across: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(code, n)`` of the pairs with these cell codes, by ascending code, tiles numbered ``across`` to a row:
+    tiles near the origin that have enough pairs by a direct-address table, the others as sorted coordinates."""
+    head, sizes = np.empty(len(code), np.int8), np.zeros(HEAD * HEAD + 1, np.int64)
+    for part in _slices(len(code)):
+        top, side = np.divmod(code[part] >> CELL_BITS, across)
+        head[part] = np.where((top < HEAD) & (side < HEAD), top * HEAD + side, HEAD * HEAD)
+        sizes += np.bincount(head[part], minlength=HEAD * HEAD + 1)
+    dense = np.flatnonzero(sizes[:-1] >= DENSE)
+    sparse, n = _runs(code[~np.isin(head, dense)])
+    codes, counts, at = [], [], 0
+    for t in dense:  # ascending, as their numbers are
+        first = (t // HEAD * across + t % HEAD) << CELL_BITS
+        table = np.bincount(code[head == t] - first, minlength=TILE * TILE)
+        some = np.flatnonzero(table)
+        cut = np.searchsorted(sparse, first)
+        codes += [sparse[at:cut], some + first]
+        counts += [n[at:cut], table[some]]
+        at = cut
+    return np.concatenate([*codes, sparse[at:]]), np.concatenate([*counts, n[at:]])
+
+
 def tile_cells(left: np.ndarray, right: np.ndarray, across: int):
-    """``(tile, cell, n)`` of the pairs, sorted, tiles numbered ``across`` to a row: tiles near the
-    origin that have enough pairs by a direct-address table, the others as sorted coordinates."""
-    top, side = left >> TILE_BITS, right >> TILE_BITS
-    cell = ((left & (TILE - 1)) << TILE_BITS) | (right & (TILE - 1))
-    head = np.where((top < HEAD) & (side < HEAD), top * HEAD + side, HEAD * HEAD)
-    sizes = np.bincount(head, minlength=HEAD * HEAD + 1)[:-1]
-    tiles, cells, counts = [], [], []
-    for t in np.flatnonzero(sizes >= DENSE):
-        n = np.bincount(cell[head == t], minlength=TILE * TILE)
-        some = np.flatnonzero(n)
-        tiles.append(np.full(len(some), t // HEAD * across + t % HEAD))
-        cells.append(some)
-        counts.append(n[some])
-    sparse = ~np.isin(head, np.flatnonzero(sizes >= DENSE))
-    code, n = np.unique(((top[sparse] * across + side[sparse]) << CELL_BITS) | cell[sparse], return_counts=True)
-    tile = np.concatenate([*tiles, code >> CELL_BITS])
-    order = np.argsort(tile, kind="stable")
-    return tile[order], np.concatenate([*cells, code & (TILE * TILE - 1)])[order], np.concatenate([*counts, n])[order]
+    """``(tile, cell, n)`` of the pairs, sorted: ``count_cells`` with tile and cell apart."""
+    code, n = count_cells(_cell_codes(left, right, across), across)
+    return code >> CELL_BITS, code & (TILE * TILE - 1), n
+
+
+def _cells_in_rows(code: np.ndarray, across: int, **values: np.ndarray):
+    """``_tile_rows`` of ascending codes, a bounded share of them at a time."""
+    for part in _slices(len(code)):
+        yield from _tile_rows(code[part] >> CELL_BITS, code[part] & (TILE * TILE - 1), across, **{k: x[part] for k, x in values.items()})
 
 
 def _tile_rows(tile: np.ndarray, cell: np.ndarray, across: int, **values: np.ndarray):
@@ -283,10 +298,11 @@ def _bit_table(pairs: DataFrame) -> np.ndarray:
     return table
 
 
-def _starts(words: np.ndarray, syms: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places where a phrase of ``k`` words goes on to a word, both its parts of k words frequent."""
-    n = min(own, len(words) - k)
-    at = np.flatnonzero((syms[: max(0, n)] >= 0) & (words[k : max(0, n) + k] >= 0))
+def _starts(words: np.ndarray, syms: np.ndarray, first: int, stop: int, k: int) -> np.ndarray:
+    """Places from ``first`` to ``stop`` where a phrase of ``k`` words goes on to a word, both its parts
+    of k words frequent."""
+    n = max(first, min(stop, len(words) - k))
+    at = np.flatnonzero((syms[first:n] >= 0) & (words[first + k : n + k] >= 0)) + first
     return at if k == 1 else at[syms[at + 1] >= 0]
 
 
@@ -335,19 +351,22 @@ def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFram
     across = (n_words >> TILE_BITS) + 1
 
     def counted(held):
-        tile, cell, n = tile_cells(*(np.concatenate(x) for x in zip(*held)), across)
-        return _tile_rows(tile, cell, across, counts=n.astype(np.int32))  # a task's share is counted a few million at a time
+        code = np.concatenate(held)
+        held.clear()
+        code, n = count_cells(code, across)
+        return _cells_in_rows(code, across, counts=n.astype(np.int32))
 
     def run(batches):
-        held, size = [], 0
+        held, size = [], 0  # a task's share is counted a few million at a time
         for row in _rows(batches):
             words, syms = _symbols(row, k)
-            at = _starts(words, syms, row["own"], k)
-            held.append((syms[at], words[at + k].astype(np.int64)))
-            size += len(at)
-            if size >= 4 << 20:
-                yield from counted(held)
-                held, size = [], 0
+            for part in _slices(row["own"]):
+                at = _starts(words, syms, part.start, min(part.stop, row["own"]), k)
+                held.append(_cell_codes(syms[at], words[at + k].astype(np.int64), across))
+                size += len(at)
+                if size >= COUNTED:
+                    yield from counted(held)
+                    size = 0
         if size:
             yield from counted(held)
 
@@ -404,11 +423,14 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
 
     def places(row):
         words, syms = _symbols(row, k)
-        at = _starts(words, syms, row["n"], k)
-        left, right = syms[at], words[at + k].astype(np.int64)
-        slot = _slots(left, right)
-        maybe = (bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
-        return words, at[maybe], left[maybe], right[maybe]
+        found = [(np.zeros(0, np.int64),) * 3]
+        for part in _slices(row["n"]):
+            at = _starts(words, syms, part.start, min(part.stop, row["n"]), k)
+            left, right = syms[at], words[at + k].astype(np.int64)
+            slot = _slots(left, right)
+            maybe = (bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+            found.append((at[maybe], left[maybe], right[maybe]))
+        return words, *(np.concatenate(x) for x in zip(*found))
 
     def ask(batches):
         for row in _rows(batches):
@@ -416,10 +438,7 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
             if len(left):
                 code = _cell_codes(left, right, across)
                 del left, right
-                code = _distinct(code)
-                tile, cell = code >> CELL_BITS, code & (TILE * TILE - 1)
-                del code
-                for part in _tile_rows(tile, cell, across):
+                for part in _cells_in_rows(_distinct(code), across):
                     yield part.append_column("of", pa.array(np.full(part.num_rows, row["chunk"])))
 
     def tell(batches):
@@ -437,7 +456,7 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
 
     def answer(batches):
         for batch in batches:
-            for r, row in enumerate(batch.select(columns).to_pylist()):
+            for r, row in enumerate(_rows([batch.select(columns)])):
                 words, at, left, right = places(row)
                 tiles = batch.column("found")[r].values
                 top, side, lens = (tiles.field(c).to_numpy() for c in range(3))
@@ -463,10 +482,23 @@ def _cell_codes(left: np.ndarray, right: np.ndarray, across: int) -> np.ndarray:
     return (tile << CELL_BITS) | ((left & (TILE - 1)) << TILE_BITS) | (right & (TILE - 1))
 
 
+def _runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and how often each occurs; ``code`` is sorted in place."""
+    code.sort()
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = code[1:] != code[:-1]
+    starts = np.flatnonzero(new)
+    return code[starts], np.diff(starts, append=len(code))
+
+
 def _distinct(code: np.ndarray) -> np.ndarray:
     """The distinct codes, ascending; ``code`` is sorted in place."""
-    code.sort()
-    return code[np.concatenate(([True], code[1:] != code[:-1]))]
+    return _runs(code)[0]
+
+
+def _slices(n: int):
+    """Slices of ``SHARE`` that cover ``n``."""
+    return (slice(lo, lo + SHARE) for lo in range(0, n, SHARE))
 
 
 def _look_up(left, right, known_left, known_right, ids) -> np.ndarray:

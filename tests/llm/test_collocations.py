@@ -127,3 +127,20 @@ def test_rows_of_chunks_are_made_one_at_a_time():
     code = collocations._distinct(collocations._cell_codes(left, right, 6))
     _, tile, cell = collocations._tiled(np.array([3, 3, 5000]), np.array([2, 9000, 7]), 6)
     assert list(code >> collocations.CELL_BITS) == list(tile) and list(code & (collocations.TILE**2 - 1)) == list(cell)
+
+
+def test_counting_holds_little_beside_its_pairs():
+    """Pairs of a task's share are counted in a few times their own bytes: 8 a pair."""
+    import tracemalloc
+
+    rnd, across = np.random.default_rng(3), 60
+    left, right = rnd.zipf(1.3, 2_000_000) % 100_000, rnd.zipf(1.3, 2_000_000) % 100_000
+    code = collocations._cell_codes(left, right, across)
+    want, times = np.unique(code, return_counts=True)
+    tracemalloc.start()
+    got, n = collocations.count_cells(code, across)
+    rows = sum(r.num_rows > 0 for r in collocations._cells_in_rows(got, across, counts=n.astype(np.int32)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and np.array_equal(n, times) and rows
+    assert most < 8 * code.nbytes
