@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.changes import DELETE, INSERT, UPDATE, _file_system
+from docloom.operators.changes import CODEC, DELETE, INSERT, UPDATE, _file_system
 
 
 def _child(spark: SparkSession, path: str):
@@ -53,7 +53,7 @@ def append_version(changes: DataFrame, path: str, version: int) -> bool:
     spark = changes.sparkSession
     if version in versions(spark, path):
         return False
-    changes.write.mode("overwrite").parquet(f"{path}/version={version}")
+    changes.write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/version={version}")
     mark(spark, f"{path}/_commits", version)
     return True
 

@@ -12,6 +12,7 @@ from docloom.session import cut_lineage
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 FILES_PER_BUCKET = 8  # tasks (and files) that write one bucket
+CODEC = "zstd"  # of the stored tables
 
 
 def table_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -57,10 +58,16 @@ def key_bucket_file(key: str):
     return F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(FILES_PER_BUCKET)).cast("int")
 
 
+def dealt(df: DataFrame, key: str, buckets: int, bucket_by: str | None = None) -> DataFrame:
+    """``df`` with ``bucket`` and ``_file``, each row in the task that writes it."""
+    placed = df.withColumn("bucket", key_bucket(bucket_by or key, buckets)).withColumn("_file", key_bucket_file(key))
+    return placed.repartition("bucket", "_file")
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, bucket_by: str | None = None) -> None:
     """Write a keyed table partitioned by a hash bucket of its key (or of ``bucket_by``)."""
-    placed = df.withColumn("bucket", key_bucket(bucket_by or key, buckets))
-    placed.repartition("bucket", key_bucket_file(key)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    placed = dealt(df, key, buckets, bucket_by).drop("_file")
+    placed.write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(path)
 
 
 def _file_system(spark, path: str):
@@ -79,25 +86,34 @@ def table_exists(spark, path: str) -> bool:
     return fs.exists(marker) or len(fs.listStatus(root)) > 0
 
 
-def replace_buckets(rows: DataFrame, path: str, key: str, buckets: list[int]) -> None:
-    """Make ``rows`` (with ``bucket``, not read from ``path``) the content of ``buckets``;
-    the others stay, and a bucket without rows loses its folder."""
-    spark = rows.sparkSession
-    written = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most one row per bucket
+def overwrite_buckets(rows: DataFrame, path: str) -> None:
+    """Make dealt ``rows`` the content of their buckets; the others stay.  The new files are moved
+    in when all are written, so ``rows`` may be read from ``path``."""
     (
-        rows.repartition("bucket", key_bucket_file(key))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", CODEC)
         .partitionBy("bucket")
         .parquet(path)
     )
-    emptied = [b for b in buckets if b not in written]
-    if emptied:
+
+
+def drop_buckets(spark, path: str, buckets: Sequence[int]) -> None:
+    """Remove the folders of ``buckets``, which are left without rows."""
+    if buckets:
         root, fs = _file_system(spark, path)
-        for b in emptied:
+        for b in buckets:
             fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"bucket={b}"), True)
 
 
+def replace_buckets(rows: DataFrame, path: str, key: str, buckets: list[int]) -> None:
+    """Make ``rows`` (with ``bucket``, not read from ``path``) the content of ``buckets``;
+    the others stay, and a bucket without rows loses its folder."""
+    written = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most one row per bucket
+    overwrite_buckets(rows.repartition("bucket", key_bucket_file(key)), path)
+    drop_buckets(rows.sparkSession, path, [b for b in buckets if b not in written])
+
+
 def upsert_buckets(changes: DataFrame, path: str, key: str, buckets: int, bucket_by: str | None = None, schema: str | None = None) -> int:
     """Apply a change set to a bucketed parquet table in place, rewriting only
     the touched buckets (dynamic partition overwrite).

@@ -120,12 +120,12 @@ class VectorSync:
     def _staged(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written under ``_staged``, where the next batch overwrites it."""
         path = f"{self.base}/_staged/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", changes.CODEC).parquet(path)
         return self.spark.read.parquet(path)
 
     def _ref_changes(self, batch: DataFrame) -> DataFrame:
         """The difference between the references of the batch's paths and their newest
-        versions.  Texts are shuffled once, to their version; the rest is narrow."""
+        versions.  No text is shuffled, only keys of chunks."""
         docs = batch.filter(F.col("path").isNotNull()).select("path", "text", "stamp", _digest().alias("_digest"))
         newest = docs.groupBy("path").agg(F.max(F.struct("stamp", "_digest")).alias("_v")).select("path", "_v.*")
         newest = self._staged(newest, "newest")
@@ -147,9 +147,12 @@ class VectorSync:
         return moved.unionByName(marks).withColumn("ref_id", _ref_id())
 
     def _chunks(self, docs: DataFrame, which: DataFrame) -> DataFrame:
-        """Chunk rows of the versions ``(path, stamp, _digest)`` in ``which``."""
-        same = (docs["path"] == which["path"]) & docs["stamp"].eqNullSafe(which["stamp"]) & docs["_digest"].eqNullSafe(which["_digest"])
-        return chunk.window_rows(docs.join(which, same, "left_semi"), "text", self.size, self.overlap)
+        """Chunk keys of the versions ``(path, stamp, _digest)`` in ``which``.  Keys are made where the
+        texts lie: only they are shuffled to their version."""
+        keys = chunk.window_rows(docs, "text", self.size, self.overlap, keep=["stamp", "_digest"])
+        keys = keys.select("path", "chunk_id", "stamp", "_digest")
+        same = (keys["path"] == which["path"]) & keys["stamp"].eqNullSafe(which["stamp"]) & keys["_digest"].eqNullSafe(which["_digest"])
+        return keys.join(which, same, "left_semi")
 
     def _write_refs(self, log: DataFrame) -> None:
         for by, column in (("path", "path"), ("key", "chunk_id")):
@@ -185,30 +188,52 @@ class VectorSync:
         )
         rows = both.withColumn("change_type", change).filter(F.col("change_type").isNotNull())
         rows = self._staged(rows.select("chunk_id", "change_type", "old", "new"), "keys")
-        # all references of an inserted key came with this batch, so its smallest path has the text
-        wanted = rows.filter(F.col("change_type") == INSERT).select("chunk_id", F.col("new.path").alias("path"))
-        docs = batch.select("path", "text").join(wanted.select("path").distinct(), "path", "left_semi")
-        pieces = chunk.window_rows(docs, "text", self.size, self.overlap).join(wanted, ["path", "chunk_id"], "left_semi")
-        texts = pieces.groupBy("chunk_id").agg(F.max("chunked_text").alias("chunked_text"))  # equal keys have equal texts
-        return rows.join(texts, "chunk_id", "left")
+        # all references of an inserted key came with this batch, and equal keys have equal texts: any
+        # piece has the text, so pieces are grouped before their one shuffle
+        pieces = chunk.window_rows(batch.select("path", "text"), "text", self.size, self.overlap)
+        texts = pieces.groupBy("chunk_id").agg(F.max("chunked_text").alias("_text"))
+        inserted = F.when(F.col("change_type") == INSERT, F.col("_text"))
+        return rows.join(texts, "chunk_id", "left").withColumn("chunked_text", inserted).drop("_text")
 
     def _embedded(self, rows: DataFrame) -> DataFrame:
         return embed.embed(rows, "chunked_text", "vector", dims=self.dims)
 
     def _write_vectors(self, log: DataFrame) -> None:
+        """The touched buckets with the changes of ``log``.  A key's stored row and its change meet in the
+        task that writes them; texts of inserted keys are embedded there."""
         flat = log.select("chunk_id", "change_type", "new.path", "new.n_refs", "chunked_text")
-        touched = self._touched(flat, "chunk_id")
-        if not touched:
+        flat = flat.withColumn("bucket", key_bucket("chunk_id", self.buckets))
+        more = F.when(F.col("change_type") == INSERT, 1).when(F.col("change_type") == DELETE, -1).otherwise(0)
+        sizes = {r["bucket"]: r["n"] for r in flat.groupBy("bucket").agg(F.sum(more).alias("n")).collect()}  # one per bucket
+        if not sizes:
             return
-        stored = self.spark.read.schema(VECTORS).parquet(self.vectors_path).filter(F.col("bucket").isin(touched))
-        kept = stored.drop("bucket").join(flat.select("chunk_id"), "chunk_id", "left_anti")
-        new = self._embedded(flat.filter(F.col("change_type") == INSERT).drop("change_type"))
-        moved = flat.filter(F.col("change_type") == UPDATE).select("chunk_id", "path", "n_refs").join(
-            stored.select("chunk_id", "chunked_text", "vector"), "chunk_id"
+        stored = self.spark.read.schema(VECTORS).parquet(self.vectors_path).filter(F.col("bucket").isin(sorted(sizes)))
+        for r in stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+            sizes[r["bucket"]] += r["n"]
+        old = F.struct("path", "n_refs", "chunked_text", "vector").alias("_old")
+        new = F.struct("change_type", "path", "n_refs", "chunked_text").alias("_new")
+        both = stored.select("chunk_id", old).unionByName(flat.select("chunk_id", new), allowMissingColumns=True)
+        met = changes.dealt(both, "chunk_id", self.buckets).groupBy("bucket", "_file", "chunk_id").agg(
+            F.first("_old", ignorenulls=True).alias("_old"), F.first("_new", ignorenulls=True).alias("_new")
         )
-        rows = kept.unionByName(moved).unionByName(new).withColumn("bucket", key_bucket("chunk_id", self.buckets))
-        # read from the folder that is about to change, so written beside it first
-        changes.replace_buckets(self._staged(rows, "vectors"), self.vectors_path, "chunk_id", touched)
+        met = met.filter(F.col("_new").isNull() | (F.col("_new.change_type") != DELETE))
+        placed = F.when(F.col("_new").isNull(), F.struct("_old.path", "_old.n_refs")).otherwise(F.struct("_new.path", "_new.n_refs"))
+        fresh = F.coalesce(F.col("_new.change_type") == INSERT, F.lit(False))
+        rows = met.select(
+            "chunk_id",
+            placed["path"].alias("path"),
+            placed["n_refs"].alias("n_refs"),
+            F.when(fresh, F.col("_new.chunked_text")).alias("_text"),
+            F.when(~fresh, F.col("_old")).alias("_old"),
+            "bucket",
+        )
+        rows = embed.embed(rows.select("*", "_old.chunked_text", F.col("_old.vector").alias("_stored")).drop("_old"), "_text", "vector", dims=self.dims)
+        rows = rows.select(
+            "chunk_id", "path", "n_refs", F.coalesce("_text", "chunked_text").alias("chunked_text"),
+            F.coalesce("_stored", "vector").alias("vector"), "bucket",
+        )
+        changes.overwrite_buckets(rows, self.vectors_path)
+        changes.drop_buckets(self.spark, self.vectors_path, [b for b, n in sizes.items() if not n])
 
     def _remake_vectors(self, log: DataFrame) -> None:
         touched = self._touched(log, "chunk_id")
