@@ -60,7 +60,7 @@ PIECE_BITS = 17
 DENSE = TILE * TILE // 16  # occurrences that make a tile dense
 ROW_CELLS = 4096  # cells in one row
 MERGE_CELLS = 1 << 20  # sparse cells added up at once
-COUNTED = 4 << 20  # pairs of a task counted at once, 8 bytes each
+COUNTED = 1 << 20  # pairs of a task counted at once, 8 bytes each
 SHARE = 1 << 19  # places or cells for which arrays are made beside those held
 FILTER_BITS = 25  # log2 of the bits of the fixed table of frequent phrases
 
@@ -357,7 +357,7 @@ def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFram
         return _cells_in_rows(code, across, counts=n.astype(np.int32))
 
     def run(batches):
-        held, size = [], 0  # a task's share is counted a few million at a time
+        held, size = [], 0  # a task's share is counted about a million at a time
         for row in _rows(batches):
             words, syms = _symbols(row, k)
             for part in _slices(row["own"]):
