@@ -11,11 +11,13 @@ and each language keeps its best.
    for a candidate get an id by falling frequency.
 3. Pairs (left id, right id) are counted in square tiles of ``TILE`` ids a side.  Since ids
    are frequency ranks, a few tiles at the origin are dense: those are counted by
-   ``bincount`` into a direct-address table; all others as sorted coordinates.  Tasks send
-   one row per tile, in pieces that split the dense tiles, and tiles are added up the same way.
+   ``bincount`` into a direct-address table; all others as sorted coordinates.  The tiles
+   are dealt to a fixed number of shares (those at the origin to shares of their own, in
+   pieces) and tasks send one row per share: tiles grow with the square of the vocabulary,
+   rows only with the pairs.  Shares are added up the same way.
 4. Frequent pairs are ranked again and are the left ids of the next level: a triple is
    a pair and a word, a phrase of four a triple and a word.  A chunk asks for the ids of
-   its own phrases tile by tile, one row per tile; a bit table of fixed size keeps phrases that cannot be frequent
+   its own phrases share by share, one row per share; a bit table of fixed size keeps phrases that cannot be frequent
    out of it (a false positive costs a row, never a wrong count).
 
 Every part of a frequent phrase is at least as frequent, so the levels hold every
@@ -60,6 +62,8 @@ PIECE_BITS = 17
 DENSE = TILE * TILE // 16  # occurrences that make a tile dense
 ROW_CELLS = 4096  # cells in one row
 MERGE_CELLS = 1 << 20  # sparse cells added up at once
+SHARES = 512  # shares that the tiles away from the origin are dealt to
+SHARE_PLACES = 1 << 22  # places of the corpus for which there is a share when those would be more
 COUNTED = 1 << 20  # pairs of a task counted at once, 8 bytes each
 SHARE = 1 << 19  # places or cells for which arrays are made beside those held
 FILTER_BITS = 25  # log2 of the bits of the fixed table of frequent phrases
@@ -78,13 +82,13 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), dtype=kind) if n else np.zeros(0, kind)
 
 
-def _pack_cells(cell: np.ndarray) -> bytes:
-    """Ascending cells by their steps."""
-    return _pack(np.diff(cell, prepend=0).astype(np.int32))
+def _pack_cells(code: np.ndarray) -> bytes:
+    """Ascending cell codes by their steps."""
+    return _pack(np.diff(code, prepend=0))
 
 
 def _unpack_cells(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(_unpack(data, n, np.int32), dtype=np.int64)
+    return np.cumsum(_unpack(data, n, np.int64), dtype=np.int64)
 
 
 # ---------------------------------------------------------------------------------
@@ -189,31 +193,38 @@ def tile_cells(left: np.ndarray, right: np.ndarray, across: int):
     return code >> CELL_BITS, code & (TILE * TILE - 1), n
 
 
-def _cells_in_rows(code: np.ndarray, across: int, **values: np.ndarray):
-    """``_tile_rows`` of ascending codes, a bounded share of them at a time."""
+def _shares_of(code: np.ndarray, across: int, shares: int) -> np.ndarray:
+    """The share that each cell is dealt to: a tile's, or that of a piece of a tile at the origin."""
+    tile = code >> CELL_BITS
+    top, side = np.divmod(tile, across)
+    piece = (top * HEAD + side) << (CELL_BITS - PIECE_BITS) | (code & (TILE * TILE - 1)) >> PIECE_BITS
+    mixed = (tile.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return np.where((top < HEAD) & (side < HEAD), shares + piece, (mixed % np.uint64(shares)).astype(np.int64))
+
+
+def _cells_in_rows(code: np.ndarray, across: int, shares: int = SHARES, **values: np.ndarray):
+    """``_share_rows`` of ascending codes, a bounded part of them at a time."""
     for part in _slices(len(code)):
-        yield from _tile_rows(code[part] >> CELL_BITS, code[part] & (TILE * TILE - 1), across, **{k: x[part] for k, x in values.items()})
+        yield from _share_rows(code[part], across, shares, **{k: x[part] for k, x in values.items()})
 
 
-def _tile_rows(tile: np.ndarray, cell: np.ndarray, across: int, **values: np.ndarray):
-    """Rows ``(top, side, piece, cells, ...)`` of cells sorted by tile; a value stands beside each cell."""
-    top, side = tile // across, tile % across
-    piece = np.where((top < HEAD) & (side < HEAD), cell >> PIECE_BITS, 0)
-    new = np.ones(len(tile), dtype=bool)
-    new[1:] = (tile[1:] != tile[:-1]) | (piece[1:] != piece[:-1])
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(tile)))
-    more = -(-sizes // ROW_CELLS)  # long pieces take several rows
+def _share_rows(code: np.ndarray, across: int, shares: int, **values: np.ndarray):
+    """Rows ``(share, first, size, cells, ...)`` of ascending codes, a row for the cells of many tiles; a value stands beside each cell."""
+    share = _shares_of(code, across, shares)
+    order = np.argsort(share, kind="stable")  # codes of a share stay ascending
+    share, code, values = share[order], code[order], {k: x[order] for k, x in values.items()}
+    starts = np.flatnonzero(np.diff(share, prepend=-1))
+    sizes = np.diff(np.append(starts, len(code)))
+    more = -(-sizes // ROW_CELLS)  # large shares take several rows
     starts = np.repeat(starts, more) + (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)) * ROW_CELLS
     for lo in range(0, len(starts), 1 << 12):
         at = starts[lo : lo + (1 << 12)]
-        end = starts[lo + len(at)] if lo + len(at) < len(starts) else len(tile)
+        end = starts[lo + len(at)] if lo + len(at) < len(starts) else len(code)
         spans = list(zip(at.tolist(), np.append(at[1:], end).tolist()))
-        packed = [_pack_cells(cell[a:b]) for a, b in spans]
+        packed = [_pack_cells(code[a:b]) for a, b in spans]
         lists = [pa.array(packed)] + [pa.array([_pack(x[a:b]) for a, b in spans], pa.binary()) for x in values.values()]
-        keys = [pa.array(x[at]) for x in (top, side, piece.astype(np.int32))]
         size = pa.array([b - a for a, b in spans], pa.int32())
-        yield pa.RecordBatch.from_arrays([*keys, size, *lists], names=["top", "side", "piece", "size", "cells", *values])
+        yield pa.RecordBatch.from_arrays([pa.array(share[at]), pa.array(code[at]), size, *lists], names=["share", "first", "size", "cells", *values])
 
 
 def add_up(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,47 +235,49 @@ def add_up(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell[starts], np.add.reduceat(n, starts)
 
 
-def _merge(rows: DataFrame, least: int) -> DataFrame:
+def _merge(rows: DataFrame, across: int, shares: int, least: int) -> DataFrame:
     """``(left, right, f)`` of the pairs that occur ``least`` times or more."""
-    by = ["top", "side", "piece"]
 
     def run(batches):
-        tiles: list[tuple] = []  # the tiles held: (top, side, piece)
-        numbers, cells, counts, size = [], [], [], 0
+        codes, counts, size, held, most = [], [], 0, [], 4 * MERGE_CELLS
 
         def totals():
-            """Sums of what is held, as one entry per (place of the tile in `tiles`, cell)."""
-            if len(tiles) == 1 and size >= DENSE:
-                table = np.zeros(TILE * TILE, np.int64)
-                np.add.at(table, np.concatenate(cells), np.concatenate(counts))
+            """Sums of what is held; a code lies in one share."""
+            code, n = np.concatenate(codes), np.concatenate(counts)
+            if len(held) == 1 and held[0] >= shares and size >= DENSE >> CELL_BITS - PIECE_BITS:  # a piece of a tile at the origin
+                first = code.min() >> PIECE_BITS << PIECE_BITS
+                table = np.zeros(1 << PIECE_BITS, np.int64)
+                np.add.at(table, code - first, n)
                 some = np.flatnonzero(table)
-                return some, table[some]
-            return add_up(np.concatenate(numbers) << CELL_BITS | np.concatenate(cells), np.concatenate(counts))
+                return some + first, table[some]
+            return add_up(code, n)
 
         def out(code, n):
             code, n = code[n >= least], n[n >= least]
-            of, cell = np.array([t[:2] for t in tiles], np.int64)[code >> CELL_BITS], code & (TILE * TILE - 1)
-            cols = [(of[:, 0] << TILE_BITS) | (cell >> TILE_BITS), (of[:, 1] << TILE_BITS) | (cell & (TILE - 1)), n]
+            cols = [*_pairs_of(code, across), n]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["left", "right", "f"])
 
         for batch in batches:
-            for top, side, piece, k, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if not tiles or tiles[-1] != (top, side, piece):
+            for share, first, k, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if not held or held[-1] != share:
                     if size >= MERGE_CELLS:
                         yield out(*totals())
-                        tiles, numbers, cells, counts, size = [], [], [], [], 0
-                    tiles.append((top, side, piece))
-                numbers.append(np.full(k, len(tiles) - 1))
-                cells.append(_unpack_cells(cell, k))
+                        codes, counts, size, held, most = [], [], 0, [], 4 * MERGE_CELLS
+                    held.append(share)
+                elif size >= most:  # a large share: codes before those of all rows to come have their sums
+                    code, total = totals()
+                    done = (code < first) | (_shares_of(code, across, shares) != share)
+                    yield out(code[done], total[done])
+                    codes, counts, held, size = [code[~done]], [total[~done]], [share], len(code) - done.sum()
+                    most = max(4 * MERGE_CELLS, 2 * size)
+                codes.append(_unpack_cells(cell, k))
                 counts.append(_unpack(n, k, np.int32).astype(np.int64))
                 size += k
-                if size >= 4 * MERGE_CELLS:  # a hot tile: as many cells as a tile has at most
-                    code, n = totals()
-                    numbers, cells, counts, size = [code >> CELL_BITS], [code & (TILE * TILE - 1)], [n], len(code)
-        if tiles:
+        if held:
             yield out(*totals())
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "left long, right long, f long")
+    rows = rows.repartition("share").sortWithinPartitions("share", "first")
+    return rows.mapInArrow(run, "left long, right long, f long")
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -349,12 +362,14 @@ _CODED_ARROW = pa.schema([("chunk", pa.int64()), ("own", pa.int32()), ("n", pa.i
 def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFrame:
     """Frequent phrases of ``k`` + 1 words as ``(left, right, f)``."""
     across = (n_words >> TILE_BITS) + 1
+    # a share's cells stay bounded; up to two billion places the number of shares is fixed
+    shares = max(SHARES, (coded.agg(F.sum("own")).first()[0] or 0) // SHARE_PLACES)
 
     def counted(held):
         code = np.concatenate(held)
         held.clear()
         code, n = count_cells(code, across)
-        return _cells_in_rows(code, across, counts=n.astype(np.int32))
+        return _cells_in_rows(code, across, shares, counts=n.astype(np.int32))
 
     def run(batches):
         held, size = [], 0  # a task's share is counted about a million at a time
@@ -370,7 +385,7 @@ def _count_pairs(coded: DataFrame, k: int, n_words: int, least: int) -> DataFram
         if size:
             yield from counted(held)
 
-    return _merge(coded.mapInArrow(run, "top long, side long, piece int, size int, cells binary, counts binary"), least)
+    return _merge(coded.mapInArrow(run, "share long, first long, size int, cells binary, counts binary"), across, shares, least)
 
 
 def _tiled(left: np.ndarray, right: np.ndarray, across: int):
@@ -382,18 +397,17 @@ def _tiled(left: np.ndarray, right: np.ndarray, across: int):
 
 
 def _answers(known: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(of, top, side, size, cells, ids)``: the asked cells that are known.  Rows of a tile meet, its
+    """``(of, size, cells, ids)``: the asked cells that are known.  Rows of a share meet, its
     known cells first."""
-    by = ["top", "side", "piece"]
-    fields = [("of", pa.int64()), ("top", pa.int64()), ("side", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("ids", pa.binary())]
+    fields = [("of", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("ids", pa.binary())]
 
     def run(batches):
-        tile, cells, ids, parts = None, None, None, []
+        share, cells, ids, parts = None, None, None, []
         for batch in batches:
             out = []
-            for *at, of, k, packed, packed_ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != tile:
-                    tile, cells, ids, parts = at, None, None, []
+            for at, of, k, packed, packed_ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != share:
+                    share, cells, ids, parts = at, None, None, []
                 if of < 0:
                     parts.append((_unpack_cells(packed, k), _unpack(packed_ids, k, np.int64)))
                     continue
@@ -407,12 +421,12 @@ def _answers(known: DataFrame, asked: DataFrame) -> DataFrame:
                 place = np.minimum(np.searchsorted(cells, here), len(cells) - 1)
                 hit = cells[place] == here
                 if hit.any():
-                    out.append((of, at[0], at[1], int(hit.sum()), _pack_cells(here[hit]), _pack(ids[place[hit]])))
+                    out.append((of, int(hit.sum()), _pack_cells(here[hit]), _pack(ids[place[hit]])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
 
-    rows = known.unionByName(asked).repartition(*by).sortWithinPartitions(*by, "of")
-    return rows.select(*by, "of", "size", "cells", "ids").mapInArrow(run, "of long, top long, side long, size int, cells binary, ids binary")
+    rows = known.unionByName(asked).repartition("share").sortWithinPartitions("share", "of")
+    return rows.select("share", "of", "size", "cells", "ids").mapInArrow(run, "of long, size int, cells binary, ids binary")
 
 
 def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> DataFrame:
@@ -445,26 +459,25 @@ def _next_level(coded: DataFrame, k: int, ranked: DataFrame, n_words: int) -> Da
         for batch in batches:
             if batch.num_rows:
                 ids, left, right = (batch.column(i).to_numpy() for i in range(3))
-                order, tile, cell = _tiled(left, right, across)
-                yield from _tile_rows(tile, cell, across, ids=ids[order])
+                code = _cell_codes(left, right, across)
+                order = np.argsort(code)
+                yield from _cells_in_rows(code[order], across, ids=ids[order])
 
-    asked = coded.mapInArrow(ask, "top long, side long, piece int, size int, cells binary, of long")
-    known = ranked.select("id", "left", "right").mapInArrow(tell, "top long, side long, piece int, size int, cells binary, ids binary")
+    asked = coded.mapInArrow(ask, "share long, first long, size int, cells binary, of long")
+    known = ranked.select("id", "left", "right").mapInArrow(tell, "share long, first long, size int, cells binary, ids binary")
     found = _answers(known.withColumn("of", F.lit(-1).cast("long")), asked.withColumn("ids", F.lit(None).cast("binary")))
-    lists = found.groupBy("of").agg(F.collect_list(F.struct("top", "side", "size", "cells", "ids")).alias("found"))  # at most a chunk's places
+    lists = found.groupBy("of").agg(F.collect_list(F.struct("size", "cells", "ids")).alias("found"))  # at most a chunk's places
     joined = coded.join(lists, F.col("chunk") == F.col("of")).select(*columns, "found")
 
     def answer(batches):
         for batch in batches:
             for r, row in enumerate(_rows([batch.select(columns)])):
                 words, at, left, right = places(row)
-                tiles = batch.column("found")[r].values
-                top, side, lens = (tiles.field(c).to_numpy() for c in range(3))
-                cell = np.concatenate([_unpack_cells(x, n) for x, n in zip(tiles.field(3).to_pylist(), lens)])
-                ids = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(tiles.field(4).to_pylist(), lens)])
-                known_left = (np.repeat(top, lens) << TILE_BITS) | (cell >> TILE_BITS)
-                known_right = (np.repeat(side, lens) << TILE_BITS) | (cell & (TILE - 1))
-                ids = _look_up(left, right, known_left, known_right, ids)
+                rows_found = batch.column("found")[r].values
+                lens = rows_found.field(0).to_numpy()
+                code = np.concatenate([_unpack_cells(x, n) for x, n in zip(rows_found.field(1).to_pylist(), lens)])
+                ids = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(rows_found.field(2).to_pylist(), lens)])
+                ids = _look_up(left, right, *_pairs_of(code, across), ids)
                 at, ids = at[ids >= 0], ids[ids >= 0]
                 near = np.zeros(len(words) + 2 * MOST_WORDS, dtype=bool)  # words that a longer phrase can still use
                 near[at + k + 1] = True
@@ -482,6 +495,12 @@ def _cell_codes(left: np.ndarray, right: np.ndarray, across: int) -> np.ndarray:
     return (tile << CELL_BITS) | ((left & (TILE - 1)) << TILE_BITS) | (right & (TILE - 1))
 
 
+def _pairs_of(code: np.ndarray, across: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs ``(left, right)`` of cell codes."""
+    (top, side), cell = np.divmod(code >> CELL_BITS, across), code & (TILE * TILE - 1)
+    return (top << TILE_BITS) | (cell >> TILE_BITS), (side << TILE_BITS) | (cell & (TILE - 1))
+
+
 def _runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes, ascending, and how often each occurs; ``code`` is sorted in place."""
     code.sort()

@@ -144,3 +144,36 @@ def test_counting_holds_little_beside_its_pairs():
     tracemalloc.stop()
     assert np.array_equal(got, want) and np.array_equal(n, times) and rows
     assert most < 8 * code.nbytes
+
+
+def test_rows_of_cells_do_not_grow_with_the_tiles():
+    """op13: the same number of pairs makes about as many rows when they lie in many more tiles."""
+    rnd = np.random.default_rng(11)
+    made = {}
+    for ids in (20_000, 400_000):
+        across = (ids >> collocations.TILE_BITS) + 1
+        left, right = rnd.integers(0, ids, 200_000), rnd.integers(0, ids, 200_000)
+        code, n = collocations.count_cells(collocations._cell_codes(left, right, across), across)
+        rows = list(collocations._cells_in_rows(code, across, counts=n.astype(np.int32)))
+        made[ids] = sum(r.num_rows for r in rows)
+        back = [collocations._unpack_cells(c, k) for r in rows for c, k in zip(r.column("cells").to_pylist(), r.column("size").to_pylist())]
+        assert np.array_equal(np.sort(np.concatenate(back)), code)
+        a, b = collocations._pairs_of(code, across)
+        assert set(zip(a.tolist(), b.tolist())) == set(zip(left.tolist(), right.tolist()))
+        for r in rows:  # a tile's cells meet in one share
+            for share, c, k in zip(r.column("share").to_pylist(), r.column("cells").to_pylist(), r.column("size").to_pylist()):
+                assert (collocations._shares_of(collocations._unpack_cells(c, k), across, collocations.SHARES) == share).all()
+    assert made[400_000] < 2 * made[20_000]
+
+
+@pytest.mark.parametrize("merge_cells", [4, 64])
+def test_shares_larger_than_a_merge_are_added_up(spark, make_docs, monkeypatch, merge_cells):
+    monkeypatch.setattr(collocations, "MERGE_CELLS", merge_cells)
+    monkeypatch.setattr(collocations, "ROW_CELLS", 8)
+    monkeypatch.setattr(collocations, "SHARES", 2)
+    monkeypatch.setattr(collocations, "HEAD", 0)
+    monkeypatch.setattr(collocations, "COUNTED", 64)
+    rnd = random.Random(2)
+    rows = [("en", " ".join(f"w{int(rnd.paretovariate(0.7)) % 50}" for _ in range(80))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    assert sorted(map(tuple, collocations.collocations(docs, least=3).collect())) == plain(rows, 3)
