@@ -5,7 +5,7 @@ scored by their weakest cut, phrases that live inside a longer one are dropped,
 and each language keeps its best.
 
 1. Texts are lower-cased, split and dictionary-coded in Arrow, a few megabytes to a
-   chunk; a longer text is cut at a delimiter and looks ahead by the words a phrase
+   chunk, of which a part of fixed size is held as strings at a time; a longer text is cut at a delimiter and looks ahead by the words a phrase
    may still need.  Every later step works on chunks of codes.
 2. Words are counted over all chunks' dictionaries, and those that occur often enough
    for a candidate get an id by falling frequency.
@@ -32,6 +32,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -53,7 +54,8 @@ TOP = 2000
 INSIDE = (100, 80)
 SEPARATORS = r".,;:!?\x0A-\x0D"
 # ---------------------------------------------------------------------------------
-CHUNK = 16 << 20  # bytes of text coded at once
+CHUNK = 16 << 20  # bytes of text in one chunk
+PART = 1 << 20  # bytes of text coded at once
 TILE_BITS = 11
 TILE = 1 << TILE_BITS
 CELL_BITS = 2 * TILE_BITS
@@ -61,7 +63,9 @@ HEAD = 8  # tiles a side that may be dense; their cells are sent in pieces
 PIECE_BITS = 17
 DENSE = TILE * TILE // 16  # occurrences that make a tile dense
 ROW_CELLS = 4096  # cells in one row
-MERGE_CELLS = 1 << 20  # sparse cells added up at once
+MERGE_CELLS = 1 << 18  # sparse cells added up at once
+FEW = 64  # rows of cells made Python objects at once
+BATCH_BYTES = "4m"  # an Arrow batch of cells or of coded chunks, one row at least
 SHARES = 512  # shares that the tiles away from the origin are dealt to
 SHARE_PLACES = 1 << 22  # places of the corpus for which there is a share when those would be more
 COUNTED = 1 << 20  # pairs of a task counted at once, 8 bytes each
@@ -96,7 +100,43 @@ def _unpack_cells(data: bytes, n: int) -> np.ndarray:
 
 
 def code_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """``(words, codes)``: the distinct words of the texts and the places they stand at, -1 where a piece ends."""
+    """``(words, codes)``: the distinct words of the texts and the places they stand at, -1 where a piece ends.
+    Strings of a part of the texts are held at a time, and 4 bytes a place of all."""
+    parts = [_code_part(part) if whole else _open_end(*_code_part(part)) for part, whole in _parts(texts)]
+    if len(parts) == 1:
+        return parts[0]
+    coded = pa.concat_arrays([words for words, _ in parts]).dictionary_encode()
+    number, at = np.append(coded.indices.to_numpy(zero_copy_only=False), -1).astype(np.int32), 0
+    for words, codes in parts:
+        np.take(np.append(number[at : at + len(words)], np.int32(-1)), codes, out=codes, mode="wrap")  # -1 is the last one
+        at += len(words)
+    return coded.dictionary, np.concatenate([codes for _, codes in parts])
+
+
+def _parts(texts: pa.Array):
+    """``(texts, whole)``: at most ``PART`` bytes of texts each; a longer text is cut at delimiters, and only its last part is whole."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PART, side="right")))
+        if int(ends[hi - 1]) - before > PART:
+            text, done = texts[lo].as_py(), 0
+            for part, _ in _segments(text, PART):
+                done += len(part)
+                yield pa.array([part]), done == len(text)
+        else:
+            yield texts.slice(lo, hi - lo), True
+        lo = hi
+
+
+def _open_end(words: pa.Array, codes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What is cut off a text ends no piece."""
+    return words, codes[:-1]
+
+
+def _code_part(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``code_words`` of a part of the texts."""
     flat = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=_RUN, replacement=" . ")
     flat = pc.replace_substring(pc.binary_join_element_wise(flat, " .", ""), pattern="\t", replacement=" ")
     coded = pc.split_pattern(flat, pattern=" ").flatten().dictionary_encode()
@@ -130,8 +170,9 @@ def _chunks(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
             words, codes = code_words(pa.array([texts[0].as_py() + ahead]))
         here = codes[:own]
         counts = np.bincount(here[here >= 0], minlength=len(words))
-        values = dict(chunk=chunk, lang=tongue, words=words.to_pylist(), counts=counts.tolist(), own=own, n=len(codes), codes=_pack(codes))
-        return pa.RecordBatch.from_pylist([values], schema=_CHUNK_ARROW)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
+        values = [[chunk], [tongue], *lists, [own], [len(codes)], [_pack(codes)]]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(values, _CHUNK_ARROW)], schema=_CHUNK_ARROW)
 
     def run(batches):
         numbers = count(TaskContext.get().partitionId() << 32)
@@ -150,6 +191,7 @@ def _chunks(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
                     for k, tongue in enumerate(which.dictionary.to_pylist()):
                         yield row(next(numbers), tongue, of.filter(pc.equal(which.indices, k)))
                 lo = hi
+            _give_back()
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, _CHUNK)
@@ -231,8 +273,9 @@ def add_up(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells and their total counts."""
     order = np.argsort(cell, kind="stable")
     cell, n = cell[order], n[order]
+    del order
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    return cell[starts], np.add.reduceat(n, starts)
+    return cell[starts], np.add.reduceat(n, starts, dtype=np.int64)
 
 
 def _merge(rows: DataFrame, across: int, shares: int, least: int) -> DataFrame:
@@ -244,10 +287,13 @@ def _merge(rows: DataFrame, across: int, shares: int, least: int) -> DataFrame:
         def totals():
             """Sums of what is held; a code lies in one share."""
             code, n = np.concatenate(codes), np.concatenate(counts)
+            codes.clear()
+            counts.clear()
             if len(held) == 1 and held[0] >= shares and size >= DENSE >> CELL_BITS - PIECE_BITS:  # a piece of a tile at the origin
                 first = code.min() >> PIECE_BITS << PIECE_BITS
+                code -= first
                 table = np.zeros(1 << PIECE_BITS, np.int64)
-                np.add.at(table, code - first, n)
+                np.add.at(table, code, n)
                 some = np.flatnonzero(table)
                 return some + first, table[some]
             return add_up(code, n)
@@ -257,7 +303,7 @@ def _merge(rows: DataFrame, across: int, shares: int, least: int) -> DataFrame:
             cols = [*_pairs_of(code, across), n]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["left", "right", "f"])
 
-        for batch in batches:
+        for batch in _few(batches):
             for share, first, k, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if not held or held[-1] != share:
                     if size >= MERGE_CELLS:
@@ -271,7 +317,7 @@ def _merge(rows: DataFrame, across: int, shares: int, least: int) -> DataFrame:
                     codes, counts, held, size = [code[~done]], [total[~done]], [share], len(code) - done.sum()
                     most = max(4 * MERGE_CELLS, 2 * size)
                 codes.append(_unpack_cells(cell, k))
-                counts.append(_unpack(n, k, np.int32).astype(np.int64))
+                counts.append(_unpack(n, k, np.int32))
                 size += k
         if held:
             yield out(*totals())
@@ -329,11 +375,37 @@ def _symbols(row, k: int) -> tuple[np.ndarray, np.ndarray]:
     return words, syms
 
 
+@contextmanager
+def _small_batches(spark):
+    """Python tasks get Arrow batches of ``BATCH_BYTES``: a task, and its executor's JVM, hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _few(batches):
+    """Batches cut to ``FEW`` rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, FEW):
+            yield batch.slice(lo, FEW)
+    _give_back()
+
+
 def _rows(batches):
     """One row at a time: a row holds a whole chunk's codes."""
     for batch in batches:
         for r in range(batch.num_rows):
             yield batch.slice(r, 1).to_pylist()[0]
+    _give_back()
+
+
+def _give_back() -> None:
+    """A worker lives on between tasks; what Arrow holds unused goes back to the system."""
+    pa.default_memory_pool().release_unused()
 
 
 def _word_ids(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -351,6 +423,7 @@ def _word_ids(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
                     lut[batch.column(5)[r].values.to_numpy()] = batch.column(6)[r].values.to_numpy()
                 words = lut[_unpack(codes, n, np.int32)]
                 yield pa.RecordBatch.from_pylist([dict(chunk=chunk, own=own, n=n, words=_pack(words), m=0, at=b"", ids=b"")], schema=_CODED_ARROW)
+        _give_back()
 
     return joined.mapInArrow(run, _CODED)
 
@@ -403,7 +476,7 @@ def _answers(known: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches):
         share, cells, ids, parts = None, None, None, []
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for at, of, k, packed, packed_ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != share:
@@ -527,10 +600,13 @@ def _look_up(left, right, known_left, known_right, ids) -> np.ndarray:
     key = rank * width + known_right
     order = np.argsort(key)
     key, ids = key[order], ids[order]
-    place = np.minimum(np.searchsorted(lefts, left), len(lefts) - 1)
-    want = place * width + right
-    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-    return np.where((lefts[place] == left) & (key[at] == want), ids[at], -1)
+    found = np.empty(len(left), np.int64)
+    for part in _slices(len(left)):
+        place = np.minimum(np.searchsorted(lefts, left[part]), len(lefts) - 1)
+        want = place * width + right[part]
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        found[part] = np.where((lefts[place] == left[part]) & (key[at] == want), ids[at], -1)
+    return found
 
 
 # ---------------------------------------------------------------------------------
@@ -555,11 +631,13 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     if n_words >= 1 << 31:
         raise ValueError("more frequent words than a 32-bit id can tell apart")
 
-    coded, levels = cut_lineage(_word_ids(chunks, vocab)), []
-    for k in range(1, MOST_WORDS):
-        levels.append(cut_lineage(_ranked(_count_pairs(coded, k, n_words, least))))
-        if k + 1 < MOST_WORDS:
-            coded = cut_lineage(_next_level(coded, k, levels[-1], n_words))
+    levels = []
+    with _small_batches(docs.sparkSession):
+        coded = cut_lineage(_word_ids(chunks, vocab))
+        for k in range(1, MOST_WORDS):
+            levels.append(cut_lineage(_ranked(_count_pairs(coded, k, n_words, least))))
+            if k + 1 < MOST_WORDS:
+                coded = cut_lineage(_next_level(coded, k, levels[-1], n_words))
     two, three, four = levels
 
     word = lambda i: vocab.select(F.col("id").alias(f"w{i}"), F.col("f").alias(f"f{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang")] if i == 1 else []))

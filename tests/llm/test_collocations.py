@@ -177,3 +177,71 @@ def test_shares_larger_than_a_merge_are_added_up(spark, make_docs, monkeypatch,
     rows = [("en", " ".join(f"w{int(rnd.paretovariate(0.7)) % 50}" for _ in range(80))) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
     assert sorted(map(tuple, collocations.collocations(docs, least=3).collect())) == plain(rows, 3)
+
+
+def test_texts_are_coded_in_parts(monkeypatch):
+    """op13: a chunk is coded as before when its texts are cut to parts, also inside a text."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    vocab = ["Ünder", "X.y", "über-all", "w1", "w2"]
+    for texts in ([text(rnd, rnd.randint(0, 60), vocab) for _ in range(40)], ["", "", ""], ["a b", "", "z" * 500 + " a", "a b. " * 90], [text(rnd, 900, vocab)], ["A\tb ", " . ", "c"]):
+        whole = collocations.code_words(pa.array(texts))
+        for size in (1, 7, 100, 1000):
+            with monkeypatch.context() as m:
+                m.setattr(collocations, "PART", size)
+                words, codes = collocations.code_words(pa.array(texts))
+            assert words.equals(whole[0]) and np.array_equal(codes, whole[1])
+        assert codes.dtype == np.int32
+
+
+def test_coding_holds_few_strings_beside_its_texts():
+    """op13: the strings of one part are held, not those of a whole chunk."""
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    texts = pa.array([" ".join(f"w{int(rnd.paretovariate(0.9)) % 5000}" for _ in range(1000)) for _ in range(2000)])
+    before = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(pool)
+    try:
+        collocations.code_words(texts)
+        held = pool.max_memory()
+    finally:
+        pa.set_memory_pool(before)
+    assert texts.nbytes > 5 * collocations.PART and held < texts.nbytes
+
+
+def test_batches_of_cells_are_small(spark):
+    """op13: a task is sent a few megabytes at a time and makes Python objects of a few rows."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(0, 3000, 1, 1).select(F.expr("repeat(cast(id % 10 as string), 8000)").alias("cells"))
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"b": [max(b.nbytes for b in batches)]})
+
+    with pytest.raises(KeyError), collocations._small_batches(spark):
+        assert df.mapInArrow(largest, "b long").first().b < 6 << 20
+        raise KeyError
+    assert spark.conf.get(key) == before
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    few = list(collocations._few([batch, batch.slice(0, 0)]))
+    assert [v for b in few for v in b.column(0).to_pylist()] == list(range(1000)) and max(b.num_rows for b in few) <= collocations.FEW
+
+
+def test_cells_of_a_share_are_added_up_in_little():
+    """op13: a share's cells are summed in a few times their own bytes, 12 a cell."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(9)
+    cell, n = rnd.integers(0, 1 << 40, 1_000_000), rnd.integers(1, 9, 1_000_000).astype(np.int32)
+    cell[::2] = cell[1::2]
+    tracemalloc.start()
+    got, total = collocations.add_up(cell, n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total.dtype == np.int64 and total.sum() == n.sum() and np.array_equal(got, np.unique(cell))
+    assert most < 3 * (cell.nbytes + n.nbytes)
